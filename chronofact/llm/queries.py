@@ -1,7 +1,7 @@
 """The queries of this subpackage and the SQL to hold them against."""
 
-from chronofact.llm import exact_dedup, mixing, packing, sharding, topk, warc
+from chronofact.llm import exact_dedup, language, line_dedup, mixing, near_dedup, packing, sharding, topk, warc
 
-_MODULES = [warc, mixing, exact_dedup, packing, topk, sharding]
+_MODULES = [near_dedup, warc, mixing, exact_dedup, packing, topk, language, sharding, line_dedup]
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
