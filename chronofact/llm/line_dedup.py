@@ -10,22 +10,26 @@ def _line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 7), 16, 10).cast("long")
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column whose value is not moved into what uses it, where a lambda would evaluate it for each element."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def chunked(docs: DataFrame, divisor: int) -> DataFrame:
     """Add ``chunks``, an array of (n, body): the text cut after each line where the rolling hash says so.
 
     The rolling hash at a line is its own hash plus 31 times that of the line before; the cut falls where it divides
-    by ``divisor``, and at the text's end. Cuts depend on two lines only, so an insertion moves no later cut. Each
-    array stays a column beside what is made of it: Catalyst then evaluates it once a row, not once an element.
+    by ``divisor``, and at the text's end. Cuts depend on two lines only, so an insertion moves no later cut.
     """
-    with_lines = docs.withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n"))
-    hashed = with_lines.withColumn("hashes", F.transform("lines", _line_hash))
+    with_lines = _once(docs, "lines", F.split(F.coalesce("text", F.lit("")), "\n"))
+    hashed = _once(with_lines, "hashes", F.transform("lines", _line_hash))
     at = lambda i: F.element_at("hashes", i)
     last = F.size("lines")
     cut = lambda i: (i == last) | F.when(i > 1, (at(i) + 31 * at(F.greatest(i - 1, F.lit(1)))) % divisor == 0).otherwise(False)
-    ended = hashed.withColumn("ends", F.filter(F.sequence(F.lit(1), last), cut))
+    ended = _once(hashed, "ends", F.filter(F.sequence(F.lit(1), last), cut))
     start = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.element_at("ends", F.greatest(k, F.lit(1))))
     body = lambda e, k: F.struct((e - start(k)).alias("n"), F.array_join(F.slice("lines", start(k) + 1, e - start(k)), "\n").alias("body"))
-    return ended.withColumn("chunks", F.transform("ends", body))
+    return _once(ended, "chunks", F.transform("ends", body))
 
 
 def line_dedup(
@@ -69,7 +73,7 @@ def line_dedup(
     kept = kept.withColumn("sha", F.sha1(F.coalesce("text", F.lit(""))))
     joined = kept.join(gone, F.col("id").eqNullSafe(F.col("gid")) & (F.col("sha") == F.col("gsha")), "left").drop("gid", "gsha", "sha")
     cut = chunked(joined, divisor)
-    stay = cut.withColumn("stay", F.array_except(F.sequence(F.lit(0), F.size("chunks") - 1), F.coalesce("gone", F.array().cast("array<int>"))))
+    stay = _once(cut, "stay", F.array_except(F.sequence(F.lit(0), F.size("chunks") - 1), F.coalesce("gone", F.array().cast("array<int>"))))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform("stay", lambda i: F.element_at("chunks", i + 1)["body"]), "\n"))
     lost = F.size("lines") - F.aggregate("stay", F.lit(0), lambda s, i: s + F.element_at("chunks", i + 1)["n"])
     out = stay.withColumn("_text", text)
