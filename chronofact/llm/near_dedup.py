@@ -210,7 +210,7 @@ def near_dedup(
     )
     pairs = materialize(forest_candidates(reps, trees, near, least), "pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = materialize(shingle_sets(slim.join(ends, "id", "left_semi"), width).dropDuplicates(["id"]), "sets")
+    sets = materialize(shingle_sets(slim.join(ends.hint("merge"), "id", "left_semi"), width).dropDuplicates(["id"]), "sets")
 
     best = lambda c: F.row_number().over(Window.partitionBy(c).orderBy(F.desc("votes"), "a", "b"))
     ranked = materialize(pairs.withColumn("ra", best("a")).withColumn("rb", best("b")).withColumn("early", (F.col("ra") <= first) | (F.col("rb") <= first)), "ranked")
