@@ -18,8 +18,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     """Targets of (source, source_size): weights repeat over the sources by code point, null last.
 
     The targets share the total by weight, none above ``most`` times its source's size; the excess is shared again.
-    That is the water level at which sum(least(most * size, level * weight)) is the total: with sources ordered by
-    most * size / weight, a source is capped when its ratio lies under the level of those from it on.
+    That is a water level: target = least(most * size, weight * level), where the targets sum to the total. With the
+    sources ordered by most * size / weight, capping the first k gives a level for the rest; it rises while the next
+    source is too small for it and falls after that, so the level is the greatest of these.
     One row per source, so the windows here are over metadata.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
@@ -34,14 +35,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
         ranked.withColumn("_left", F.sum("source_size").over(every) - most * F.coalesce(F.sum("source_size").over(before), F.lit(0)))
         .withColumn("_wleft", F.sum("_w").over(every) - F.coalesce(F.sum("_w").over(before), F.lit(0)))
         .withColumn("_level", F.col("_left").cast("double") / F.col("_wleft").cast("double"))
-        .withColumn("_open", most * F.col("source_size") > F.col("_w") * F.col("_level"))
-    )
-    level = F.min(F.when(F.col("_open"), F.col("_level"))).over(every)
-    return levels.withColumn("_final", level).select(
-        "source",
-        "source_size",
-        F.when(F.col("_open") & F.col("_final").isNotNull(), F.col("_w") * F.col("_final")).otherwise(most * F.col("source_size")).alias("target"),
     )
+    level = F.max("_level").over(every)
+    return levels.select("source", "source_size", F.least(most * F.col("source_size"), F.col("_w") * level).alias("target"))
 
 
 def systematic_sample(
@@ -109,13 +105,10 @@ l AS (
     CAST(sum(source_size) OVER () - 3.0 * coalesce(sum(source_size) OVER b, 0) AS DOUBLE)
       / CAST(sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS DOUBLE) AS level
   FROM w WINDOW b AS (ORDER BY CAST(3.0 * source_size AS DOUBLE) / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
-), o AS (SELECT *, 3.0 * source_size > w * level AS open FROM l),
-t AS (
-  SELECT source, source_size,
-    CASE WHEN open AND min(CASE WHEN open THEN level END) OVER () IS NOT NULL
-      THEN w * min(CASE WHEN open THEN level END) OVER () ELSE CAST(3.0 * source_size AS DOUBLE) END AS target,
+), t AS (
+  SELECT source, source_size, least(CAST(3.0 * source_size AS DOUBLE), w * max(level) OVER ()) AS target,
     CAST(CAST('0x' || substr(md5('mix:' || coalesce('=' || source, 'null')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS u
-  FROM o
+  FROM l
 ), r AS (
   SELECT d.doc_id, d.size, t.source_size, t.target, u,
     CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
