@@ -77,17 +77,21 @@ def one_record(data: bytes, at: int, most: int) -> tuple[dict, bytes, int]:
     """The record at ``at``, checked, and where it ends: a gzip member or plain text."""
     if data[at : at + 3] != GZIP:
         return parse(data, at)
-    reader = zlib.decompressobj(31)
+    reader, parts, size, end = zlib.decompressobj(31), [], 0, at
     try:
-        plain = reader.decompress(data[at:] if at else data, most)
+        while not reader.eof:
+            if end >= len(data):
+                raise Damaged("member is cut short")
+            parts.append(reader.decompress(data[end : end + (1 << 16)]))
+            size, end = size + len(parts[-1]), end + (1 << 16)
+            if size > most:
+                raise Damaged("member is too long")
     except zlib.error as e:
         raise Damaged(f"member: {e}") from None
-    if not reader.eof:
-        raise Damaged("member is cut short or too long")
-    head, block, end = parse(plain, 0)
-    if end != len(plain):
+    head, block, stop = parse(b"".join(parts), 0)
+    if stop != size:
         raise Damaged("member holds more than its record")
-    return head, block, len(data) - len(reader.unused_data)
+    return head, block, min(end, len(data)) - len(reader.unused_data)
 
 
 def salvage(data: bytes, most: int = 1 << 30) -> Iterator[tuple[str, int, int, str | None, dict, bytes]]:
@@ -97,11 +101,9 @@ def salvage(data: bytes, most: int = 1 << 30) -> Iterator[tuple[str, int, int, s
     member or version line that passes every check; reading goes on behind it.
     """
     at, bad, why = 0, -1, ""
-    view = memoryview(data)
     while at < len(data):
         try:
-            piece = bytes(view[at : at + min(len(data) - at, most)]) if at else data
-            head, block, size = one_record(piece, 0, most)
+            head, block, end = one_record(data, at, most)
         except Damaged as e:
             if bad < 0:
                 bad, why = at, str(e)
@@ -113,8 +115,8 @@ def salvage(data: bytes, most: int = 1 << 30) -> Iterator[tuple[str, int, int, s
         if bad >= 0:
             yield "gap", bad, at, why, {}, b""
             bad = -1
-        yield "record", at, at + size, None, head, block
-        at += size
+        yield "record", at, end, None, head, block
+        at = end
     if bad >= 0:
         yield "gap", bad, len(data), why, {}, b""
 
@@ -162,19 +164,18 @@ def write_archives(pages: DataFrame, folder: str, at_least: int = 0, roll_bytes:
                 done.append((final, records, size))
                 out, number = None, number + 1
 
-        for b in batches:
-            for page, url, payload, sha, length, keep in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if out is None:
-                    held, size, records = f"{root}/.open-{uuid.uuid4().hex}", 0, 0
-                    out = store.open_output_stream(held)
-                name = lambda x: "urn:page:null" if x is None else f"urn:page:{x}"
-                revisit = keep is not None and keep != page
-                digest = base64.b32encode(bytes.fromhex(sha)).decode()
-                data = record_bytes("revisit" if revisit else "response", name(page), url, payload, length, digest, name(keep) if revisit else None)
-                out.write(data)
-                size, records = size + len(data), records + 1
-                if size >= roll_bytes:
-                    close()
+        for page, url, payload, sha, length, keep in (tuple(x.as_py() for x in row) for b in batches for row in zip(*b.columns, strict=True)):
+            if out is None:
+                held, size, records = f"{root}/.open-{uuid.uuid4().hex}", 0, 0
+                out = store.open_output_stream(held)
+            name = lambda x: "urn:page:null" if x is None else f"urn:page:{x}"
+            revisit = keep is not None and keep != page
+            digest = base64.b32encode(bytes.fromhex(sha)).decode()
+            data = record_bytes("revisit" if revisit else "response", name(page), url, payload, length, digest, name(keep) if revisit else None)
+            out.write(data)
+            size, records = size + len(data), records + 1
+            if size >= roll_bytes:
+                close()
         close()
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], ["file", "records", "bytes"])
@@ -220,11 +221,19 @@ def read_archives(files: DataFrame, most: int = 1 << 30) -> DataFrame:
     return files.select("path", "content").mapInArrow(task, RECORD)
 
 
+def archives(manifest: DataFrame, folder: str) -> DataFrame:
+    """(path, content) of the archives that the manifest lists; what failed attempts left in the folder is not read."""
+    if manifest.isEmpty():
+        return manifest.sparkSession.createDataFrame([], "path string, content binary")
+    found = manifest.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
+    name = lambda c: F.element_at(F.split(c, "/"), -1)
+    return found.select("path", "content").join(manifest.select(name("file").alias("_name")), name("path") == F.col("_name"), "left_semi")
+
+
 def op3_warc(spark, sf_dir: str) -> DataFrame:
-    """Writes all pages, then reads the folder back; page ids come from the record ids that were read."""
+    """Writes all pages, then reads the archives back; page ids come from the record ids that were read."""
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
+    files = archives(write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder), folder)
     number = lambda c: F.expr(f"try_cast(substring({c}, length('urn:page:') + 1) AS bigint)")
     return read_archives(files).where("kind = 'record'").select(
         number("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), number("refers_to_id").alias("refers_to")
