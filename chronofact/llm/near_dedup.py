@@ -222,7 +222,9 @@ def near_dedup(
     roots = components(links.union(more))
 
     whole = reps.select("key", "id").join(roots, F.col("id") == F.col("node"), "left").select("key", F.col("id").alias("rep"), F.coalesce("root", "id").alias("root"))
-    least_id = whole.groupBy("root").agg(F.min("rep").alias("component"))
+    # Written, so that both sides of the join are shuffled for it alone and a large component's rows can be split.
+    whole = materialize(whole, "roots")
+    least_id = materialize(whole.groupBy("root").agg(F.min("rep").alias("component")), "least")
     named = materialize(whole.join(least_id, "root").select("key", "component"), "named")
     return signed.join(named, "key", "left").select(
         F.col("id").alias(id_col),
