@@ -5,18 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from chronofact.session import table
+from chronofact.plans import catalog_facts
+
+MODULES = [catalog_facts]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    """Ranked evidence for a phrase over the mixed corpus."""
+    from chronofact.operators.retrieval import search
+    from chronofact.sources.facts import facts
+
+    return search(facts(spark, sf_dir), "error of the")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for m in MODULES for k, s in m.SQL.items()}
