@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,8 +61,6 @@ def similar_names(entities: DataFrame, least: float = 0.88) -> DataFrame:
 
     The shared word is the join key; the ratio, which SQL lacks, runs on those pairs in Arrow batches.
     """
-    import pandas as pd
-
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher

@@ -54,7 +54,11 @@ def bm25(indexed_facts: DataFrame, query: list[str], scope: list[str] | None = N
     """
     scope = scope or []
     unique = list(dict.fromkeys(query))
-    facts = indexed_facts.withColumns({f"_tf{i}": F.size(F.filter("tokens", lambda x, t=t: x == t)) for i, t in enumerate(unique)})
+
+    def times(t: str) -> Column:
+        return F.size(F.filter("tokens", lambda x: x == t))
+
+    facts = indexed_facts.withColumns({f"_tf{i}": times(t) for i, t in enumerate(unique)})
     counted = [F.sum((F.col(f"_tf{i}") > 0).cast("int")).alias(f"_df{i}") for i in range(len(unique))]
     per_modality = facts.groupBy(*scope, "modality").agg(F.count(F.lit(1)).alias("_nm"), F.sum(F.size("tokens")).alias("_len"), *counted)
     total = Window.partitionBy(*[F.col(c) for c in scope])

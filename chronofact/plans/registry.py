@@ -6,17 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofact.plans import catalog_facts
+from chronofact.plans import catalog_entities, catalog_facts, catalog_retrieval, catalog_temporal
 
-MODULES = [catalog_facts]
+MODULES = [catalog_facts, catalog_temporal, catalog_retrieval, catalog_entities]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked evidence for a phrase over the mixed corpus."""
-    from chronofact.operators.retrieval import search
-    from chronofact.sources.facts import facts
-
-    return search(facts(spark, sf_dir), "error of the")
+    return catalog_retrieval.search_topk(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
