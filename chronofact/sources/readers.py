@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: The newest document version that is read.
 VERSION = (1, 1)
 _FACT = "id STRING, start DOUBLE, `end` DOUBLE, text STRING, type STRING, description STRING, language STRING, confidence DOUBLE, stable BOOLEAN, frame_count INT, first_frame_ts DOUBLE, last_frame_ts DOUBLE"
 #: The document's schema: read as declared, never inferred.
-DOCUMENT = T._parse_datatype_string(
+DOCUMENT = (
     "vctx_version STRING, video STRUCT<id: STRING, filename: STRING, duration: DOUBLE, has_audio: BOOLEAN>, "
     + ", ".join(f"{k} ARRAY<STRUCT<{', '.join(c.strip().replace(' ', ': ', 1) for c in _FACT.split(','))}>>" for k in ("scenes", "transcript", "ocr", "events", "segments"))
     + ", stages ARRAY<STRUCT<name: STRING, status: STRING, error: STRING>>"
@@ -40,8 +39,8 @@ def write_documents(docs: DataFrame, path: str, compress: bool = True) -> None:
     docs.write.mode("overwrite").option("compression", "gzip" if compress else "none").json(path)
 
 
-def json_schema() -> str:
-    return DOCUMENT.json()
+def json_schema(spark: SparkSession) -> str:
+    return spark.createDataFrame([], DOCUMENT).schema.json()
 
 
 #: The timing line of a subtitle cue, and what is stripped from its text.
