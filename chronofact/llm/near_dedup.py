@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,8 +65,9 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(task, "id long, s binary")
 
 
-def forest_candidates(reps: DataFrame, trees: int, near: int, least: int) -> DataFrame:
-    """(a, b, votes) with a < b, of (id, n, sig): neighbours in the sorted orders of the trees.
+def forest_candidates(reps: DataFrame, trees: int, near: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b, votes) with a < b, of (id, n, sig): neighbours in the sorted orders of the trees; and (tree, region, id)
+    of the regions, runs of rows that agree in ``least`` levels, that hold more rows than neighbours pair in full.
 
     Each tree sorts all rows by its key. Rows up to ``near`` places apart are candidates when their keys agree in at
     least ``least`` leading levels; as neighbours have the longest common prefixes, a crowded region is cut at a
@@ -110,30 +112,23 @@ def forest_candidates(reps: DataFrame, trees: int, near: int, least: int) -> Dat
         )
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, tail, seen = TaskContext.get().partitionId(), None, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = [batch.column(i).to_numpy() for i in range(4)]
-            if seen < near:  # the first rows of the partition
-                head = [x[: near - seen] for x in new]
-                yield rows(1, part, seen + np.arange(len(head[0])), head[0], head[1], head[2], 0, head[3])
-            old = 0 if tail is None else len(tail[0])
-            both = new if tail is None else [np.concatenate(x) for x in zip(tail, new, strict=True)]
-            for a, b, shared in pairs(*both):
-                if len(a):
-                    yield rows(0, 0, 0, 0, shared, a, b, 0)
-            del old
-            seen += batch.num_rows
-            tail = [x[-near:] for x in both]
-        if tail is not None:  # the last rows, unless they were among the first
-            from_ = max(near, seen - near)
-            size = seen - from_
-            if size > 0:
-                last = [x[-size:] for x in tail]
-                yield rows(1, part, from_ + np.arange(size), last[0], last[1], last[2], 0, last[3])
+        part = TaskContext.get().partitionId()
+        got = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
+        if not got:
+            return
+        tree, key, ids, n = (np.concatenate(x) for x in zip(*got, strict=True))
+        for a, b, shared in pairs(tree, key, ids, n):
+            yield rows(0, 0, 0, 0, shared, a, b, 0)
+        at = np.arange(len(ids))
+        end = (at < near) | (at >= len(ids) - near)
+        yield rows(1, part, at[end], tree[end], key[end], ids[end], 0, n[end])
+        region = key >> np.int64(64 - 8 * least)
+        fresh = np.append(True, (tree[1:] != tree[:-1]) | (region[1:] != region[:-1]))
+        run = np.cumsum(fresh) - 1
+        size = np.bincount(run)[run]
+        # Regions that neighbours do not pair in full; the first and last may go on in the next partition.
+        crowded = (size > near + 1) | (run == 0) | (run == run[-1])
+        yield rows(2, part, 0, tree[crowded], region[crowded], ids[crowded], 0, n[crowded])
 
     order = ["tree", "key", "id"]
     found = materialize(
@@ -156,7 +151,8 @@ def forest_candidates(reps: DataFrame, trees: int, near: int, least: int) -> Dat
         .select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b"), "shared")
     )
     inner = found.where("kind = 0").select("a", "b", F.col("key").alias("shared"))
-    return inner.union(over).where("a < b").groupBy("a", "b").agg(F.sum("shared").alias("votes"))
+    crowded = found.where("kind = 2").select("tree", F.col("key").alias("region"), F.col("a").alias("id"))
+    return inner.union(over).where("a < b").groupBy("a", "b").agg(F.sum("shared").alias("votes")), crowded
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -177,6 +173,68 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(task, "a long, b long")
 
 
+def open_regions(crowded: DataFrame, roots: DataFrame, near: int) -> DataFrame:
+    """(tree, region, id, root, size) of the crowded regions whose rows the links so far leave in several components."""
+    named = materialize(crowded.join(roots, F.col("id") == F.col("node"), "left").select("tree", "region", "id", F.coalesce("root", "id").alias("root")), "regions")
+    several = named.groupBy("tree", "region").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    several = materialize(several.where((F.col("size") > near + 1) & (F.col("lo") != F.col("hi"))).select("tree", "region", "size"), "open")
+    return materialize(named.join(several, ["tree", "region"]), "open")
+
+
+def pivot_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b): in each open region, its most central row with each row of another component.
+
+    Central is the row whose open regions hold the most rows over all trees: the common source of many copies keeps
+    its prefix where each copy loses some.
+    """
+    weight = rows.groupBy("id").agg(F.sum("size").alias("w"))
+    heads = rows.join(weight, "id").groupBy("tree", "region").agg(F.max(F.struct("w", "id", "root")).alias("p"))
+    heads = materialize(heads.select("tree", "region", F.col("p.id").alias("pid"), F.col("p.root").alias("proot")), "pivots")
+    apart = rows.join(heads, ["tree", "region"]).where("root <> proot")
+    return apart.select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct()
+
+
+def remaining_links(rows: DataFrame, sets: DataFrame, percent: int, block: int = 512) -> DataFrame:
+    """(a, b): links between components inside what open regions connect, with nothing left out.
+
+    Open regions that share rows form clusters. A cluster is cut by hash into blocks of about ``block`` rows, and each
+    pair of blocks is one bounded group: rows outside its most frequent component are held against all its rows of
+    other components, by their full sets over an index of the group's shingles. Only links come out, no pairs.
+    """
+    at = components(rows.select(F.col("id").alias("a"), F.xxhash64("tree", "region").alias("b")))
+    ids = rows.select("id", F.col("root").alias("own")).distinct().join(at, F.col("id") == F.col("node")).select("id", "own", F.col("root").alias("cluster"))
+    ids = materialize(ids, "clusters")
+    many = materialize(ids.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "clusters")
+    cut = ids.join(many, "cluster").withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    cells = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("cluster", F.least("at", "other").alias("lo"), F.greatest("at", "other").alias("hi"), "at", "id", "own").join(sets, "id")
+
+    def links(group: pa.Table) -> pa.Table:
+        ids, own, side = group["id"].to_numpy(), group["own"].to_numpy(), group["at"].to_numpy()
+        full = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in group["s"]]
+        size = np.array([len(x) for x in full])
+        row = np.repeat(np.arange(len(full)), size)
+        flat = np.concatenate(full)
+        order = np.argsort(flat, kind="stable")
+        flat, row = flat[order], row[order]
+        names, count = np.unique(own, return_counts=True)
+        asked = np.flatnonzero(own != names[count.argmax()])
+        a, b = [], []
+        for x in asked:
+            first, last = np.searchsorted(flat, full[x], "left"), np.searchsorted(flat, full[x], "right")
+            met = np.repeat(first - np.append(0, np.cumsum(last - first)[:-1]), last - first) + np.arange(int((last - first).sum()))
+            both = np.bincount(row[met], minlength=len(full))
+            good = (100 * both >= percent * (size + size[x] - both)) & (own != own[x])
+            if side.min() != side.max():
+                good &= side != side[x]
+            for y in np.flatnonzero(good):
+                a.append(min(ids[x], ids[y]))
+                b.append(max(ids[x], ids[y]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return cells.groupBy("cluster", "lo", "hi").applyInArrow(links, "a long, b long").distinct()
+
+
 def near_dedup(
     docs: DataFrame,
     width: int = 5,
@@ -194,9 +252,10 @@ def near_dedup(
     more. Equal sets are collapsed first, by a 128-bit hash of the set, so exact copies cost one row. The others meet
     in an LSH forest (``forest_candidates``): at similarity 0.8 a pair shares ``least`` = 5 levels of a tree with
     probability 0.33, and misses all of 32 trees with probability 3e-6. Every candidate is decided on full sets of
-    64-bit shingle hashes, in two rounds: first each document's ``first`` candidates with the most votes, then those
-    candidates whose documents the first round's links leave in different components; a pair inside one component
-    cannot change the result.
+    64-bit shingle hashes, in rounds: each document's ``first`` candidates with the most votes; those neighbours whose
+    documents the links so far leave in different components (a pair inside one component cannot change the result);
+    then, as neighbours alone do not pair a crowded region in full, the most central row of each crowded region with
+    its other components; and last all that remains between components in such regions (``remaining_links``).
 
     Words are runs of other than white space, A-Z folded. Null and empty texts have no shingles, form a component
     each and are kept; of fewer words than ``width`` the whole sequence is one shingle. Rows equal in id share
@@ -208,8 +267,9 @@ def near_dedup(
     reps = materialize(
         signed.where("key IS NOT NULL AND id IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "reps"
     )
-    pairs = materialize(forest_candidates(reps, trees, near, least), "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    pairs, crowded = forest_candidates(reps, trees, near, least)
+    pairs = materialize(pairs, "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(crowded.select("id")).distinct()
     sets = materialize(shingle_sets(slim.join(ends.hint("merge"), "id", "left_semi"), width).dropDuplicates(["id"]), "sets")
 
     best = lambda c: F.row_number().over(Window.partitionBy(c).orderBy(F.desc("votes"), "a", "b"))
@@ -218,8 +278,14 @@ def near_dedup(
     roots = components(links)
     ra, rb = roots.select(F.col("node").alias("a"), F.col("root").alias("ta")), roots.select(F.col("node").alias("b"), F.col("root").alias("tb"))
     apart = ranked.where("NOT early").join(ra, "a", "left").join(rb, "b", "left").where("NOT (coalesce(ta, a) <=> coalesce(tb, b))").select("a", "b")
-    more = materialize(confirm(apart, sets, percent), "links")
-    roots = components(links.union(more))
+    links = links.union(materialize(confirm(apart, sets, percent), "links"))
+    roots = components(links)
+
+    pivots = pivot_pairs(open_regions(crowded, roots, near)).join(pairs, ["a", "b"], "left_anti")
+    links = links.union(materialize(confirm(pivots, sets, percent), "links"))
+    roots = components(links)
+    links = links.union(materialize(remaining_links(open_regions(crowded, roots, near), sets, percent), "links"))
+    roots = components(links)
 
     whole = reps.select("key", "id").join(roots, F.col("id") == F.col("node"), "left").select("key", F.col("id").alias("rep"), F.coalesce("root", "id").alias("root"))
     # Written, so that both sides of the join are shuffled for it alone and a large component's rows can be split.
