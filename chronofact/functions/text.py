@@ -91,12 +91,12 @@ def candidate_names(text: Column) -> Column:
     )
     stop = F.array(*map(F.lit, NAME_STOPWORDS))
     named = lambda c: (F.length(c) >= 3) & (F.size(F.array_except(F.split(c, r"\s+"), stop)) > 0)
-    return F.filter(F.transform(found, F.trim), named)
+    return F.filter(F.transform(found, lambda x: F.trim(x)), named)
 
 
 def command_in(text: Column) -> Column:
     """The command behind the first shell prompt of the text, or null. A first word that ends in a colon is a quote."""
-    lines = F.transform(F.split(text, r"\r\n|\n|\r"), F.trim)
+    lines = F.transform(F.split(text, r"\r\n|\n|\r"), lambda x: F.trim(x))
     command = lambda x: F.trim(F.regexp_extract(x, PROMPT, 1))
     good = F.filter(lines, lambda x: x.rlike(PROMPT) & ~command(x).rlike(r"^\S*:(\s|$)"))
     return F.when(F.size(good) > 0, command(F.get(good, F.lit(0))))
