@@ -51,7 +51,7 @@ def ring_shards(
     shards: int = 8,
     nodes: int = 128,
     cells: int = 65536,
-    slack: float = 0.001,
+    slack: float = 0.0002,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
