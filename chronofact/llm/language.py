@@ -92,15 +92,19 @@ def train(labelled: DataFrame, per_language: int = 300, landmarks: int = 96, rid
             spectra = [spectrum(t, longest) for t in b.column(0).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(spectra, pa.list_(pa.int32())), b.column(1), b.column(2)], ["spectrum", "lang", "draw"])
 
-    found = sorted(drawn.mapInArrow(task, "spectrum array<int>, lang string, draw long").toArrow().to_pylist(), key=lambda r: (r["lang"], r["draw"], r["spectrum"]))
-    used, of = [], {}
-    for r in found:
-        of[r["lang"]] = of.get(r["lang"], 0) + 1
-        if of[r["lang"]] <= per_language:
-            used.append(r)
-    if not used:
+    found = drawn.mapInArrow(task, "spectrum array<int>, lang string, draw long").toArrow().combine_chunks()
+    if not found.num_rows:
         return None
-    return fit([np.array(r["spectrum"], dtype=np.int32) for r in used], [r["lang"] for r in used], landmarks, ridge, longest)
+    lists = found["spectrum"].chunk(0)
+    flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+    spectra = [flat[ends[i] : ends[i + 1]] for i in range(len(lists))]
+    langs, draws = found["lang"].to_pylist(), found["draw"].to_pylist()
+    used, of = [], {}
+    for i in sorted(range(len(langs)), key=lambda i: (langs[i], draws[i], spectra[i].tobytes())):
+        of[langs[i]] = of.get(langs[i], 0) + 1
+        if of[langs[i]] <= per_language:
+            used.append(i)
+    return fit([spectra[i] for i in used], [langs[i] for i in used], landmarks, ridge, longest)
 
 
 def predict(docs: DataFrame, model: Classifier | None, text_col: str = "text") -> DataFrame:

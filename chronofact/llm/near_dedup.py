@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronofact.llm.components import components
+from chronofact.llm.components import components, joined
 from chronofact.llm.shingles import mixed, shingle_set, word_hashes
 from chronofact.session import materialize, partitions
 
@@ -278,14 +278,10 @@ def near_dedup(
     roots = components(links)
     ra, rb = roots.select(F.col("node").alias("a"), F.col("root").alias("ta")), roots.select(F.col("node").alias("b"), F.col("root").alias("tb"))
     apart = ranked.where("NOT early").join(ra, "a", "left").join(rb, "b", "left").where("NOT (coalesce(ta, a) <=> coalesce(tb, b))").select("a", "b")
-    links = links.union(materialize(confirm(apart, sets, percent), "links"))
-    roots = components(links)
-
+    roots = joined(roots, confirm(apart, sets, percent))
     pivots = pivot_pairs(open_regions(crowded, roots, near)).join(pairs, ["a", "b"], "left_anti")
-    links = links.union(materialize(confirm(pivots, sets, percent), "links"))
-    roots = components(links)
-    links = links.union(materialize(remaining_links(open_regions(crowded, roots, near), sets, percent), "links"))
-    roots = components(links)
+    roots = joined(roots, confirm(pivots, sets, percent))
+    roots = joined(roots, remaining_links(open_regions(crowded, roots, near), sets, percent))
 
     whole = reps.select("key", "id").join(roots, F.col("id") == F.col("node"), "left").select("key", F.col("id").alias("rep"), F.coalesce("root", "id").alias("root"))
     # Written, so that both sides of the join are shuffled for it alone and a large component's rows can be split.
