@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Temporary folders of applications without the setting.
+_own: dict[str, str] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table, read by Spark so that any store Spark knows will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,8 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one is made only where none is set (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        found = _own.get(app) or _own.setdefault(app, f"file://{tempfile.mkdtemp(prefix='spark-')}")
     return found.rstrip("/")
 
 

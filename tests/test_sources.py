@@ -111,3 +111,14 @@ def test_collection(spark, tables):
     answer = c.ask("what happened before the error")
     assert 0 <= answer.confidence() <= 1 and answer.text().startswith("[")
     assert c.package("error").count() > 0 and c.receipt().count() > 0 and c.compare("v0", "v1").count() > 0 and c.entity_timeline("The").count() >= 0
+
+
+def test_shared_folder_is_the_sessions_or_one_of_our_own(spark):
+    from chronofact.session import shared_dir
+
+    class Unset:
+        conf = type("C", (), {"get": staticmethod(lambda key, default=None: default)})
+        sparkContext = type("S", (), {"applicationId": "app-1"})
+
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    assert shared_dir(Unset) == shared_dir(Unset) and shared_dir(Unset).startswith("file:///")
