@@ -194,45 +194,50 @@ def pivot_pairs(rows: DataFrame) -> DataFrame:
     return apart.select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct()
 
 
-def remaining_links(rows: DataFrame, sets: DataFrame, percent: int, block: int = 512) -> DataFrame:
+def remaining_links(rows: DataFrame, sets: DataFrame, percent: int, block: int = 256) -> DataFrame:
     """(a, b): links between components inside what open regions connect, with nothing left out.
 
-    Open regions that share rows form clusters. A cluster is cut by hash into blocks of about ``block`` rows, and each
-    pair of blocks is one bounded group: rows outside its most frequent component are held against all its rows of
-    other components, by their full sets over an index of the group's shingles. Only links come out, no pairs.
+    Open regions that share rows form clusters. A link between components has an end outside the cluster's most
+    frequent one: those rows are asked, against all rows. Both are cut by hash into blocks of about ``block`` rows, and
+    each pair of blocks is one group of bounded size, decided on full sets over an index of its shingles. Only links
+    come out, no pairs.
     """
     at = components(rows.select(F.col("id").alias("a"), F.xxhash64("tree", "region").alias("b")))
     ids = rows.select("id", F.col("root").alias("own")).distinct().join(at, F.col("id") == F.col("node")).select("id", "own", F.col("root").alias("cluster"))
     ids = materialize(ids, "clusters")
-    many = materialize(ids.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "clusters")
-    cut = ids.join(many, "cluster").withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    cells = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("cluster", F.least("at", "other").alias("lo"), F.greatest("at", "other").alias("hi"), "at", "id", "own").join(sets, "id")
+    sizes = ids.groupBy("cluster", "own").agg(F.count(F.lit(1)).alias("n"))
+    many = sizes.groupBy("cluster").agg(F.max(F.struct("n", "own")).alias("top"), F.sum("n").alias("all"))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / block)).cast("int")
+    many = materialize(many.select("cluster", F.col("top.own").alias("main"), blocks(F.col("all")).alias("nt"), blocks(F.col("all") - F.col("top.n")).alias("na")), "clusters")
+    cut = ids.join(many, "cluster")
+    part = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    target = cut.select("cluster", part("nt", "t").alias("t"), every("na").alias("q"), "id", "own", F.lit(False).alias("asked"))
+    asked = cut.where("own <> main").select("cluster", every("nt").alias("t"), part("na", "q").alias("q"), "id", "own", F.lit(True).alias("asked"))
+    cells = target.unionByName(asked).join(sets, "id")
 
     def links(group: pa.Table) -> pa.Table:
-        ids, own, side = group["id"].to_numpy(), group["own"].to_numpy(), group["at"].to_numpy()
+        ids, own, asks = group["id"].to_numpy(), group["own"].to_numpy(), group["asked"].to_numpy()
         full = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in group["s"]]
-        size = np.array([len(x) for x in full])
-        row = np.repeat(np.arange(len(full)), size)
-        flat = np.concatenate(full)
-        order = np.argsort(flat, kind="stable")
-        flat, row = flat[order], row[order]
-        names, count = np.unique(own, return_counts=True)
-        asked = np.flatnonzero(own != names[count.argmax()])
+        at = np.flatnonzero(~asks)
         a, b = [], []
-        for x in asked:
-            first, last = np.searchsorted(flat, full[x], "left"), np.searchsorted(flat, full[x], "right")
-            met = np.repeat(first - np.append(0, np.cumsum(last - first)[:-1]), last - first) + np.arange(int((last - first).sum()))
-            both = np.bincount(row[met], minlength=len(full))
-            good = (100 * both >= percent * (size + size[x] - both)) & (own != own[x])
-            if side.min() != side.max():
-                good &= side != side[x]
-            for y in np.flatnonzero(good):
-                a.append(min(ids[x], ids[y]))
-                b.append(max(ids[x], ids[y]))
+        if len(at) and asks.any():
+            size = np.array([len(full[i]) for i in at])
+            row = np.repeat(np.arange(len(at)), size)
+            flat = np.concatenate([full[i] for i in at])
+            order = np.argsort(flat, kind="stable")
+            flat, row = flat[order], row[order]
+            for x in np.flatnonzero(asks):
+                first, last = np.searchsorted(flat, full[x], "left"), np.searchsorted(flat, full[x], "right")
+                met = np.repeat(first - np.append(0, np.cumsum(last - first)[:-1]), last - first) + np.arange(int((last - first).sum()))
+                both = np.bincount(row[met], minlength=len(at))
+                good = (100 * both >= percent * (size + len(full[x]) - both)) & (own[at] != own[x])
+                for y in at[np.flatnonzero(good)]:
+                    a.append(min(ids[x], ids[y]))
+                    b.append(max(ids[x], ids[y]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return cells.groupBy("cluster", "lo", "hi").applyInArrow(links, "a long, b long").distinct()
+    return cells.groupBy("cluster", "t", "q").applyInArrow(links, "a long, b long").distinct()
 
 
 def near_dedup(
