@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronofact.session import materialize
+
 
 def _line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 7), 16, 10).cast("long")
@@ -86,6 +88,46 @@ def line_dedup(
     )
 
 
+def run_dedup(docs: DataFrame, min_lines: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs' columns with the text deduplicated, and n_lines, removed_lines.
+
+    A line goes when it lies in a run of ``min_lines`` lines that occurs earlier (by id, then place) in any document. Runs
+    start at every line, so no chunk edge keeps a repeated line: what ``line_dedup`` removes goes, and with it the
+    one-line chunks and the ends of passages that it leaves. Each line that goes has an equal one at an earlier place, so
+    one of each stays. Runs are compared by SHA-256, copies summed before the shuffle; the hashes are written, so that the
+    join can split a run that many documents share.
+
+    Left are repeated lines between two lines that are not repeated, and documents of fewer than ``min_lines`` lines.
+    Lines, null texts, null ids and rows equal in id and text are taken as in ``line_dedup``.
+    """
+    taken = {c.lower() for c in docs.columns}
+    if clash := taken & {"n_lines", "removed_lines"}:
+        docs = docs.drop(*clash)
+    whole = F.coalesce("text", F.lit(""))
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("sha", F.sha1(whole))
+    lined = _once(slim, "lines", F.split(whole, "\n")).where(F.size("lines") >= min_lines)
+    run = lambda i: F.unhex(F.sha2(F.array_join(F.slice("lines", i, min_lines), "\n"), 256))
+    starts = F.sequence(F.lit(1), F.size("lines") - min_lines + 1)
+    rows = materialize(lined.select("id", "sha", F.posexplode(F.transform(starts, run)).alias("no", "fp")), "runs")
+    place = F.struct("id", "sha", "no")
+    repeated = rows.groupBy("fp").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("NOT (first <=> last)").select("fp", "first")
+    later = rows.join(materialize(repeated, "repeated"), "fp").where(~place.eqNullSafe(F.col("first")))
+    gone = later.groupBy(F.col("id").alias("gid"), F.col("sha").alias("gsha")).agg(F.collect_set("no").alias("gone"))
+
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    kept = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("sha", F.sha1(whole))
+    joined = kept.join(gone, F.col("id").eqNullSafe(F.col("gid")) & (F.col("sha") == F.col("gsha")), "left").drop("gid", "gsha", "sha")
+    cut = _once(joined, "lines", F.split(whole, "\n"))
+    lost = F.flatten(F.transform("gone", lambda i: F.sequence(i + 1, i + min_lines)))
+    stay = _once(cut, "stay", F.array_except(F.sequence(F.lit(1), F.size("lines")), F.coalesce(lost, F.array().cast("array<int>"))))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform("stay", lambda i: F.element_at("lines", i)), "\n"))
+    return stay.withColumn("_text", text).select(
+        *[F.col("_text").alias(c) if c == text_col else F.col(n).alias(c) for c, n in names.items()],
+        F.size("lines").cast("long").alias("n_lines"),
+        (F.size("lines") - F.size("stay")).cast("long").alias("removed_lines"),
+    )
+
+
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
     return line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select(
         "doc_id", "n_lines", "n_chunks", "removed_chunks", "removed_lines", F.sha2("text", 256).alias("kept_sha256")

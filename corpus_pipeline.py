@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofact.llm.language import held_out, predict, train
-from chronofact.llm.line_dedup import line_dedup
+from chronofact.llm.line_dedup import run_dedup
 from chronofact.llm.mixing import mix
 from chronofact.llm.near_dedup import near_dedup
 from chronofact.llm.packing import pack
@@ -27,8 +27,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later copies of repeated line chunks; a document of which nothing remains goes."""
-    cut = line_dedup(docs).where((F.col("removed_chunks") == 0) | (F.trim("text") != ""))
+    """Texts without later copies of runs of two lines or more; a document of which nothing remains goes."""
+    cut = run_dedup(docs).where((F.col("removed_lines") == 0) | (F.trim("text") != ""))
     lengths = {"n_chars": F.length("text").cast("long")} if "n_chars" in docs.columns else {}
     return cut.withColumns(lengths).select(*docs.columns)
 

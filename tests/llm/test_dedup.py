@@ -167,6 +167,35 @@ def test_line_dedup_odd_cases(spark):
     assert len({x for x in by if x[0] == 1}) == 1 and next(x[2] for x in by if x[0] == 1) > 0
 
 
+def run_brute(rows, least=2):
+    seen, out = set(), {}
+    for i, t in sorted(rows, key=lambda r: r[0]):
+        lines, gone = (t or "").split("\n"), set()
+        for k in range(len(lines) - least + 1):
+            run = tuple(lines[k : k + least])
+            gone |= set(range(k, k + least)) if run in seen else set()
+            seen.add(run)
+        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone) if gone else t
+    return out
+
+
+def test_run_dedup_leaves_nothing_of_copies_and_equals_brute_force(spark):
+    rng = random.Random(9)
+    lines = [f"line {k}" for k in range(60)]
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 12)))) for i in range(80)]
+    page = "\n".join(f"own {k}" for k in range(60))
+    rows += [(100, page), (101, page), (102, "head\n" + page[6:] + "\ntail"), (103, page.replace("own 30", "new")), (200, None), (201, ""), (202, "\n\n\n"), (203, "\n" * 5000)]
+    df = spark.createDataFrame(rows, DOCS).withColumns({"no": F.lit(1), "gone": F.lit("g"), "fp": F.lit(2), "id": F.lit("i")})
+    out = L.run_dedup(df)
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert got == run_brute(rows)
+    assert (got[100], got[101], got[102], got[103], got[200]) == (page, "", "head\ntail", "new", None)
+    assert out.columns[:6] == df.columns
+    twice = L.run_dedup(spark.createDataFrame([(1, page), (1, page), (None, page), (None, None)], DOCS)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in twice if r.text is not None) == [("1", ""), ("1", ""), ("None", page)]
+    assert L.run_dedup(df.limit(0)).count() == 0
+
+
 def suffix_brute(texts, length, keep):
     where, out = {}, []
     for i, t in enumerate(texts):

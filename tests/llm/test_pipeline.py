@@ -60,3 +60,9 @@ def test_pipeline_of_nothing(spark):
     for _, stage in P.STAGES:
         docs = materialize(stage(spark, docs, ""), "t")
     assert docs.count() == 0
+
+
+def test_line_stage_leaves_nothing_of_a_copy(spark):
+    page = "\n".join(f"line {k} of the page" for k in range(60))
+    docs = spark.createDataFrame([(1, page, "en", "s", 1), (2, page, "en", "s", 1)], SCHEMA)
+    assert [(r.doc_id, r.text) for r in P.line_stage(spark, docs, "").collect()] == [(1, page)]
