@@ -1,5 +1,6 @@
 """The corpus pipeline stage by stage, each judged on its own input."""
 
+import base64
 import random
 import re
 
@@ -66,3 +67,25 @@ def test_line_stage_leaves_nothing_of_a_copy(spark):
     page = "\n".join(f"line {k} of the page" for k in range(60))
     docs = spark.createDataFrame([(1, page, "en", "s", 1), (2, page, "en", "s", 1)], SCHEMA)
     assert [(r.doc_id, r.text) for r in P.line_stage(spark, docs, "").collect()] == [(1, page)]
+
+
+def test_language_stage_rejects_what_is_in_no_learned_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    odd = [
+        "Быстрая коричневая лиса прыгает через ленивую собаку и бежит домой в лес",
+        "我们今天去公园散步然后回家吃饭看书睡觉",
+        "ذهب الولد إلى المدرسة في الصباح الباكر مع أصدقائه",
+        "Wczoraj poszedłem do sklepu, żeby kupić chleb i mleko, ale było już zamknięte",
+        "Eilen kävin kaupassa ostamassa leipää ja maitoa, mutta se oli jo suljettu",
+        base64.b64encode(random.Random(1).randbytes(60)).decode(),
+        base64.b64encode(random.Random(2).randbytes(3000)).decode(),
+        random.Random(3).randbytes(200).hex(),
+        "a" * 500,
+    ]
+    more = spark.createDataFrame([(-1 - i, t, None, "s0", len(t)) for i, t in enumerate(odd)], SCHEMA)
+    kept = {r.doc_id for r in P.language_stage(spark, docs.select(*more.columns).union(more), "").select("doc_id").collect()}
+    assert not [t for i, t in enumerate(odd) if -1 - i in kept]
+    clean = {r.doc_id: r.text for r in docs.where("text rlike '[A-Za-z]'").collect()}
+    lost = [t for i, t in clean.items() if i not in kept]
+    assert len(lost) <= 0.005 * len(clean)
+    assert {i for i, t in clean.items() if 20 <= len(t) <= 60 and re.fullmatch(r"[\w .,]+", t)} <= kept
