@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronofact.session import global_rank
+from chronofact.session import ROW, global_rank, keyed
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -48,6 +48,7 @@ def systematic_sample(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    key_col: str | None = None,
 ) -> DataFrame:
     """Copies of each document in the mix: id_col, source, size, source_size, target, rate, copies, taken.
 
@@ -55,14 +56,14 @@ def systematic_sample(
     size, expected copies are summed along that order, one offset drawn from the seed and the source is added, and a
     document is emitted once for each integer its stretch crosses. Neighbours being of nearly equal size, a source's
     taken words miss the target by no more than about its longest document. The order is (size, id), so reruns agree;
-    rows equal in both are interchangeable. The prefix sum is rate * rank, with ranks from a range partitioning, so
+    rows equal in both are interchangeable. A column ``key_col``, where given, is carried along. The prefix sum is rate * rank, with ranks from a range partitioning, so
     a source with a third of all rows is cut over many tasks.
 
     Null and empty texts have size 0 and take no words; null sources are one source, the last. An empty table gives an
     empty result; other columns are ignored.
     """
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    ranked = global_rank(slim, ["source"], ["size", "doc_id"])
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *([F.col(key_col)] if key_col else []))
+    ranked = global_rank(slim, ["source"], ["size", "doc_id", *([key_col] if key_col else [])])
     sizes = ranked.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, most)
     name = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
@@ -73,20 +74,21 @@ def systematic_sample(
     return (
         ranked.join(t, F.col("source").eqNullSafe(F.col("_source")))
         .withColumn("copies", crossed.cast("long"))
-        .select(F.col("doc_id").alias(id_col), "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        .select(F.col("doc_id").alias(id_col), "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"), *([key_col] if key_col else []))
     )
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed rows themselves, with docs' columns: each document as often as the sample takes it.
+    """The mixed rows themselves, with docs' columns: each row as often as the sample takes it.
 
-    Documents are joined to their copies by id, so ids must be unique here; rows of null id match no copies and go.
+    Rows get keys of their own, written before use, so null and repeated ids are rows like others.
     """
-    taken = systematic_sample(docs, **options).where("copies > 0").select(F.col(options.get("id_col", "doc_id")).alias("_id"), F.col("copies").cast("int").alias("_copies"))
+    rows = keyed(docs)
+    taken = systematic_sample(rows, **options, key_col=ROW).where("copies > 0").select(F.col(ROW).alias("_row"), F.col("copies").cast("int").alias("_copies"))
     return (
-        docs.join(taken, docs[options.get("id_col", "doc_id")] == taken["_id"])
+        rows.join(taken, F.col(ROW) == F.col("_row"))
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .select(*[docs[c] for c in docs.columns])
+        .select(*[rows[c] for c in docs.columns])
     )
 
 

@@ -34,6 +34,15 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: The column of ``keyed``.
+ROW = "_row_key"
+
+
+def keyed(df: DataFrame) -> DataFrame:
+    """df, written, with a column ROW that no two rows share: written, so that every later read sees the same keys."""
+    return materialize(df.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -14,7 +14,7 @@ from chronofact.llm.line_dedup import run_dedup
 from chronofact.llm.mixing import mix
 from chronofact.llm.near_dedup import near_dedup
 from chronofact.llm.packing import pack
-from chronofact.session import materialize, table
+from chronofact.session import ROW, keyed, materialize, table
 
 #: Under this lead no language fits: the best output hardly exceeds the others. See the README for what lies on each side.
 LEAST_LEAD = 0.33
@@ -34,9 +34,13 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one of smallest id."""
-    stay = near_dedup(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """One row of each near-duplicate group, the one of smallest id, null ids last; of equal ids any one row."""
+    rows = keyed(docs)
+    found = near_dedup(rows, id_col=ROW).select(F.col(ROW).alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    named = rows.select(F.col(ROW).alias("_own"), "doc_id").join(found, F.col("_own") == F.col("_row"))
+    stay = named.groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first._row").alias("_row"))
+    return rows.join(stay, F.col(ROW) == F.col("_row"), "left_semi").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -89,3 +89,20 @@ def test_language_stage_rejects_what_is_in_no_learned_language(spark):
     lost = [t for i, t in clean.items() if i not in kept]
     assert len(lost) <= 0.005 * len(clean)
     assert {i for i, t in clean.items() if 20 <= len(t) <= 60 and re.fullmatch(r"[\w .,]+", t)} <= kept
+
+
+def test_near_and_mixing_stages_take_null_and_repeated_ids_as_rows(spark):
+    rng = random.Random(3)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(None, a), (None, a), (None, a + " end"), (None, b), (7, c), (7, c), (7, d), (9, d), (8, e), (7, e), (3, b)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    near = P.near_stage(spark, docs, "")
+    kept = [(r.doc_id, r.text) for r in near.collect()]
+    assert len(kept) == 5 and {(3, b), (7, c), (7, d), (7, e)} <= set(kept)
+    assert [t in (a, a + " end") for i, t in kept if i is None] == [True]
+    rows = [(None, text()) for _ in range(40)] + [(5, text()) for _ in range(40)] + [(100 + i, text()) for i in range(40)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    mixed = P.mixing_stage(spark, docs, "")
+    # One source: its target is its size, so each row is taken once.
+    assert mixed.columns == docs.columns and sorted(r.text for r in mixed.collect()) == sorted(t for _, t in rows)
