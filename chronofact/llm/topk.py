@@ -42,7 +42,7 @@ def max_score(queries: np.ndarray, ids: np.ndarray, columns: np.ndarray, k: int,
         floor = -np.inf
         if len(seed) >= k:
             floor = np.partition(w @ columns[:, seed], len(seed) - k)[len(seed) - k]
-        essential = max(1, int(np.searchsorted(-left, -floor, side="left"))) if floor > 0 else len(terms)
+        essential = max(1, int(np.searchsorted(-left, -floor, side="right"))) if floor > 0 else len(terms)
         main = terms[:essential]
         part = w[main] @ columns[main]
         if essential < len(terms):

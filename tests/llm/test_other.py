@@ -194,6 +194,12 @@ def test_topk_equals_brute_force(spark, n, k, kind):
     assert got == topk_brute(rows, k, 4)
 
 
+def test_topk_keeps_ties_that_no_essential_term_helps(spark):
+    rows = [(i, [0.0, 1.0]) for i in range(100)] + [(i, [1.0, 0.0]) for i in range(100, 200)] + [(1000, [1.0, 1.0])]
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") == 1000).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in found] == [(i, 4096) for i in range(20)] == topk_brute(rows, 20, 1000)[1000]
+
+
 def test_topk_of_nothing(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
 
