@@ -52,12 +52,12 @@ class Damaged(Exception):
 
 
 def parse(data: bytes, at: int) -> tuple[dict, bytes, int]:
-    """Headers, block and end of the record whose version line stands at ``at``."""
+    """Headers, block and end of the record whose version line stands at ``at``; its header ends before the next one."""
     m = VERSION.match(data, at)
     if not m:
         raise Damaged("no version line")
     end = data.find(b"\r\n\r\n", m.end() - 2)
-    if end < 0 or end - at > 1 << 16:
+    if end < 0 or VERSION.search(data, m.end(), end):
         raise Damaged("header does not end")
     lines = data[m.end() : end].decode("utf-8", "replace").split("\r\n")
     head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines if ":" in x)}
@@ -190,17 +190,20 @@ def read_archives(files: DataFrame, most: int = 1 << 30) -> DataFrame:
     Columns: file, kind (record or gap), start and end in the file, reason of a gap, and of a record warc_type,
     record_id, refers_to_id, target_uri, payload_digest, payload_bytes, payload. For a response they are measured on
     the payload read; for a revisit they are those its header states. An empty or wholly damaged file gives no
-    record, and the latter one gap.
+    record, and the latter one gap. Where files has a column records, as ``archives`` with counted gives it, reading
+    fails for a file that does not hold so many.
     """
+    counted = "records" in files.columns
     strip = lambda x: None if x is None else x.strip("<>")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                file, rows, held = b.column(0)[i].as_py(), [], 0
+                file, rows, held, read = b.column(0)[i].as_py(), [], 0, 0
                 for kind, start, end, why, head, block in salvage(b.column(1)[i].as_py() or b"", most):
                     row = [file, kind, start, end, why]
                     if kind == "record":
+                        read += 1
                         body, stated = payload_of(block)
                         revisit = head.get("warc-type") == "revisit"
                         digest = head.get("warc-payload-digest", "").removeprefix("sha1:") if revisit else b32sha1(body)
@@ -212,28 +215,39 @@ def read_archives(files: DataFrame, most: int = 1 << 30) -> DataFrame:
                         rows, held = [], 0
                 if rows:
                     yield batch(rows)
+                if counted and read != b.column(2)[i].as_py():
+                    raise ValueError(f"{file}: {read} records read, {b.column(2)[i].as_py()} written")
 
     def batch(rows: list[list]) -> pa.RecordBatch:
         kinds = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
         types = [kinds[x.split()[1]] for x in RECORD.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], NAMES)
 
-    return files.select("path", "content").mapInArrow(task, RECORD)
+    return files.select("path", "content", *(["records"] if counted else [])).mapInArrow(task, RECORD)
 
 
-def archives(manifest: DataFrame, folder: str) -> DataFrame:
-    """(path, content) of the archives that the manifest lists; what failed attempts left in the folder is not read."""
+def archives(manifest: DataFrame, folder: str, counted: bool = False) -> DataFrame:
+    """(path, content) of the archives that the manifest lists; what failed attempts left in the folder is not read.
+
+    ``counted`` adds records, the number written to each, and fails where a listed archive is not in the folder.
+    """
     if manifest.isEmpty():
-        return manifest.sparkSession.createDataFrame([], "path string, content binary")
+        return manifest.sparkSession.createDataFrame([], "path string, content binary, records long").drop(*([] if counted else ["records"]))
     found = manifest.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
     name = lambda c: F.element_at(F.split(c, "/"), -1)
-    return found.select("path", "content").join(manifest.select(name("file").alias("_name")), name("path") == F.col("_name"), "left_semi")
+    listed = manifest.select(name("file").alias("_name"), "records")
+    if not counted:
+        return found.select("path", "content").join(listed, name("path") == F.col("_name"), "left_semi")
+    there, asked = found.select("path").join(listed, name("path") == F.col("_name"), "left_semi").count(), manifest.count()
+    if there != asked:
+        raise FileNotFoundError(f"{folder}: {there} of {asked} archives")
+    return found.select("path", "content").join(listed, name("path") == F.col("_name")).select("path", "content", "records")
 
 
 def op3_warc(spark, sf_dir: str) -> DataFrame:
     """Writes all pages, then reads the archives back; page ids come from the record ids that were read."""
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    files = archives(write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder), folder)
+    files = archives(write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder), folder, counted=True)
     number = lambda c: F.expr(f"try_cast(substring({c}, length('urn:page:') + 1) AS bigint)")
     return read_archives(files).where("kind = 'record'").select(
         number("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), number("refers_to_id").alias("refers_to")

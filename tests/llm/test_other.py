@@ -85,6 +85,24 @@ def test_warc_round_trip_with_odd_pages(spark):
     assert warc.read_archives(warc.archives(warc.write_archives(none, folder + "-none"), folder + "-none")).count() == 0
 
 
+def test_warc_keeps_pages_of_long_urls_and_counts_records(spark, tmp_path):
+    long = "data:text/html," + "x" * 100_000
+    pages = spark.createDataFrame([(1, long, "<p>a</p>"), (2, "u", "<p>b</p>"), (3, long, "<p>b</p>")], "page_id long, url string, html string")
+    pages.write.parquet(f"file://{tmp_path}/pages.parquet")
+    assert sorted(r.page_id for r in warc.op3_warc(spark, f"file://{tmp_path}").collect()) == [1, 2, 3]
+    plain = zlib.decompress(warc.record_bytes("response", "urn:page:1", long, b"a", 1, "D", None), 31)
+    cut = plain[: plain.index(b"\r\n\r\n")]
+    assert [f[0] for f in warc.salvage(plain + cut + b"\r\n" + plain)] == ["record", "gap", "record"]
+    folder = f"{shared_dir(spark)}/t-warc-counts"
+    manifest = warc.write_archives(pages, folder)
+    files = warc.archives(manifest, folder, counted=True)
+    assert warc.read_archives(files).count() == 3
+    with pytest.raises(Exception, match="records read"):
+        warc.read_archives(files.withColumn("records", F.col("records") + 1)).collect()
+    with pytest.raises(FileNotFoundError):
+        warc.archives(manifest.union(manifest.withColumn("file", F.lit("x/none.warc.gz"))), folder, counted=True)
+
+
 def targets_brute(sizes, weights=(1, 2, 3)):
     names = sorted([s for s in sizes if s is not None], key=lambda s: s.encode()) + ([None] if None in sizes else [])
     w = {s: weights[i % 3] for i, s in enumerate(names)}
