@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -14,68 +17,78 @@ from pyspark.sql import functions as F
 from chronofact.llm.anchors import segments
 from chronofact.session import materialize, partitions
 
-#: Windows of one run are compared in stretches of so many, aligned to the anchor.
+#: Windows of one run of a crowded anchor are compared in stretches of so many, aligned to the anchor.
 STEP = 32
-#: Bytes looked at once.
-CHUNK = 1 << 20
+#: Bytes of text looked at once, and bytes put in one suffix order.
+CHUNK, LOT = 1 << 20, 1 << 18
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+_SPACE = frozenset(b"\x20\x09\x0a\x0b\x0c\x0d")
 
-
-def _h64(data: bytes | memoryview) -> int:
-    return xxhash.xxh3_64_intdigest(data) - (1 << 63)
+KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
+RUNS = pa.list_(pa.struct([("off", pa.int32()), ("n", pa.int32()), ("deep", pa.bool_())]))
+RUNS_DDL = "array<struct<off:int,n:int,deep:boolean>>"
 
 
 def _row_key(key: int | None, text: bytes) -> int:
     return xxhash.xxh3_64_intdigest(text, seed=0 if key is None else (key & 0xFFFFFFFF) + 1) - (1 << 63)
 
 
+def _names(parts: Iterable[tuple[bytes | memoryview, bytes]]) -> np.ndarray:
+    """128-bit BLAKE2 names of (bytes, salt), as rows of two 64-bit integers: equal names are taken as equal bytes."""
+    return np.frombuffer(bytearray().join(blake2b(x, digest_size=16, salt=salt).digest() for x, salt in parts), dtype="<i8").reshape(-1, 2)
+
+
+def _schema(ddl: str) -> pa.Schema:
+    return pa.schema([(n, KINDS[t]) for n, t in (x.split() for x in ddl.split(", "))])
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     cols = zip(*rows, strict=True) if rows else [[]] * len(schema)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
 
 
-def _schema(ddl: str) -> pa.Schema:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_(), "string": pa.string()}
-    return pa.schema([(n, kinds[t]) for n, t in (x.split() for x in ddl.split(", "))])
-
+OCC = "id long, rk long, start long, n int, at int, anchor long, na long, nb long"
 
-OCC = "id long, rk long, start long, n int, at int, anchor long, seg long"
 
+def occurrences(docs: DataFrame, floor: int, length: int) -> DataFrame:
+    """OCC rows of (id, text): runs of windows of ``floor`` bytes by anchor.
 
-def occurrences(docs: DataFrame, length: int) -> DataFrame:
-    """(id, rk, start, n, at, anchor, seg) of (id, text): runs of windows by anchor; seg is a hash of a run's bytes."""
+    A run's bytes reach ``length`` bytes from its last window's start, or to the text's end; (na, nb) names them.
+    """
     schema = _schema(OCC)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []  # id, row key, place in text, bytes
+        group: list[tuple] = []  # id, row key, place in text, length of the part, text
         size = 0
 
         def done() -> pa.RecordBatch:
-            data = b"".join(x[3] for x in group)
-            ends = np.cumsum([len(x[3]) for x in group])
+            data = b"".join(x[4][x[2] : x[2] + x[3]] for x in group)
+            ends = np.cumsum([x[3] for x in group])
             starts = np.append(0, ends[:-1])
-            first, count, at, anchor = segments(data, starts, ends, length)
-            view = memoryview(data)
-            seg = [_h64(view[a : a + c + length - 1]) for a, c in zip(first.tolist(), count.tolist(), strict=True)]
+            first, count, at, anchor = segments(data, starts, ends, floor)
             of = np.searchsorted(ends, first, side="right")
+            start = first - starts[of] + np.array([x[2] for x in group], dtype=np.int64)[of]
+            views = [memoryview(x[4]) for x in group]
+            salts = np.stack([count, at - first], axis=1).astype("<i8")
+            named = _names((views[i][s : s + n + length - 1], salt.tobytes()) for i, s, n, salt in zip(of.tolist(), start.tolist(), count.tolist(), salts, strict=True))
             ids = pa.array([x[0] for x in group], pa.int64()).take(pa.array(of))
             keys = np.array([x[1] for x in group], dtype=np.int64)[of]
-            start = first - starts[of] + np.array([x[2] for x in group], dtype=np.int64)[of]
-            cols = [ids, keys, start, count.astype(np.int32), (at - first).astype(np.int32), anchor.view(np.int64), np.array(seg, dtype=np.int64)]
+            cols = [ids, keys, start, count.astype(np.int32), (at - first).astype(np.int32), anchor.view(np.int64), *np.ascontiguousarray(named.T)]
             return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], schema=schema)
 
         for b in batches:
             for key, value in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True):
                 text = value.as_py() or b""
-                if len(text) < length:
+                if len(text) < floor:
                     continue
                 row = _row_key(key, text)
-                for at in range(0, len(text) - length + 1, CHUNK):
-                    part = text[at : at + CHUNK + length - 1]
-                    if group and size + len(part) > CHUNK:
+                for at in range(0, len(text) - floor + 1, CHUNK):
+                    part = min(len(text) - at, CHUNK + floor - 1)
+                    if group and size + part > CHUNK:
                         yield done()
                         group, size = [], 0
-                    group.append((key, row, at, part))
-                    size += len(part)
+                    group.append((key, row, at, part, text))
+                    size += part
         if group:
             yield done()
 
@@ -99,7 +112,7 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(task, ddl)
 
 
-SEGMENT = "anchor long, seg long, at int, n int, many boolean, id long, rk long, start long, bytes binary"
+SEGMENT = "anchor long, na long, nb long, other boolean, n int, at int, c long, crowded boolean, id long, rk long, start long, bytes binary"
 
 
 def segment_bytes(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -109,174 +122,276 @@ def segment_bytes(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = zstandard.ZstdDecompressor()
         for b in batches:
-            rows = []
+            rows, held = [], 0
             for key, row, z, runs in zip(*(b.column(i) for i in range(4)), strict=True):
-                text = reader.decompress(z.as_py())
+                text, key, row = reader.decompress(z.as_py()), key.as_py(), row.as_py()
                 for r in runs.as_py():
-                    rows.append((r["anchor"], r["seg"], r["at"], r["n"], r["many"], key.as_py(), row.as_py(), r["start"], text[r["start"] : r["start"] + r["n"] + length - 1]))
-                if len(rows) > 4096:
-                    yield _batch(rows, schema)
-                    rows = []
+                    rows.append((*(r[c] for c in ("anchor", "na", "nb", "other", "n", "at", "c", "crowded")), key, row, r["start"], text[r["start"] : r["start"] + r["n"] + length - 1]))
+                    held += len(rows[-1][-1])
+                    if held > 4 << 20:
+                        yield _batch(rows, schema)
+                        rows, held = [], 0
             yield _batch(rows, schema)
 
-    runs = wanted.groupBy(F.col("id").alias("wid"), F.col("rk").alias("wrk")).agg(F.collect_list(F.struct("anchor", "seg", "at", "n", "many", "start")).alias("runs"))
+    kept = ["anchor", "na", "nb", "other", "n", "at", "c", "crowded", "start"]
+    runs = wanted.groupBy(F.col("id").alias("wid"), F.col("rk").alias("wrk")).agg(F.collect_list(F.struct(*kept)).alias("runs"))
     joined = texts.join(runs, (F.col("rk") == F.col("wrk")) & F.col("id").eqNullSafe(F.col("wid")))
     return joined.select("id", "rk", "z", "runs").mapInArrow(task, SEGMENT)
 
 
-STRETCH = "anchor long, seg long, sub int, lead int, off int, m int, core long, whole long, many boolean, id long, rk long, start long"
+def common_prefixes(data: bytes, starts: np.ndarray, sizes: np.ndarray, depth: int) -> np.ndarray:
+    """lcp[i]: how many bytes the suffixes at starts[i - 1] and starts[i] share, of at most ``depth`` and their sizes."""
+    wide = -(-depth // 8) * 8
+    raw = np.frombuffer(data + bytes(wide), dtype=np.uint8)
+    rows = np.lib.stride_tricks.sliding_window_view(raw, wide)
+    lcp = np.zeros(len(starts), dtype=np.int64)
+    for at in range(1, len(starts), 4096):
+        part = rows[starts[at - 1 : at + 4096]]
+        differ = part[:-1].view(np.uint64) != part[1:].view(np.uint64)
+        word = np.where(differ.any(axis=1), differ.argmax(axis=1), wide // 8 - 1)
+        row = np.arange(len(word))[:, None]
+        inside = word[:, None] * 8 + np.arange(8)
+        byte = part[:-1][row, inside] != part[1:][row, inside]
+        lcp[at : at + len(word)] = word * 8 + np.where(byte.any(axis=1), byte.argmax(axis=1), 8)
+    lcp[1:] = np.minimum(lcp[1:], np.minimum(sizes[:-1], sizes[1:]))
+    return np.minimum(lcp, depth)
+
+
+def nearest_smaller(place: np.ndarray, lcp: np.ndarray, floor: int) -> np.ndarray:
+    """For each row of a suffix order, the bytes shared with the nearest row before it of a smaller place, 0 under ``floor``.
+
+    lcp[i] is what rows i - 1 and i share. A row points at the row before it, and while that has a larger place, on to
+    where that one points: what lies between has larger places still. What is shared is the least lcp passed.
+    """
+    at, low = np.arange(len(place)) - 1, lcp.copy()
+    low[:1] = 0
+    wait = np.flatnonzero((at >= 0) & (low >= floor))
+    wait = wait[place[at[wait]] > place[wait]]
+    while len(wait):
+        on = at[wait]
+        low[wait], at[wait] = np.minimum(low[wait], low[on]), at[on]
+        wait = wait[(at[wait] >= 0) & (low[wait] >= floor)]
+        wait = wait[place[at[wait]] > place[wait]]
+    return np.where((at >= 0) & (low >= floor), low, 0)
+
+
+def previous_factors(data: bytes, starts: np.ndarray, sizes: np.ndarray, floor: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(previous, next): for each suffix of data, given in order of place, the longest match with an earlier and a later one.
+
+    Suffixes, of ``depth`` bytes at most, are put in lexicographic order; neighbours' common prefixes are measured on
+    the bytes. The longest previous factor is the larger of what a suffix shares with the nearest rows before and
+    behind it, in suffix order, that have smaller places (previous and next smaller values); with larger places, it
+    is the longest next factor. Factors under ``floor`` bytes read 0.
+    """
+    stops = starts + np.minimum(sizes, depth)
+    keys = [data[s:e] for s, e in zip(starts.tolist(), stops.tolist(), strict=True)]
+    order = np.array(sorted(range(len(keys)), key=keys.__getitem__), dtype=np.int64)
+    lcp = common_prefixes(data, starts[order], np.minimum(sizes, depth)[order], depth)
+    back = np.append(0, lcp[:0:-1])  # the same order read from its end
+    out = []
+    for place in (order, -order):
+        factor = np.maximum(nearest_smaller(place, lcp, floor), nearest_smaller(place[::-1], back, floor)[::-1])
+        by_place = np.empty(len(order), dtype=np.int64)
+        by_place[order] = factor
+        out.append(by_place)
+    return out[0], out[1]
+
+
+FOUND = f"anchor long, na long, nb long, hid long, hrk long, hstart long, first {RUNS_DDL}, other {RUNS_DDL}"
+FOUND_SCHEMA = pa.schema([*((x, pa.int64()) for x in ("anchor", "na", "nb", "hid", "hrk", "hstart")), ("first", RUNS), ("other", RUNS)])
+
+
+def _found(factor: np.ndarray, of: np.ndarray, inner: np.ndarray, entries: int, floor: int, length: int) -> pa.ListArray:
+    """The runs of windows of each entry with a factor of ``floor`` bytes or more; deep ones reach ``length``."""
+    state = (factor >= floor).astype(np.int8) + (factor >= length)
+    edge = np.flatnonzero(np.append(True, (state[1:] != state[:-1]) | (of[1:] != of[:-1])))
+    size = np.diff(np.append(edge, len(state)))
+    edge, size = edge[state[edge] > 0], size[state[edge] > 0]
+    offsets = np.searchsorted(of[edge], np.arange(entries + 1))
+    cols = [pa.array(inner[edge].astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(state[edge] == 2)]
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.StructArray.from_arrays(cols, fields=list(RUNS.value_type)))
+
+
+def suffix_order(runs: DataFrame, floor: int, length: int, keep: str) -> DataFrame:
+    """FOUND rows: of each run, the windows that match, at its first place and at its others.
+
+    Runs of one anchor are kept whole in a partition and read in order, whole anchors at a time. Each lot is one text
+    whose suffixes at window starts are put in suffix order; a run that occurs more than once stands in it at its
+    first and its last place, and what holds for the last holds for all places but the first.
+    """
+
+    def lot(table: pa.Table) -> pa.RecordBatch:
+        parts = [x.as_py() for x in table["bytes"].combine_chunks()]
+        size = np.array([len(x) for x in parts])
+        m = table["n"].to_numpy()
+        ids, rk, start = table["id"].combine_chunks(), table["rk"].to_numpy(), table["start"].to_numpy()
+        by = np.lexsort((start, rk, ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False)))
+        begin = np.append(0, np.cumsum(size[by])[:-1])
+        of = np.repeat(np.arange(len(by)), m[by])
+        inner = np.arange(len(of)) - np.repeat(np.cumsum(m[by]) - m[by], m[by])
+        before, after = previous_factors(b"".join(parts[i] for i in by), begin[of] + inner, size[by][of] - inner, floor, length)
+        matched = _found(before if keep == "first" else np.maximum(before, after), of, inner, len(by), floor, length)
+        where = np.empty(len(by), dtype=np.int64)
+        where[by] = np.arange(len(by))
+        other = table["other"].to_numpy()
+        head = np.flatnonzero(~other)
+        nexts = np.minimum(head + 1, len(other) - 1)
+        has = other[nexts] & (nexts > head)
+        firsts, others = matched.take(pa.array(where[head])), matched.take(pa.array(where[nexts], mask=~has))
+        some = (pc.list_value_length(firsts).to_numpy() > 0) | (pc.list_value_length(others).fill_null(0).to_numpy() > 0)
+        heads = table.select(["anchor", "na", "nb", "id", "rk", "start"]).take(pa.array(head)).combine_chunks()
+        cols = [*(c.combine_chunks() for c in heads.columns), firsts, others]
+        return pa.RecordBatch.from_arrays(cols, schema=FOUND_SCHEMA).filter(pa.array(some))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            anchor = b.column(0).to_numpy()
+            total = np.append(0, np.cumsum(pc.binary_length(b.column(8)).to_numpy(), dtype=np.int64))
+            fresh = np.flatnonzero(np.append(bool(held) and held[-1].column(0)[-1].as_py() != anchor[0], anchor[1:] != anchor[:-1]))
+            at = 0
+            for e in fresh.tolist():  # rows from e on have another anchor
+                if size + total[e] - total[at] >= LOT:
+                    yield lot(pa.Table.from_batches([*held, b.slice(at, e - at)]))
+                    held, size, at = [], 0, e
+            held.append(b.slice(at))
+            size += int(total[-1] - total[at])
+        if held:
+            yield lot(pa.Table.from_batches(held))
+
+    slim = runs.select("anchor", "na", "nb", "other", "n", "id", "rk", "start", "bytes")
+    return slim.repartition(partitions(runs.sparkSession), "anchor").sortWithinPartitions("anchor", "na", "nb", "other").mapInArrow(task, FOUND)
 
 
-def _stretches(at: int, n: int, size: int) -> Iterator[tuple[int, int, int]]:
+STRETCH = "anchor long, sub int, lead int, off int, m int, ca long, cb long, wa long, wb long, c long, na long, nb long, id long, rk long, start long"
+
+
+def _stretches(at: int, n: int) -> Iterator[tuple[int, int, int]]:
     """(sub, first window, windows) of a run: windows whose distance to the anchor is sub * STEP .. sub * STEP + STEP - 1."""
     w = 0
     while w < n:
-        sub = (at - w) // STEP
         m = min(n - w, (at - w) % STEP + 1)
-        yield sub, w, m
+        yield (at - w) // STEP, w, m
         w += m
 
 
-def stretches(runs: DataFrame, length: int) -> DataFrame:
-    """STRETCH rows: each run's stretches with a hash of the bytes that all windows of a full stretch share (core) and
-    one of the stretch's own bytes (whole). Windows equal in bytes have equal anchor, sub and core."""
+def stretches(runs: DataFrame, window: int) -> DataFrame:
+    """STRETCH rows of runs: a name of the bytes that all windows of a full stretch share (ca, cb) and one of the
+    stretch's own bytes (wa, wb). Windows equal in bytes have equal anchor, sub and core."""
     schema = _schema(STRETCH)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
+            rows, parts = [], []
             for r in b.to_pylist():
                 data = memoryview(r["bytes"])
-                for sub, w, m in _stretches(r["at"], r["n"], length):
+                for sub, w, m in _stretches(r["at"], min(r["n"], len(data) - window + 1)):
                     begin = r["at"] - sub * STEP  # where the last window of a full stretch starts
-                    core = data[begin : begin - STEP + 1 + length]
-                    lead = r["at"] - w - sub * STEP  # distance of the first window here, in the stretch
-                    rows.append((r["anchor"], r["seg"], sub, lead, w, m, _h64(core), _h64(data[w : w + m - 1 + length]), r["many"], r["id"], r["rk"], r["start"]))
-                if len(rows) > 8192:
-                    yield _batch(rows, schema)
-                    rows = []
-            yield _batch(rows, schema)
-
-    return runs.mapInArrow(task, STRETCH)
-
-
-def previous_factors(data: bytes, starts: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each suffix of data at starts, whether its longest previous and longest next factors reach ``length`` bytes.
+                    parts += [(data[begin : begin - STEP + 1 + window], b""), (data[w : w + m - 1 + window], b"")]
+                    rows.append((r["anchor"], sub, r["at"] - w - sub * STEP, w, m, r["c"], r["na"], r["nb"], r["id"], r["rk"], r["start"]))
+            named = _names(parts).reshape(-1, 4).T
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 11
+            cols = [*cols[:5], *np.ascontiguousarray(named), *cols[5:]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
 
-    The suffixes are sorted by their first ``length`` bytes, equal ones by place. In that order the previous smaller
-    and the next larger place of a suffix with a common prefix that long are its neighbours inside its run of equals,
-    so the factors reach ``length`` where such a neighbour exists. Suffixes of one place are one occurrence.
-    """
-    rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, dtype=np.uint8), length)[starts])
-    prefix = rows.view(np.dtype((np.void, length))).ravel()
-    by_place = np.argsort(place, kind="stable")
-    order = by_place[np.argsort(prefix[by_place], kind="stable")]
-    same = (rows[order[1:]] == rows[order[:-1]]).all(axis=1) & (place[order[1:]] != place[order[:-1]])
-    before, after = np.zeros(len(starts), dtype=bool), np.zeros(len(starts), dtype=bool)
-    before[order[1:]], after[order[:-1]] = same, same
-    return before, after
+    return runs.select("anchor", "na", "nb", "n", "at", "c", "id", "rk", "start", "bytes").mapInArrow(task, STRETCH)
 
 
-LEAF = "anchor long, sub int, core long, whole long, k long, lead int, m int, id long, rk long, start long, bytes binary"
-BITS = "anchor long, sub int, core long, whole long, before long, after long"
+WINDOW = "anchor long, sub int, ca long, cb long, wa long, wb long, d int, ha long, hb long, id long, rk long, start long"
 
 
-def _leaf_rows(runs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """LEAF rows: the bytes of the stretches in question."""
-    schema = _schema(LEAF)
+def _windows(runs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
+    """WINDOW rows: a name of each window of the stretches in question, d its distance to the anchor in the stretch."""
+    schema = _schema(WINDOW)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
             for r in b.to_pylist():
+                rows, parts, data = [], [], memoryview(r["bytes"])
                 for x in r["parts"]:
-                    rows.append((r["anchor"], x["sub"], x["core"], x["whole"], x["k"], x["lead"], x["m"], r["id"], r["rk"], r["start"], r["bytes"][x["off"] : x["off"] + x["m"] - 1 + length]))
-                if len(rows) > 4096:
-                    yield _batch(rows, schema)
-                    rows = []
-            yield _batch(rows, schema)
-
-    parts = wanted.groupBy(F.col("anchor").alias("wa"), F.col("seg").alias("ws")).agg(F.collect_list(F.struct("sub", "core", "whole", "k", "lead", "off", "m")).alias("parts"))
-    return runs.join(parts, (F.col("anchor") == F.col("wa")) & (F.col("seg") == F.col("ws"))).select("anchor", "id", "rk", "start", "bytes", "parts").mapInArrow(task, LEAF)
-
-
-def suffix_bits(leaves: DataFrame, length: int) -> DataFrame:
-    """BITS rows: of each stretch, the windows with an earlier and with a later equal, as bits of their distance.
-
-    Groups (anchor, sub, core) are kept whole in a partition and read in order, some at a time; each lot is one text
-    whose suffixes at window starts are put in suffix order.
+                    for w in range(x["m"]):
+                        parts.append((data[x["off"] + w : x["off"] + w + window], b""))
+                        rows.append((r["anchor"], x["sub"], x["ca"], x["cb"], x["wa"], x["wb"], x["lead"] - w, r["id"], r["rk"], r["start"]))
+                cols = list(zip(*rows, strict=True))
+                cols = [*cols[:7], *np.ascontiguousarray(_names(parts).T), *cols[7:]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
+
+    name = [F.col(c).alias(f"w_{c}") for c in ("anchor", "na", "nb")]
+    parts = wanted.groupBy(*name).agg(F.collect_list(F.struct("sub", "ca", "cb", "wa", "wb", "lead", "off", "m")).alias("parts"))
+    on = (F.col("anchor") == F.col("w_anchor")) & (F.col("na") == F.col("w_na")) & (F.col("nb") == F.col("w_nb"))
+    return runs.join(parts, on).select("anchor", "id", "rk", "start", "bytes", "parts").mapInArrow(task, WINDOW)
+
+
+def crowd_order(runs: DataFrame, window: int, deep: bool, keep: str) -> DataFrame:
+    """FOUND rows for runs of anchors with too many variants for one task: the same windows, ordered by Spark.
+
+    Windows of equal bytes have equal distances to the anchor, so runs are cut into stretches of 32 windows aligned to
+    it; a stretch whose common core is unique cannot match, one whose bytes repeat matches whole. The windows of the
+    stretches left are grouped by name; their least and greatest place tell where an earlier and a later equal exists.
+    Every grouping is summed before its shuffle, so no group meets in one task.
     """
-    schema = _schema(BITS)
-
-    def lot(rows: list[dict]) -> pa.RecordBatch:
-        data = b"".join(r["bytes"] for r in rows)
-        begin = np.cumsum([0, *(len(r["bytes"]) for r in rows[:-1])])
-        m = np.array([r["m"] for r in rows])
-        of = np.repeat(np.arange(len(rows)), m)
-        inner = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
-        # Windows of different groups may hold equal bytes only if their anchors' hashes collide, and that is a match too.
-        order = sorted(range(len(rows)), key=lambda i: (rows[i]["id"] is not None, rows[i]["id"] or 0, rows[i]["rk"], rows[i]["start"]))
-        rank = np.empty(len(rows), dtype=np.int64)
-        rank[order] = np.arange(len(rows))
-        before, after = previous_factors(data, begin[of] + inner, rank[of], length)
-        bit = np.left_shift(np.int64(1), np.array([r["lead"] for r in rows])[of] - inner)
-        sums = [np.bincount(of, weights=np.where(x, bit, 0).astype(np.float64), minlength=len(rows)).astype(np.int64) for x in (before, after)]
-        return _batch([(r["anchor"], r["sub"], r["core"], r["whole"], int(x), int(y)) for r, x, y in zip(rows, *sums, strict=True) if x or y], schema)
+    parts = materialize(stretches(runs, window), "stretches")
+    core = ["anchor", "sub", "ca", "cb"]
+    key = [*core, "wa", "wb"]
+    head = F.min(F.struct("id", "rk", "start", "na", "nb", "lead", "off", "m")).alias("head")
+    wholes = materialize(parts.groupBy(*key).agg(F.sum("c").alias("f"), head), "wholes")
+    cores = materialize(wholes.groupBy(*core).agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "cores")
+    open_ = wholes.join(cores, core).select(*key, "head.na", "head.nb", "head.lead", "head.off", "head.m")
+    windows = materialize(_windows(runs, open_, window), "windows")
+    place = F.struct("id", "rk", "start")
+    same = [*core, "d", "ha", "hb"]
+    groups = materialize(windows.groupBy(*same).agg(F.min(place).alias("least"), F.max(place).alias("most")).where("NOT (least <=> most)"), "groups")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("d"))
+    flags = windows.join(groups, same).groupBy(*key).agg(
+        F.sum(F.when(~place.eqNullSafe(F.col("least")), bit).otherwise(0)).alias("before"),
+        F.sum(F.when(~place.eqNullSafe(F.col("most")), bit).otherwise(0)).alias("after"),
+    )
+    bits = materialize(wholes.join(flags, key, "left").select(*key, "f", "head", "before", "after"), "bits")
+    own = F.struct(F.col("id"), F.col("rk"), F.col("start")).eqNullSafe(F.struct(F.col("head.id"), F.col("head.rk"), F.col("head.start")))
+    every = F.lit(-1).cast("long")
+    if keep == "first":
+        mine = F.when(~own, every).otherwise(F.coalesce("before", F.lit(0)))
+    else:
+        mine = F.when(F.col("f") > 1, every).otherwise(F.coalesce(F.col("before").bitwiseOR(F.col("after")), F.lit(0)))
+    marked = parts.join(bits, key).select("anchor", "na", "nb", "id", "rk", "start", "off", "m", "lead", "c", mine.alias("bits"))
+    lists = marked.groupBy("anchor", "na", "nb", "id", "rk", "start").agg(F.max("c").alias("c"), F.collect_list(F.struct("off", "m", "lead", "bits")).alias("parts"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[dict] = []
         for b in batches:
+            rows = []
             for r in b.to_pylist():
-                if len(rows) >= 1024 and any(r[c] != rows[-1][c] for c in ("anchor", "sub", "core")):
-                    yield lot(rows)
-                    rows = []
-                rows.append(r)
-        if rows:
-            yield lot(rows)
-
-    keys = ["anchor", "sub", "core"]
-    return leaves.repartition(partitions(leaves.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(task, BITS)
-
+                first, other = [], []
+                for x in r["parts"]:
+                    other.append({"off": x["off"], "n": x["m"], "deep": deep})
+                    first += [{"off": x["off"] + w, "n": 1, "deep": deep} for w in range(x["m"]) if x["bits"] == -1 or x["bits"] >> (x["lead"] - w) & 1]
+                if first or r["c"] > 1:
+                    rows.append((r["anchor"], r["na"], r["nb"], r["id"], r["rk"], r["start"], first, other if r["c"] > 1 else None))
+            yield _batch(rows, FOUND_SCHEMA)
 
-def window_bits(leaves: DataFrame, length: int) -> DataFrame:
-    """BITS rows as suffix_bits gives them, for groups of any size: windows are counted by hash, not sorted together."""
-    ddl = "anchor long, sub int, core long, whole long, d int, hash long, id long, rk long, start long"
-    schema = _schema(ddl)
+    return lists.select("anchor", "na", "nb", "id", "rk", "start", "c", "parts").mapInArrow(task, FOUND)
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for r in b.to_pylist():
-                data = memoryview(r["bytes"])
-                for w in range(r["m"]):
-                    rows.append((r["anchor"], r["sub"], r["core"], r["whole"], r["lead"] - w, _h64(data[w : w + length]), r["id"], r["rk"], r["start"]))
-                if len(rows) > 8192:
-                    yield _batch(rows, schema)
-                    rows = []
-            yield _batch(rows, schema)
 
-    windows = materialize(leaves.mapInArrow(task, ddl), "windows")
-    place = F.struct("id", "rk", "start")
-    groups = windows.groupBy("anchor", "sub", "d", "hash").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("NOT (least <=> most)")
-    groups = materialize(groups, "windows")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("d"))
-    return (
-        windows.join(groups, ["anchor", "sub", "d", "hash"])
-        .groupBy("anchor", "sub", "core", "whole")
-        .agg(
-            F.sum(F.when(~place.eqNullSafe(F.col("least")), bit).otherwise(0)).alias("before"),
-            F.sum(F.when(~place.eqNullSafe(F.col("most")), bit).otherwise(0)).alias("after"),
-        )
-    )
+SPANS = "array<struct<start:long,end:long,words:long>>"
+OUT = f"id long, n_bytes long, spans {SPANS}, shared {SPANS}, kept binary"
 
 
-OUT = "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
+def _whole_words(text: bytes, start: int, end: int) -> int:
+    """Words of text that lie in start..end from their first to their last byte."""
+    n = sum(1 for _ in _WORD.finditer(text, start, end))
+    if n and start and text[start] not in _SPACE and text[start - 1] not in _SPACE:
+        n -= 1
+    if n and end < len(text) and text[end] not in _SPACE and text[end - 1] not in _SPACE:
+        n -= 1
+    return n
 
 
-def _cut(texts: DataFrame, spans: DataFrame, length: int) -> DataFrame:
-    """OUT rows: the union of the spans of each text, and what lies outside."""
-    pairs = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pairs), ("kept", pa.binary())])
+def _cut(texts: DataFrame, spans: DataFrame, floor: int, length: int) -> DataFrame:
+    """OUT rows: the union of the spans of each text, and what lies outside those of ``length`` bytes."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64())]))
+    schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("spans", kind), ("shared", kind), ("kept", pa.binary())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = zstandard.ZstdDecompressor()
@@ -284,97 +399,93 @@ def _cut(texts: DataFrame, spans: DataFrame, length: int) -> DataFrame:
             rows, held = [], 0
             for key, z, runs in zip(*(b.column(i) for i in range(3)), strict=True):
                 text = reader.decompress(z.as_py())
-                edge = np.zeros(len(text) + 1, dtype=np.int32)
+                found = []
+                edges = np.zeros((2, len(text) + 1), dtype=np.int32) if runs.is_valid else None
                 for r in runs.as_py() or []:
-                    if r["bits"] is None:
-                        edge[r["start"]] += 1
-                        edge[r["start"] + r["n"] - 1 + length] -= 1
-                    else:
-                        for w in range(r["n"]):
-                            if r["bits"] >> (r["lead"] - w) & 1:
-                                edge[r["start"] + w] += 1
-                                edge[r["start"] + w + length] -= 1
-                gone = np.cumsum(edge[:-1]) > 0
-                cut = np.flatnonzero(np.diff(gone, prepend=False, append=False)).tolist()
-                found = [{"start": s, "end": e} for s, e in zip(cut[::2], cut[1::2], strict=True)]
-                kept = np.frombuffer(text, dtype=np.uint8)[~gone].tobytes() if found else text
-                rows.append((key.as_py(), len(text), found, kept))
+                    for x in r["runs"]:
+                        a = r["start"] + x["off"]
+                        edges[1, a] += 1
+                        edges[1, a + x["n"] - 1 + floor] -= 1
+                        if x["deep"]:
+                            edges[0, a] += 1
+                            edges[0, a + x["n"] - 1 + length] -= 1
+                kept = text
+                for level in range(2):
+                    cut = [] if edges is None else np.flatnonzero(np.diff(np.cumsum(edges[level, :-1]) > 0, prepend=False, append=False)).tolist()
+                    found.append([{"start": s, "end": e, "words": _whole_words(text, s, e)} for s, e in zip(cut[::2], cut[1::2], strict=True)])
+                if found[0]:
+                    kept = np.frombuffer(text, dtype=np.uint8)[np.cumsum(edges[0, :-1]) <= 0].tobytes()
+                rows.append((key.as_py(), len(text), *found, kept))
                 held += len(kept)
                 if held > 4 << 20:
                     yield _batch(rows, schema)
                     rows, held = [], 0
             yield _batch(rows, schema)
 
-    lists = spans.groupBy(F.col("id").alias("sid"), F.col("rk").alias("srk")).agg(F.collect_list(F.struct("start", "n", "lead", "bits")).alias("runs"))
+    lists = spans.groupBy(F.col("id").alias("sid"), F.col("rk").alias("srk")).agg(F.collect_list(F.struct("start", "runs")).alias("runs"))
     joined = texts.join(lists, (F.col("rk") == F.col("srk")) & F.col("id").eqNullSafe(F.col("sid")), "left")
     return joined.select("id", "z", "runs").mapInArrow(task, OUT)
 
 
-def suffix_dedup(docs: DataFrame, length: int = 400, keep: str = "first", hot: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id_col, n_bytes, spans (removed byte ranges), kept (the other bytes).
+def suffix_dedup(
+    docs: DataFrame, length: int = 400, keep: str = "first", floor: int | None = None, crowd: int = 1024, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row per document: id_col, n_bytes, spans (removed byte ranges), shared (ranges repeated at ``floor``), kept.
 
     Removed is each byte covered by a string of ``length`` bytes that also starts elsewhere, in this text or another,
     judged on the input. keep="first" spares the first place of each string (by id, then place), as longest previous
-    factors do; keep="none" removes it there too.
-
-    Not every suffix can match, so not every one is sorted. (1) Each window of ``length`` bytes chooses an anchor in
-    it by content, so equal windows have equal anchors; runs of windows with one anchor are counted by anchor, and
-    anchors that occur once are done. (2) Runs equal in all bytes are counted before anything is compared. (3) Runs
-    that share an anchor but differ are cut into stretches of 32 windows aligned to the anchor; a stretch whose common
-    core is unique cannot match, one whose bytes repeat matches whole. (4) The stretches left, at the ends of matches,
-    are put in suffix order, group by group, and their longest previous and next factors decide each window. Groups of
-    more than ``hot`` stretches have their windows counted by hash instead, so that no group grows in one task.
-    Counts are partial sums before each shuffle; texts move compressed, twice, and only run numbers otherwise.
-
-    Texts are taken as UTF-8 bytes, null as empty; texts under ``length`` bytes lose nothing. Rows equal in id and
+    factors do; keep="none" removes it there too. ``shared`` is the same for strings of ``floor`` bytes (at most, and
+    by default, ``length``), which are reported, not removed. Each range has its number of whole words.
+
+    Not every suffix can match, so not every one is sorted. (1) Each window of ``floor`` bytes chooses an anchor in
+    it by content, so equal windows have equal anchors; windows whose anchor occurs once are done. (2) Runs of windows with
+    one anchor are counted by their bytes (a 128-bit BLAKE2 name), and a run that occurs often goes on at its first and
+    last place. (3) The runs of an anchor meet in one task, where all suffixes at their windows are put in suffix
+    order; longest previous and next factors, from previous and next smaller positions, decide each window on its
+    bytes. Anchors with more than ``crowd`` different runs cannot meet in one task: their windows are put in order by
+    Spark instead (``crowd_order``), which decides the same. Counts are partial sums before each shuffle; texts move
+    compressed, twice, and only run numbers and the bytes of distinct repeated runs otherwise.
+
+    Texts are taken as UTF-8 bytes, null as empty; texts under ``floor`` bytes lose nothing. Rows equal in id and
     text count as different places of one document: with keep="none" both lose what they share, with keep="first"
     neither does for being equal. Empty tables give empty results; other columns are ignored.
     """
+    floor = length if floor is None else min(floor, length)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    occ = materialize(occurrences(slim, length), "occ")
-    twice = materialize(occ.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor"), "anchors")
+    occ = materialize(occurrences(slim, floor, length), "occ")
+    twice = materialize(occ.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor"), "anchors")
     occ = materialize(occ.join(twice, "anchor"), "occ2")
-    place = F.struct("id", "rk", "start")
-    variants = materialize(
-        occ.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "rk", "start", "n", "at")).alias("head")), "variants"
-    )
-    differ = materialize(variants.groupBy("anchor").agg(F.count(F.lit(1)).alias("v")).where("v > 1").select("anchor"), "anchors")
-    wanted = variants.join(differ, "anchor").select("anchor", "seg", (F.col("c") > 1).alias("many"), "head.*")
+    name = ["anchor", "na", "nb"]
+    ends = F.struct("id", "rk", "start")
+    variants = materialize(occ.groupBy(*name, "n", "at").agg(F.count(F.lit(1)).alias("c"), F.min(ends).alias("first"), F.max(ends).alias("last")), "variants")
+    crowds = materialize(variants.groupBy("anchor").agg(F.count(F.lit(1)).alias("v")).where(F.col("v") > crowd).select("anchor", F.lit(True).alias("crowded")), "crowds")
+    crowded = not crowds.isEmpty()
+    marked = variants.join(crowds, "anchor", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False))) if crowded else variants.withColumn("crowded", F.lit(False))
+    role = lambda c, o: F.struct(F.lit(o).alias("other"), f"{c}.id", f"{c}.rk", f"{c}.start")
+    roles = F.when((F.col("c") > 1) & ~F.col("crowded"), F.array(role("first", False), role("last", True))).otherwise(F.array(role("first", False)))
+    wanted = marked.withColumn("r", F.explode(roles)).select(*name, "n", "at", "c", "crowded", "r.*")
     texts = packed(slim)
     runs = materialize(segment_bytes(texts, wanted, length), "runs")
-
-    parts = materialize(stretches(runs, length), "stretches")
-    key = ["anchor", "sub", "core", "whole"]
-    wholes = materialize(parts.groupBy(*key).agg(F.count(F.lit(1)).alias("f"), F.min(F.struct("id", "rk", "start", "seg", "lead", "off", "m")).alias("head")), "wholes")
-    cores = materialize(wholes.groupBy("anchor", "sub", "core").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "cores")
-    open_ = wholes.join(cores, ["anchor", "sub", "core"]).select(*key, "k", "head.seg", "head.lead", "head.off", "head.m")
-    leaves = materialize(_leaf_rows(runs, open_, length), "leaves")
-    bits = suffix_bits(leaves.where(F.col("k") <= hot), length).union(window_bits(leaves.where(F.col("k") > hot), length))
-    bits = materialize(wholes.join(bits, key, "left").select(*key, "f", "head", "before", "after"), "bits")
-
-    first = F.struct(F.col("id"), F.col("rk"), F.col("start")).eqNullSafe(F.struct(F.col("head.id"), F.col("head.rk"), F.col("head.start")))
-    decided = parts.join(bits, key)
-    span = lambda n, lead, b: [F.col("id"), F.col("rk"), (F.col("start") + n[0]).alias("start"), n[1].cast("int").alias("n"), lead.cast("int").alias("lead"), b.alias("bits")]
-    everything, nothing = F.lit(None).cast("long"), F.lit(None).cast("int")
-    if keep == "none":
-        some = F.coalesce(F.col("before"), F.lit(0)).bitwiseOR(F.coalesce(F.col("after"), F.lit(0)))
-        inner = decided.where("NOT many").withColumn("some", F.when(F.col("f") > 1, everything).otherwise(some))
-        copies = variants.where("c > 1").select(F.col("anchor").alias("va"), F.col("seg").alias("vs"))
-        outer = occ.join(copies, (F.col("anchor") == F.col("va")) & (F.col("seg") == F.col("vs")))
-    else:
-        inner = decided.withColumn("some", F.when(~first, everything).otherwise(F.coalesce(F.col("before"), F.lit(0))))
-        copies = variants.where("c > 1").select(F.col("anchor").alias("va"), F.col("seg").alias("vs"), F.struct("head.id", "head.rk", "head.start").alias("vp"))
-        outer = occ.join(copies, (F.col("anchor") == F.col("va")) & (F.col("seg") == F.col("vs"))).where(~place.eqNullSafe(F.col("vp")))
-    inner = inner.where("some IS NULL OR some <> 0").select(*span((F.col("off"), F.col("m")), F.col("lead"), F.col("some")))
-    outer = outer.select(*span((F.lit(0), F.col("n")), nothing, everything))
-    spans = materialize(inner.union(outer), "spans")
-    return _cut(texts, spans, length).withColumnRenamed("id", id_col)
+    found = suffix_order(runs.where("NOT crowded"), floor, length, keep)
+    if crowded:
+        hot = runs.where("crowded")
+        for window, deep in {length: True, floor: floor == length}.items():
+            found = found.union(crowd_order(hot, window, deep, keep))
+    found = materialize(found, "found")
+    here = F.struct("id", "rk", "start").eqNullSafe(F.struct(F.col("hid").alias("id"), F.col("hrk").alias("rk"), F.col("hstart").alias("start")))
+    spans = occ.join(found, name).select("id", "rk", "start", F.when(here, F.col("first")).otherwise(F.col("other")).alias("runs")).where("size(runs) > 0")
+    return _cut(texts, materialize(spans, "spans"), floor, length).withColumnRenamed("id", id_col)
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    out = suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), 400, keep="none")
+    """The prescribed columns, for strings of 400 bytes; n_passages counts the runs repeated elsewhere, in strings of 256
+    bytes or more, that have over 50 whole words: many of these are under 400 bytes and stay in the text."""
+    out = suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), 400, keep="none", floor=256)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
-    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    passages = F.size(F.filter("shared", lambda x: x["words"] > 50)).cast("long")
+    return out.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), passages.alias("n_passages")
+    )
 
 
 SQL: dict[str, str] = {}

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -212,8 +213,9 @@ def suffix_brute(texts, length, keep):
     return out
 
 
-@pytest.mark.parametrize("length,keep,hot", [(400, "none", 512), (120, "first", 2), (120, "none", 1)])
-def test_suffix_dedup_equals_brute_force(spark, length, keep, hot):
+@pytest.mark.parametrize("length,floor,keep,crowd", [(400, 256, "none", 1024), (400, 256, "first", 1), (120, 120, "first", 2), (120, 100, "none", 0)])
+def test_suffix_dedup_equals_brute_force(spark, length, floor, keep, crowd):
+    """Removed and reported ranges, when all suffixes are ordered in tasks, when some are ordered by Spark, and when all are."""
     rng = random.Random(length)
     words = [f"w{k}é" if k % 7 == 0 else f"w{k}" for k in range(300)]
     texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(5, 400))) for _ in range(40)]
@@ -221,11 +223,32 @@ def test_suffix_dedup_equals_brute_force(spark, length, keep, hot):
         a, b = rng.choice(texts), rng.choice(texts)
         s = rng.randrange(max(1, len(a) - 300))
         k = rng.randrange(len(b) + 1)
-        texts.append(b[:k] + a[s : s + rng.choice([100, 119, 120, 121, 399, 400, 401, 900])] + b[k:])
-    texts += [texts[0], texts[0], "a" * 1000, "ab" * 400, "", None, "z" * length, "z" * (length - 1)]
+        texts.append(b[:k] + a[s : s + rng.choice([99, 100, 119, 120, 121, 255, 256, 399, 400, 401, 900])] + b[k:])
+    texts += [texts[0], texts[0], "a" * 1000, "ab" * 400, "", None, "z" * length, "z" * (length - 1), "\0" * (floor + 1)]
     df = spark.createDataFrame(list(enumerate(texts)), DOCS).withColumns({"rk": F.lit(1), "z": F.lit("q"), "anchor": F.lit(0)})
-    got = sorted((r.doc_id, r.n_bytes, [(s.start, s.end) for s in r.spans], bytes(r.kept)) for r in S.suffix_dedup(df, length, keep, hot).collect())
-    assert got == suffix_brute([(t or "").encode() for t in texts], length, keep)
+    pairs = lambda x: [(s.start, s.end) for s in x]
+    rows = S.suffix_dedup(df, length, keep, floor, crowd).collect()
+    raw = [(t or "").encode() for t in texts]
+    assert sorted((r.doc_id, r.n_bytes, pairs(r.spans), bytes(r.kept)) for r in rows) == suffix_brute(raw, length, keep)
+    assert sorted((r.doc_id, pairs(r.shared)) for r in rows) == [(i, spans) for i, _, spans, _ in suffix_brute(raw, floor, keep)]
+    for r in rows:
+        for s in r.shared:
+            whole = [m for m in re.finditer(rb"[^\x20\x09-\x0d]+", raw[r.doc_id]) if s.start <= m.start() and m.end() <= s.end]
+            assert s.words == len(whole)
+
+
+def test_previous_factors_equal_brute_force():
+    rng = random.Random(3)
+    for floor, depth in ((1, 12), (3, 5), (4, 20)):
+        data = bytes(rng.choice(b"ab") for _ in range(150)) + b"abab" * 20 + bytes(rng.choice(b"ab\0") for _ in range(80))
+        starts = np.array(sorted(rng.sample(range(len(data)), 200)))
+        sizes = np.minimum(len(data) - starts, [rng.randrange(1, 30) for _ in starts])
+        keys = [data[s : s + min(n, depth)] for s, n in zip(starts, sizes)]
+        share = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        least = lambda n: n if n >= floor else 0
+        before, after = S.previous_factors(data, starts, sizes, floor, depth)
+        assert before.tolist() == [least(max((share(k, x) for x in keys[:i]), default=0)) for i, k in enumerate(keys)]
+        assert after.tolist() == [least(max((share(k, x) for x in keys[i + 1 :]), default=0)) for i, k in enumerate(keys)]
 
 
 def test_suffix_dedup_cuts_long_texts_into_stretches(spark, monkeypatch):
