@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from hashlib import blake2b
 
@@ -15,13 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronofact.llm.anchors import segments
+from chronofact.llm.shingles import mixed
 from chronofact.session import materialize, partitions
 
 #: Windows of one run of a crowded anchor are compared in stretches of so many, aligned to the anchor.
 STEP = 32
 #: Bytes of text looked at once, and bytes put in one suffix order.
 CHUNK, LOT = 1 << 20, 1 << 18
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _SPACE = frozenset(b"\x20\x09\x0a\x0b\x0c\x0d")
 
 KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
@@ -33,9 +32,9 @@ def _row_key(key: int | None, text: bytes) -> int:
     return xxhash.xxh3_64_intdigest(text, seed=0 if key is None else (key & 0xFFFFFFFF) + 1) - (1 << 63)
 
 
-def _names(parts: Iterable[tuple[bytes | memoryview, bytes]]) -> np.ndarray:
-    """128-bit BLAKE2 names of (bytes, salt), as rows of two 64-bit integers: equal names are taken as equal bytes."""
-    return np.frombuffer(bytearray().join(blake2b(x, digest_size=16, salt=salt).digest() for x, salt in parts), dtype="<i8").reshape(-1, 2)
+def _names(parts: Iterable[bytes | memoryview]) -> np.ndarray:
+    """128-bit BLAKE2 names of byte strings, as rows of two 64-bit integers: equal names are taken as equal bytes."""
+    return np.frombuffer(bytearray().join([blake2b(x, digest_size=16).digest() for x in parts]), dtype="<i8").reshape(-1, 2)
 
 
 def _schema(ddl: str) -> pa.Schema:
@@ -69,8 +68,8 @@ def occurrences(docs: DataFrame, floor: int, length: int) -> DataFrame:
             of = np.searchsorted(ends, first, side="right")
             start = first - starts[of] + np.array([x[2] for x in group], dtype=np.int64)[of]
             views = [memoryview(x[4]) for x in group]
-            salts = np.stack([count, at - first], axis=1).astype("<i8")
-            named = _names((views[i][s : s + n + length - 1], salt.tobytes()) for i, s, n, salt in zip(of.tolist(), start.tolist(), count.tolist(), salts, strict=True))
+            named = _names(views[i][s:e] for i, s, e in zip(of.tolist(), start.tolist(), (start + count + length - 1).tolist(), strict=True)).copy()
+            named[:, 1] ^= mixed((count << 32 | at - first).astype(np.uint64)).view(np.int64)  # runs of other windows have other names
             ids = pa.array([x[0] for x in group], pa.int64()).take(pa.array(of))
             keys = np.array([x[1] for x in group], dtype=np.int64)[of]
             cols = [ids, keys, start, count.astype(np.int32), (at - first).astype(np.int32), anchor.view(np.int64), *np.ascontiguousarray(named.T)]
@@ -112,7 +111,7 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(task, ddl)
 
 
-SEGMENT = "anchor long, na long, nb long, other boolean, n int, at int, c long, crowded boolean, id long, rk long, start long, bytes binary"
+SEGMENT = "anchor long, na long, nb long, n int, at int, c long, crowded boolean, lid long, lrk long, lstart long, start long, id long, rk long, bytes binary"
 
 
 def segment_bytes(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -122,18 +121,29 @@ def segment_bytes(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = zstandard.ZstdDecompressor()
         for b in batches:
-            rows, held = [], 0
-            for key, row, z, runs in zip(*(b.column(i) for i in range(4)), strict=True):
-                text, key, row = reader.decompress(z.as_py()), key.as_py(), row.as_py()
-                for r in runs.as_py():
-                    rows.append((*(r[c] for c in ("anchor", "na", "nb", "other", "n", "at", "c", "crowded")), key, row, r["start"], text[r["start"] : r["start"] + r["n"] + length - 1]))
-                    held += len(rows[-1][-1])
+            runs = b.column(3).flatten()
+            of = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column(3)).to_numpy())
+            start = runs.field("start").to_numpy()
+            stop = start + runs.field("n").to_numpy() + length - 1
+            edge = np.searchsorted(of, np.arange(b.num_rows + 1)).tolist()
+            parts, held, at = [], 0, 0
+
+            def batch() -> pa.RecordBatch:
+                cut = runs.slice(at, len(parts))
+                rows = pa.array(of[at : at + len(parts)])
+                return pa.RecordBatch.from_arrays([*cut.flatten(), b.column(0).take(rows), b.column(1).take(rows), pa.array(parts, pa.binary())], schema=schema)  # noqa: B023
+
+            for i, z in enumerate(b.column(2)):
+                text = reader.decompress(z.as_py())
+                for s, e in zip(start[edge[i] : edge[i + 1]].tolist(), stop[edge[i] : edge[i + 1]].tolist(), strict=True):
+                    parts.append(text[s:e])
+                    held += len(parts[-1])
                     if held > 4 << 20:
-                        yield _batch(rows, schema)
-                        rows, held = [], 0
-            yield _batch(rows, schema)
+                        yield batch()
+                        at, parts, held = at + len(parts), [], 0
+            yield batch()
 
-    kept = ["anchor", "na", "nb", "other", "n", "at", "c", "crowded", "start"]
+    kept = ["anchor", "na", "nb", "n", "at", "c", "crowded", "lid", "lrk", "lstart", "start"]
     runs = wanted.groupBy(F.col("id").alias("wid"), F.col("rk").alias("wrk")).agg(F.collect_list(F.struct(*kept)).alias("runs"))
     joined = texts.join(runs, (F.col("rk") == F.col("wrk")) & F.col("id").eqNullSafe(F.col("wid")))
     return joined.select("id", "rk", "z", "runs").mapInArrow(task, SEGMENT)
@@ -175,25 +185,31 @@ def nearest_smaller(place: np.ndarray, lcp: np.ndarray, floor: int) -> np.ndarra
     return np.where((at >= 0) & (low >= floor), low, 0)
 
 
-def previous_factors(data: bytes, starts: np.ndarray, sizes: np.ndarray, floor: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(previous, next): for each suffix of data, given in order of place, the longest match with an earlier and a later one.
+def previous_factors(data: bytes, starts: np.ndarray, sizes: np.ndarray, places: np.ndarray, floor: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(previous, next): for each suffix of data, the longest match with a suffix of a smaller and of a larger place.
 
     Suffixes, of ``depth`` bytes at most, are put in lexicographic order; neighbours' common prefixes are measured on
-    the bytes. The longest previous factor is the larger of what a suffix shares with the nearest rows before and
-    behind it, in suffix order, that have smaller places (previous and next smaller values); with larger places, it
-    is the longest next factor. Factors under ``floor`` bytes read 0.
+    the bytes. Each suffix has the places in its column of ``places``, a second one of -1 being none; it stands in the
+    order once for each, and so do the results. The longest previous factor is the larger of what a row shares with
+    the nearest rows before and behind it, in suffix order, that have smaller places (previous and next smaller
+    values); with larger places, it is the longest next factor. Factors under ``floor`` bytes read 0.
     """
-    stops = starts + np.minimum(sizes, depth)
-    keys = [data[s:e] for s, e in zip(starts.tolist(), stops.tolist(), strict=True)]
+    sizes = np.minimum(sizes, depth)
+    keys = [data[s:e] for s, e in zip(starts.tolist(), (starts + sizes).tolist(), strict=True)]
     order = np.array(sorted(range(len(keys)), key=keys.__getitem__), dtype=np.int64)
-    lcp = common_prefixes(data, starts[order], np.minimum(sizes, depth)[order], depth)
+    lcp = common_prefixes(data, starts[order], sizes[order], depth)
+    twice = places[1][order] >= 0
+    row = np.repeat(np.arange(len(order)), 1 + twice)
+    second = np.append(False, row[1:] == row[:-1])
+    lcp = np.where(second, sizes[order][row], lcp[row])
+    place = places[second.astype(np.int64), order[row]]
     back = np.append(0, lcp[:0:-1])  # the same order read from its end
     out = []
-    for place in (order, -order):
-        factor = np.maximum(nearest_smaller(place, lcp, floor), nearest_smaller(place[::-1], back, floor)[::-1])
-        by_place = np.empty(len(order), dtype=np.int64)
-        by_place[order] = factor
-        out.append(by_place)
+    for p in (place, -place):
+        factor = np.maximum(nearest_smaller(p, lcp, floor), nearest_smaller(p[::-1], back, floor)[::-1])
+        by = np.zeros(places.shape, dtype=np.int64)
+        by[second.astype(np.int64), order[row]] = factor
+        out.append(by)
     return out[0], out[1]
 
 
@@ -216,32 +232,34 @@ def suffix_order(runs: DataFrame, floor: int, length: int, keep: str) -> DataFra
     """FOUND rows: of each run, the windows that match, at its first place and at its others.
 
     Runs of one anchor are kept whole in a partition and read in order, whole anchors at a time. Each lot is one text
-    whose suffixes at window starts are put in suffix order; a run that occurs more than once stands in it at its
+    whose suffixes at window starts are put in suffix order; a run that occurs more than once stands in it with its
     first and its last place, and what holds for the last holds for all places but the first.
     """
 
+    def ranks(*columns: pa.ChunkedArray) -> np.ndarray:
+        """The rank of each (id, rk, start), null ids first; equal ones differ."""
+        ids, rk, start = (pa.concat_arrays([x for c in cs for x in c.chunks]) for cs in zip(*columns, strict=True))
+        by = np.lexsort((start.to_numpy(), rk.to_numpy(), ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False)))
+        rank = np.empty(len(by), dtype=np.int64)
+        rank[by] = np.arange(len(by))
+        return rank.reshape(len(columns), -1)
+
     def lot(table: pa.Table) -> pa.RecordBatch:
-        parts = [x.as_py() for x in table["bytes"].combine_chunks()]
-        size = np.array([len(x) for x in parts])
-        m = table["n"].to_numpy()
-        ids, rk, start = table["id"].combine_chunks(), table["rk"].to_numpy(), table["start"].to_numpy()
-        by = np.lexsort((start, rk, ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False)))
-        begin = np.append(0, np.cumsum(size[by])[:-1])
-        of = np.repeat(np.arange(len(by)), m[by])
-        inner = np.arange(len(of)) - np.repeat(np.cumsum(m[by]) - m[by], m[by])
-        before, after = previous_factors(b"".join(parts[i] for i in by), begin[of] + inner, size[by][of] - inner, floor, length)
-        matched = _found(before if keep == "first" else np.maximum(before, after), of, inner, len(by), floor, length)
-        where = np.empty(len(by), dtype=np.int64)
-        where[by] = np.arange(len(by))
-        other = table["other"].to_numpy()
-        head = np.flatnonzero(~other)
-        nexts = np.minimum(head + 1, len(other) - 1)
-        has = other[nexts] & (nexts > head)
-        firsts, others = matched.take(pa.array(where[head])), matched.take(pa.array(where[nexts], mask=~has))
-        some = (pc.list_value_length(firsts).to_numpy() > 0) | (pc.list_value_length(others).fill_null(0).to_numpy() > 0)
-        heads = table.select(["anchor", "na", "nb", "id", "rk", "start"]).take(pa.array(head)).combine_chunks()
-        cols = [*(c.combine_chunks() for c in heads.columns), firsts, others]
-        return pa.RecordBatch.from_arrays(cols, schema=FOUND_SCHEMA).filter(pa.array(some))
+        parts = table["bytes"].to_pylist()
+        size, m = np.array([len(x) for x in parts]), table["n"].to_numpy()
+        most = int(m.max())
+        rank = ranks(*([table[c] for c in cs] for cs in (("id", "rk", "start"), ("lid", "lrk", "lstart"))))
+        of = np.repeat(np.arange(len(m)), m)
+        inner = np.arange(len(of)) - np.repeat(np.cumsum(m) - m, m)
+        begin = np.append(0, np.cumsum(size)[:-1])
+        places = rank[:, of] * most + inner
+        places[1, table["c"].to_numpy()[of] == 1] = -1
+        before, after = previous_factors(b"".join(parts), begin[of] + inner, size[of] - inner, places, floor, length)
+        matched = before if keep == "first" else np.maximum(before, after)
+        first, other = (_found(x, of, inner, len(m), floor, length) for x in matched)
+        some = (pc.list_value_length(first).to_numpy() > 0) | (pc.list_value_length(other).to_numpy() > 0)
+        heads = [table[c].combine_chunks() for c in ("anchor", "na", "nb", "id", "rk", "start")]
+        return pa.RecordBatch.from_arrays([*heads, first, other], schema=FOUND_SCHEMA).filter(pa.array(some))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -250,7 +268,7 @@ def suffix_order(runs: DataFrame, floor: int, length: int, keep: str) -> DataFra
             if not b.num_rows:
                 continue
             anchor = b.column(0).to_numpy()
-            total = np.append(0, np.cumsum(pc.binary_length(b.column(8)).to_numpy(), dtype=np.int64))
+            total = np.append(0, np.cumsum(pc.binary_length(b.column(b.num_columns - 1)).to_numpy(), dtype=np.int64))
             fresh = np.flatnonzero(np.append(bool(held) and held[-1].column(0)[-1].as_py() != anchor[0], anchor[1:] != anchor[:-1]))
             at = 0
             for e in fresh.tolist():  # rows from e on have another anchor
@@ -262,8 +280,8 @@ def suffix_order(runs: DataFrame, floor: int, length: int, keep: str) -> DataFra
         if held:
             yield lot(pa.Table.from_batches(held))
 
-    slim = runs.select("anchor", "na", "nb", "other", "n", "id", "rk", "start", "bytes")
-    return slim.repartition(partitions(runs.sparkSession), "anchor").sortWithinPartitions("anchor", "na", "nb", "other").mapInArrow(task, FOUND)
+    slim = runs.select("anchor", "na", "nb", "n", "c", "id", "rk", "start", "lid", "lrk", "lstart", "bytes")
+    return slim.repartition(partitions(runs.sparkSession), "anchor").sortWithinPartitions("anchor", "na", "nb").mapInArrow(task, FOUND)
 
 
 STRETCH = "anchor long, sub int, lead int, off int, m int, ca long, cb long, wa long, wb long, c long, na long, nb long, id long, rk long, start long"
@@ -290,7 +308,7 @@ def stretches(runs: DataFrame, window: int) -> DataFrame:
                 data = memoryview(r["bytes"])
                 for sub, w, m in _stretches(r["at"], min(r["n"], len(data) - window + 1)):
                     begin = r["at"] - sub * STEP  # where the last window of a full stretch starts
-                    parts += [(data[begin : begin - STEP + 1 + window], b""), (data[w : w + m - 1 + window], b"")]
+                    parts += [data[begin : begin - STEP + 1 + window], data[w : w + m - 1 + window]]
                     rows.append((r["anchor"], sub, r["at"] - w - sub * STEP, w, m, r["c"], r["na"], r["nb"], r["id"], r["rk"], r["start"]))
             named = _names(parts).reshape(-1, 4).T
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 11
@@ -313,7 +331,7 @@ def _windows(runs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                 rows, parts, data = [], [], memoryview(r["bytes"])
                 for x in r["parts"]:
                     for w in range(x["m"]):
-                        parts.append((data[x["off"] + w : x["off"] + w + window], b""))
+                        parts.append(data[x["off"] + w : x["off"] + w + window])
                         rows.append((r["anchor"], x["sub"], x["ca"], x["cb"], x["wa"], x["wb"], x["lead"] - w, r["id"], r["rk"], r["start"]))
                 cols = list(zip(*rows, strict=True))
                 cols = [*cols[:7], *np.ascontiguousarray(_names(parts).T), *cols[7:]]
@@ -374,13 +392,12 @@ def crowd_order(runs: DataFrame, window: int, deep: bool, keep: str) -> DataFram
     return lists.select("anchor", "na", "nb", "id", "rk", "start", "c", "parts").mapInArrow(task, FOUND)
 
 
-SPANS = "array<struct<start:long,end:long,words:long>>"
-OUT = f"id long, n_bytes long, spans {SPANS}, shared {SPANS}, kept binary"
+OUT = "id long, n_bytes long, spans array<struct<start:long,end:long>>, shared array<struct<start:long,end:long,words:long>>, kept binary"
 
 
 def _whole_words(text: bytes, start: int, end: int) -> int:
     """Words of text that lie in start..end from their first to their last byte."""
-    n = sum(1 for _ in _WORD.finditer(text, start, end))
+    n = len(text[start:end].split())
     if n and start and text[start] not in _SPACE and text[start - 1] not in _SPACE:
         n -= 1
     if n and end < len(text) and text[end] not in _SPACE and text[end - 1] not in _SPACE:
@@ -390,32 +407,41 @@ def _whole_words(text: bytes, start: int, end: int) -> int:
 
 def _cut(texts: DataFrame, spans: DataFrame, floor: int, length: int) -> DataFrame:
     """OUT rows: the union of the spans of each text, and what lies outside those of ``length`` bytes."""
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64())]))
-    schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("spans", kind), ("shared", kind), ("kept", pa.binary())])
+    pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    triple = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64())]))
+    schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pair), ("shared", triple), ("kept", pa.binary())])
+
+    def covered(size: int, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+        edge = np.zeros(size + 1, dtype=np.int64)
+        np.add.at(edge, start, 1)
+        np.add.at(edge, end, -1)
+        inside = np.cumsum(edge[:-1]) > 0
+        cut = np.flatnonzero(np.diff(inside, prepend=False, append=False)).tolist()
+        return inside, list(zip(cut[::2], cut[1::2], strict=True))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = zstandard.ZstdDecompressor()
         for b in batches:
+            runs = b.column(2).flatten()
+            size = pc.list_value_length(runs.field("runs")).to_numpy(zero_copy_only=False)
+            each = runs.field("runs").flatten()
+            first = np.repeat(runs.field("start").to_numpy(zero_copy_only=False), size) + each.field("off").to_numpy(zero_copy_only=False)
+            last = first + each.field("n").to_numpy(zero_copy_only=False) - 1
+            deep = each.field("deep").to_numpy(zero_copy_only=False)
+            counts = pc.list_value_length(b.column(2)).fill_null(0).to_numpy()
+            edge = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(counts))].tolist()
             rows, held = [], 0
-            for key, z, runs in zip(*(b.column(i) for i in range(3)), strict=True):
+            for i, (key, z) in enumerate(zip(b.column(0), b.column(1), strict=True)):
                 text = reader.decompress(z.as_py())
-                found = []
-                edges = np.zeros((2, len(text) + 1), dtype=np.int32) if runs.is_valid else None
-                for r in runs.as_py() or []:
-                    for x in r["runs"]:
-                        a = r["start"] + x["off"]
-                        edges[1, a] += 1
-                        edges[1, a + x["n"] - 1 + floor] -= 1
-                        if x["deep"]:
-                            edges[0, a] += 1
-                            edges[0, a + x["n"] - 1 + length] -= 1
-                kept = text
-                for level in range(2):
-                    cut = [] if edges is None else np.flatnonzero(np.diff(np.cumsum(edges[level, :-1]) > 0, prepend=False, append=False)).tolist()
-                    found.append([{"start": s, "end": e, "words": _whole_words(text, s, e)} for s, e in zip(cut[::2], cut[1::2], strict=True)])
-                if found[0]:
-                    kept = np.frombuffer(text, dtype=np.uint8)[np.cumsum(edges[0, :-1]) <= 0].tobytes()
-                rows.append((key.as_py(), len(text), *found, kept))
+                spans, shared, kept = [], [], text
+                if edge[i] < edge[i + 1]:
+                    f, e, d = (x[edge[i] : edge[i + 1]] for x in (first, last, deep))
+                    shared = [{"start": s, "end": t, "words": _whole_words(text, s, t)} for s, t in covered(len(text), f, e + floor)[1]]
+                    if d.any():
+                        inside, cut = covered(len(text), f[d], e[d] + length)
+                        spans = [{"start": s, "end": t} for s, t in cut]
+                        kept = np.frombuffer(text, dtype=np.uint8)[~inside].tobytes()
+                rows.append((key.as_py(), len(text), spans, shared, kept))
                 held += len(kept)
                 if held > 4 << 20:
                     yield _batch(rows, schema)
@@ -439,7 +465,7 @@ def suffix_dedup(
 
     Not every suffix can match, so not every one is sorted. (1) Each window of ``floor`` bytes chooses an anchor in
     it by content, so equal windows have equal anchors; windows whose anchor occurs once are done. (2) Runs of windows with
-    one anchor are counted by their bytes (a 128-bit BLAKE2 name), and a run that occurs often goes on at its first and
+    one anchor are counted by their bytes (a 128-bit BLAKE2 name), and a run that occurs often goes on with its first and
     last place. (3) The runs of an anchor meet in one task, where all suffixes at their windows are put in suffix
     order; longest previous and next factors, from previous and next smaller positions, decide each window on its
     bytes. Anchors with more than ``crowd`` different runs cannot meet in one task: their windows are put in order by
@@ -461,9 +487,7 @@ def suffix_dedup(
     crowds = materialize(variants.groupBy("anchor").agg(F.count(F.lit(1)).alias("v")).where(F.col("v") > crowd).select("anchor", F.lit(True).alias("crowded")), "crowds")
     crowded = not crowds.isEmpty()
     marked = variants.join(crowds, "anchor", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False))) if crowded else variants.withColumn("crowded", F.lit(False))
-    role = lambda c, o: F.struct(F.lit(o).alias("other"), f"{c}.id", f"{c}.rk", f"{c}.start")
-    roles = F.when((F.col("c") > 1) & ~F.col("crowded"), F.array(role("first", False), role("last", True))).otherwise(F.array(role("first", False)))
-    wanted = marked.withColumn("r", F.explode(roles)).select(*name, "n", "at", "c", "crowded", "r.*")
+    wanted = marked.select(*name, "n", "at", "c", "crowded", "first.*", *[F.col(f"last.{c}").alias(f"l{c}") for c in ("id", "rk", "start")])
     texts = packed(slim)
     runs = materialize(segment_bytes(texts, wanted, length), "runs")
     found = suffix_order(runs.where("NOT crowded"), floor, length, keep)

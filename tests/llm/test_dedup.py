@@ -246,9 +246,16 @@ def test_previous_factors_equal_brute_force():
         keys = [data[s : s + min(n, depth)] for s, n in zip(starts, sizes)]
         share = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
         least = lambda n: n if n >= floor else 0
-        before, after = S.previous_factors(data, starts, sizes, floor, depth)
-        assert before.tolist() == [least(max((share(k, x) for x in keys[:i]), default=0)) for i, k in enumerate(keys)]
-        assert after.tolist() == [least(max((share(k, x) for x in keys[i + 1 :]), default=0)) for i, k in enumerate(keys)]
+        count = 1 + np.array([rng.random() < 0.3 for _ in starts])
+        drawn = rng.sample(range(1000), int(count.sum()))
+        places = np.full((2, len(starts)), -1)
+        for i, n in enumerate(count):
+            for j in range(n):
+                places[j, i] = drawn.pop()
+        rows = [(places[j, i], keys[i], j, i) for i, n in enumerate(count) for j in range(n)]
+        for side, got in zip((-1, 1), S.previous_factors(data, starts, sizes, places, floor, depth)):
+            for place, key, j, i in rows:
+                assert got[j, i] == least(max((share(key, k) for p, k, _, _ in rows if (p - place) * side > 0), default=0))
 
 
 def test_suffix_dedup_cuts_long_texts_into_stretches(spark, monkeypatch):
