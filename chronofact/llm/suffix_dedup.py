@@ -344,7 +344,7 @@ def _windows(runs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
 
 
 def crowd_order(runs: DataFrame, window: int, deep: bool, keep: str) -> DataFrame:
-    """FOUND rows for runs of anchors with too many variants for one task: the same windows, ordered by Spark.
+    """FOUND rows for runs of anchors with too many windows for one task: the same windows, ordered by Spark.
 
     Windows of equal bytes have equal distances to the anchor, so runs are cut into stretches of 32 windows aligned to
     it; a stretch whose common core is unique cannot match, one whose bytes repeat matches whole. The windows of the
@@ -454,7 +454,7 @@ def _cut(texts: DataFrame, spans: DataFrame, floor: int, length: int) -> DataFra
 
 
 def suffix_dedup(
-    docs: DataFrame, length: int = 400, keep: str = "first", floor: int | None = None, crowd: int = 1024, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, length: int = 400, keep: str = "first", floor: int | None = None, crowd: int = 1 << 17, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per document: id_col, n_bytes, spans (removed byte ranges), shared (ranges repeated at ``floor``), kept.
 
@@ -468,7 +468,7 @@ def suffix_dedup(
     one anchor are counted by their bytes (a 128-bit BLAKE2 name), and a run that occurs often goes on with its first and
     last place. (3) The runs of an anchor meet in one task, where all suffixes at their windows are put in suffix
     order; longest previous and next factors, from previous and next smaller positions, decide each window on its
-    bytes. Anchors with more than ``crowd`` different runs cannot meet in one task: their windows are put in order by
+    bytes. Anchors whose different runs have more than ``crowd`` windows cannot meet in one task: these are put in order by
     Spark instead (``crowd_order``), which decides the same. Counts are partial sums before each shuffle; texts move
     compressed, twice, and only run numbers and the bytes of distinct repeated runs otherwise.
 
@@ -484,7 +484,7 @@ def suffix_dedup(
     name = ["anchor", "na", "nb"]
     ends = F.struct("id", "rk", "start")
     variants = materialize(occ.groupBy(*name, "n", "at").agg(F.count(F.lit(1)).alias("c"), F.min(ends).alias("first"), F.max(ends).alias("last")), "variants")
-    crowds = materialize(variants.groupBy("anchor").agg(F.count(F.lit(1)).alias("v")).where(F.col("v") > crowd).select("anchor", F.lit(True).alias("crowded")), "crowds")
+    crowds = materialize(variants.groupBy("anchor").agg(F.sum("n").alias("v")).where(F.col("v") > crowd).select("anchor", F.lit(True).alias("crowded")), "crowds")
     crowded = not crowds.isEmpty()
     marked = variants.join(crowds, "anchor", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False))) if crowded else variants.withColumn("crowded", F.lit(False))
     wanted = marked.select(*name, "n", "at", "c", "crowded", "first.*", *[F.col(f"last.{c}").alias(f"l{c}") for c in ("id", "rk", "start")])

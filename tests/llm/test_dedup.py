@@ -213,7 +213,7 @@ def suffix_brute(texts, length, keep):
     return out
 
 
-@pytest.mark.parametrize("length,floor,keep,crowd", [(400, 256, "none", 1024), (400, 256, "first", 1), (120, 120, "first", 2), (120, 100, "none", 0)])
+@pytest.mark.parametrize("length,floor,keep,crowd", [(400, 256, "none", 1 << 17), (400, 256, "first", 100), (120, 120, "first", 200), (120, 100, "none", 0)])
 def test_suffix_dedup_equals_brute_force(spark, length, floor, keep, crowd):
     """Removed and reported ranges, when all suffixes are ordered in tasks, when some are ordered by Spark, and when all are."""
     rng = random.Random(length)
