@@ -51,13 +51,13 @@ class Classifier:
 def fit(spectra: list[np.ndarray], langs: list[str], landmarks: int, ridge: float, longest: int) -> Classifier:
     """The kernel of two texts is their number of common n-grams over the root of their numbers' product.
 
-    Landmarks are taken in turn from the languages. With K the kernel of texts and landmarks and M that of landmarks,
+    Landmarks are taken in turn from the languages, and at least two of each where it has them. With K the kernel of texts and landmarks and M that of landmarks,
     the Nystrom features are K M^(-1/2); ridge regression on them, +1 for the language and -1 for the rest, gives a
     weight to each landmark, and as the kernel is linear in presence these sum to a weight for each n-gram.
     """
     names = sorted(set(langs))
     by = {n: [i for i, x in enumerate(langs) if x == n] for n in names}
-    chosen = [by[n][k] for k in range(max(map(len, by.values()), default=0)) for n in names if k < len(by[n])][:landmarks]
+    chosen = [by[n][k] for k in range(max(map(len, by.values()), default=0)) for n in names if k < len(by[n])][: max(landmarks, 2 * len(names))]
     marks = np.zeros((len(chosen), 1 << BITS), dtype=np.float32)
     for row, i in enumerate(chosen):
         marks[row, spectra[i]] = 1 / np.sqrt(max(1, len(spectra[i])))
@@ -72,14 +72,15 @@ def fit(spectra: list[np.ndarray], langs: list[str], landmarks: int, ridge: floa
     return Classifier(tuple(names), (marks.T.astype(np.float64) @ (half @ beta)).astype(np.float32), longest)
 
 
-def train(labelled: DataFrame, per_language: int = 300, landmarks: int = 96, ridge: float = 1e-3, longest: int = 4) -> Classifier | None:
+def train(labelled: DataFrame, per_language: int = 300, landmarks: int = 96, ridge: float = 1e-3, longest: int = 4, most_languages: int = 256) -> Classifier | None:
     """Fit on (id, text, lang) with non-null lang: about ``per_language`` rows of each language, by a hash of the id.
 
-    The bound on what is fitted, and on what reaches the driver, is per_language rows a language: a row is drawn when
-    its hash lies under its language's share, and the first per_language by hash are used. Only spectra are collected.
+    The bound on what is fitted, and on what reaches the driver, is per_language rows of each of the ``most_languages``
+    languages with the most rows (ties by name); a row is drawn when its hash lies under its language's share, and
+    the first per_language by hash are used. Only spectra are collected.
     """
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
     if not counts:
         return None
     span = 1 << 30
@@ -119,16 +120,19 @@ def lead(row: np.ndarray) -> float:
 def predict(docs: DataFrame, model: Classifier | None, text_col: str = "text", with_lead: bool = False) -> DataFrame:
     """docs with lang_pred and score (0 to 1) of the whole text; "und" and 0 where it is null or has no letter.
 
+    Columns of docs that have the names made here are replaced; others are kept, whatever their names. Repeated rows
+    are predicted each by itself; an empty table gives an empty result.
+
     The score is the winning ridge output carried from -1..1 to 0..1, cut at the ends. ``with_lead`` adds lang_lead, the
     ``lead`` of the outputs, which tells texts in no learned language.
     """
     made = ("lang_pred", "score", *(["lang_lead"] if with_lead else []))
     taken = [c for c in docs.columns if c.lower() not in made]
-    asked = docs.select(*taken, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
+    held = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(taken)], F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
     if model is None:
-        return asked.drop("_letters").withColumns({"lang_pred": F.lit("und"), **{c: F.lit(0.0) for c in made[1:]}})
+        return held.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(taken)], F.lit("und").alias("lang_pred"), *[F.lit(0.0).alias(c) for c in made[1:]])
     place, letters = taken.index(text_col), len(taken)
-    schema = docs.select(*taken, F.lit("").alias("lang_pred"), *[F.lit(0.0).alias(c) for c in made[1:]]).schema
+    schema = docs.select(*[F.col(f"`{c}`") for c in taken], F.lit("").alias("lang_pred"), *[F.lit(0.0).alias(c) for c in made[1:]]).schema
     names = schema.names
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +151,7 @@ def predict(docs: DataFrame, model: Classifier | None, text_col: str = "text", w
                 more = [pa.array(x, pa.float64()) for x in (scores, leads)[: len(made) - 1]]
                 yield pa.RecordBatch.from_arrays([*b.columns[:letters], pa.array(langs, pa.string()), *more], names)
 
-    return asked.mapInArrow(task, schema)
+    return held.mapInArrow(task, schema)
 
 
 def held_out(id_col: Column) -> Column:

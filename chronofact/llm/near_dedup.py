@@ -194,27 +194,35 @@ def pivot_pairs(rows: DataFrame) -> DataFrame:
     return apart.select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct()
 
 
-def remaining_links(rows: DataFrame, sets: DataFrame, percent: int, block: int = 256) -> DataFrame:
+def remaining_links(rows: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int, block: int = 256, block_bytes: int = 4 << 20) -> DataFrame:
     """(a, b): links between components inside what open regions connect, with nothing left out.
 
     Open regions that share rows form clusters. A link between components has an end outside the cluster's most
-    frequent one: those rows are asked, against all rows. Both are cut by hash into blocks of about ``block`` rows, and
-    each pair of blocks is one group of bounded size, decided on full sets over an index of its shingles. Only links
-    come out, no pairs.
+    frequent one: those rows are asked, against all rows. Sets that link differ in size by percent / 100 at most, so rows
+    are classed by the logarithm of their size (n, of ``sizes``) to that base, and asked rows meet the rows of their
+    own class and of the two beside it. Both are cut by hash into blocks of about ``block`` rows and ``block_bytes``
+    bytes of sets, whichever is less, and each pair of blocks is one group, decided on full sets over an index of its
+    shingles. Only links come out, no pairs.
     """
     at = components(rows.select(F.col("id").alias("a"), F.xxhash64("tree", "region").alias("b")))
     ids = rows.select("id", F.col("root").alias("own")).distinct().join(at, F.col("id") == F.col("node")).select("id", "own", F.col("root").alias("cluster"))
-    ids = materialize(ids, "clusters")
-    sizes = ids.groupBy("cluster", "own").agg(F.count(F.lit(1)).alias("n"))
-    many = sizes.groupBy("cluster").agg(F.max(F.struct("n", "own")).alias("top"), F.sum("n").alias("all"))
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / block)).cast("int")
-    many = materialize(many.select("cluster", F.col("top.own").alias("main"), blocks(F.col("all")).alias("nt"), blocks(F.col("all") - F.col("top.n")).alias("na")), "clusters")
-    cut = ids.join(many, "cluster")
+    level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
+    ids = materialize(ids.join(sizes.select("id", "n"), "id").select("id", "own", "cluster", "n", level.alias("level")), "clusters")
+    main = ids.groupBy("cluster", "own").agg(F.count(F.lit(1)).alias("k")).groupBy("cluster").agg(F.max(F.struct("k", "own"))["own"].alias("main"))
+    named = materialize(ids.join(main, "cluster"), "clusters")
+    near = F.explode(F.array(*[F.col("level") + d for d in (-1, 0, 1)]))
+    # Three rows a row, of numbers only: which of them meet asked rows is known before any set is copied.
+    targets = named.select("cluster", near.alias("level"), "id", "own", "n")
+    asked = named.where("own <> main").select("cluster", "level", "id", "own", "n")
+    blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / block), F.ceil(8 * size / block_bytes)).cast("int")
+    na = asked.groupBy("cluster", "level").agg(blocks(F.count(F.lit(1)), F.sum("n")).alias("na"))
+    nt = targets.groupBy("cluster", "level").agg(blocks(F.count(F.lit(1)), F.sum("n")).alias("nt"))
+    cells = materialize(na.join(nt, ["cluster", "level"]), "cells")
     part = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    target = cut.select("cluster", part("nt", "t").alias("t"), every("na").alias("q"), "id", "own", F.lit(False).alias("asked"))
-    asked = cut.where("own <> main").select("cluster", every("nt").alias("t"), part("na", "q").alias("q"), "id", "own", F.lit(True).alias("asked"))
-    cells = target.unionByName(asked).join(sets, "id")
+    target = targets.join(cells, ["cluster", "level"]).select("cluster", "level", part("nt", "t").alias("t"), every("na").alias("q"), "id", "own", F.lit(False).alias("asked"))
+    asks = asked.join(cells, ["cluster", "level"]).select("cluster", "level", every("nt").alias("t"), part("na", "q").alias("q"), "id", "own", F.lit(True).alias("asked"))
+    cells = target.unionByName(asks).join(sets, "id")
 
     def links(group: pa.Table) -> pa.Table:
         ids, own, asks = group["id"].to_numpy(), group["own"].to_numpy(), group["asked"].to_numpy()
@@ -237,7 +245,7 @@ def remaining_links(rows: DataFrame, sets: DataFrame, percent: int, block: int =
                     b.append(max(ids[x], ids[y]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return cells.groupBy("cluster", "t", "q").applyInArrow(links, "a long, b long").distinct()
+    return cells.groupBy("cluster", "level", "t", "q").applyInArrow(links, "a long, b long").distinct()
 
 
 def near_dedup(
@@ -286,7 +294,7 @@ def near_dedup(
     roots = joined(roots, confirm(apart, sets, percent))
     pivots = pivot_pairs(open_regions(crowded, roots, near)).join(pairs, ["a", "b"], "left_anti")
     roots = joined(roots, confirm(pivots, sets, percent))
-    roots = joined(roots, remaining_links(open_regions(crowded, roots, near), sets, percent))
+    roots = joined(roots, remaining_links(open_regions(crowded, roots, near), reps, sets, percent))
 
     whole = reps.select("key", "id").join(roots, F.col("id") == F.col("node"), "left").select("key", F.col("id").alias("rep"), F.coalesce("root", "id").alias("root"))
     # Written, so that both sides of the join are shuffled for it alone and a large component's rows can be split.

@@ -20,8 +20,10 @@ def ring_nodes(shards: int, nodes: int, cells: int) -> list[tuple[int, int]]:
 def place_cells(loads: dict[int, int], shards: int, nodes: int, cells: int, slack: float) -> dict[int, int]:
     """The shard of each cell. A cell walks clockwise from its own place to the first virtual node whose shard has room.
 
-    No shard holds more than (1 + slack) times the mean. Cells come heaviest first, so that the light ones fill what
-    is left; one that fits nowhere goes to the emptiest shard. A cell whose home shard has room does not move.
+    A shard has room up to (1 + slack) times the mean. Cells come heaviest first, so that the light ones fill what is
+    left; one that fits nowhere goes to the emptiest shard, which holds no more than the mean. So no shard ever holds more
+    than (1 + slack) times the mean or the mean and the heaviest cell, whichever is more. A cell whose home shard has
+    room does not move.
     """
     ring = ring_nodes(shards, nodes, cells)
     starts = [c for c, _ in ring]
@@ -52,33 +54,36 @@ def ring_shards(
     nodes: int = 128,
     cells: int = 65536,
     slack: float = 0.0002,
+    hot: int = 128,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """One row per document: id_col, size, text_crc32, cell, shard, slot.
 
-    A document's place on the ring is a hash of its id and text, one of ``cells`` places. Loads are summed by place
-    (a table whose size is fixed by ``cells``, whatever the input), the driver walks those sums clockwise to shards
-    with room, and each row looks its place up in the broadcast of that same fixed-size table. slot is the row's
-    gapless number in its shard, in order of id, from a range partitioning.
+    A document's place on the ring is a hash of its text, one of ``cells`` places, so equal texts go to one shard. Only
+    a text whose copies weigh more than 1 / ``hot`` of a shard's mean is spread: its rows are dealt by id over as many
+    places as keep each under that weight; there are fewer than ``hot`` * ``shards`` such texts, whatever the input.
+    Loads are summed by place (a table whose size is fixed by ``cells``), the driver walks those sums clockwise
+    to shards with room (``place_cells``, with the bound it keeps), and each row looks its place up in the broadcast of
+    that same fixed-size table. slot is the row's gapless number in its shard, in order of id, from a range partitioning.
 
     Size is the text's UTF-8 bytes plus 1, a null text counting as empty. Rows equal in id and text share a place, so
-    go to one shard; null ids are placed by their text. Empty tables give empty results; other columns are ignored.
+    go to one shard; null ids are one id. Empty tables give empty results; other columns are ignored, whatever their names.
     """
     spark: SparkSession = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = materialize(
-        docs.select(
-            F.col(id_col).alias("_id"),
-            (F.octet_length(text) + 1).cast("long").alias("size"),
-            F.crc32(text).alias("text_crc32"),
-            F.pmod(F.xxhash64(F.col(id_col), text), F.lit(cells)).cast("int").alias("cell"),
-        ),
-        "shard",
+        docs.select(F.col(id_col).alias("_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("text")), "shard"
     )
-    loads = {r["cell"]: r["n"] for r in slim.groupBy("cell").agg(F.sum("size").alias("n")).collect()}
+    most = (slim.agg(F.sum("size")).first()[0] or 0) / (shards * hot)
+    copies = slim.groupBy("text").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).where((F.col("bytes") > most) & (F.col("n") > 1))
+    spread = F.broadcast(copies.select(F.col("text").alias("_text"), F.ceil(F.col("bytes") / F.lit(max(most, 1.0))).alias("parts")))
+    part = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("_id"), F.col("parts")))
+    celled = slim.join(spread, F.col("text") == F.col("_text"), "left").select("_id", "size", "text_crc32", F.pmod(F.xxhash64("text", part.cast("long")), F.lit(cells)).cast("int").alias("cell"))
+    celled = materialize(celled, "cells")
+    loads = {r["cell"]: r["n"] for r in celled.groupBy("cell").agg(F.sum("size").alias("n")).collect()}
     placed = spark.createDataFrame(sorted(place_cells(loads, shards, nodes, cells, slack).items()), "cell int, shard int")
-    put = slim.join(F.broadcast(placed), "cell")
+    put = celled.join(F.broadcast(placed), "cell")
     return global_rank(put, ["shard"], ["_id", "text_crc32", "size"], "slot").select(
         F.col("_id").alias(id_col), "size", "text_crc32", "cell", "shard", "slot"
     )

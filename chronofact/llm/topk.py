@@ -9,11 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HITS = "query_id long, vec_id long, score long"
-
+from chronofact.session import partitions
 
-def quantised(vector: Column, scale: int = 64) -> Column:
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * F.lit(float(scale))).cast("long"))
+HITS = "query_id long, vec_id long, score long"
 
 
 def max_score(queries: np.ndarray, ids: np.ndarray, columns: np.ndarray, k: int, own: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -75,17 +73,19 @@ def top_k(
     is_query: Column,
     k: int = 20,
     scale: int = 64,
-    shard_rows: int = 16384,
-    query_rows: int = 4096,
+    most_rows: int = 65536,
+    least_rows: int = 4096,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of each query row, every row but its own being one.
 
     Components become floor(scale * x); the score is the integer inner product; ties go to smaller ids. Rows are cut
-    by hash into shards of about ``shard_rows`` candidates and blocks of about ``query_rows`` queries; each (block,
-    shard) is one group of bounded size, searched by ``max_score`` (64-bit integers, so scores are exact). Each shard
-    returns at most k hits a query, and these are merged.
+    by hash into shards of candidates and blocks of queries, of at most about ``most_rows`` each; each (block, shard) is
+    one group of bounded size, searched by ``max_score`` (64-bit integers, so scores are exact). Each shard returns at
+    most k hits a query, and these are merged. Each pair of rows that meet is work; what is moved for it is one vector of
+    each side for ``most_rows`` pairs: candidates once a block, queries once a shard, as they come (floats stay
+    floats). While tasks would idle, shards are cut down to ``least_rows``.
 
     Vectors that are null, empty or hold null or non-finite components take no part, nor do rows with null ids or
     with another number of components than the table's most frequent (ties: the larger). With fewer than k candidates all are
@@ -97,12 +97,12 @@ def top_k(
         vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), is_query.alias("q"))
         .where("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
         .where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))))
-        .select("id", "q", quantised(F.col("v"), scale).alias("v"))
     )
     sizes = good.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("nq")).orderBy(F.desc("n"), F.desc("dim")).first()
     dim, n, nq = (sizes["dim"], sizes["n"], sizes["nq"]) if sizes else (1, 0, 0)
     good = good.where(F.size("v") == dim)
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-nq // query_rows))
+    blocks = max(1, -(-nq // most_rows))
+    shards = max(1, -(-n // most_rows), min(partitions(spark) // blocks, -(-n // least_rows)))
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     candidates = good.select("id", "v", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int").alias("shard")).withColumn("block", every(blocks))
     asked = good.where("q").dropDuplicates(["id"]).select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")).withColumn("shard", every(shards))
@@ -111,9 +111,9 @@ def top_k(
         ids, own = right["id"].to_numpy(), left["id"].to_numpy()
         out = [(own[:0], own[:0], own[:0])]
         if len(ids) and len(own):
-            flat = lambda t: t["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
-            columns = np.ascontiguousarray(flat(right).T)
-            for q, found, score in max_score(flat(left), ids, columns, k, own):
+            whole = lambda t: np.floor(scale * t["v"].combine_chunks().flatten().to_numpy().astype(np.float64)).astype(np.int64).reshape(-1, dim)
+            columns = np.ascontiguousarray(whole(right).T)
+            for q, found, score in max_score(whole(left), ids, columns, k, own):
                 out.append((np.full(len(found), own[q]), found, score))
         return pa.table({name: np.concatenate([x[i] for x in out]).astype(np.int64) for i, name in enumerate(("query_id", "vec_id", "score"))})
 

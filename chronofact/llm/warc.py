@@ -7,11 +7,11 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronofact.session import materialize, shared_dir
@@ -73,7 +73,7 @@ def parse(data: bytes, at: int) -> tuple[dict, bytes, int]:
     return head, block, stop + 4
 
 
-def one_record(data: bytes, at: int, most: int) -> tuple[dict, bytes, int]:
+def one_record(data: bytes, at: int, most: int | None) -> tuple[dict, bytes, int]:
     """The record at ``at``, checked, and where it ends: a gzip member or plain text."""
     if data[at : at + 3] != GZIP:
         return parse(data, at)
@@ -84,7 +84,7 @@ def one_record(data: bytes, at: int, most: int) -> tuple[dict, bytes, int]:
                 raise Damaged("member is cut short")
             parts.append(reader.decompress(data[end : end + (1 << 16)]))
             size, end = size + len(parts[-1]), end + (1 << 16)
-            if size > most:
+            if most is not None and size > most:
                 raise Damaged("member is too long")
     except zlib.error as e:
         raise Damaged(f"member: {e}") from None
@@ -94,11 +94,12 @@ def one_record(data: bytes, at: int, most: int) -> tuple[dict, bytes, int]:
     return head, block, min(end, len(data)) - len(reader.unused_data)
 
 
-def salvage(data: bytes, most: int = 1 << 30) -> Iterator[tuple[str, int, int, str | None, dict, bytes]]:
+def salvage(data: bytes, most: int | None = None) -> Iterator[tuple[str, int, int, str | None, dict, bytes]]:
     """(kind, start, end, reason, headers, block) of each record and each quarantined gap, in order; they tile data.
 
     After a check fails (CRC, length, digest, header), the bytes from there on are quarantined up to the next gzip
-    member or version line that passes every check; reading goes on behind it.
+    member or version line that passes every check; reading goes on behind it. A member that unpacks to more than
+    ``most`` bytes, where given (for archives of strangers), is damage too.
     """
     at, bad, why = 0, -1, ""
     while at < len(data):
@@ -128,13 +129,18 @@ def payload_of(block: bytes) -> tuple[bytes, int | None]:
     return body, int(m[1]) if m else None
 
 
-def with_roles(pages: DataFrame, at_least: int = 0) -> DataFrame:
-    """Add _sha, _size and _keep (the id of the record that carries the payload; null where nothing is shared)."""
+def with_roles(pages: DataFrame, at_least: int = 0, digest: Callable[[Column], Column] = F.sha1) -> DataFrame:
+    """Add _sha, _size and _keep (the id of the record that carries the payload; null where nothing is shared).
+
+    Payloads are equal when SHA-256 and size are; ``digest``, the one that records state, has no part in it.
+    """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    hashed = pages.select("page_id", "url", payload.alias("payload")).withColumn("_sha", F.sha1("payload")).withColumn("_size", F.octet_length("payload").cast("long"))
-    groups = hashed.where(F.col("_size") >= at_least).groupBy("_sha", "_size").agg(F.max("page_id").alias("_keep"))
-    groups = materialize(groups, "payloads").withColumnRenamed("_sha", "_gsha").withColumnRenamed("_size", "_gsize")
-    return hashed.join(groups, (F.col("_sha") == F.col("_gsha")) & (F.col("_size") == F.col("_gsize")), "left").drop("_gsha", "_gsize")
+    hashed = pages.select("page_id", "url", payload.alias("payload")).withColumns(
+        {"_sha": digest(F.col("payload")), "_same": F.unhex(F.sha2("payload", 256)), "_size": F.octet_length("payload").cast("long")}
+    )
+    groups = hashed.where(F.col("_size") >= at_least).groupBy("_same", "_size").agg(F.max("page_id").alias("_keep"))
+    groups = materialize(groups, "payloads").withColumnRenamed("_same", "_gsame").withColumnRenamed("_size", "_gsize")
+    return hashed.join(groups, (F.col("_same") == F.col("_gsame")) & (F.col("_size") == F.col("_gsize")), "left").drop("_gsame", "_gsize", "_same")
 
 
 def write_archives(pages: DataFrame, folder: str, at_least: int = 0, roll_bytes: int = 64 << 20) -> DataFrame:
@@ -184,7 +190,7 @@ def write_archives(pages: DataFrame, folder: str, at_least: int = 0, roll_bytes:
     return materialize(rows.mapInArrow(task, "file string, records long, bytes long"), "manifest")
 
 
-def read_archives(files: DataFrame, most: int = 1 << 30) -> DataFrame:
+def read_archives(files: DataFrame, most: int | None = None) -> DataFrame:
     """Records and gaps of archives given as (path, content), as Spark's binaryFile source reads them.
 
     Columns: file, kind (record or gap), start and end in the file, reason of a gap, and of a record warc_type,

@@ -3,11 +3,14 @@
 import base64
 import random
 import re
+from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from chronofact.session import materialize
+from chronofact.llm import mixing
+from chronofact.session import ROW, keyed, materialize
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -106,3 +109,40 @@ def test_near_and_mixing_stages_take_null_and_repeated_ids_as_rows(spark):
     mixed = P.mixing_stage(spark, docs, "")
     # One source: its target is its size, so each row is taken once.
     assert mixed.columns == docs.columns and sorted(r.text for r in mixed.collect()) == sorted(t for _, t in rows)
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Extra columns that have names the operators use inside, or make, come through as they are, row by row."""
+    docs, rows = fixture(spark)
+    extra = ["_id", "_copies", "_copy", "_letters", "_row_key", "_row", "_own", "score", "lang_pred", "lang_lead", "n_lines", "removed_lines", "size", "rank", "rate", "copies", "id", "sha", "lines", "stay", "gone", "_text", "_c0", "_other0", "component_id", "kept", "key", "n", "sig", "with space", "dot.ted"]
+    wide = docs.withColumns({c: F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for c in extra})
+    for name, stage in P.STAGES:
+        narrow, docs = sorted(map(str, (r.doc_id for r in stage(spark, docs, "").collect()))), docs
+        out = materialize(stage(spark, wide, ""), "t")
+        assert sorted(str(r.doc_id) for r in out.select("doc_id").collect()) == narrow
+        if name == "packing":
+            break
+        assert out.columns == wide.columns
+        for r in out.collect():
+            assert all(r[c] == f"{c}:{r.doc_id}" for c in extra)
+        wide, docs = out, out.select(*docs.columns)
+
+
+def test_stages_take_repeated_rows_and_null_ids(spark):
+    """Each stage on repeated rows and null ids, against what plain counting says."""
+    docs, rows = fixture(spark)
+    rows = [r for r in rows if r[0] < 90]
+    odd = [rows[1]] * 3 + [(None, *rows[5][1:])] * 2 + [(None, rows[7][1] + " more", "en", "s1"), (None, None, None, None)]
+    many = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows + odd], SCHEMA)
+    count = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    assert count(P.language_stage(spark, many, "")) == Counter(r[:2] for r in rows + odd if r[1])
+    lines = count(P.line_stage(spark, many, ""))
+    assert lines[rows[1][:2]] == 0 or lines[rows[1][:2]] == 4  # rows equal in id and text are one document
+    near = count(P.near_stage(spark, many, ""))
+    assert near[rows[1][:2]] == 1 and near[(None, rows[5][1])] == 0 and near[rows[5][:2]] == 1 and near[(None, None)] == 1
+    assert all(n == 1 for n in near.values())
+    mixed = count(P.mixing_stage(spark, many, ""))
+    sample = mixing.systematic_sample(keyed(many), key_col=ROW)
+    assert sum(mixed.values()) == sample.agg(F.sum("copies")).first()[0] and all(n <= 3 * (4 if k == rows[1][:2] else 2) for k, n in mixed.items())
+    packed = P.packing_stage(spark, many, "").where("start = 0").collect()
+    assert Counter(r.doc_id for r in packed) == Counter(r[0] for r in rows + odd)
