@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronofact.functions.text import normal_name
@@ -79,9 +79,9 @@ class Collection:
     def entity_timeline(self, name: str) -> DataFrame:
         """Occurrences of a name in time order: exact ones, or those that contain it where there is none."""
         wanted = normal_name(F.lit(name))
-        m = E.mentions(self.facts).withColumn("exact", F.col("name") == wanted).where(F.col("exact") | F.col("name").contains(wanted))
-        any_exact = F.max(F.col("exact").cast("int")).over(Window.partitionBy(F.lit(1)))
-        return m.withColumn("_any", any_exact).where(F.col("exact") | (F.col("_any") == 0)).drop("_any", "exact").orderBy("video_id", "start", "fact_id")
+        m = E.mentions(self.facts)
+        exact = m.where(F.col("name") == wanted)
+        return (m.where(F.col("name").contains(wanted)) if exact.isEmpty() else exact).orderBy("video_id", "start", "fact_id")
 
     def compare(self, a: str, b: str) -> DataFrame:
         e = E.concepts(self.facts.where(F.col("video_id").isin(a, b)))

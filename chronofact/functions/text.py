@@ -6,16 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that carry no content.
-STOPWORDS = (
-    "a an the and or but of to in on for with is are was were be been this that these those it its as at by from you "
-    "we they he she them his her our your their not no yes so if then there here what when where which who how why "
-    "will would can could should shall may might do does did done have has had having let us lets now today video"
-).split()
+STOPWORDS = [
+    "a", "an", "the", "and", "or", "but", "of", "to", "in", "on", "for", "with", "is", "are", "was", "were", "be",
+    "been", "this", "that", "these", "those", "it", "its", "as", "at", "by", "from", "you", "we", "they", "he", "she",
+    "them", "his", "her", "our", "your", "their", "not", "no", "yes", "so", "if", "then", "there", "here", "what",
+    "when", "where", "which", "who", "how", "why", "will", "would", "can", "could", "should", "shall", "may", "might",
+    "do", "does", "did", "done", "have", "has", "had", "having", "let", "us", "lets", "now", "today", "video",
+]
 #: Capitalised words that name nothing.
-NAME_STOPWORDS = (
-    "The And For With From That This These Those Your Our Their Its Monday Tuesday Wednesday Thursday Friday Saturday "
-    "Sunday January February March April June July August September October November December"
-).split()
+NAME_STOPWORDS = [
+    "The", "And", "For", "With", "From", "That", "This", "These", "Those", "Your", "Our", "Their", "Its", "Monday",
+    "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday", "January", "February", "March", "April",
+    "June", "July", "August", "September", "October", "November", "December",
+]
 #: Forms of secrets, for opt-in redaction.
 SECRETS = {
     "api_key": r"\b(sk-[A-Za-z0-9]{8,}|AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{20,})\b",

@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronofact.functions.text import tokens
+from chronofact.functions.text import fold, tokens
 from chronofact.operators.intervals import interval_join, islands
+from chronofact.session import global_rank, materialize
 
 #: BM25 saturation and length weights, fusion constant, co-occurrence tolerance and boost, merge gap.
 K1, B, RRF_K, CO_TOLERANCE, CO_BOOST, MERGE_GAP = 1.2, 0.75, 60, 1.0, 0.25, 2.0
@@ -45,47 +46,51 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def bm25(indexed_facts: DataFrame, query: list[str], scope: list[str] | None = None) -> DataFrame:
+def bm25(facts: DataFrame, query: list[str], scope: list[str] | None = None, text: Column | None = None) -> DataFrame:
     """Facts that hold a query term, with score, coverage, phrase and matched.
 
-    The query's terms are few, so a fact's term counts are columns, not rows: nothing is exploded or joined by term,
-    and the statistics, one row per scope, join back. Statistics cover all facts of the scope; filter afterwards.
-    coverage is the weight of the matched terms over that of all; phrase says that the whole query stands as a run.
+    Each text (``text``, by default the fact's own) is read once: the query's terms are few, so a fact's term counts are
+    columns, found by one expression each, and no token is made into a value. What is counted is written, with a fact's
+    other columns for hits alone, and both the statistics, one row per scope, and the hits come from there. Statistics
+    cover all facts of the scope; filter afterwards. coverage is the weight of the matched terms over that of all;
+    phrase says that the whole query stands as a run.
     """
     scope = scope or []
     unique = list(dict.fromkeys(query))
-
-    def times(t: str) -> Column:
-        return F.size(F.filter("tokens", lambda x: x == t))
-
-    facts = indexed_facts.withColumns({f"_tf{i}": times(t) for i, t in enumerate(unique)})
-    counted = [F.sum((F.col(f"_tf{i}") > 0).cast("int")).alias(f"_df{i}") for i in range(len(unique))]
-    per_modality = facts.groupBy(*scope, "modality").agg(F.count(F.lit(1)).alias("_nm"), F.sum(F.size("tokens")).alias("_len"), *counted)
-    total = Window.partitionBy(*[F.col(c) for c in scope])
+    n = range(len(unique))
+    start, stop, between = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])", r"[^\p{L}\p{N}]+"
+    folded = facts.withColumn("_folded", fold(F.coalesce(F.col("text") if text is None else text, F.lit(""))))
+    times = lambda words: F.regexp_count("_folded", F.lit(start + between.join(words) + stop)) > 0
+    counts = folded.withColumns(
+        {"_len": F.regexp_count("_folded", F.lit(r"[\p{L}\p{N}]+"))} | {f"_tf{i}": F.regexp_count("_folded", F.lit(start + t + stop)) for i, t in enumerate(unique)}
+    )
+    found = reduce(lambda a, b: a | b, [F.col(f"_tf{i}") > 0 for i in n], F.lit(False))
+    phrase = found & times(query) if len(query) > 1 else F.lit(False)
+    whole = F.when(found, F.struct(*[F.col(c) for c in facts.columns])).alias("_fact")
+    keys = list(dict.fromkeys([*scope, "modality"]))
+    counted = materialize(counts.select(*[F.col(c).alias("_k_" + c) for c in keys], "_len", *[f"_tf{i}" for i in n], phrase.alias("phrase"), whole), "counted")
+    some = [F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in n]
+    per_modality = counted.groupBy(*["_k_" + c for c in keys]).agg(F.count(F.lit(1)).alias("_nm"), F.sum("_len").alias("_words"), *some)
+    total = Window.partitionBy(*["_k_" + c for c in scope])
     stats = per_modality.select(
-        *[F.col(c).alias("_s_" + c) for c in scope],
-        F.col("modality").alias("_s_modality"),
-        F.greatest(F.lit(1.0), F.col("_len") / F.col("_nm")).alias("_avgdl"),
+        *[F.col("_k_" + c).alias("_s_" + c) for c in keys],
+        F.greatest(F.lit(1.0), F.col("_words") / F.col("_nm")).alias("_avgdl"),
         F.sum("_nm").over(total).alias("_n"),
-        *[F.sum(f"_df{i}").over(total).alias(f"_df{i}") for i in range(len(unique))],
+        *[F.sum(f"_df{i}").over(total).alias(f"_df{i}") for i in n],
     )
-    on = reduce(lambda a, b: a & b, [F.col(c) == F.col("_s_" + c) for c in [*scope, "modality"]])
-    hit = facts.where(reduce(lambda a, b: a | b, [F.col(f"_tf{i}") > 0 for i in range(len(unique))], F.lit(False))).join(stats, on)
-    weight = [idf(F.col("_n"), F.col(f"_df{i}")) for i in range(len(unique))]
-    norm = K1 * (1 - B + B * F.size("tokens") / F.col("_avgdl"))
+    hit = counted.where("_fact IS NOT NULL").join(stats, reduce(lambda a, b: a & b, [F.col("_k_" + c) == F.col("_s_" + c) for c in keys]))
+    weight = [idf(F.col("_n"), F.col(f"_df{i}")) for i in n]
+    norm = K1 * (1 - B + B * F.col("_len") / F.col("_avgdl"))
     zero = F.lit(0.0)
-    score = sum((weight[i] * F.col(f"_tf{i}") * (K1 + 1) / (F.col(f"_tf{i}") + norm) for i in range(len(unique))), zero)
-    matched = sum((F.when(F.col(f"_tf{i}") > 0, weight[i]).otherwise(0.0) for i in range(len(unique))), zero)
-    spaced = F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" "))
-    phrase = spaced.contains(" " + " ".join(query) + " ") if len(query) > 1 else F.lit(False)
-    return hit.withColumns(
-        {
-            "score": F.round(score, 6),
-            "coverage": F.round(matched / sum(weight, zero), 6),
-            "phrase": phrase,
-            "matched": F.filter(F.array(*[F.when(F.col(f"_tf{i}") > 0, F.lit(t)) for i, t in enumerate(unique)]), lambda x: x.isNotNull()),
-        }
-    ).select(*indexed_facts.columns, "score", "coverage", "phrase", "matched")
+    score = sum((weight[i] * F.col(f"_tf{i}") * (K1 + 1) / (F.col(f"_tf{i}") + norm) for i in n), zero)
+    matched = sum((F.when(F.col(f"_tf{i}") > 0, weight[i]).otherwise(0.0) for i in n), zero)
+    return hit.select(
+        "_fact.*",
+        F.round(score, 6).alias("score"),
+        F.round(matched / sum(weight, zero), 6).alias("coverage"),
+        "phrase",
+        F.filter(F.array(*[F.when(F.col(f"_tf{i}") > 0, F.lit(t)) for i, t in enumerate(unique)]), lambda x: x.isNotNull()).alias("matched"),
+    )
 
 
 #: Hit order: phrase, coverage, score, then time and id.
@@ -94,9 +99,17 @@ def hit_order() -> list[Column]:
 
 
 def rrf(hits: DataFrame, scope: list[str] | None = None, k: int = RRF_K, order: list[Column] | None = None, weight: float = 1.0) -> DataFrame:
-    """Hits with their rank in their modality's list and rrf = weight / (k + rank)."""
-    w = Window.partitionBy(*(scope or []), "modality").orderBy(*(order or hit_order()))
-    return hits.withColumn("rank", F.row_number().over(w)).withColumn("rrf", F.lit(weight) / (k + F.col("rank")))
+    """Hits with their rank in their modality's list and rrf = weight / (k + rank).
+
+    Lists of a recording are bounded blocks; a collection's list may hold most facts, so its ranks come from a range
+    partitioning.
+    """
+    order = order or hit_order()
+    if scope:
+        ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy(*scope, "modality").orderBy(*order)))
+    else:
+        ranked = global_rank(hits, ["modality"], order).withColumn("rank", (F.col("rank") + 1).cast("int"))
+    return ranked.withColumn("rrf", F.lit(weight) / (k + F.col("rank")))
 
 
 def fuse(lists: list[DataFrame], key: str = "fact_id") -> DataFrame:
@@ -146,7 +159,7 @@ def search(facts: DataFrame, query: str, modalities: list[str] | None = None, st
     if not words:
         return facts.sparkSession.createDataFrame([], "video_id string, modality string, start double, end double, score double, coverage double, confidence double, ref_ids array<string>, text string, matched array<string>")
     scope = ["video_id"] if per_video else []
-    hits = bm25(indexed(facts), words, scope)
+    hits = bm25(facts, words, scope)
     if modalities is not None:
         hits = hits.where(F.col("modality").isin(*modalities))
     if start is not None:

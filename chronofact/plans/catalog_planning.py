@@ -114,9 +114,13 @@ def stream_dedup(spark, sf) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("ids"))
 
 
-@query()
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS f, event_id FROM events),
+s AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM e)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, session""")
 def stream_sessions(spark, sf) -> DataFrame:
-    return S.run_available(S.sessions(S.read_events(spark, sf), "30 minutes"))
+    """Sessions from a stream that has ended: complete mode also gives those still open at the watermark, as the batch does."""
+    found = S.run_available(S.sessions(S.read_events(spark, sf), "30 minutes"), "complete")
+    return found.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
 @query("""SELECT a.event_id AS a_id, b.event_id AS b_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 60 SECONDS""")

@@ -54,7 +54,7 @@ spans AS (SELECT video_id, modality, min("start") AS "start", max("end") AS "end
 
 
 def _hits(spark, sf, scope=None) -> DataFrame:
-    return R.bm25(R.indexed(facts(spark, sf)), WORDS, scope)
+    return R.bm25(facts(spark, sf), WORDS, scope)
 
 
 @query(rf"""WITH {FACTS_SQL}, t AS (SELECT DISTINCT fact_id, unnest(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{{L}}\p{{N}}]+')) AS term FROM facts)
@@ -62,7 +62,7 @@ SELECT term, count(*) AS df, round(ln(1 + ((SELECT count(*) FROM facts) - count(
 def idf_table(spark, sf) -> DataFrame:
     rows = R.indexed(facts(spark, sf))
     n = rows.agg(F.count(F.lit(1)).alias("n"))
-    return R.term_stats(rows, []).join(F.broadcast(n)).select("term", "df", F.round(R.idf(F.col("n"), F.col("df")), 6).alias("idf"))
+    return R.term_stats(rows, []).join(n).select("term", "df", F.round(R.idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
 @query(f"""WITH {_hits_sql('')} SELECT fact_id, score, coverage, phrase FROM hits""")
@@ -75,9 +75,9 @@ def bm25_per_video(spark, sf) -> DataFrame:
     return _hits(spark, sf, ["video_id"]).select("fact_id", "score", "coverage", "phrase")
 
 
-@query(f"""WITH {_rank_sql('')} SELECT fact_id, rank, round(rrf, 8) AS rrf FROM boosted WHERE rank <= 100""")
+@query(f"""WITH {_rank_sql('')} SELECT fact_id, rank, round(rrf, 8) AS rrf FROM boosted""")
 def rrf_fusion(spark, sf) -> DataFrame:
-    return R.rrf(_hits(spark, sf)).where("rank <= 100").select("fact_id", "rank", F.round("rrf", 8).alias("rrf"))
+    return R.rrf(_hits(spark, sf)).select("fact_id", "rank", F.round("rrf", 8).alias("rrf"))
 
 
 @query(f"""WITH {_rank_sql('')} SELECT fact_id, round(boosted, 8) AS boosted FROM boosted""")

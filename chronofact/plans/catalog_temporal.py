@@ -241,5 +241,5 @@ def text_boundaries(spark, sf) -> DataFrame:
 
 @query()
 def frame_runs(spark, sf) -> DataFrame:
-    frames = table(spark, sf, "embeddings").select(F.col("label").alias("video_id"), F.col("vec_id").alias("ts"), F.transform("embedding", lambda x: x.cast("double")).alias("signature"))
+    frames = table(spark, sf, "embeddings").select(F.concat(F.lit("v"), F.floor(F.col("vec_id") / 100)).alias("video_id"), F.col("vec_id").alias("ts"), F.transform("embedding", lambda x: x.cast("double")).alias("signature"))
     return T.frame_runs(frames, 0.5).select("video_id", "ts", "run")
