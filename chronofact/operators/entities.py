@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from chronofact.functions.text import candidate_names, normal_name
 from chronofact.operators.intervals import interval_join
+from chronofact.session import materialize
 
 #: Seconds between linked mentions, entities kept for a recording, confidences.
 LINK_TOLERANCE, MAX_ENTITIES = 1.0, 200
@@ -21,9 +22,13 @@ def mentions(facts: DataFrame) -> DataFrame:
 
 
 def concepts(facts: DataFrame) -> DataFrame:
-    """Concept entities: occurrences of one name; linked across modalities within a second 0.85, else three or more
-    occurrences 0.6 and two 0.5, both ambiguous; single mentions are none. The display is the longest surface."""
-    m = mentions(facts)
+    """Concept entities: occurrences of one name; see ``rolled_up``."""
+    return rolled_up(mentions(facts))
+
+
+def rolled_up(m: DataFrame) -> DataFrame:
+    """Entities of mentions: linked across modalities within a second 0.85, else three or more occurrences 0.6 and two
+    0.5, both ambiguous; single mentions are none. The display is the longest surface."""
     slim = m.select("video_id", "name", "modality", "start", "end")
     names = slim.groupBy("video_id", "name").agg(F.count_distinct("modality").alias("k")).where("k > 1").select("video_id", "name")
     both = slim.join(names, ["video_id", "name"], "left_semi")
@@ -44,6 +49,53 @@ def concepts(facts: DataFrame) -> DataFrame:
     )
 
 
+def merged(m: DataFrame, similarity: float | None = None) -> DataFrame:
+    """Mentions whose names name one thing, under the least of these names.
+
+    Names of a recording merge when they share a word of four letters or, with ``similarity``, are that alike, and some of
+    their mentions lie within a second of each other; merging carries over. Pairs are found by word, time and
+    recording, so none is formed that does not share these.
+    """
+    slim = m.select("video_id", "name", "start", "end")
+    words = slim.withColumn("word", F.explode(F.array_distinct(F.filter(F.split("name", " "), lambda w: F.length(w) >= 4)))).distinct()
+    near = interval_join(words, words, ["video_id", "word"], 60.0, LINK_TOLERANCE).where("l_name < r_name")
+    pairs = near.select(F.col("l_video_id").alias("video_id"), F.col("l_name").alias("a"), F.col("r_name").alias("b")).distinct()
+    if similarity is not None:
+        alike = similar_names(m.select("video_id", "name").distinct(), similarity, shared=False).select("video_id", "a", "b")
+        sides = alike.join(slim.select("video_id", F.col("name").alias("a"), "start", "end"), ["video_id", "a"])
+        close = interval_join(sides, slim, ["video_id"], 60.0, LINK_TOLERANCE).where("l_b = r_name")
+        pairs = pairs.union(close.select(F.col("l_video_id").alias("video_id"), F.col("l_a").alias("a"), F.col("l_b").alias("b")).distinct()).distinct()
+    return m.join(least_names(pairs), ["video_id", "name"], "left").withColumn("name", F.coalesce("least", "name")).drop("least")
+
+
+def least_names(pairs: DataFrame) -> DataFrame:
+    """(video_id, name, least): the least name that pairs (video_id, a, b) connect a name with, by repeated minima.
+
+    Every round takes the least of the neighbours' and of what those point at, so chains halve; rounds are written.
+    """
+    both = materialize(pairs.select("video_id", "a", "b").union(pairs.select("video_id", "b", "a")), "pairs")
+    now = materialize(both.groupBy("video_id", F.col("a").alias("name")).agg(F.least(F.min("a"), F.min("b")).alias("least")), "least")
+    while True:
+        far = both.join(now, (both["video_id"] == now["video_id"]) & (both["b"] == now["name"])).select(both["video_id"], F.col("a").alias("name"), "least")
+        hop = now.alias("x").join(now.alias("y"), (F.col("x.video_id") == F.col("y.video_id")) & (F.col("x.least") == F.col("y.name"))).select("x.video_id", "x.name", "y.least")
+        new = materialize(now.union(far).union(hop).groupBy("video_id", "name").agg(F.min("least").alias("least")), "least")
+        if new.join(now, ["video_id", "name", "least"], "left_anti").isEmpty():
+            return new
+        now = new
+
+
+def typed_entities(facts: DataFrame, rule_events: DataFrame, similarity: float | None = None) -> DataFrame:
+    """(video_id, type, name, occurrences, first_seen, last_seen, confidence, ambiguous): an ERROR for each error shown, a
+    COMMAND for each command entered, and the CONCEPTs of merged mentions."""
+    kind = F.when(F.col("type") == "error_shown", "ERROR").when(F.col("type") == "command_entered", "COMMAND")
+    events = rule_events.withColumn("kind", kind).where("kind IS NOT NULL AND detail IS NOT NULL").select(
+        "video_id", F.col("kind").alias("type"), F.substring("detail", 1, 80).alias("name"), F.lit(1).cast("long").alias("occurrences"), F.col("start").alias("first_seen"), F.col("end").alias("last_seen"),
+        F.when(F.col("kind") == "ERROR", 0.7).otherwise(0.85).alias("confidence"), F.lit(False).alias("ambiguous"),
+    )
+    named = rolled_up(merged(mentions(facts), similarity))
+    return events.unionByName(named.select("video_id", F.lit("CONCEPT").alias("type"), "name", "occurrences", "first_seen", "last_seen", "confidence", "ambiguous"))
+
+
 def top_entities(entities: DataFrame, most: int = MAX_ENTITIES) -> DataFrame:
     """The first ``most`` entities of each recording by confidence, then the latest first seen."""
     w = Window.partitionBy("video_id").orderBy(F.desc("confidence"), F.desc("first_seen"), "name")
@@ -56,10 +108,11 @@ def with_aliases(m: DataFrame, aliases: DataFrame) -> DataFrame:
     return m.join(known, "name", "left").withColumn("name", F.coalesce(normal_name(F.col("canonical")), "name")).drop("canonical")
 
 
-def similar_names(entities: DataFrame, least: float = 0.88) -> DataFrame:
+def similar_names(entities: DataFrame, least: float = 0.88, shared: bool = True) -> DataFrame:
     """Pairs of names of one recording that share a word of four letters and whose Ratcliff-Obershelp ratio is >= least.
 
-    The shared word is the join key; the ratio, which SQL lacks, runs on those pairs in Arrow batches.
+    The shared word is the join key; the ratio, which SQL lacks, runs on those pairs in Arrow batches. Without ``shared``
+    names that share the first letter of any word are compared, all within one recording.
     """
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -67,7 +120,9 @@ def similar_names(entities: DataFrame, least: float = 0.88) -> DataFrame:
 
         return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    words = entities.select("video_id", "name", F.explode(F.array_distinct(F.filter(F.split("name", " "), lambda w: F.length(w) >= 4))).alias("word"))
+    parts = F.split("name", " ")
+    keys = F.filter(parts, lambda w: F.length(w) >= 4) if shared else F.transform(parts, lambda w: F.substring(w, 1, 1))
+    words = entities.select("video_id", "name", F.explode(F.array_distinct(keys)).alias("word"))
     pairs = words.alias("a").join(words.alias("b"), ["video_id", "word"]).where("a.name < b.name").select("video_id", F.col("a.name").alias("a"), F.col("b.name").alias("b")).distinct()
     short, long = F.least(F.length("a"), F.length("b")), F.greatest(F.length("a"), F.length("b"))
     return pairs.where(short >= 0.5 * long).withColumn("ratio", ratio("a", "b")).where(F.col("ratio") >= least)

@@ -74,7 +74,36 @@ def change_points(regions: DataFrame, facts: DataFrame) -> DataFrame:
         .when(~F.col("speech") & F.col("_s"), "speech_ended")
         .otherwise("scene_transition")
     )
-    return rows.select("video_id", F.col("start").alias("ts"), kind.alias("change_type"))
+    return rows.select("video_id", F.col("start").alias("ts"), kind.alias("change_type"), F.col("end").alias("region_end"))
+
+
+def screen_timeline(states: DataFrame, changes: DataFrame) -> DataFrame:
+    """(video_id, ts, kind, label, place): a recording's states and what broke them, in order of time, changes first."""
+    label = F.concat_ws(" + ", F.slice(F.split("evidence_ids", ","), 1, 2))
+    rows = states.select("video_id", F.col("start").alias("ts"), F.lit("state").alias("kind"), label.alias("label")).unionByName(
+        changes.select("video_id", "ts", F.lit("change").alias("kind"), F.col("change_type").alias("label"))
+    )
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("video_id").orderBy("ts", "kind", "label")))
+
+
+def structure(chapters: DataFrame, changes: DataFrame, states: DataFrame) -> DataFrame:
+    """(video_id, chapters, changes, states): how many of each a recording has."""
+    marks = [x.select("video_id", F.lit(n).alias("of")) for n, x in (("chapters", chapters), ("changes", changes), ("states", states))]
+    every = marks[0].union(marks[1]).union(marks[2])
+    return every.groupBy("video_id").agg(*[F.count_if(F.col("of") == n).alias(n) for n in ("chapters", "changes", "states")])
+
+
+def run_metrics(frames: DataFrame, plan: DataFrame, times: DataFrame) -> DataFrame:
+    """(video_id, realtime_factor, frames_sampled, frames_skipped): seconds of work over seconds recorded, to four significant
+    digits, frames taken, and those planned but not taken (never under 0)."""
+    taken = frames.groupBy("video_id").agg(F.count_distinct("ts").alias("n"))
+    planned = plan.groupBy("video_id").agg(F.sum(F.ceil((F.col("end") - F.col("start")) * F.col("fps"))).alias("p"))
+    raw = F.col("seconds") / F.col("duration")
+    digits = F.lit(3) - F.floor(F.log10(raw)).cast("int")
+    factor = F.when(F.col("duration") > 0, F.when(raw > 0, F.round(raw * F.pow(F.lit(10.0), digits)) / F.pow(F.lit(10.0), digits)).otherwise(0.0))
+    rows = times.join(taken, "video_id", "left").join(planned, "video_id", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    return rows.select("video_id", factor.alias("realtime_factor"), zero("n").alias("frames_sampled"), F.greatest(F.lit(0).cast("long"), zero("p") - zero("n")).alias("frames_skipped"))
 
 
 def tile_chapters(durations: DataFrame, target: float = 300.0, most: int = 12) -> DataFrame:

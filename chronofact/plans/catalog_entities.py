@@ -78,7 +78,7 @@ def compare(spark, sf) -> DataFrame:
 
 @query()
 def similar_names(spark, sf) -> DataFrame:
-    return E.similar_names(E.concepts(facts(spark, sf))).select("video_id", "a", "b", F.round("ratio", 6).alias("ratio"))
+    return E.similar_names(E.concepts(facts(spark, sf)), 0.75, shared=False).select("video_id", "a", "b", F.round("ratio", 6).alias("ratio"))
 
 
 EDGES = """ev AS (SELECT *, lead(fact_id) OVER w AS nx, lead("start") OVER w AS ns, lead("end") OVER w AS ne FROM facts WHERE modality = 'events' WINDOW w AS (PARTITION BY video_id ORDER BY "start", "end", fact_id)),
@@ -115,17 +115,17 @@ def graph_reachable(spark, sf) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {FACTS_SQL}, {EDGES}, u AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
-r AS (SELECT 'v0/evt_3' AS id, 0 AS hops UNION SELECT u.b, hops + 1 FROM r JOIN u ON u.a = r.id WHERE hops < 4) SELECT 'v0/evt_3' AS src, 'v0/evt_50' AS dst, min(hops) AS hops FROM r WHERE id = 'v0/evt_50'""")
+r AS (SELECT 'v0/evt_3' AS id, 0 AS hops UNION SELECT u.b, hops + 1 FROM r JOIN u ON u.a = r.id WHERE hops < 4) SELECT 'v0/evt_3' AS src, 'v0/evt_20' AS dst, min(hops) AS hops FROM r WHERE id = 'v0/evt_20'""")
 def graph_path(spark, sf) -> DataFrame:
-    return G.shortest_hops(_edges(spark, sf), "v0/evt_3", "v0/evt_50")
+    return G.shortest_hops(_edges(spark, sf), "v0/evt_3", "v0/evt_20")
 
 
-@query(f"""WITH {FACTS_SQL}, {EDGES} SELECT DISTINCT e.dst AS origin, e.src AS id FROM edges e WHERE relation = 'SUPPORTS' AND e.dst LIKE 'v1/%'""")
-def supporting_evidence(spark, sf) -> DataFrame:
-    """Observed facts one SUPPORTS step from each event of a recording."""
-    edges = _edges(spark, sf).where(F.col("dst").startswith("v1/"))
-    events = facts(spark, sf, "events").where("video_id = 'v1'").select(F.concat("video_id", F.lit("/"), "fact_id").alias("origin")).withColumn("id", F.col("origin"))
-    return G.reachable(edges, events, 1, ["SUPPORTS"]).where("hops = 1").select("origin", "id")
+@query(f"""WITH RECURSIVE {FACTS_SQL}, {EDGES}, u AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
+r AS (SELECT 'v0/evt_3' AS id, ['v0/evt_3'] AS path UNION SELECT u.b, list_append(path, u.b) FROM r JOIN u ON u.a = r.id WHERE len(path) < 5 AND NOT list_contains(path, u.b) AND r.id <> 'v0/evt_20'),
+p AS (SELECT path FROM r WHERE id = 'v0/evt_20' ORDER BY len(path), path LIMIT 1) SELECT CAST(i AS INT) AS hop, path[i] AS a, path[i + 1] AS b FROM p, unnest(range(1, len(path))) t(i)""")
+def graph_path_steps(spark, sf) -> DataFrame:
+    """The steps of the shortest path between two facts."""
+    return G.shortest_path(_edges(spark, sf), "v0/evt_3", "v0/evt_20")
 
 
 @query(f"""WITH {FACTS_SQL}, {MENTIONS}, {ENTITIES} SELECT video_id || '/entity/' || name AS src, nx || '/entity/' || name AS dst FROM (SELECT video_id, name, lead(video_id) OVER (PARTITION BY name ORDER BY video_id) AS nx FROM entities) WHERE nx IS NOT NULL""")

@@ -56,7 +56,7 @@ def intent_table(spark, sf) -> DataFrame:
 
 @query()
 def temporal_question(spark, sf) -> DataFrame:
-    return run_temporal(facts(spark, sf), "what happened before the error")[1]
+    return run_temporal(facts(spark, sf), "what happened after the error")[1]
 
 
 _DIMS = {"style": cues.STYLE, "typography": cues.TYPOGRAPHY, "layout": cues.LAYOUT, "interaction": cues.INTERACTION, "motion": cues.MOTION}

@@ -163,9 +163,9 @@ def window_merge(spark, sf) -> DataFrame:
 
 @query()
 def change_detection(spark, sf) -> DataFrame:
-    """Changes between neighbouring scenes; held against plain Python in the tests."""
+    """Changes between neighbouring scenes."""
     regions = scenes(spark, sf).withColumn("region", F.row_number().over(Window.partitionBy("video_id").orderBy("start", "end")) - 1)
-    return T.change_points(regions, facts(spark, sf))
+    return T.change_points(regions, facts(spark, sf)).drop("region_end")
 
 
 @query(f"""WITH {FACTS_SQL}, {DUR}, n AS (SELECT video_id, duration, CAST(greatest(1, least(12, round_even(duration / 300, 0))) AS INT) AS n FROM dur WHERE duration > 0)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofact.plans import catalog_entities, catalog_facts, catalog_links, catalog_planning, catalog_retrieval, catalog_temporal
+from chronofact.plans import catalog_entities, catalog_facts, catalog_links, catalog_more, catalog_planning, catalog_retrieval, catalog_temporal
 
-MODULES = [catalog_facts, catalog_temporal, catalog_retrieval, catalog_entities, catalog_links, catalog_planning]
+MODULES = [catalog_facts, catalog_temporal, catalog_retrieval, catalog_entities, catalog_links, catalog_planning, catalog_more]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,4 +21,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for m in MODULES for k, s in m.SQL.items()}
+    return catalog_more.FOLDS | {k: s for m in MODULES for k, s in m.SQL.items()}

@@ -5,7 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from chronofact.functions.scalars import language_tag, layout_signature
+from chronofact.operators import boundaries as B
 from chronofact.operators import compression as C
+from chronofact.operators import context as X
 from chronofact.operators import entities as E
 from chronofact.operators import graph as G
 from chronofact.operators import packaging as P
@@ -289,3 +292,79 @@ def test_tasks(spark):
     rows = spark.createDataFrame([("summarize this",), ("recreate this visual style",), ("xyz",)], "text string")
     got = {r.text: (r.task, r.confidence) for r in U.classify_tasks(rows).collect()}
     assert got["summarize this"] == ("summary", 0.2) and got["xyz"] == ("global_understanding", 0.3) and got["recreate this visual style"][0] == "design_analysis"
+
+
+def test_names_merge_by_shared_word_and_moment(spark):
+    rows = [
+        ("v", "ocr", "a", 0.0, 5.0, "Stripe Dashboard"), ("v", "transcript", "b", 4.0, 6.0, "Stripe Dashboard Export"), ("v", "ocr", "c", 6.5, 7.0, "Export Wizard"),
+        ("v", "ocr", "d", 50.0, 51.0, "Stripe Account"), ("v", "ocr", "e", 0.0, 1.0, "Api Key"), ("v", "ocr", "f", 0.0, 1.0, "Api Log"), ("w", "ocr", "g", 0.0, 1.0, "Stripe Dashboard"),
+    ]
+    m = E.mentions(spark.createDataFrame(rows, "video_id string, modality string, fact_id string, start double, end double, text string"))
+    got = {(r.video_id, r.surface): r.name for r in E.merged(m).collect()}
+    assert got["v", "Stripe Dashboard"] == got["v", "Stripe Dashboard Export"] == got["v", "Export Wizard"] == "export wizard"
+    assert got["v", "Stripe Account"] == "stripe account"  # too far in time
+    assert got["v", "Api Key"] == "api key" and got["v", "Api Log"] == "api log"  # their word is too short
+    assert got["w", "Stripe Dashboard"] == "stripe dashboard"
+    entity = E.rolled_up(E.merged(m)).where("name = 'export wizard'").first()
+    assert entity.display == "Stripe Dashboard Export" and entity.occurrences == 3 and entity.confidence == 0.85 and not entity.ambiguous
+    assert E.merged(m.limit(0)).count() == 0
+    close = [("v", "ocr", "a", 0.0, 5.0, "Postgres"), ("v", "ocr", "b", 4.0, 6.0, "Postgress"), ("v", "ocr", "c", 90.0, 96.0, "Postgred")]
+    p = E.mentions(spark.createDataFrame(close, "video_id string, modality string, fact_id string, start double, end double, text string"))
+    assert sorted(r.name for r in E.merged(p, 0.9).collect()) == ["postgred", "postgres", "postgres"]
+
+
+def test_close_boundaries_are_decided(spark):
+    def kept(cuts, duration=20.0):
+        rows = [("v", float(t), float(s), sig, duration) for t, s, sig in cuts]
+        out = B.boundary_spans(B.arbitrated(spark.createDataFrame(rows, "video_id string, ts double, score double, signal string, duration double")))
+        return [(r.start, r.end, r.score, r.signals) for r in out.orderBy("start").collect()]
+
+    assert kept([(5, 0.5, "cut")]) == [(0.0, 5.0, None, "start"), (5.0, 20.0, 0.5, "cut")]
+    assert kept([(5, 0.5, "a"), (5.04, 0.7, "b")])[1] == (5.0, 20.0, 0.7, "a+b")  # one instant
+    assert kept([(5, 0.95, "a"), (5.9, 0.92, "a")])[1] == (5.9, 20.0, 0.92, "a+flash")  # a flash: the later
+    assert kept([(5, 0.5, "a"), (5.9, 0.6, "a")])[1] == (5.9, 20.0, 0.6, "a")
+    assert kept([(5, 0.6, "a"), (5.9, 0.6, "a")])[1] == (5.0, 20.0, 0.6, "a")  # ties: the earlier
+    assert kept([(0, 1.0, "a"), (25, 1.0, "a")]) == [(0.0, 20.0, None, "start")]
+    many = [("v", float(i), i / 100, "a") for i in range(1, 20)] + [("v", 30.0, 0.9, "b")]
+    found = B.budgeted(spark.createDataFrame(many, "video_id string, ts double, score double, signal string"), spark.createDataFrame([("v", 60.0)], "video_id string, duration double"))
+    assert sorted(r.ts for r in found.collect()) == [17.0, 18.0, 19.0, 30.0]
+
+
+def test_windows_of_one_rate_join_and_cuts_spare_sentences(spark):
+    rows = [("v", 0.0, 2.0, 1.0, "a"), ("v", 2.5, 4.0, 1.0, "b"), ("v", 4.0, 5.0, 2.0, "a"), ("v", 5.0, 6.0, 1.0, "a"), ("v", 8.0, 9.0, 1.0, "a")]
+    got = B.same_rate_windows(spark.createDataFrame(rows, "video_id string, start double, end double, fps double, reason string")).orderBy("start").collect()
+    assert [(r.start, r.end, r.fps, r.reason) for r in got] == [(0.0, 4.0, 1.0, "mixed"), (4.0, 5.0, 2.0, "a"), (5.0, 6.0, 1.0, "a"), (8.0, 9.0, 1.0, "a")]
+    scenes = spark.createDataFrame([("v", 0.0, 100.0)], "video_id string, start double, end double")
+    said = spark.createDataFrame([("v", "a", 0.0, 48.0), ("v", "b", 52.0, 90.0)], "video_id string, fact_id string, start double, end double")
+    cut = lambda longest: [(r.start, r.end) for r in B.snapped_segments(scenes, said, longest).orderBy("start").collect()]
+    assert cut(50.0) == [(0.0, 50.0), (50.0, 100.0)] and cut(100.0) == [(0.0, 100.0)]
+    assert cut(49.0) == [(0.0, 100 / 3), (100 / 3, 200 / 3), (200 / 3, 100.0)]
+    near = spark.createDataFrame([("v", "a", 0.0, 47.0), ("v", "b", 50.0, 90.0)], "video_id string, fact_id string, start double, end double")
+    assert [r.start for r in B.snapped_segments(scenes, near, 50.0).orderBy("start").collect()] == [0.0, 48.5]
+
+
+def test_frames_and_budgets_of_context(spark):
+    frames = spark.createDataFrame([("v", "f1", 0.0, "scene_change"), ("v", "f2", 3.0, "keyframe"), ("v", "f3", 9.0, "motion"), ("v", "f4", 30.0, "other")], "video_id string, frame_id string, ts double, reason string")
+    shown = spark.createDataFrame([("v", "ocr", 2.0, 4.0, "The login error"), ("v", "vision", 8.0, 9.0, "a login page")], "video_id string, modality string, start double, end double, text string")
+    scored = X.frame_scores(frames, shown, "login error of")
+    assert {r.frame_id: r.score for r in scored.collect()} == {"f1": 10, "f2": 12, "f3": 10, "f4": 0}
+    assert [(r.frame_id, r["rank"]) for r in X.representative_frames(scored).orderBy("rank").collect()] == [("f2", 1), ("f3", 2), ("f4", 3)]
+    assert [r.frame_id for r in X.representative_frames(scored, 1).collect()] == ["f2"]
+    spans = spark.createDataFrame([("v", i, "x" * 400) for i in range(1, 7)], "video_id string, rank int, text string")
+    held = lambda budget: X.select_context(spans, X.representative_frames(scored), budget).first()
+    for budget, want in ((2000, (6, 3)), (1000, (3, 3)), (500, (3, 0)), (100, (0, 0))):
+        assert (held(budget).spans, held(budget).frames) == want
+    assert held(2000).notes == "" and held(1000).notes == "spans 6 to 3"
+
+
+def test_paths_language_tags_and_layouts(spark):
+    edges = spark.createDataFrame([("a", "b"), ("c", "b"), ("c", "d"), ("a", "e"), ("e", "d"), ("x", "y")], "src string, dst string").withColumns({"relation": F.lit("R"), "confidence": F.lit(1.0)})
+    assert [tuple(r) for r in G.shortest_path(edges, "a", "d").orderBy("hop").collect()] == [(1, "a", "e"), (2, "e", "d")]
+    assert G.shortest_path(edges, "a", "x").count() == 0 and G.shortest_path(edges, "a", "d", 1).count() == 0
+    proof = spark.createDataFrame([("D1", "D2"), ("D2", "D3"), ("D3", "o1"), ("o1", "D9"), ("D1", "o2"), ("D3", "D4"), ("D4", "o4")], "src string, dst string").withColumn("relation", F.lit("SUPPORTS"))
+    found = {(r.origin, r.id) for r in G.evidence_of(proof, lambda c: c.startswith("D")).collect()}
+    assert {i for o, i in found if o == "D1"} == {"o1", "o2"} and {i for o, i in found if o == "D9"} == {"o1"} and {i for o, i in found if o == "D3"} == {"o1", "o2", "o4"}
+    tag = lambda *codes: spark.range(1).select(language_tag(F.array(*map(F.lit, codes))).alias("t")).first().t
+    assert [tag("eng"), tag("eng", "hin"), tag("chi_sim_vert"), tag("osd", "DEU"), tag("osd"), tag("xyz")] == ["en", None, "zh-Hans", "de", None, "xyz"]
+    e = spark.createDataFrame([([(0.0, 0.0, 0.2, 0.2, "a"), (900.0, 900.0, 1000.0, 1000.0, "b"), (None, None, None, None, "x" * 45)],)], "e array<struct<x1:double,y1:double,x2:double,y2:double,text:string>>")
+    assert e.select(layout_signature(F.col("e")).alias("s")).first().s == "3:00,22,L2"
