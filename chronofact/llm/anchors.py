@@ -6,7 +6,7 @@ import numpy as np
 
 from chronofact.llm.shingles import mixed, powers
 
-GRAM = 64
+GRAM = 32
 _PLACE_BITS = 22
 
 
@@ -25,7 +25,7 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 def segments(data: bytes, starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first, count, anchor place, anchor hash) of the runs of windows of ``length`` bytes that share an anchor, windows in one text.
 
-    data holds texts from starts to ends. A window's anchor is its 64-byte gram of least hash, the first of equals:
+    data holds texts from starts to ends. A window's anchor is its 32-byte gram of least hash, the first of equals:
     windows equal in bytes have equal anchors at equal places. Consecutive windows of a text with the same anchor are
     one run, of windows starting at first, ..., first + count - 1. A run's windows lie in first .. first + count - 1 + length.
     """
