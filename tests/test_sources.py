@@ -118,7 +118,12 @@ def test_shared_folder_is_the_sessions_or_one_of_our_own(spark):
 
     class Unset:
         conf = type("C", (), {"get": staticmethod(lambda key, default=None: default)})
-        sparkContext = type("S", (), {"applicationId": "app-1"})
+        sparkContext = type("S", (), {"applicationId": "app-1", "master": "local[2]"})
+
+    class OnCluster(Unset):
+        sparkContext = type("S", (), {"applicationId": "app-2", "master": "spark://host:7077"})
 
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert shared_dir(Unset) == shared_dir(Unset) and shared_dir(Unset).startswith("file:///")
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(OnCluster)
