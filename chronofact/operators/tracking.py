@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -20,6 +21,24 @@ def similarity(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
+def grams(text: str) -> list[Counter]:
+    """How often each string of one, two and three characters stands in the text."""
+    return [Counter(text[i : i + n] for i in range(len(text) - n + 1)) for n in (1, 2, 3)]
+
+
+def may_reach(a: str, b: str, of_a: list[Counter], of_b: list[Counter], least: float) -> bool:
+    """False only where ``similarity(a, b)`` is surely under ``least``: a test without alignment.
+
+    Let m characters match, in blocks with an unmatched character between any two: of both texts' s characters s - 2m
+    are unmatched, so there are at most s - 2m + 1 blocks, and a block of k characters shares k - n + 1 strings of n
+    characters. Hence m <= (shared + (n - 1) * (s + 1)) / (2n - 1), and the ratio is 2m / s.
+    """
+    s = len(a) + len(b)
+    if 2 * min(len(a), len(b)) < least * s - 1e-9:
+        return False
+    return all(2 * ((x & y).total() + (n - 1) * (s + 1)) / (2 * n - 1) >= least * s - 1e-9 for n, (x, y) in enumerate(zip(of_a, of_b, strict=True), 1))
+
+
 def _overlap(p: tuple, q: tuple) -> float:
     if any(v is None or v != v for v in (*p, *q)):
         return 1.0
@@ -51,21 +70,24 @@ def text_tracks(observations: DataFrame, frames: DataFrame, durations: DataFrame
             live = [k for k in live if t - k["last"] <= max_gap]
             if t not in by:
                 continue
-            new = [(" ".join(r.text.lower().split()), r.text, r.confidence, (r.x1, r.y1, r.x2, r.y2)) for r in by[t].itertuples()]
-            pairs = sorted(
-                ((s, o, i, j) for i, k in enumerate(live) for j, n in enumerate(new) if (s := similarity(k["norm"], n[0])) >= least and (o := _overlap(k["box"], n[3])) >= box),
-                key=lambda p: (-p[0], -p[1], p[2], p[3]),
+            new = [(norm := " ".join(r.text.lower().split()), r.text, r.confidence, (r.x1, r.y1, r.x2, r.y2), grams(norm)) for r in by[t].itertuples()]
+            near = (
+                (i, j, k["norm"], n[0], o)
+                for i, k in enumerate(live)
+                for j, n in enumerate(new)
+                if (k["norm"] == n[0] or may_reach(k["norm"], n[0], k["grams"], n[4], least)) and (o := _overlap(k["box"], n[3])) >= box
             )
+            pairs = sorted(((s, o, i, j) for i, j, a, b, o in near if (s := similarity(a, b)) >= least), key=lambda p: (-p[0], -p[1], p[2], p[3]))
             used_i, used_j = set(), set()
             for _, _, i, j in pairs:
                 if i not in used_i and j not in used_j:
                     used_i.add(i)
                     used_j.add(j)
                     live[i]["seen"].append((new[j][2], new[j][1], t))
-                    live[i] |= {"norm": new[j][0], "box": new[j][3], "last": t}
+                    live[i] |= {"norm": new[j][0], "grams": new[j][4], "box": new[j][3], "last": t}
             for j, n in enumerate(new):
                 if j not in used_j:
-                    live.append({"norm": n[0], "box": n[3], "first": t, "last": t, "seen": [(n[2], n[1], t)]})
+                    live.append({"norm": n[0], "grams": n[4], "box": n[3], "first": t, "last": t, "seen": [(n[2], n[1], t)]})
         out = []
         for k in done + live:
             later = [t for t in times if t > k["last"]]

@@ -1,6 +1,7 @@
 """Truth tables of the scalar functions."""
 
 import math
+import random
 from difflib import SequenceMatcher
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from chronofact.functions import scalars as S
 from chronofact.functions import text as X
 from chronofact.functions.timecode import format_span, format_timecode, parse_timecode
-from chronofact.operators.tracking import similarity
+from chronofact.operators.tracking import grams, may_reach, similarity
 from chronofact.sources.adapters import SourceError, adapter_for, blocked_address, resolve_redirect, validate_url
 
 
@@ -128,3 +129,17 @@ def test_allowed_addresses_and_adapters():
 def test_similarity():
     assert similarity("abc", "abc") == 1.0 and similarity("ab", "abcde") == 0.0
     assert similarity("hello world", "hello word") == SequenceMatcher(None, "hello world", "hello word").ratio()
+
+
+def test_may_reach_loses_no_pair():
+    rng = random.Random(5)
+    for _ in range(3000):
+        a = "".join(rng.choice("abc de") for _ in range(rng.randint(0, 60)))
+        b = list(a)
+        for _ in range(rng.randint(0, 12)):
+            at = rng.randint(0, len(b))
+            b[at : at + rng.randint(0, 2)] = [rng.choice("abc dez")] * rng.randint(0, 2)
+        b = "".join(b)
+        for least in (0.6, 0.88, 1.0):
+            assert may_reach(a, b, grams(a), grams(b), least) or similarity(a, b) < least
+    assert not may_reach("error at line", "login page shown", grams("error at line"), grams("login page shown"), 0.88)
