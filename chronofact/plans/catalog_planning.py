@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from chronofact.operators.profiles import keyword_profile, keyword_sentences, user_flows
 from chronofact.plans import cues
-from chronofact.plans.understanding import app_hint, classify_tasks, intent, parse_temporal, plan_stages, run_temporal
+from chronofact.plans.questions import read_questions
+from chronofact.plans.questions import sql as question_sql
+from chronofact.plans.understanding import app_hint, classify_tasks, run_temporal
 from chronofact.session import table
 from chronofact.sources.facts import FACTS_SQL, facts
 from chronofact.sources.readers import page_lines
@@ -47,11 +49,15 @@ QUESTIONS = (
 )
 
 
-@query()
+_ASKED = ", ".join(f"({-i}, '{_Q(q)}')" for i, q in enumerate(QUESTIONS, 1))
+
+
+@query(question_sql(f"(SELECT item_id, text FROM benchmark UNION ALL SELECT * FROM (VALUES {_ASKED}) v(item_id, text))"))
 def intent_table(spark, sf) -> DataFrame:
-    """Each sample question's intent, anchor and range, as the planner (driver-side, a few strings) reads them."""
-    rows = [(q, intent(q), (t := parse_temporal(q)).anchor, t.relation, t.start, t.end, t.max_gap, ",".join(s for s, _ in plan_stages(q))) for q in QUESTIONS]
-    return spark.createDataFrame(rows, "question string, intent string, anchor string, relation string, start double, end double, max_gap double, stages string")
+    """Intent, anchor, range and stages of every benchmark text and of the sample questions (ids below 0)."""
+    samples = spark.createDataFrame([(-i, q) for i, q in enumerate(QUESTIONS, 1)], "item_id long, text string")
+    asked = table(spark, sf, "benchmark").select("item_id", "text").unionByName(samples)
+    return read_questions(asked).withColumnRenamed("text", "question")
 
 
 @query()

@@ -18,6 +18,8 @@ from chronofact.operators.intervals import asof_backward, interval_join, islands
 from chronofact.operators.tracking import text_tracks
 from chronofact.operators.validation import validate
 from chronofact.plans import understanding as U
+from chronofact.plans.catalog_planning import QUESTIONS
+from chronofact.plans.questions import read_questions
 from chronofact.session import global_rank
 
 FACT = "video_id string, modality string, fact_id string, start double, end double, text string, kind string, language string, confidence double"
@@ -368,3 +370,16 @@ def test_paths_language_tags_and_layouts(spark):
     assert [tag("eng"), tag("eng", "hin"), tag("chi_sim_vert"), tag("osd", "DEU"), tag("osd"), tag("xyz")] == ["en", None, "zh-Hans", "de", None, "xyz"]
     e = spark.createDataFrame([([(0.0, 0.0, 0.2, 0.2, "a"), (900.0, 900.0, 1000.0, 1000.0, "b"), (None, None, None, None, "x" * 45)],)], "e array<struct<x1:double,y1:double,x2:double,y2:double,text:string>>")
     assert e.select(layout_signature(F.col("e")).alias("s")).first().s == "3:00,22,L2"
+
+
+def test_questions_as_columns_equal_the_planner(spark):
+    rng = random.Random(1)
+    bits = ["what happened", "before", "after", "immediately", "right after", "between", "and", "from", "to", "1:20", "2:30", "1:02:03.5", "while", "during", "around", "first", "last", "the error", "login?", "video", "compare", "time", "show me", "speech", "which videos", ","]
+    asked = [*QUESTIONS, "", "  x  ", "first around while", *(" ".join(rng.choice(bits) for _ in range(rng.randint(1, 7))) for _ in range(1500))]
+    rows = read_questions(spark.createDataFrame([(q,) for q in asked], "text string")).collect()
+    assert len(rows) == len(asked)
+    for r in rows:
+        t = U.parse_temporal(r.text)
+        assert tuple(r[1:]) == (U.intent(r.text), t.anchor, t.relation, t.start, t.end, t.max_gap, t.anchor_b, ",".join(s for s, _ in U.plan_stages(r.text))), r.text
+    assert read_questions(spark.createDataFrame([(None,)], "text string")).first().intent == "fact_lookup"
+    assert read_questions(spark.createDataFrame([], "text string")).count() == 0
