@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,33 +13,34 @@ from chronofact.plans import cues
 DIMENSIONS = {"style": cues.STYLE, "typography": cues.TYPOGRAPHY, "layout": cues.LAYOUT, "interaction": cues.INTERACTION, "motion": cues.MOTION}
 
 
-def labels(text: Column, dimension: dict[str, tuple[str, ...]]) -> Column:
-    """The labels of a dimension whose words a lower-case text contains, in the dimension's order: one pass, no join."""
+def shortest(words: tuple[str, ...]) -> list[str]:
+    """The words that contain no other of them: a text that holds any word holds one of these."""
+    return [w for w in words if not any(u != w and u in w for u in words)]
 
-    def named(name: str, words: tuple[str, ...]) -> Column:
-        found = F.lit(False)
-        for w in words:
-            found = found | text.contains(w)
-        return F.when(found, F.lit(name))
 
-    return F.filter(F.array(*[named(n, w) for n, w in dimension.items()]), lambda x: x.isNotNull())
+def found_in(text: Column, words: tuple[str, ...]) -> Column:
+    """Whether a lower-case text contains one of the words."""
+    return reduce(lambda a, b: a | b, [text.contains(w) for w in shortest(words)], F.lit(False))
 
 
 def keyword_profile(facts: DataFrame, dimensions: dict | None = None) -> DataFrame:
-    """(video_id, dimension, label, n, first_seen, last_seen): labels found in a recording's facts, and when."""
-    pairs = F.flatten(F.array(*[_tagged(k, labels(F.col("_text"), d)) for k, d in (dimensions or DIMENSIONS).items()]))
+    """(video_id, dimension, label, n, first_seen, last_seen): labels found in a recording's facts, and when.
+
+    A label is one element of an array of bounded length, null where absent, so no higher-order function is needed.
+    """
+    tagged = [
+        F.when(found_in(F.col("_text"), words), F.struct(F.lit(k).alias("dimension"), F.lit(label).alias("label")))
+        for k, d in (dimensions or DIMENSIONS).items()
+        for label, words in d.items()
+    ]
     # The lower-case text is made once for all words: an explode keeps it from being moved into each comparison.
     lower = facts.select("video_id", "start", "end", F.explode(F.array(F.lower("text"))).alias("_text"))
-    rows = lower.select("video_id", "start", "end", F.explode(pairs).alias("x"))
+    rows = lower.select("video_id", "start", "end", F.explode(F.array(*tagged)).alias("x")).where(F.col("x").isNotNull())
     return rows.groupBy("video_id", F.col("x.dimension").alias("dimension"), F.col("x.label").alias("label")).agg(
         F.count(F.lit(1)).alias("n"), F.min("start").alias("first_seen"), F.max("end").alias("last_seen")
     )
 
 
-def _tagged(name: str, found: Column) -> Column:
-    return F.transform(found, lambda x: F.struct(F.lit(name).alias("dimension"), x.alias("label")))
-
-
 def keyword_sentences(facts: DataFrame, words: tuple[str, ...], most: int = 20, longest: int = 100) -> DataFrame:
     """Distinct sentences over ten characters that hold one of the words: the first ``most`` of a recording by time."""
     sentences = facts.select("video_id", "start", F.explode(F.split(F.lower("text"), r"\.")).alias("s")).withColumn("s", F.trim("s"))
