@@ -17,18 +17,28 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def chunked(docs: DataFrame, divisor: int) -> DataFrame:
+def chunked(docs: DataFrame, divisor: int, min_lines: int = 2) -> DataFrame:
     """Add ``chunks``, an array of (n, body): the text cut after each line where the rolling hash says so.
 
-    The rolling hash at a line is its own hash plus 31 times that of the line before; the cut falls where it divides
-    by ``divisor``, and at the text's end. Cuts depend on two lines only, so an insertion moves no later cut.
+    The rolling hash at a line is its own hash plus 31 times that of the line before; a line is marked where it divides
+    by ``divisor``. A cut falls after a marked line when none of the ``min_lines - 1`` lines before it is marked and
+    ``min_lines`` lines or more are on either side, so no chunk of a longer text is shorter. Cuts depend on the hashes of
+    ``min_lines + 1`` lines only, but at a text's end, so an insertion moves no later cut.
     """
     with_lines = _once(docs, "lines", F.split(F.coalesce("text", F.lit("")), "\n"))
     hashed = _once(with_lines, "hashes", F.transform("lines", _line_hash))
     at = lambda i: F.element_at("hashes", i)
     last = F.size("lines")
-    cut = lambda i: (i == last) | F.when(i > 1, (at(i) + 31 * at(F.greatest(i - 1, F.lit(1)))) % divisor == 0).otherwise(False)
-    ended = _once(hashed, "ends", F.filter(F.sequence(F.lit(1), last), cut))
+    mark = lambda i: (i > 1) & ((at(i) + 31 * at(F.greatest(i - 1, F.lit(1)))) % divisor == 0)
+    marked = _once(hashed, "marks", F.transform(F.sequence(F.lit(1), last), mark))
+
+    def cut(i: Column) -> Column:
+        alone = (i >= min_lines) & (i <= last - min_lines) & F.element_at("marks", i)
+        for k in range(1, min_lines):
+            alone = alone & ~F.element_at("marks", F.greatest(i - k, F.lit(1)))
+        return (i == last) | alone
+
+    ended = _once(marked, "ends", F.filter(F.sequence(F.lit(1), last), cut))
     start = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.element_at("ends", F.greatest(k, F.lit(1))))
     body = lambda e, k: F.struct((e - start(k)).alias("n"), F.array_join(F.slice("lines", start(k) + 1, e - start(k)), "\n").alias("body"))
     return _once(ended, "chunks", F.transform("ends", body))
@@ -47,7 +57,8 @@ def line_dedup(
     then place). Chunks are grouped by hash and bytes together, so no collision removes anything; copies are summed
     before the shuffle, so a passage that many documents share leaves each map task once. The places to remove, slim
     rows, are joined back to the documents, whose remaining chunks are put together again; a document that loses
-    nothing keeps its exact text.
+    nothing keeps its exact text. Every text of ``min_lines`` lines or more consists of chunks that are compared, so an
+    exact copy of one loses all its lines.
 
     Lines end at a line feed. A null text counts as one empty line, and stays null. Rows equal in id and text are one
     document here: none is the other's repeat. Null ids come first. A text that loses all its chunks is empty. Columns
@@ -58,7 +69,7 @@ def line_dedup(
     if clash := taken & set(made):
         docs = docs.drop(*clash)
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = chunked(slim.withColumn("sha", F.sha1(F.coalesce("text", F.lit("")))), divisor).select("id", "sha", F.posexplode("chunks").alias("no", "chunk"))
+    rows = chunked(slim.withColumn("sha", F.sha1(F.coalesce("text", F.lit("")))), divisor, min_lines).select("id", "sha", F.posexplode("chunks").alias("no", "chunk"))
     long = rows.where(F.col("chunk.n") >= min_lines).select("id", "sha", "no", F.col("chunk.body").alias("body"), F.md5("chunk.body").alias("fp"))
     place = F.struct("id", "sha", "no")
     repeated = (
@@ -74,7 +85,7 @@ def line_dedup(
     kept = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kept = kept.withColumn("sha", F.sha1(F.coalesce("text", F.lit(""))))
     joined = kept.join(gone, F.col("id").eqNullSafe(F.col("gid")) & (F.col("sha") == F.col("gsha")), "left").drop("gid", "gsha", "sha")
-    cut = chunked(joined, divisor)
+    cut = chunked(joined, divisor, min_lines)
     stay = _once(cut, "stay", F.array_except(F.sequence(F.lit(0), F.size("chunks") - 1), F.coalesce("gone", F.array().cast("array<int>"))))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform("stay", lambda i: F.element_at("chunks", i + 1)["body"]), "\n"))
     lost = F.size("lines") - F.aggregate("stay", F.lit(0), lambda s, i: s + F.element_at("chunks", i + 1)["n"])
@@ -92,8 +103,8 @@ def run_dedup(docs: DataFrame, min_lines: int = 2, id_col: str = "doc_id", text_
     """docs' columns with the text deduplicated, and n_lines, removed_lines.
 
     A line goes when it lies in a run of ``min_lines`` lines that occurs earlier (by id, then place) in any document. Runs
-    start at every line, so no chunk edge keeps a repeated line: what ``line_dedup`` removes goes, and with it the
-    one-line chunks and the ends of passages that it leaves. Each line that goes has an equal one at an earlier place, so
+    start at every line, so no chunk edge keeps a repeated line: what ``line_dedup`` removes goes, and with it the ends of
+    passages that it leaves. Each line that goes has an equal one at an earlier place, so
     one of each stays. Runs are compared by SHA-256, copies summed before the shuffle; the hashes are written, so that the
     join can split a run that many documents share.
 
@@ -138,7 +149,8 @@ SQL = {
     "op10_line_dedup": r"""
 WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 h AS (SELECT *, list_transform(lines, lambda l: CAST('0x' || substr(md5(l), 1, 7) AS BIGINT)) AS hs FROM d),
-e AS (SELECT *, list_filter(range(1, len(lines) + 1), lambda i: i = len(lines) OR (i > 1 AND (hs[i] + 31 * hs[i - 1]) % 3 = 0)) AS ends FROM h),
+m AS (SELECT *, list_transform(range(1, len(lines) + 1), lambda i: i > 1 AND (hs[i] + 31 * hs[i - 1]) % 3 = 0) AS marks FROM h),
+e AS (SELECT *, list_filter(range(1, len(lines) + 1), lambda i: i = len(lines) OR (i BETWEEN 2 AND len(lines) - 2 AND marks[i] AND NOT marks[i - 1])) AS ends FROM m),
 c AS (SELECT doc_id, no, CAST(ends[no] - s AS BIGINT) AS n, array_to_string(lines[s + 1:ends[no]], chr(10)) AS body
       FROM (SELECT doc_id, lines, ends, no, CASE WHEN no = 1 THEN 0 ELSE ends[no - 1] END AS s FROM e, unnest(range(1, len(ends) + 1)) AS u(no))),
 k AS (SELECT *, n >= 2 AND row_number() OVER (PARTITION BY n >= 2, body ORDER BY doc_id, no) > 1 AS gone FROM c),

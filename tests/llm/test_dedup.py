@@ -123,9 +123,10 @@ def line_brute(rows, divisor=3, least=2):
     for i, t in sorted(rows, key=lambda r: r[0]):
         lines = (t or "").split("\n")
         h = [hashed(x) for x in lines]
+        marks = [k > 0 and (h[k] + 31 * h[k - 1]) % divisor == 0 for k in range(len(lines))]
         start, mine = 0, []
         for k in range(len(lines)):
-            if k == len(lines) - 1 or (k > 0 and (h[k] + 31 * h[k - 1]) % divisor == 0):
+            if k == len(lines) - 1 or (least <= k + 1 <= len(lines) - least and marks[k] and not any(marks[k - least + 1 : k])):
                 mine.append(lines[start : k + 1])
                 start = k + 1
         chunks[i] = mine
@@ -154,6 +155,8 @@ def test_line_dedup_equals_brute_force(spark):
     out = L.line_dedup(df)
     got = {r.doc_id: r.text for r in out.collect()}
     assert got == line_brute(rows)
+    for least in (1, 3):
+        assert {r.doc_id: r.text for r in L.line_dedup(df, min_lines=least).collect()} == line_brute(rows, least=least)
     assert out.columns[:6] == df.columns
     assert sum(r.removed_chunks for r in out.collect()) > 50
 
@@ -168,6 +171,13 @@ def test_line_dedup_odd_cases(spark):
     assert len({x for x in by if x[0] == 1}) == 1 and next(x[2] for x in by if x[0] == 1) > 0
 
 
+def test_line_dedup_empties_exact_copies_of_many_lines(spark):
+    pages = ["\n".join(f"page {p} line {k}" for k in range(2 + p % 9)) for p in range(60)]
+    rows = [(i, t) for i, t in enumerate(pages + pages)]
+    got = {r.doc_id: r.text for r in L.line_dedup(spark.createDataFrame(rows, DOCS)).collect()}
+    assert [got[i] for i in range(120)] == pages + [""] * 60
+
+
 def run_brute(rows, least=2):
     seen, out = set(), {}
     for i, t in sorted(rows, key=lambda r: r[0]):
