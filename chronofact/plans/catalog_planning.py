@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronofact.operators.profiles import keyword_profile, keyword_sentences, user_flows
 from chronofact.plans import cues
+from chronofact.plans.catalog_retrieval import PHRASE, _rank_sql
 from chronofact.plans.questions import read_questions
 from chronofact.plans.questions import sql as question_sql
 from chronofact.plans.understanding import app_hint, classify_tasks, run_temporal
@@ -60,9 +61,12 @@ def intent_table(spark, sf) -> DataFrame:
     return read_questions(asked).withColumnRenamed("text", "question")
 
 
-@query()
+@query(f"""WITH {_rank_sql('')}, p AS (SELECT video_id AS v, "end" AS e FROM spans ORDER BY score DESC, coverage DESC, "start", video_id, modality LIMIT 1)
+SELECT video_id, modality, "start", "end", text, round(1 / (1 + greatest(0, "start" - e)), 9) AS score FROM facts JOIN p ON video_id = v WHERE "start" - e >= -1e-6 ORDER BY "start" - e, fact_id LIMIT 10""")
 def temporal_question(spark, sf) -> DataFrame:
-    return run_temporal(facts(spark, sf), "what happened after the error")[1]
+    """The ten facts that follow the best span of an anchor, nearest first."""
+    rows = run_temporal(facts(spark, sf), f"what happened after {PHRASE}")[1]
+    return rows.withColumn("score", F.round("score", 9))
 
 
 _DIMS = {"style": cues.STYLE, "typography": cues.TYPOGRAPHY, "layout": cues.LAYOUT, "interaction": cues.INTERACTION, "motion": cues.MOTION}
