@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronofact.functions.timecode import format_span, format_timecode
 from chronofact.operators.intervals import interval_join, merge_windows, window_around
 
 
@@ -82,3 +83,45 @@ def package_json(spans: DataFrame) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("rank", "start", "end", "modality", "text")))
     rows = spans.groupBy("video_id").agg(ordered.alias("evidence"), F.sum(token_estimate(F.col("text"))).alias("tokens"))
     return rows.select("video_id", F.to_json(F.struct(F.lit("1.0").alias("schema_version"), "video_id", "tokens", "evidence")).alias("package"))
+
+
+#: The lines of a rendered package.
+TEXT_SPAN = "[%d] %s (%s): %s"
+TEXT_OMITTED = "[omitted %d spans — see package]"
+MARKDOWN_SPAN = "%d. **%s** (%s) — %s"
+TEXT_CUT, MARKDOWN_CUT = 200, 300
+
+
+def _evidence(spans: DataFrame, form: str, cut: int) -> DataFrame:
+    """(video_id, lines): each recording's ranked spans as lines of the form."""
+    line = F.format_string(form, "rank", format_span(F.col("start"), F.col("end")), "modality", F.substring(F.coalesce("text", F.lit("")), 1, cut))
+    ordered = F.array_sort(F.collect_list(F.struct("rank", line.alias("line"))))
+    return spans.groupBy("video_id").agg(F.transform(ordered, lambda x: x["line"]).alias("lines"))
+
+
+def package_text(spans: DataFrame, asked: str, intent: str = "", omitted: DataFrame | None = None) -> DataFrame:
+    """(video_id, package): ranked spans as plain lines for small contexts; omitted (video_id, n) closes with a count.
+
+    Spans are those already cut to a budget, so the lines of a recording are bounded. Null texts are empty.
+    """
+    head = [f"QUERY: {asked}", *([f"INTENT: {intent}"] if intent else [])]
+    rows = _evidence(spans, TEXT_SPAN, TEXT_CUT)
+    if omitted is None:
+        tail = F.array().cast("array<string>")
+    else:
+        rows = rows.join(omitted.select("video_id", F.col("n").alias("_n")), "video_id", "left")
+        tail = F.when(F.col("_n") > 0, F.array(F.format_string(TEXT_OMITTED, "_n"))).otherwise(F.array().cast("array<string>"))
+    return rows.select("video_id", F.array_join(F.concat(F.array(*map(F.lit, head)), "lines", tail), "\n").alias("package"))
+
+
+def package_markdown(spans: DataFrame, asked: str, intent: str = "", ranges: DataFrame | None = None) -> DataFrame:
+    """(video_id, package): ranked spans as a numbered markdown list under the question, intent and merged ranges."""
+    rows = _evidence(spans, MARKDOWN_SPAN, MARKDOWN_CUT)
+    head = [F.lit(f"# Context: {asked}"), F.lit(""), *([F.lit(f"**Intent:** `{intent}`")] if intent else [])]
+    if ranges is not None:
+        label = F.concat(format_timecode(F.col("start")), F.lit(" → "), format_timecode(F.col("end")))
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("start", label.alias("label")))), lambda x: x["label"])
+        rows = rows.join(ranges.groupBy("video_id").agg(F.concat(F.lit("**Ranges:** "), F.array_join(listed, ", ")).alias("_ranges")), "video_id", "left")
+        head.append(F.col("_ranges"))
+    lines = F.concat(F.array(*head, F.lit(""), F.lit("## Evidence")), "lines")
+    return rows.select("video_id", F.array_join(lines, "\n").alias("package"))

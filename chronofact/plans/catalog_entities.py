@@ -11,6 +11,7 @@ from chronofact.operators import graph as G
 from chronofact.operators import packaging as P
 from chronofact.operators.tracking import text_tracks
 from chronofact.operators.validation import validate
+from chronofact.plans.catalog_facts import _TC
 from chronofact.plans.catalog_temporal import DUR, durations
 from chronofact.session import table
 from chronofact.sources.facts import FACTS_SQL, facts
@@ -171,6 +172,34 @@ def package_tokens(spark, sf) -> DataFrame:
     return packed.select("video_id", F.get_json_object("package", "$.tokens").cast("long").alias("tokens"), F.size(F.from_json("package", "evidence array<struct<rank:int>>")["evidence"]).cast("long").alias("spans"))
 
 
+TOP = """m AS (SELECT *, row_number() OVER (PARTITION BY video_id, modality ORDER BY score DESC, span_id) AS m FROM spans),
+r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY m > 1, score DESC, span_id) AS r FROM m), t AS (SELECT * FROM r WHERE r <= 8)"""
+_LABELS = f"""l AS (SELECT *, (SELECT {_TC} FROM (SELECT CAST(round("start" * 1000) AS BIGINT) AS ms)) AS a, (SELECT {_TC} FROM (SELECT CAST(round("end" * 1000) AS BIGINT) AS ms)) AS b FROM t),
+lines AS (SELECT *, CASE WHEN "end" <= "start" THEN a ELSE a || ' → ' || b END AS label FROM l)"""
+
+
+@query(f"""WITH {FACTS_SQL}, {SPANS}, {TOP}, {_LABELS}, left_out AS (SELECT video_id, count(*) AS n FROM r WHERE r > 8 GROUP BY video_id)
+SELECT video_id, 'QUERY: what happened' || chr(10) || 'INTENT: timeline' || chr(10) || string_agg('[' || r || '] ' || label || ' (' || modality || '): ' || substr(text, 1, 200), chr(10) ORDER BY r)
+  || coalesce(chr(10) || '[omitted ' || any_value(n) || ' spans — see package]', '') AS package FROM lines LEFT JOIN left_out USING (video_id) GROUP BY video_id""")
+def package_text(spark, sf) -> DataFrame:
+    spans = _spans(spark, sf)
+    top = P.anchors_first(spans, 8)
+    omitted = spans.groupBy("video_id").agg((F.count(F.lit(1)) - 8).alias("n"))
+    return P.package_text(top, "what happened", "timeline", omitted)
+
+
+@query(f"""WITH {FACTS_SQL}, {SPANS}, {DUR}, {TOP}, {_LABELS}, w AS (SELECT video_id, greatest(0, "start" - 5) AS s, least("end" + 5, duration) AS e FROM t JOIN dur USING (video_id)),
+f AS (SELECT *, CASE WHEN s - max(e) OVER (PARTITION BY video_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 1e-6 THEN 0 ELSE 1 END AS f FROM w),
+i AS (SELECT *, sum(f) OVER (PARTITION BY video_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM f),
+u AS (SELECT video_id, CAST(round(round(min(s), 3) * 1000) AS BIGINT) AS a, CAST(round(round(max(e), 3) * 1000) AS BIGINT) AS b FROM i GROUP BY video_id, g),
+ranges AS (SELECT video_id, string_agg((SELECT {_TC} FROM (SELECT a AS ms)) || ' → ' || (SELECT {_TC} FROM (SELECT b AS ms)), ', ' ORDER BY a) AS x FROM u GROUP BY video_id)
+SELECT video_id, '# Context: what happened' || chr(10) || chr(10) || '**Intent:** `timeline`' || chr(10) || '**Ranges:** ' || any_value(x) || chr(10) || chr(10) || '## Evidence' || chr(10)
+  || string_agg(r || '. **' || label || '** (' || modality || ') — ' || substr(text, 1, 300), chr(10) ORDER BY r) AS package FROM lines JOIN ranges USING (video_id) GROUP BY video_id""")
+def package_markdown(spark, sf) -> DataFrame:
+    top = P.anchors_first(_spans(spark, sf), 8)
+    return P.package_markdown(top, "what happened", "timeline", P.relevant_ranges(top, durations(spark, sf)))
+
+
 @query(f"""WITH {FACTS_SQL}, w AS (SELECT video_id, "start" - 5 AS s, "end" + 5 AS e FROM facts WHERE kind = 'error') SELECT DISTINCT f.fact_id FROM facts f JOIN w ON f.video_id = w.video_id AND f."end" >= s AND f."start" <= e
 WHERE f.kind <> 'error'""")
 def expansion(spark, sf) -> DataFrame:

@@ -383,3 +383,20 @@ def test_questions_as_columns_equal_the_planner(spark):
         assert tuple(r[1:]) == (U.intent(r.text), t.anchor, t.relation, t.start, t.end, t.max_gap, t.anchor_b, ",".join(s for s, _ in U.plan_stages(r.text))), r.text
     assert read_questions(spark.createDataFrame([(None,)], "text string")).first().intent == "fact_lookup"
     assert read_questions(spark.createDataFrame([], "text string")).count() == 0
+
+
+def test_rendered_packages(spark):
+    shown = spark.createDataFrame(
+        [("v1", "ocr", 2, 5.0, 5.0, "x" * 400), ("v1", "transcript", 1, 0.0, 61.5, "spoken\nline"), ("v2", "events", 1, 3.0, 4.0, None)],
+        "video_id string, modality string, rank int, start double, end double, text string",
+    )
+    omitted = spark.createDataFrame([("v1", 3), ("v2", 0)], "video_id string, n long")
+    got = {r.video_id: r.package for r in P.package_text(shown, "why", "timeline", omitted).collect()}
+    said = "00:00:00.000 → 00:01:01.500"
+    assert got["v1"] == f"QUERY: why\nINTENT: timeline\n[1] {said} (transcript): spoken\nline\n[2] 00:00:05.000 (ocr): {'x' * 200}\n[omitted 3 spans — see package]"
+    assert got["v2"] == "QUERY: why\nINTENT: timeline\n[1] 00:00:03.000 → 00:00:04.000 (events): "
+    ranges = P.relevant_ranges(shown.where("video_id = 'v1'"), spark.createDataFrame([("v1", 60.0)], "video_id string, duration double"))
+    got = {r.video_id: r.package for r in P.package_markdown(shown, "why", ranges=ranges).collect()}
+    assert got["v1"] == f"# Context: why\n\n**Ranges:** 00:00:00.000 → 00:01:00.000\n\n## Evidence\n1. **{said}** (transcript) — spoken\nline\n2. **00:00:05.000** (ocr) — {'x' * 300}"
+    assert got["v2"] == "# Context: why\n\n\n## Evidence\n1. **00:00:03.000 → 00:00:04.000** (events) — "
+    assert P.package_text(shown.limit(0), "why").count() == P.package_markdown(shown.limit(0), "why").count() == 0
