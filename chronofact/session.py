@@ -33,7 +33,17 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: lineage is cut and lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the table that ``materialize`` wrote for df; nothing that is read from it may be run afterwards."""
+    path = df.__dict__.pop("_written", None)
+    if path:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf).delete(jvm.org.apache.hadoop.fs.Path(path), True)
 
 
 #: The column of ``keyed``.
