@@ -158,8 +158,8 @@ def _stretches(text: np.ndarray, codes: np.ndarray, least: int, rounds: int = 4)
         place, part = place[long], part[long]
         if keep.all() and long.all():
             break
-    edge = np.flatnonzero(np.append(True, np.diff(part) != 0)[: len(part)])
-    return [(int(place[a]), int(place[b - 1]) + 1) for a, b in zip(edge, np.append(edge[1:], len(place)), strict=True)]
+    edge = np.append(np.flatnonzero(np.append(True, np.diff(part) != 0)[: len(part)]), len(place))
+    return [(int(place[a]), int(place[b - 1]) + 1) for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
 
 def _collapse(texts: pa.Array, least: int) -> tuple[pa.Array, pa.Array]:
