@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronofact.plans import cues
-from chronofact.plans.understanding import _LEAD, _TC
 
+_TC = r"(?:\d+:)?[0-5]?\d:[0-5]\d(?:\.\d+)?"
+_LEAD = r"(?:^|\b)(?:what happened|what was|show me|find)\s+(?:(?:just|immediately|right|shortly)\s+)?"
 _REST = r"([^\n]+?)\??$"
 #: Forms of temporal phrasing, each with what stands before it as the first group.
 FORMS = {
@@ -43,6 +44,8 @@ _KINDS = {*FORMS, "clock"}
 STAGES = ("scenes", "frames", "ocr", "audio", "asr", "vision", "events")
 #: Stages of a question that shows no signal.
 GENERAL = ("scenes", "frames", "ocr", "audio", "asr", "events")
+#: Seconds on either side of what a question with "around" names.
+AROUND = 30.0
 OUT = ["intent", "anchor", "relation", "start", "end", "max_gap", "anchor_b", "stages"]
 
 
@@ -62,8 +65,13 @@ def seconds(timecode: Column) -> Column:
 
 
 def read_questions(questions: DataFrame, text_col: str = "text") -> DataFrame:
-    """questions with intent, anchor, relation, start, end, max_gap, anchor_b and stages, as ``parse_temporal``, ``intent`` and
-    ``plan_stages`` read one question; a function of each row, without a shuffle. A null text counts as empty."""
+    """questions with intent, anchor, relation, start, end, max_gap, anchor_b and stages; a function of each row, without a
+    shuffle. A null text counts as empty."""
+    return phrased(questions, text_col).drop("_kind")
+
+
+def phrased(questions: DataFrame, text_col: str = "text") -> DataFrame:
+    """``read_questions``, and the form of each question's phrasing (``_kind``): one of FORMS, in their order, clock or plain."""
     raw, clock, kind = F.col("_raw"), F.col("_clock"), F.col("_kind")
     part = lambda name, n: F.regexp_extract(raw, FORMS[name], n)
     spans = lambda name: F.coalesce(seconds(part(name, 3)) > seconds(part(name, 2)), F.lit(False))
@@ -119,6 +127,7 @@ def read_questions(questions: DataFrame, text_col: str = "text") -> DataFrame:
         F.when(kind.isin("before", "after"), F.when(raw.rlike(AT_ONCE), 10.0).when(raw.rlike(SOON), 30.0)).alias("max_gap"),
         F.when(kind == "between", group("between", 3)).alias("anchor_b"),
         F.concat_ws(",", *needed, F.lit("segments")).alias("stages"),
+        "_kind",
     )
 
 

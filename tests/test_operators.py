@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,7 +20,8 @@ from chronofact.operators.tracking import text_tracks
 from chronofact.operators.validation import validate
 from chronofact.plans import understanding as U
 from chronofact.plans.catalog_planning import QUESTIONS
-from chronofact.plans.questions import read_questions
+from chronofact.plans.questions import OUT, read_questions
+from chronofact.plans.questions import sql as question_sql
 from chronofact.session import global_rank
 
 FACT = "video_id string, modality string, fact_id string, start double, end double, text string, kind string, language string, confidence double"
@@ -260,23 +262,25 @@ def test_compression(spark):
     ("error between 01:30 and 02:00", ("error", None, 90.0, 120.0)), ("from 0:10 to 0:50 pricing", ("pricing", None, 10.0, 50.0)), ("what happened before the crash?", ("the crash", "BEFORE", None, None)),
     ("before the zebra", ("before the zebra", None, None, None)), ("pricing at 12:20", ("pricing at", None, 710.0, 770.0)), ("what was shown during the demo", ("what was shown the demo", "DURING", None, None)),
 ])
-def test_temporal_phrasing(q, want):
-    t = U.parse_temporal(q)
+def test_temporal_phrasing(spark, q, want):
+    t = U.build_plan(q).temporal
     assert (t.anchor, t.relation, t.start, t.end) == want
 
 
-def test_gap_words_and_order_words():
-    assert U.parse_temporal("what happened immediately after the login").max_gap == 10.0
-    assert U.parse_temporal("find the first mention of revenue").first and U.parse_temporal("last occurrence of pricing").anchor == "of pricing"
-    assert U.parse_temporal("what happened between the login and the error").anchor_b == "the error"
+def test_gap_words_and_order_words(spark):
+    t = lambda q: U.build_plan(q).temporal
+    assert t("what happened immediately after the login").max_gap == 10.0
+    assert t("find the first mention of revenue").first and t("last occurrence of pricing").anchor == "of pricing"
+    assert t("what happened between the login and the error").anchor_b == "the error"
+    assert t("what happened around the crash").radius == 30.0 and t("the crash").radius is None
 
 
 @pytest.mark.parametrize("q,want", [
     ("compare both videos", "cross_video_comparison"), ("which videos mention pricing", "multi_video_search"), ("old vs new design", "comparison"), ("summarize it", "general_summary"), ("find the invoice", "fact_lookup"),
     ("what happened after the login", "temporal_after"), ("show me the evidence", "evidence_request"), ("step by step", "event_sequence"), ("what changed here", "change_detection"), ("timeline of revenue", "entity_timeline"),
 ])
-def test_intents(q, want):
-    assert U.intent(q) == want
+def test_intents(spark, q, want):
+    assert U.build_plan(q).intent == want
 
 
 def test_questions_run(spark):
@@ -372,15 +376,18 @@ def test_paths_language_tags_and_layouts(spark):
     assert e.select(layout_signature(F.col("e")).alias("s")).first().s == "3:00,22,L2"
 
 
-def test_questions_as_columns_equal_the_planner(spark):
+def test_questions_as_columns_equal_the_sql(spark):
     rng = random.Random(1)
     bits = ["what happened", "before", "after", "immediately", "right after", "between", "and", "from", "to", "1:20", "2:30", "1:02:03.5", "while", "during", "around", "first", "last", "the error", "login?", "video", "compare", "time", "show me", "speech", "which videos", ","]
     asked = [*QUESTIONS, "", "  x  ", "first around while", *(" ".join(rng.choice(bits) for _ in range(rng.randint(1, 7))) for _ in range(1500))]
-    rows = read_questions(spark.createDataFrame([(q,) for q in asked], "text string")).collect()
-    assert len(rows) == len(asked)
-    for r in rows:
-        t = U.parse_temporal(r.text)
-        assert tuple(r[1:]) == (U.intent(r.text), t.anchor, t.relation, t.start, t.end, t.max_gap, t.anchor_b, ",".join(s for s, _ in U.plan_stages(r.text))), r.text
+    rows = spark.createDataFrame(list(enumerate(asked)), "item_id long, text string")
+    con = duckdb.connect()
+    con.register("asked", rows.toArrow())
+    want = con.sql(question_sql("asked")).project(", ".join(f'"{c}"' for c in ("item_id", "question", *OUT))).fetchall()
+    got = [tuple(r) for r in read_questions(rows).collect()]
+    assert sorted(got) == sorted(want) and len(got) == len(asked)
+    for r in rng.sample(got, 40):
+        assert r[9] == ",".join(s for s, _ in U.plan_stages(r[1]))
     assert read_questions(spark.createDataFrame([(None,)], "text string")).first().intent == "fact_lookup"
     assert read_questions(spark.createDataFrame([], "text string")).count() == 0
 
