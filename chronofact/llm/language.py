@@ -15,11 +15,12 @@ BITS = 16
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[65:91] = _FOLD[97:123]
 PIECE = 1 << 20
+#: An n-gram is known when one in so many training texts holds it.
+KNOWN_IN = 200
 
 
-def spectrum(text: bytes, longest: int) -> np.ndarray:
-    """Distinct hashed n-grams of 1 to ``longest`` bytes of the whole text, as sorted numbers below 2 ** BITS."""
-    seen = np.zeros(1 << BITS, dtype=bool)
+def _grams(text: bytes, longest: int) -> Iterator[np.ndarray]:
+    """Hashed n-grams of 1 to ``longest`` bytes of the whole text, below 2 ** BITS, a length and a piece of the text at a time."""
     for at in range(0, len(text), PIECE):
         raw = _FOLD[np.frombuffer(text, dtype=np.uint8)[at : at + PIECE + longest - 1]]
         code = np.zeros(len(raw), dtype=np.uint32)
@@ -27,17 +28,32 @@ def spectrum(text: bytes, longest: int) -> np.ndarray:
             if len(raw) <= n:
                 break
             code = code[: len(raw) - n] * np.uint32(257) + raw[n:] + np.uint32(1)
-            seen[(code * np.uint32(2654435761)) >> np.uint32(32 - BITS)] = True
+            yield (code * np.uint32(2654435761)) >> np.uint32(32 - BITS)
+
+
+def spectrum(text: bytes, longest: int) -> np.ndarray:
+    """Distinct hashed n-grams, as sorted numbers."""
+    seen = np.zeros(1 << BITS, dtype=bool)
+    for grams in _grams(text, longest):
+        seen[grams] = True
     return np.flatnonzero(seen).astype(np.int32)
 
 
+def known_share(text: bytes, longest: int, known: np.ndarray) -> float:
+    """The share of the text's n-grams, each as often as it occurs, that are known: it does not fall with a text's length."""
+    hits = [(int(known[grams].sum()), len(grams)) for grams in _grams(text, longest)]
+    return sum(h for h, _ in hits) / max(1, sum(n for _, n in hits))
+
+
 @dataclass(frozen=True)
 class Classifier:
-    """Languages and the weight of each n-gram for each language; its size is fixed by 2 ** BITS and the languages."""
+    """Languages, the weight of each n-gram for each language, and which n-grams are known: those that one training text
+    in KNOWN_IN holds, or more. Its size is fixed by 2 ** BITS and the languages."""
 
     langs: tuple[str, ...]
     weights: np.ndarray
     longest: int
+    known: np.ndarray
 
     def score(self, spectra: list[np.ndarray]) -> np.ndarray:
         """Ridge outputs of texts given by their spectra, by one matrix product."""
@@ -69,24 +85,27 @@ def fit(spectra: list[np.ndarray], langs: list[str], landmarks: int, ridge: floa
     goal = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
     weight = np.array([1 / len(by[x]) for x in langs])[:, None]  # languages count alike
     beta = np.linalg.solve(features.T @ (weight * features) + ridge * np.eye(features.shape[1]), features.T @ (weight * goal))
-    return Classifier(tuple(names), (marks.T.astype(np.float64) @ (half @ beta)).astype(np.float32), longest)
+    held = np.bincount(np.concatenate(spectra), minlength=1 << BITS)
+    return Classifier(tuple(names), (marks.T.astype(np.float64) @ (half @ beta)).astype(np.float32), longest, held * KNOWN_IN >= max(1, len(spectra)))
 
 
 def train(labelled: DataFrame, per_language: int = 300, landmarks: int = 96, ridge: float = 1e-3, longest: int = 4, most_languages: int = 256) -> Classifier | None:
-    """Fit on (id, text, lang) with non-null lang: about ``per_language`` rows of each language, by a hash of the id.
+    """Fit on (text, lang) with non-null lang: about ``per_language`` different texts of each language, by a hash of the text.
 
-    The bound on what is fitted, and on what reaches the driver, is per_language rows of each of the ``most_languages``
-    languages with the most rows (ties by name); a row is drawn when its hash lies under its language's share, and
-    the first per_language by hash are used. Only spectra are collected.
+    The bound on what is fitted, and on what reaches the driver, is per_language texts of each of the ``most_languages``
+    languages with the most different texts (ties by name), and about a third more before the cut; a text is drawn when its hash
+    lies under its language's share, and the first per_language by hash are used. Equal texts of one language are drawn
+    as one, so neither repeated ids nor repeated rows move the bound. Only spectra are collected.
     """
-    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
+    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("text").alias("hash"))
+    texts = rows.select("lang", "hash").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = {r["lang"]: r["n"] for r in texts.orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
     if not counts:
         return None
     span = 1 << 30
-    draw = F.pmod(F.xxhash64("id", F.lit("draw")), F.lit(span))
+    draw = F.pmod(F.xxhash64("hash", F.lit("draw")), F.lit(span))
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(span * min(1.0, 1.3 * per_language / n)))])
-    drawn = rows.select("text", "lang", draw.alias("draw")).where(F.col("draw") < F.element_at(share, F.col("lang")))
+    drawn = rows.withColumn("draw", draw).where(F.col("draw") < F.element_at(share, F.col("lang"))).groupBy("lang", "hash", "draw").agg(F.first("text").alias("text")).select("text", "lang", "draw")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -108,25 +127,16 @@ def train(labelled: DataFrame, per_language: int = 300, landmarks: int = 96, rid
     return fit([spectra[i] for i in used], [langs[i] for i in used], landmarks, ridge, longest)
 
 
-def lead(row: np.ndarray) -> float:
-    """By how much the best ridge output exceeds the mean of the others, or 0 where there are none.
-
-    Without an intercept all outputs of a text unlike the training texts are nearly equal, whatever their height; a text
-    in one of the languages lifts one output over the others, about 2 at best.
-    """
-    return float(row.max() - ((row.sum() - row.max()) / (len(row) - 1) if len(row) > 1 else 0.0))
-
-
-def predict(docs: DataFrame, model: Classifier | None, text_col: str = "text", with_lead: bool = False) -> DataFrame:
+def predict(docs: DataFrame, model: Classifier | None, text_col: str = "text", with_known: bool = False) -> DataFrame:
     """docs with lang_pred and score (0 to 1) of the whole text; "und" and 0 where it is null or has no letter.
 
     Columns of docs that have the names made here are replaced; others are kept, whatever their names. Repeated rows
     are predicted each by itself; an empty table gives an empty result.
 
-    The score is the winning ridge output carried from -1..1 to 0..1, cut at the ends. ``with_lead`` adds lang_lead, the
-    ``lead`` of the outputs, which tells texts in no learned language.
+    The score is the winning ridge output carried from -1..1 to 0..1, cut at the ends. ``with_known`` adds lang_known, the
+    ``known_share`` of the text, which tells texts in no learned language.
     """
-    made = ("lang_pred", "score", *(["lang_lead"] if with_lead else []))
+    made = ("lang_pred", "score", *(["lang_known"] if with_known else []))
     taken = [c for c in docs.columns if c.lower() not in made]
     held = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(taken)], F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
     if model is None:
@@ -141,14 +151,15 @@ def predict(docs: DataFrame, model: Classifier | None, text_col: str = "text", w
                 b = batch.slice(at, 64)
                 texts, good = b.column(place).cast(pa.binary()), b.column(letters).to_pylist()
                 asked = [i for i, g in enumerate(good) if g]
-                langs, scores, leads = ["und"] * len(good), [0.0] * len(good), [0.0] * len(good)
+                langs, scores, shares = ["und"] * len(good), [0.0] * len(good), [0.0] * len(good)
                 if asked:
                     out = model.score([spectrum(texts[i].as_py(), model.longest) for i in asked])
                     for i, row in zip(asked, out, strict=True):
                         best = int(row.argmax())
                         langs[i], scores[i] = model.langs[best], float(min(1.0, max(0.0, (row[best] + 1) / 2)))
-                        leads[i] = lead(row)
-                more = [pa.array(x, pa.float64()) for x in (scores, leads)[: len(made) - 1]]
+                        if with_known:
+                            shares[i] = known_share(texts[i].as_py(), model.longest, model.known)
+                more = [pa.array(x, pa.float64()) for x in (scores, shares)[: len(made) - 1]]
                 yield pa.RecordBatch.from_arrays([*b.columns[:letters], pa.array(langs, pa.string()), *more], names)
 
     return held.mapInArrow(task, schema)
@@ -166,7 +177,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     Repeated rows are predicted alike; empty tables give empty results; other columns are ignored.
     """
     out = F.coalesce(held_out(F.col(id_col)), F.lit(False))
-    known = docs.where(F.col(id_col).isNotNull() & ~out).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    known = docs.where(F.col(id_col).isNotNull() & ~out).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     asked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), out.alias("held_out"))
     return predict(asked, train(known, **options)).withColumnRenamed("doc_id", id_col)
 

@@ -36,33 +36,37 @@ def tree_keys(shingles: np.ndarray, trees: int) -> np.ndarray:
     return byte.reshape(trees, LEVELS).view(">u8").ravel()
 
 
+def _set_key(shingles: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
+
+
 def signatures(docs: DataFrame, width: int, trees: int) -> DataFrame:
-    """(id, n, key, sig) of (id, text): set size, 128-bit hash of the set, tree keys as big-endian bytes."""
+    """(id, row, n, key, sig) of (id, row, text): set size, 128-bit hash of the set, tree keys as big-endian bytes."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, key, sig = [], [], []
-            for words in word_hashes(_texts(batch.column(1))):
+            for words in word_hashes(_texts(batch.column(2))):
                 s = shingle_set(words, width)
                 n.append(len(s))
-                key.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                key.append(_set_key(s))
                 sig.append(tree_keys(s, trees).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())], ["id", "n", "key", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())], ["id", "row", "n", "key", "sig"])
 
-    return docs.mapInArrow(task, "id long, n long, key binary, sig binary")
+    return docs.mapInArrow(task, "id long, row long, n long, key binary, sig binary")
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(id, s) of (id, text): the whole sorted set of 64-bit shingle hashes as bytes."""
+    """(key, s) of (id, row, text): the 128-bit hash of the set, and the whole sorted set of 64-bit shingle hashes as bytes."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sets = [shingle_set(w, width).tobytes() for w in word_hashes(_texts(part.column(1)))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["id", "s"])
+                sets = [shingle_set(w, width) for w in word_hashes(_texts(part.column(2)))]
+                yield pa.RecordBatch.from_arrays([pa.array([_set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "s"])
 
-    return docs.mapInArrow(task, "id long, s binary")
+    return docs.mapInArrow(task, "key binary, s binary")
 
 
 def forest_candidates(reps: DataFrame, trees: int, near: int, least: int) -> tuple[DataFrame, DataFrame]:
@@ -271,19 +275,23 @@ def near_dedup(
     its other components; and last all that remains between components in such regions (``remaining_links``).
 
     Words are runs of other than white space, A-Z folded. Null and empty texts have no shingles, form a component
-    each and are kept; of fewer words than ``width`` the whole sequence is one shingle. Rows equal in id share
-    their component if their sets are equal; null ids take part as copies but are never a component's id unless alone.
-    component_id is the smallest id reachable. Empty tables give empty results; other columns are ignored.
+    each and are kept; of fewer words than ``width`` the whole sequence is one shingle. Each different set is one node, under
+    a key of its own, so rows equal in id link by their own texts each, and rows with null ids link like others.
+    component_id is the smallest id reachable; where all are null it is null, and all of the component's rows count as
+    kept. Empty tables give empty results; other columns are ignored.
     """
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
     signed = materialize(signatures(slim, width, trees), "signatures")
-    reps = materialize(
-        signed.where("key IS NOT NULL AND id IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "reps"
-    )
+    least_row = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("at")
+    nodes = signed.where("key IS NOT NULL").groupBy("key").agg(least_row, F.first("n").alias("n"), F.first("sig").alias("sig"))
+    reps = materialize(nodes.select("key", F.monotonically_increasing_id().alias("id"), F.col("at.id").alias("doc"), F.col("at.row").alias("row"), "n", "sig"), "reps")
     pairs, crowded = forest_candidates(reps, trees, near, least)
     pairs = materialize(pairs, "pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(crowded.select("id")).distinct()
-    sets = materialize(shingle_sets(slim.join(ends.hint("merge"), "id", "left_semi"), width).dropDuplicates(["id"]), "sets")
+    # One row of each node is read again; the rest of a row's key is a hash, so its set's own key decides whose set it is.
+    rows = reps.join(ends, "id", "left_semi").select("row").distinct()
+    found = shingle_sets(slim.join(rows.hint("merge"), "row", "left_semi").select("id", "row", "text"), width)
+    sets = materialize(found.groupBy("key").agg(F.first("s").alias("s")).join(reps.select("key", "id"), "key").select("id", "s"), "sets")
 
     best = lambda c: F.row_number().over(Window.partitionBy(c).orderBy(F.desc("votes"), "a", "b"))
     ranked = materialize(pairs.withColumn("ra", best("a")).withColumn("rb", best("b")).withColumn("early", (F.col("ra") <= first) | (F.col("rb") <= first)), "ranked")
@@ -296,17 +304,13 @@ def near_dedup(
     roots = joined(roots, confirm(pivots, sets, percent))
     roots = joined(roots, remaining_links(open_regions(crowded, roots, near), reps, sets, percent))
 
-    whole = reps.select("key", "id").join(roots, F.col("id") == F.col("node"), "left").select("key", F.col("id").alias("rep"), F.coalesce("root", "id").alias("root"))
+    whole = reps.select("key", "id", "doc").join(roots, F.col("id") == F.col("node"), "left").select("key", "doc", F.coalesce("root", "id").alias("root"))
     # Written, so that both sides of the join are shuffled for it alone and a large component's rows can be split.
     whole = materialize(whole, "roots")
-    least_id = materialize(whole.groupBy("root").agg(F.min("rep").alias("component")), "least")
+    least_id = materialize(whole.groupBy("root").agg(F.min("doc").alias("component")), "least")
     named = materialize(whole.join(least_id, "root").select("key", "component"), "named")
-    return signed.join(named, "key", "left").select(
-        F.col("id").alias(id_col),
-        F.col("n").alias("n_shingles"),
-        F.coalesce("component", "id").alias("component_id"),
-        F.col("id").eqNullSafe(F.coalesce("component", "id")).alias("kept"),
-    )
+    component = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component"))
+    return signed.join(named, "key", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 def op2_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronofact.session import partitions
+from chronofact.session import materialize, partitions
 
 HITS = "query_id long, vec_id long, score long"
 
@@ -87,37 +87,41 @@ def top_k(
     each side for ``most_rows`` pairs: candidates once a block, queries once a shard, as they come (floats stay
     floats). While tasks would idle, shards are cut down to ``least_rows``.
 
-    Vectors that are null, empty or hold null or non-finite components take no part, nor do rows with null ids or
-    with another number of components than the table's most frequent (ties: the larger). With fewer than k candidates all are
-    returned. Repeated rows are candidates each; a query leaves out all rows of its own id, and repeated query rows
-    answer once. Other columns are ignored.
+    Vectors that are null, empty or hold null or non-finite components take no part, nor do rows with null ids. A query
+    meets the candidates with as many components as it has; each length is cut into blocks and shards by its own rows. With fewer than k
+    candidates all are returned. Repeated rows are candidates each; a query leaves out all rows of its own id, and
+    of query rows with one id the smallest vector asks. Other columns are ignored.
     """
     spark = vectors.sparkSession
     good = (
         vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), is_query.alias("q"))
         .where("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
         .where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))))
+        .withColumn("dim", F.size("v"))
     )
-    sizes = good.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("nq")).orderBy(F.desc("n"), F.desc("dim")).first()
-    dim, n, nq = (sizes["dim"], sizes["n"], sizes["nq"]) if sizes else (1, 0, 0)
-    good = good.where(F.size("v") == dim)
-    blocks = max(1, -(-nq // most_rows))
-    shards = max(1, -(-n // most_rows), min(partitions(spark) // blocks, -(-n // least_rows)))
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    candidates = good.select("id", "v", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int").alias("shard")).withColumn("block", every(blocks))
-    asked = good.where("q").dropDuplicates(["id"]).select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")).withColumn("shard", every(shards))
+    up = lambda n, size: F.greatest(F.lit(1), F.ceil(n / size)).cast("int")
+    cuts = good.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("nq")).withColumn("blocks", up(F.col("nq"), most_rows))
+    idle = F.least(F.floor(partitions(spark) / F.col("blocks")), F.ceil(F.col("n") / least_rows)).cast("int")
+    cuts = materialize(cuts.select("dim", "blocks", F.greatest(up(F.col("n"), most_rows), idle).alias("shards")), "cuts")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+    place = lambda m, *of: F.pmod(F.xxhash64(*of), F.col(m)).cast("int")
+    candidates = good.select("id", "v", "dim").join(cuts, "dim").withColumn("shard", place("shards", "id", "v")).withColumn("block", every("blocks")).select("dim", "shard", "block", "id", "v")
+    asks = good.where("q").groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    asked = asks.join(cuts, "dim").withColumn("block", place("blocks", "id")).withColumn("shard", every("shards"))
+    asked = asked.select(*[F.col(c).alias(c) for c in ("dim", "shard", "block", "id", "v")])  # new columns, as both sides come from one table
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, own = right["id"].to_numpy(), left["id"].to_numpy()
         out = [(own[:0], own[:0], own[:0])]
         if len(ids) and len(own):
+            dim = left["dim"][0].as_py()
             whole = lambda t: np.floor(scale * t["v"].combine_chunks().flatten().to_numpy().astype(np.float64)).astype(np.int64).reshape(-1, dim)
             columns = np.ascontiguousarray(whole(right).T)
             for q, found, score in max_score(whole(left), ids, columns, k, own):
                 out.append((np.full(len(found), own[q]), found, score))
         return pa.table({name: np.concatenate([x[i] for x in out]).astype(np.int64) for i, name in enumerate(("query_id", "vec_id", "score"))})
 
-    hits = asked.groupBy("shard", "block").cogroup(candidates.groupBy("shard", "block")).applyInArrow(search, HITS)
+    hits = asked.groupBy("dim", "shard", "block").cogroup(candidates.groupBy("dim", "shard", "block")).applyInArrow(search, HITS)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -87,6 +87,16 @@ def test_near_dedup_of_nothing_nulls_and_clashing_columns(spark):
     assert got == sorted([(None, 3), (3, 3), (3, 3), (None, None)], key=str)
 
 
+def test_near_dedup_links_each_row_of_a_repeated_id(spark):
+    rng = random.Random(4)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(80))
+    a, b, c, d = (text() for _ in range(4))
+    rows = [(1, a), (1, b), (2, a + " z"), (3, b + " y"), (None, c), (5, c + " x"), (None, d), (None, d + " w"), (7, None), (None, None)]
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_dedup(spark.createDataFrame(rows, DOCS)).collect()), key=str)
+    want = [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (None, 5, False), (5, 5, True), (None, None, True), (None, None, True), (7, 7, True), (None, None, True)]
+    assert got == sorted(want, key=str)
+
+
 def test_components_of_chains_stars_and_pairs(spark):
     chain = [(i, i + 1) for i in range(60)]
     star = [(100, 100 + i) for i in range(1, 40)]

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronofact.llm import mixing, packing, sharding, topk, warc
-from chronofact.llm.language import fit, identify, spectrum
+from chronofact.llm.language import fit, identify, predict, spectrum, train
 from chronofact.session import shared_dir
 
 DOCS = "doc_id long, text string"
@@ -241,6 +241,19 @@ def test_topk_keeps_ties_that_no_essential_term_helps(spark):
     assert [(r.vec_id, r.score) for r in found] == [(i, 4096) for i in range(20)] == topk_brute(rows, 20, 1000)[1000]
 
 
+def test_topk_of_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 2 + i % 3)]) for i in range(120)] + [(8, [1.0, 2.0, 3.0, 4.0]), (8, [0.0, 2.0, 3.0, 4.0]), (200, [5.0] * 9)]
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 4 == 0, 7, most_rows=16, least_rows=4).collect()
+    asks = {}
+    for i, v in sorted(rows, key=lambda r: r[1]):
+        if i % 4 == 0:
+            asks.setdefault(i, v)
+    for q, v in asks.items():
+        want = sorted((-sum(64 * 64 * int(x) * int(y) for x, y in zip(v, w, strict=True)), i) for i, w in rows if i != q and len(w) == len(v))[:7]
+        assert sorted((r["rank"], r.vec_id, r.score) for r in found if r.query_id == q) == [(n + 1, i, -s) for n, (s, i) in enumerate(want)]
+
+
 def test_topk_of_nothing(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
 
@@ -264,6 +277,18 @@ def test_language_of_odd_rows(spark):
     assert identify(df.limit(0)).count() == 0
 
 
+def test_language_is_learned_from_texts_not_ids(spark):
+    """Rows of one id with many texts, and of one text many times: neither nothing is drawn nor more than the bound."""
+    rng = random.Random(2)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(4))
+    rows = [("en", " ".join(word("abcdef") for _ in range(8))) for _ in range(3000)] + [("xx", " ".join(word("uvwxyz") for _ in range(8))) for _ in range(50)] + [("yy", "klm mlk lkm kml")] * 5000
+    df = spark.createDataFrame(rows, "lang string, text string").withColumn("id", F.lit(1))
+    model = train(df, per_language=40)
+    assert model.langs == ("en", "xx", "yy")
+    got = predict(spark.createDataFrame([("fade beef cafe",), ("wxyz zyxw vuvu",), ("mlk klm",)], "text string"), model).collect()
+    assert [r.lang_pred for r in got] == ["en", "xx", "yy"]
+
+
 def test_scores_are_those_of_the_kernel():
     texts, langs = ["abc abd", "abd abe", "xyz xyw", "xyw xyv"], ["p", "p", "q", "q"]
     spectra = [spectrum(t.encode(), 3) for t in texts]

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
@@ -79,7 +80,9 @@ def test_language_stage_rejects_what_is_in_no_learned_language(spark):
         "我们今天去公园散步然后回家吃饭看书睡觉",
         "ذهب الولد إلى المدرسة في الصباح الباكر مع أصدقائه",
         "Wczoraj poszedłem do sklepu, żeby kupić chleb i mleko, ale było już zamknięte",
-        "Eilen kävin kaupassa ostamassa leipää ja maitoa, mutta se oli jo suljettu",
+        "Dün akşam arkadaşlarımla birlikte güzel bir film izledik",
+        "Včera večer jsme šli do kina s přáteli",
+        "Tối qua chúng tôi đã đi xem phim với bạn bè",
         base64.b64encode(random.Random(1).randbytes(60)).decode(),
         base64.b64encode(random.Random(2).randbytes(3000)).decode(),
         random.Random(3).randbytes(200).hex(),
@@ -94,6 +97,76 @@ def test_language_stage_rejects_what_is_in_no_learned_language(spark):
     assert {i for i, t in clean.items() if 20 <= len(t) <= 60 and re.fullmatch(r"[\w .,]+", t)} <= kept
 
 
+#: Sentences that nothing was trained on, in the four learned languages.
+PLAIN = {
+    "en": [
+        "The committee met on Tuesday to review the budget.",
+        "She left her keys on the kitchen table this morning.",
+        "Rain is expected across the north by late afternoon.",
+        "Our train was delayed because of a broken signal.",
+        "He learned to play the piano when he was twelve.",
+        "Most of the houses in this street were built of brick.",
+        "Please return the library books before the end of May.",
+        "The results of the study were published last week.",
+        "I would like a cup of tea and a slice of bread.",
+        "They walked along the river until it grew dark.",
+        "Nobody knows who wrote this letter.",
+        "We need more time to finish the work.",
+    ],
+    "de": [
+        "Der Zug nach Hamburg hat heute zwanzig Minuten Verspätung.",
+        "Meine Schwester arbeitet in einem Krankenhaus am Stadtrand.",
+        "Wir haben gestern Abend einen langen Film gesehen.",
+        "Die Kinder spielen im Garten hinter dem Haus.",
+        "Bitte schließen Sie die Tür, bevor Sie gehen.",
+        "Das Buch liegt auf dem Tisch neben der Lampe.",
+        "Im Winter wird es hier schon am Nachmittag dunkel.",
+        "Er hat den Schlüssel in seiner Tasche vergessen.",
+        "Ich möchte ein Kilo Äpfel und etwas Käse kaufen.",
+        "Niemand weiß, wann der Laden wieder öffnet.",
+        "Am Montag beginnt die neue Ausstellung im Museum.",
+        "Unser Hund schläft den ganzen Tag.",
+    ],
+    "fr": [
+        "Le chien et le chat dorment devant la porte.",
+        "Nous avons mangé dans un petit restaurant près du port.",
+        "Elle travaille depuis dix ans dans la même entreprise.",
+        "Il faut prendre le premier train demain matin.",
+        "Les enfants jouent dans la cour de l'école.",
+        "Je voudrais un café et deux croissants, s'il vous plaît.",
+        "La réunion aura lieu mardi dans la grande salle.",
+        "Mon frère a acheté une vieille maison à la campagne.",
+        "On ne sait pas encore qui a gagné la course.",
+        "Le vent souffle très fort sur la côte ce soir.",
+        "Vous pouvez laisser votre manteau ici.",
+        "Cette rivière traverse trois villages.",
+    ],
+    "es": [
+        "El perro y el gato duermen en la cocina.",
+        "Mañana vamos a visitar a mis abuelos en el pueblo.",
+        "La biblioteca cierra a las ocho de la tarde.",
+        "Mi hermana estudia medicina en la universidad.",
+        "No encuentro las llaves del coche en ninguna parte.",
+        "Los niños juegan al fútbol después de comer.",
+        "Hace mucho calor en el sur durante el verano.",
+        "Quisiera un vaso de agua y un poco de pan.",
+        "El tren llegó con media hora de retraso.",
+        "Nadie sabe quién escribió esta carta.",
+        "Tenemos que terminar el trabajo antes del lunes.",
+        "Las calles del centro estaban llenas de gente.",
+    ],
+}
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_language_stage_keeps_plain_sentences(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    texts = [t for ts in PLAIN.values() for t in [*ts, " ".join(ts), " ".join(ts) * 300]]
+    more = spark.createDataFrame([(-1 - i, t, None, "s0", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    kept = {r.doc_id for r in P.language_stage(spark, docs.select(*more.columns).union(more), "").select("doc_id").collect()}
+    assert len(texts) == 56 and [t for i, t in enumerate(texts) if -1 - i not in kept] == []
+
+
 def test_near_and_mixing_stages_take_null_and_repeated_ids_as_rows(spark):
     rng = random.Random(3)
     text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
@@ -114,7 +187,7 @@ def test_near_and_mixing_stages_take_null_and_repeated_ids_as_rows(spark):
 def test_stages_keep_columns_of_any_name(spark):
     """Extra columns that have names the operators use inside, or make, come through as they are, row by row."""
     docs, rows = fixture(spark)
-    extra = ["_id", "_copies", "_copy", "_letters", "_row_key", "_row", "_own", "score", "lang_pred", "lang_lead", "n_lines", "removed_lines", "size", "rank", "rate", "copies", "id", "sha", "lines", "stay", "gone", "_text", "_c0", "_other0", "component_id", "kept", "key", "n", "sig", "with space", "dot.ted"]
+    extra = ["_id", "_copies", "_copy", "_letters", "_row_key", "_row", "_own", "score", "lang_pred", "lang_known", "lang_lead", "n_lines", "removed_lines", "size", "rank", "rate", "copies", "id", "sha", "lines", "stay", "gone", "_text", "_c0", "_other0", "component_id", "kept", "key", "n", "sig", "with space", "dot.ted"]
     wide = docs.withColumns({c: F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for c in extra})
     for name, stage in P.STAGES:
         narrow, docs = sorted(map(str, (r.doc_id for r in stage(spark, docs, "").collect()))), docs
