@@ -17,19 +17,19 @@ from chronofact.llm.near_dedup import near_dedup
 from chronofact.llm.packing import pack
 from chronofact.session import ROW, keyed, materialize, table
 
-#: Under this lead no language fits: the best output hardly exceeds the others. See the README for what lies on each side.
-LEAST_LEAD = 0.33
+#: A text of which less is known (``language.known_share``) is in no learned language. See the README for what lies on each side.
+LEAST_KNOWN = 0.7
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages; those without a letter, or that no language fits, go.
+    """Documents in one of the learned languages; those without a letter, or whose n-grams are not those of the learned languages, go.
 
     Null and empty texts have no letter. Repeated rows and null ids stay as often as they come (null ids are not learned
     from); columns of any other name are kept as they are; an empty table, or one without a labelled row, gives none.
     """
-    known = docs.where("doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id"), "text", "lang")
+    known = docs.where("doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).select("text", "lang")
     held, back = aside(docs, "doc_id", "text")
-    return back(predict(held, train(known), with_lead=True).where((F.col("lang_pred") != "und") & (F.col("lang_lead") >= LEAST_LEAD)))
+    return back(predict(held, train(known), with_known=True).where((F.col("lang_pred") != "und") & (F.col("lang_known") >= LEAST_KNOWN)))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
