@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronofact.functions.text import fold, tokens
+from chronofact.functions.text import tokens
 from chronofact.operators.intervals import interval_join, islands
 from chronofact.session import global_rank, materialize
 
@@ -49,23 +49,23 @@ def idf(n: Column, df: Column) -> Column:
 def bm25(facts: DataFrame, query: list[str], scope: list[str] | None = None, text: Column | None = None) -> DataFrame:
     """Facts that hold a query term, with score, coverage, phrase and matched.
 
-    Each text (``text``, by default the fact's own) is read once: the query's terms are few, so a fact's term counts are
-    columns, found by one expression each, and no token is made into a value. What is counted is written, with a fact's
-    other columns for hits alone, and both the statistics, one row per scope, and the hits come from there. Statistics
+    Each text (``text``, by default the fact's own) is read once, into tokens; of those only the query's are kept, and a term's
+    count is a column over these few. What is counted is written, with a fact's other columns for hits alone, and
+    both the statistics, one row per scope, and the hits come from there. Statistics
     cover all facts of the scope; filter afterwards. coverage is the weight of the matched terms over that of all;
     phrase says that the whole query stands as a run.
     """
     scope = scope or []
     unique = list(dict.fromkeys(query))
     n = range(len(unique))
-    start, stop, between = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])", r"[^\p{L}\p{N}]+"
-    folded = facts.withColumn("_folded", fold(F.coalesce(F.col("text") if text is None else text, F.lit(""))))
-    times = lambda words: F.regexp_count("_folded", F.lit(start + between.join(words) + stop)) > 0
-    counts = folded.withColumns(
-        {"_len": F.regexp_count("_folded", F.lit(r"[\p{L}\p{N}]+"))} | {f"_tf{i}": F.regexp_count("_folded", F.lit(start + t + stop)) for i, t in enumerate(unique)}
-    )
-    found = reduce(lambda a, b: a | b, [F.col(f"_tf{i}") > 0 for i in n], F.lit(False))
-    phrase = found & times(query) if len(query) > 1 else F.lit(False)
+    read = facts.withColumn("_tokens", tokens(F.col("text") if text is None else text))
+    mine = F.filter("_tokens", lambda x: x.isin(*unique)) if unique else F.array().cast("array<string>")
+    read = read.withColumns({"_len": F.size("_tokens"), "_mine": mine, "_run": F.when(F.size(mine) > 0, F.col("_tokens")) if len(query) > 1 else F.lit(None)})
+    times = lambda t: F.size(F.filter("_mine", lambda x: x == t))
+    counts = read.withColumns({f"_tf{i}": times(t) for i, t in enumerate(unique)})
+    found = F.size("_mine") > 0
+    spaced = lambda x: F.concat(F.lit(" "), F.array_join(x, " "), F.lit(" "))
+    phrase = F.coalesce(F.contains(spaced(F.col("_run")), F.lit(f" {' '.join(query)} ")), F.lit(False)) if len(query) > 1 else F.lit(False)
     whole = F.when(found, F.struct(*[F.col(c) for c in facts.columns])).alias("_fact")
     keys = list(dict.fromkeys([*scope, "modality"]))
     counted = materialize(counts.select(*[F.col(c).alias("_k_" + c) for c in keys], "_len", *[f"_tf{i}" for i in n], phrase.alias("phrase"), whole), "counted")
