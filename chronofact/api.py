@@ -6,37 +6,70 @@ Every method returns a DataFrame (or a plan with one), so what is asked for is p
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from chronofact.functions.text import normal_name
 from chronofact.operators import entities as E
-from chronofact.operators import graph as G
+from chronofact.operators import evidence_search as X
 from chronofact.operators import packaging as P
 from chronofact.operators import retrieval as R
 from chronofact.operators import temporal as T
 from chronofact.operators.intervals import closed
-from chronofact.plans.understanding import build_plan, classify_tasks, plan_stages, run_temporal
+from chronofact.plans.evidence_graph import whole_graph
+from chronofact.plans.understanding import Plan, build_plan, classify_tasks, plan_stages, run_temporal
 from chronofact.plugins import Settings
 from chronofact.sources.facts import MODALITIES
 
 
+#: Intents that are answered from whatever there is.
+ANY_EVIDENCE = ("fact_lookup", "general_summary")
+QUOTED = "no model is configured: the answer is the evidence itself, quoted, not an interpretation"
+
+
 @dataclass
 class Answer:
-    """Evidence for a question, how it was found, and how sure it is."""
-
-    plan: object
-    evidence: DataFrame
+    """What a question found: the ledger of its evidence, and which modalities it would need that there are not."""
+
+    question: str
+    plan: Plan
+    ledger: DataFrame
+    top_k: int
+    min_score: float | None = None
+    missing: tuple[str, ...] = ()
+
+    @cached_property
+    def spans(self) -> list[Row]:
+        """The evidence, best first: at most ``top_k`` rows."""
+        rows = self.ledger.where("kept")
+        rows = rows if self.min_score is None else rows.where(F.col("score") >= self.min_score)
+        return rows.orderBy("rank", F.desc("score"), "video_id").limit(self.top_k).collect()
 
     def confidence(self) -> float:
-        """The mean of the evidence's confidences where known, else 0.5."""
-        return self.evidence.agg(F.coalesce(F.avg("confidence"), F.lit(0.5))).first()[0]
+        """The mean of the evidence's confidences where known, 1 at most; 0.5 where none is, 0 without evidence."""
+        known = [r["confidence"] for r in self.spans if r["confidence"] is not None]
+        return min(1.0, sum(known) / len(known)) if known else 0.5 if self.spans else 0.0
+
+    def outcome(self) -> str:
+        return "extractive" if self.spans else "insufficient_coverage" if self.missing else "insufficient_evidence"
 
     def text(self, most: int = 5) -> str:
-        """The extractive answer: the best spans with their times, most first."""
-        rows = self.evidence.orderBy(F.desc("score"), "start").limit(most).collect()
-        return "\n".join(f"[{r['start']:.1f}-{r['end']:.1f}] {r['text']}" for r in rows)
+        """The evidence itself, numbered, with its times; or why there is none."""
+        if not self.spans:
+            return f"the facts lack {', '.join(self.missing)}" if self.missing else "no evidence met the question" + ("" if self.min_score is None else " at the least score")
+        return "\n".join(f"[{i}] {r['start']:.1f}-{r['end']:.1f} ({r['modality']}): {r['text'][:200]}" for i, r in enumerate(self.spans[:most], 1))
+
+    def trace(self) -> dict:
+        """How the answer came about: plan, counts by stage, what the answer rests on, what was left out, and warnings."""
+        counts = {r["stage"]: r["n"] for r in self.ledger.groupBy("stage").agg(F.count(F.lit(1)).alias("n")).collect()}
+        left = self.ledger.where("NOT kept").orderBy("video_id", "rank").limit(10).collect()
+        warnings = [*self.plan.notes, *([f"missing modalities: {', '.join(self.missing)}"] if self.missing else []), *([QUOTED] if self.spans else [])]
+        return {
+            "query": self.question, "intent": self.plan.intent, "anchor": self.plan.temporal.anchor, "retrieved": counts, "support": [x for r in self.spans for x in r["ref_ids"]],
+            "omitted": [{"ref_ids": r["ref_ids"], "why": r["why"]} for r in left], "budget": {"top_k": self.top_k, "min_score": self.min_score}, "outcome": self.outcome(), "warnings": warnings,
+        }
 
 
 @dataclass
@@ -52,11 +85,21 @@ class Collection:
     def search(self, query: str, **options) -> DataFrame:
         return R.search(self.facts, query, **{"top_k": self.settings.top_k, **options})
 
-    def ask(self, question: str, top_k: int = 5) -> Answer:
-        """Evidence for a question: temporal phrasing is honoured, then ranked spans; no model is needed."""
-        plan, rows = run_temporal(self.facts, question, top_k)
-        extra = [] if "confidence" in rows.columns else [F.lit(None).cast("double").alias("confidence")]
-        return Answer(plan, rows.select("*", *extra))
+    def ask(self, question: str, top_k: int = 5, modalities: list[str] | None = None, min_score: float | None = None) -> Answer:
+        """Evidence for a question: temporal phrasing first, then ranked spans, names and the graph; no model is needed.
+
+        Needed modalities that there are none of are named, and evidence is looked for all the same.
+        """
+        facts = self.facts if modalities is None else self.facts.where(F.col("modality").isin(*modalities))
+        plan, base = build_plan(question), None
+        if plan.temporal.is_temporal:
+            plan, rows = run_temporal(facts, question, top_k)
+            first = [F.asc("start")] if plan.temporal.first else [F.desc("start")] if plan.temporal.last else [F.desc("score"), F.asc("start")]
+            w = Window.partitionBy("video_id").orderBy(*first, "modality", F.col("ref_ids"))
+            base = rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top_k)
+        there = {r["modality"] for r in facts.select("modality").distinct().collect()}
+        missing = () if plan.intent in ANY_EVIDENCE else tuple(m for m in plan.modalities if m not in there)
+        return Answer(question, plan, X.search_graph(facts, question, top_k=top_k, base=base), top_k, min_score, missing)
 
     def at(self, ts: float, window: float = 0.0) -> DataFrame:
         """Facts that cover an instant, modality order, then time."""
@@ -101,22 +144,14 @@ class Collection:
     def states(self) -> DataFrame:
         return T.states(self.facts.where("modality = 'ocr'"))
 
-    def graph(self) -> tuple[DataFrame, DataFrame]:
-        """Nodes and edges: facts and entities; order, support and mention."""
-        events, shown = self.facts.where("modality = 'events'"), self.facts.where("modality IN ('ocr', 'transcript')")
-        m = E.mentions(self.facts)
-        names = m.groupBy("video_id", "name").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-        named = names.select(F.concat("video_id", F.lit("/entity/"), "name").alias("id"), "video_id", F.lit("entity").alias("node_kind"), "start", "end", F.col("name").alias("label"), F.lit(False).alias("observed"))
-        edges = G.build_edges(G.chain_edges(events), G.support_edges(events, shown), G.mention_edges(m))
-        return G.fact_nodes(self.facts).unionByName(named), edges
+    def graph(self, scenes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """Nodes and edges of the whole evidence graph: facts, entities and their occurrences, changes, states, chapters,
+        scenes and rule events. Scenes are by default cut where screen texts begin."""
+        return whole_graph(self.facts, self.durations(), scenes, self.settings.chapter_seconds)
 
     def search_graph(self, query: str, hops: int = 1, top_k: int = 10) -> DataFrame:
-        """Ranked spans' facts, then facts that the graph reaches from them, at half the score for each step."""
-        found = self.search(query, top_k=top_k).select("video_id", F.explode("ref_ids").alias("fact_id"), "score")
-        starts = found.select(F.concat("video_id", F.lit("/"), "fact_id").alias("id"), "score").groupBy("id").agg(F.max("score").alias("score"))
-        reached = G.reachable(self.graph()[1], starts.select(F.col("id").alias("origin"), "id"), hops)
-        scored = reached.join(starts.withColumnRenamed("id", "origin"), "origin").select("id", "hops", (F.col("score") * F.pow(F.lit(0.5), F.col("hops"))).alias("score"))
-        return scored.groupBy("id").agg(F.min("hops").alias("hops"), F.max("score").alias("score")).orderBy("hops", F.desc("score"), "id")
+        """The ledger of each recording's evidence for a question, what was left out included."""
+        return X.search_graph(self.facts, query, hops, top_k)
 
     def package(self, query: str, max_spans: int = 10, seconds: float = 600.0) -> DataFrame:
         """One JSON package for each recording: the query's spans within the budgets."""

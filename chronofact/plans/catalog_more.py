@@ -230,7 +230,7 @@ fl AS (SELECT video_id, list_reduce(list({{'neg': -score, 'ts': ts, 'frame_id':
 frames AS (SELECT video_id, k[i].frame_id AS frame_id, k[i].ts AS ts, -k[i].neg AS score, i AS rank FROM fl, unnest(range(1, len(k) + 1)) t(i))"""
 
 
-def _frames(spark, sf) -> DataFrame:
+def frames_taken(spark, sf) -> DataFrame:
     kind = F.col("kind")
     reason = F.when(kind == "click", "event").when(kind == "view", "keyframe").when(kind == "purchase", "scene_change").when(kind == "signup", "boundary_burst").otherwise("motion")
     taken = facts(spark, sf, "events").select("video_id", F.col("fact_id").alias("frame_id"), F.col("start").alias("ts"), reason.alias("reason"))
@@ -240,22 +240,7 @@ def _frames(spark, sf) -> DataFrame:
 @query(f"""WITH {FACTS_SQL}, {FRAMES} SELECT video_id, frame_id, ts, CAST(score AS INT) AS score, CAST(rank AS INT) AS rank FROM frames""")
 def frame_selection(spark, sf) -> DataFrame:
     """Ten frames of each recording, by reason and what is on screen, five seconds apart; events stand for frames taken."""
-    return _frames(spark, sf)
-
-
-@query(f"""WITH {_rank_sql('video_id')}, {FRAMES},
-sx AS (SELECT video_id, round(max(boosted), 8) AS score, max(coverage) AS coverage, min("start") AS "start", modality, string_agg(text, ' ' ORDER BY "start", fact_id) AS text FROM isl GROUP BY video_id, modality, island),
-sr AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, coverage DESC, "start", modality) AS r, length(text) // 4 + 50 AS t FROM sx),
-e AS (SELECT video_id, count(*) AS n, sum(t) AS t, coalesce(sum(t) FILTER (r <= 3), 0) AS t3 FROM sr WHERE r <= 10 GROUP BY video_id), m AS (SELECT video_id, count(*) AS m FROM frames GROUP BY video_id),
-a AS (SELECT video_id, coalesce(n, 0) AS n, coalesce(t, 0) AS t, coalesce(t3, 0) AS t3, coalesce(m, 0) AS m FROM e FULL JOIN m USING (video_id)),
-b AS (SELECT *, t + 85 * m > 4000 AND n > 3 AS cut FROM a), c AS (SELECT *, CASE WHEN cut THEN 3 ELSE n END AS s, CASE WHEN cut THEN t3 ELSE t END AS u FROM b),
-d AS (SELECT *, CASE WHEN u + 85 * m > 4000 AND m > 3 THEN 3 ELSE m END AS f FROM c), g AS (SELECT *, CASE WHEN u + 85 * f > 4000 THEN 0 ELSE f END AS f2 FROM d), h AS (SELECT *, CASE WHEN u + 85 * f2 > 4000 THEN 0 ELSE s END AS s2 FROM g)
-SELECT video_id, CAST(s2 AS BIGINT) AS spans, CAST(f2 AS BIGINT) AS frames, concat_ws('; ', CASE WHEN s2 < n THEN 'spans ' || n || ' to ' || s2 END, CASE WHEN f2 < m THEN 'frames ' || m || ' to ' || f2 END) AS notes FROM h""")
-def context_selection(spark, sf) -> DataFrame:
-    """What of each recording's ten best spans and ten frames a budget of 4000 tokens holds."""
-    spans = R.search(facts(spark, sf), PHRASE, top_k=0, per_video=True)
-    ranked = C.first_ranks(spans, [F.desc("score"), F.desc("coverage"), F.asc("start"), F.asc("modality")], 10)
-    return C.select_context(ranked, _frames(spark, sf), 4000)
+    return frames_taken(spark, sf)
 
 
 WHOLE = f"""ef AS (SELECT video_id, name, arg_min(fact_id, ("start", "end", fact_id)) AS a, arg_max(fact_id, ("start", "end", fact_id)) AS b FROM mentions GROUP BY ALL),

@@ -66,7 +66,7 @@ SELECT video_id, modality, "start", "end", text, round(1 / (1 + greatest(0, "sta
 def temporal_question(spark, sf) -> DataFrame:
     """The ten facts that follow the best span of an anchor, nearest first."""
     rows = run_temporal(facts(spark, sf), f"what happened after {PHRASE}")[1]
-    return rows.withColumn("score", F.round("score", 9))
+    return rows.select("video_id", "modality", "start", "end", "text", F.round("score", 9).alias("score"))
 
 
 _DIMS = {"style": cues.STYLE, "typography": cues.TYPOGRAPHY, "layout": cues.LAYOUT, "interaction": cues.INTERACTION, "motion": cues.MOTION}

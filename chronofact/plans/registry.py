@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofact.plans import catalog_entities, catalog_facts, catalog_links, catalog_more, catalog_planning, catalog_retrieval, catalog_temporal
+from chronofact.plans import catalog_entities, catalog_facts, catalog_links, catalog_more, catalog_planning, catalog_retrieval, catalog_search, catalog_temporal
 
-MODULES = [catalog_facts, catalog_temporal, catalog_retrieval, catalog_entities, catalog_links, catalog_planning, catalog_more]
+MODULES = [catalog_facts, catalog_temporal, catalog_retrieval, catalog_entities, catalog_links, catalog_planning, catalog_more, catalog_search]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -358,9 +358,9 @@ def test_frames_and_budgets_of_context(spark):
     assert [r.frame_id for r in X.representative_frames(scored, 1).collect()] == ["f2"]
     spans = spark.createDataFrame([("v", i, "x" * 400) for i in range(1, 7)], "video_id string, rank int, text string")
     held = lambda budget: X.select_context(spans, X.representative_frames(scored), budget).first()
-    for budget, want in ((2000, (6, 3)), (1000, (3, 3)), (500, (3, 0)), (100, (0, 0))):
+    for budget, want in ((2000, (6, 3)), (1100, (3, 3)), (500, (3, 0)), (100, (0, 0))):
         assert (held(budget).spans, held(budget).frames) == want
-    assert held(2000).notes == "" and held(1000).notes == "spans 6 to 3"
+    assert held(2000).notes == "" and held(1100).notes == "spans 6 to 3"
 
 
 def test_paths_language_tags_and_layouts(spark):

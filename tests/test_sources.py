@@ -103,13 +103,8 @@ def test_collection(spark, tables):
     assert c.search("error").count() == 10 and c.recording("v0").search("error", top_k=3).count() == 3
     assert c.at(100.0, 5.0).count() > 0 and c.timeline(50.0, 10.0).count() == 0 and c.timeline(0.0, 60.0, ["events"]).count() > 0
     assert c.chapters().count() > 0 and c.states().count() > 0 and c.chains().count() > 0 and c.silences().count() > 0
-    nodes, edges = c.graph()
-    ids = {r.id for r in nodes.select("id").collect()}
-    assert all(r.src in ids and r.dst in ids for r in edges.collect())
     found = c.search_graph("error", top_k=2).collect()
-    assert found[0].hops == 0 and any(r.hops == 1 for r in found)
-    answer = c.ask("what happened before the error")
-    assert 0 <= answer.confidence() <= 1 and answer.text().startswith("[")
+    assert {r.stage for r in found} >= {"lexical", "graph"} and sum(r.kept for r in found if r.video_id == "v0") == 2
     assert c.package("error").count() > 0 and c.receipt().count() > 0 and c.compare("v0", "v1").count() > 0 and c.entity_timeline("The").count() >= 0
 
 
