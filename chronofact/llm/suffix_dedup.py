@@ -284,7 +284,7 @@ def suffix_order(runs: DataFrame, floor: int, length: int, keep: str) -> DataFra
     return slim.repartition(partitions(runs.sparkSession), "anchor").sortWithinPartitions("anchor", "na", "nb").mapInArrow(task, FOUND)
 
 
-STRETCH = "anchor long, sub int, lead int, off int, m int, ca long, cb long, wa long, wb long, c long, na long, nb long, id long, rk long, start long"
+STRETCH = "anchor long, sub int, lead int, off int, m int, ca long, cb long, body binary, c long, na long, nb long, id long, rk long, start long"
 
 
 def _stretches(at: int, n: int) -> Iterator[tuple[int, int, int]]:
@@ -297,48 +297,48 @@ def _stretches(at: int, n: int) -> Iterator[tuple[int, int, int]]:
 
 
 def stretches(runs: DataFrame, window: int) -> DataFrame:
-    """STRETCH rows of runs: a name of the bytes that all windows of a full stretch share (ca, cb) and one of the
-    stretch's own bytes (wa, wb). Windows equal in bytes have equal anchor, sub and core."""
+    """STRETCH rows of runs: a name of the bytes that all windows of a full stretch share (ca, cb), and the stretch's own
+    bytes. Windows equal in bytes have equal anchor, sub and core."""
     schema = _schema(STRETCH)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, parts = [], []
+            rows, cores = [], []
             for r in b.to_pylist():
-                data = memoryview(r["bytes"])
+                data = r["bytes"]
                 for sub, w, m in _stretches(r["at"], min(r["n"], len(data) - window + 1)):
                     begin = r["at"] - sub * STEP  # where the last window of a full stretch starts
-                    parts += [data[begin : begin - STEP + 1 + window], data[w : w + m - 1 + window]]
-                    rows.append((r["anchor"], sub, r["at"] - w - sub * STEP, w, m, r["c"], r["na"], r["nb"], r["id"], r["rk"], r["start"]))
-            named = _names(parts).reshape(-1, 4).T
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 11
-            cols = [*cols[:5], *np.ascontiguousarray(named), *cols[5:]]
+                    cores.append(data[begin : begin - STEP + 1 + window])
+                    rows.append((r["anchor"], sub, r["at"] - w - sub * STEP, w, m, data[w : w + m - 1 + window], r["c"], r["na"], r["nb"], r["id"], r["rk"], r["start"]))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 12
+            cols = [*cols[:5], *np.ascontiguousarray(_names(cores).T), *cols[5:]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
 
     return runs.select("anchor", "na", "nb", "n", "at", "c", "id", "rk", "start", "bytes").mapInArrow(task, STRETCH)
 
 
-WINDOW = "anchor long, sub int, ca long, cb long, wa long, wb long, d int, ha long, hb long, id long, rk long, start long"
+WINDOW = "anchor long, sub int, ca long, cb long, sid long, d int, body binary, id long, rk long, start long"
 
 
 def _windows(runs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """WINDOW rows: a name of each window of the stretches in question, d its distance to the anchor in the stretch."""
+    """WINDOW rows: the bytes of each window of the stretches in question, d its distance to the anchor in the stretch."""
     schema = _schema(WINDOW)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                rows, parts, data = [], [], memoryview(r["bytes"])
+                rows, data = [], r["bytes"]
                 for x in r["parts"]:
                     for w in range(x["m"]):
-                        parts.append(data[x["off"] + w : x["off"] + w + window])
-                        rows.append((r["anchor"], x["sub"], x["ca"], x["cb"], x["wa"], x["wb"], x["lead"] - w, r["id"], r["rk"], r["start"]))
-                cols = list(zip(*rows, strict=True))
-                cols = [*cols[:7], *np.ascontiguousarray(_names(parts).T), *cols[7:]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
+                        at = x["off"] + w
+                        rows.append((r["anchor"], x["sub"], x["ca"], x["cb"], x["sid"], x["lead"] - w, data[at : at + window], r["id"], r["rk"], r["start"]))
+                    if len(rows) * window > 4 << 20:
+                        yield _batch(rows, schema)
+                        rows = []
+                yield _batch(rows, schema)
 
     name = [F.col(c).alias(f"w_{c}") for c in ("anchor", "na", "nb")]
-    parts = wanted.groupBy(*name).agg(F.collect_list(F.struct("sub", "ca", "cb", "wa", "wb", "lead", "off", "m")).alias("parts"))
+    parts = wanted.groupBy(*name).agg(F.collect_list(F.struct("sub", "ca", "cb", "sid", "lead", "off", "m")).alias("parts"))
     on = (F.col("anchor") == F.col("w_anchor")) & (F.col("na") == F.col("w_na")) & (F.col("nb") == F.col("w_nb"))
     return runs.join(parts, on).select("anchor", "id", "rk", "start", "bytes", "parts").mapInArrow(task, WINDOW)
 
@@ -347,27 +347,27 @@ def crowd_order(runs: DataFrame, window: int, deep: bool, keep: str) -> DataFram
     """FOUND rows for runs of anchors with too many windows for one task: the same windows, ordered by Spark.
 
     Windows of equal bytes have equal distances to the anchor, so runs are cut into stretches of 32 windows aligned to
-    it; a stretch whose common core is unique cannot match, one whose bytes repeat matches whole. The windows of the
-    stretches left are grouped by name; their least and greatest place tell where an earlier and a later equal exists.
-    Every grouping is summed before its shuffle, so no group meets in one task.
+    it; a stretch whose common core is unique (by name) cannot match, one whose bytes repeat matches whole. The windows of
+    the stretches left are grouped by their bytes; their least and greatest place tell where an earlier and a later
+    equal exists. Every grouping is summed before its shuffle, so no group meets in one task.
     """
     parts = materialize(stretches(runs, window), "stretches")
     core = ["anchor", "sub", "ca", "cb"]
-    key = [*core, "wa", "wb"]
+    key = [*core, "body"]
     head = F.min(F.struct("id", "rk", "start", "na", "nb", "lead", "off", "m")).alias("head")
-    wholes = materialize(parts.groupBy(*key).agg(F.sum("c").alias("f"), head), "wholes")
+    wholes = materialize(parts.groupBy(*key).agg(F.sum("c").alias("f"), head).withColumn("sid", F.monotonically_increasing_id()), "wholes")
     cores = materialize(wholes.groupBy(*core).agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "cores")
-    open_ = wholes.join(cores, core).select(*key, "head.na", "head.nb", "head.lead", "head.off", "head.m")
+    open_ = wholes.join(cores, core).select("sid", *core, "head.na", "head.nb", "head.lead", "head.off", "head.m")
     windows = materialize(_windows(runs, open_, window), "windows")
     place = F.struct("id", "rk", "start")
-    same = [*core, "d", "ha", "hb"]
+    same = [*core, "d", "body"]
     groups = materialize(windows.groupBy(*same).agg(F.min(place).alias("least"), F.max(place).alias("most")).where("NOT (least <=> most)"), "groups")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("d"))
-    flags = windows.join(groups, same).groupBy(*key).agg(
+    flags = windows.join(groups, same).groupBy("sid").agg(
         F.sum(F.when(~place.eqNullSafe(F.col("least")), bit).otherwise(0)).alias("before"),
         F.sum(F.when(~place.eqNullSafe(F.col("most")), bit).otherwise(0)).alias("after"),
     )
-    bits = materialize(wholes.join(flags, key, "left").select(*key, "f", "head", "before", "after"), "bits")
+    bits = materialize(wholes.join(flags, "sid", "left").select(*key, "f", "head", "before", "after"), "bits")
     own = F.struct(F.col("id"), F.col("rk"), F.col("start")).eqNullSafe(F.struct(F.col("head.id"), F.col("head.rk"), F.col("head.start")))
     every = F.lit(-1).cast("long")
     if keep == "first":
@@ -468,8 +468,8 @@ def suffix_dedup(
     one anchor are counted by their bytes (a 128-bit BLAKE2 name), and a run that occurs often goes on with its first and
     last place. (3) The runs of an anchor meet in one task, where all suffixes at their windows are put in suffix
     order; longest previous and next factors, from previous and next smaller positions, decide each window on its
-    bytes. Anchors whose different runs have more than ``crowd`` windows cannot meet in one task: these are put in order by
-    Spark instead (``crowd_order``), which decides the same. Counts are partial sums before each shuffle; texts move
+    bytes. Anchors whose different runs have more than ``crowd`` windows cannot meet in one task: Spark orders the bytes of
+    these windows instead (``crowd_order``), which decides the same. Counts are partial sums before each shuffle; texts move
     compressed, twice, and only run numbers and the bytes of distinct repeated runs otherwise.
 
     Texts are taken as UTF-8 bytes, null as empty; texts under ``floor`` bytes lose nothing. Rows equal in id and
@@ -502,14 +502,9 @@ def suffix_dedup(
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    """The prescribed columns, for strings of 400 bytes; n_passages counts the runs repeated elsewhere, in strings of 256
-    bytes or more, that have over 50 whole words: many of these are under 400 bytes and stay in the text."""
-    out = suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), 400, keep="none", floor=256)
+    out = suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), 400, keep="none")
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
-    passages = F.size(F.filter("shared", lambda x: x["words"] > 50)).cast("long")
-    return out.select(
-        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), passages.alias("n_passages")
-    )
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 SQL: dict[str, str] = {}
