@@ -49,52 +49,70 @@ def _overlap(p: tuple, q: tuple) -> float:
     return w * h / (area(p) + area(q) - w * h)
 
 
+def observed(text: str, confidence: float | None, box: tuple) -> dict:
+    """An observation as ``advance`` pairs it: its normalised line and that one's strings, besides what was read."""
+    norm = " ".join(text.lower().split())
+    return {"norm": norm, "grams": grams(norm), "text": text, "box": box, "confidence": None if confidence is None or confidence != confidence else float(confidence)}
+
+
+def advance(live: list[dict], t: float, new: list[dict], least: float, box: float, max_gap: float) -> list[dict]:
+    """Take a recording's open tracks one frame on, in place; returns those that close.
+
+    Tracks not seen for max_gap seconds close. Open ones and the frame's observations are paired best first, one to one,
+    when their texts are alike and their boxes overlap; observations without a pair open tracks. A track keeps sums of
+    what it has seen, its best reading (of equals the first) and the first frame after it was seen last.
+    """
+    for k in live:
+        k["next"] = t if k["next"] is None else k["next"]
+    closed = [k for k in live if t - k["last"] > max_gap]
+    live[:] = [k for k in live if t - k["last"] <= max_gap]
+    near = (
+        (i, j, k["norm"], n["norm"], o)
+        for i, k in enumerate(live)
+        for j, n in enumerate(new)
+        if (k["norm"] == n["norm"] or may_reach(k["norm"], n["norm"], k["grams"], n["grams"], least)) and (o := _overlap(k["box"], n["box"])) >= box
+    )
+    pairs = sorted(((s, o, i, j) for i, j, a, b, o in near if (s := similarity(a, b)) >= least), key=lambda p: (-p[0], -p[1], p[2], p[3]))
+    met: dict[int, int] = {}
+    for _, _, i, j in pairs:
+        if j not in met and i not in met.values():
+            met[j] = i
+    for j, n in enumerate(new):
+        if j not in met:
+            live.append({"first": t, "count": 0, "sum": 0.0, "known": 0, "best": (-2.0, -1), "text": ""})
+        k = live[met.get(j, -1)]
+        sure = n["confidence"]
+        k |= {"norm": n["norm"], "grams": n["grams"], "box": n["box"], "last": t, "next": None, "count": k["count"] + 1, "sum": k["sum"] + (sure or 0.0), "known": k["known"] + (sure is not None)}
+        rank = (-1.0 if sure is None else sure, len(n["text"]))
+        if rank > k["best"]:
+            k |= {"best": rank, "text": n["text"]}
+    return closed
+
+
+def finished(video: str, k: dict, duration: float) -> tuple:
+    """A track as a row of TRACKS: it ends half way to the first frame without it, or at the recording's end."""
+    end = duration if k["next"] is None else (k["last"] + k["next"]) / 2
+    return (video, k["text"], k["first"], end, k["first"], k["last"], k["count"], round(k["sum"] / k["known"], 4) if k["known"] else None, k["count"] > 1)
+
+
 def text_tracks(observations: DataFrame, frames: DataFrame, durations: DataFrame, least: float = 0.88, box: float = 0.30, max_gap: float = 3.0) -> DataFrame:
     """Intervals of text from observations (video_id, ts, text, confidence, x1, y1, x2, y2) over sampled frames (video_id, ts).
 
-    In each frame open tracks and observations are paired best first, one to one, when their texts are alike and their
-    boxes overlap; a track not seen for max_gap seconds closes. It ends half way to the first frame without it, or at
-    the recording's end. One group is one recording, its state the open tracks.
+    Each recording's frames are gone through in order (``advance``). One group is one recording, its state the open tracks;
+    ``streaming.tracks`` does the same over a stream.
     """
     seen = frames.select("video_id", "ts").distinct().withColumn("text", F.lit(None).cast("string"))
     rows = observations.select("video_id", "ts", "text", "confidence", "x1", "y1", "x2", "y2").unionByName(seen, allowMissingColumns=True).join(durations, "video_id")
 
     def track(pdf: pd.DataFrame) -> pd.DataFrame:
         video, total = pdf.video_id.iloc[0], float(pdf.duration.iloc[0])
-        times = sorted(set(pdf.ts))
         by = {t: g for t, g in pdf[pdf.text.notna()].groupby("ts")}
         live: list[dict] = []
-        done: list[dict] = []
-        for t in times:
-            done += [k for k in live if t - k["last"] > max_gap]
-            live = [k for k in live if t - k["last"] <= max_gap]
-            if t not in by:
-                continue
-            new = [(norm := " ".join(r.text.lower().split()), r.text, r.confidence, (r.x1, r.y1, r.x2, r.y2), grams(norm)) for r in by[t].itertuples()]
-            near = (
-                (i, j, k["norm"], n[0], o)
-                for i, k in enumerate(live)
-                for j, n in enumerate(new)
-                if (k["norm"] == n[0] or may_reach(k["norm"], n[0], k["grams"], n[4], least)) and (o := _overlap(k["box"], n[3])) >= box
-            )
-            pairs = sorted(((s, o, i, j) for i, j, a, b, o in near if (s := similarity(a, b)) >= least), key=lambda p: (-p[0], -p[1], p[2], p[3]))
-            used_i, used_j = set(), set()
-            for _, _, i, j in pairs:
-                if i not in used_i and j not in used_j:
-                    used_i.add(i)
-                    used_j.add(j)
-                    live[i]["seen"].append((new[j][2], new[j][1], t))
-                    live[i] |= {"norm": new[j][0], "grams": new[j][4], "box": new[j][3], "last": t}
-            for j, n in enumerate(new):
-                if j not in used_j:
-                    live.append({"norm": n[0], "grams": n[4], "box": n[3], "first": t, "last": t, "seen": [(n[2], n[1], t)]})
         out = []
-        for k in done + live:
-            later = [t for t in times if t > k["last"]]
-            end = (k["last"] + later[0]) / 2 if later else total
-            sure = [c for c, _, _ in k["seen"] if c is not None and c == c]
-            best = max(k["seen"], key=lambda s: (s[0] if s[0] is not None and s[0] == s[0] else -1.0, len(s[1])))
-            out.append((video, best[1], k["first"], end, k["first"], k["last"], len(k["seen"]), round(sum(sure) / len(sure), 4) if sure else None, len(k["seen"]) > 1))
+        for t in sorted(set(pdf.ts)):
+            new = [observed(r.text, r.confidence, (r.x1, r.y1, r.x2, r.y2)) for r in by[t].itertuples()] if t in by else []
+            out += [finished(video, k, total) for k in advance(live, t, new, least, box, max_gap)]
+        out += [finished(video, k, total) for k in live]
         out.sort(key=lambda r: (r[2], r[3], r[1]))
         return pd.DataFrame(out, columns=[x.split()[0] for x in TRACKS.split(", ")])
 

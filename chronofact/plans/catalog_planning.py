@@ -15,6 +15,7 @@ from chronofact.session import table
 from chronofact.sources.facts import FACTS_SQL, facts
 from chronofact.sources.readers import page_lines
 from chronofact.streaming import facts as S
+from chronofact.streaming.tracks import stream_tracks as stream_text_tracks
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -114,8 +115,9 @@ def page_text(spark, sf) -> DataFrame:
 
 @query("""SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL""")
 def stream_windows(spark, sf) -> DataFrame:
-    """Hourly counts from a stream, in complete mode, so they equal the batch's."""
-    return S.run_available(S.windowed_counts(S.read_events(spark, sf)), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    """Hourly counts of a stream that has ended, in append mode: a window comes out, and leaves the state, when the watermark passes it."""
+    events, end = S.ended(S.read_events(spark, sf))
+    return S.run_available(S.windowed_counts(events), end).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("""SELECT count(*) AS n, count(DISTINCT event_id) AS ids FROM events""")
@@ -128,11 +130,36 @@ def stream_dedup(spark, sf) -> DataFrame:
 s AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM e)
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, session""")
 def stream_sessions(spark, sf) -> DataFrame:
-    """Sessions from a stream that has ended: complete mode also gives those still open at the watermark, as the batch does."""
-    found = S.run_available(S.sessions(S.read_events(spark, sf), "30 minutes"), "complete")
+    """Sessions of a stream that has ended, in append mode: a session comes out, and leaves the state, when the watermark passes it."""
+    events, end = S.ended(S.read_events(spark, sf))
+    found = S.run_available(S.sessions(events, "30 minutes"), end)
     return found.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
+_WORD = r"regexp_extract(text, '^[^\x20\x09-\x0D]+')"
+
+
+@query(rf"""WITH o AS (SELECT 'v' || (doc_id // 20) AS video_id, CAST((doc_id % 20) * 30 AS DOUBLE) AS ts, {_WORD} AS text, doc_id % 10 / 10.0::DOUBLE AS confidence FROM documents WHERE {_WORD} <> ''),
+f AS (SELECT video_id, ts, lead(ts) OVER (PARTITION BY video_id ORDER BY ts) AS next FROM o), n AS (SELECT o.*, coalesce(next, -1) AS next, lower(text) AS norm FROM o JOIN f USING (video_id, ts)),
+l AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY video_id, norm ORDER BY ts) <= 90 THEN 0 ELSE 1 END AS f FROM n), i AS (SELECT *, sum(f) OVER (PARTITION BY video_id, norm ORDER BY ts) AS island FROM l)
+SELECT video_id, arg_max(text, {{'c': confidence, 'n': length(text), 't': -ts}}) AS text, min(ts) AS start, CASE WHEN arg_max(next, ts) < 0 THEN 600.0::DOUBLE ELSE (max(ts) + arg_max(next, ts)) / 2 END AS "end",
+  max(ts) AS last_ts, count(*) AS frame_count, round(avg(confidence), 4) AS confidence FROM i GROUP BY video_id, norm, island""")
+def stream_tracks(spark, sf) -> DataFrame:
+    """Tracks of each document's first word, equal words being one text, over a stream of the documents with an end for each recording."""
+    schema = table(spark, sf, "documents").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet*").option("recursiveFileLookup", "true").parquet(sf)
+    word = F.regexp_extract("text", r"^[^\x20\x09-\x0D]+", 0)
+    video, none = F.concat(F.lit("v"), F.floor(F.col("doc_id") / 20)), F.lit(None).cast("double")
+    seen = stream.where(word != "").select(video.alias("video_id"), ((F.col("doc_id") % 20) * 30.0).alias("ts"), word.alias("text"), (F.col("doc_id") % 10 / 10.0).alias("confidence"))
+    rows = seen.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("last"))
+    # A day later, as a stream takes what happened at its clock's zero for late.
+    at = F.when(F.col("last"), 600.0).otherwise(F.col("ts")) + 86400.0
+    rows = rows.select("video_id", F.timestamp_seconds(at).alias("at"), at.alias("ts"), F.when(~F.col("last"), F.col("text")).alias("text"), "confidence", *[none.alias(c) for c in ("x1", "y1", "x2", "y2")], "last")
+    rows, end = S.ended(rows, "at")
+    found = S.run_available(stream_text_tracks(rows, least=1.0, max_gap=90.0), end)
+    return found.select("video_id", "text", *[(F.col(c) - 86400.0).alias(c) for c in ("start", "end", "last_ts")], "frame_count", "confidence")
+
+
 @query("""SELECT a.event_id AS a_id, b.event_id AS b_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 60 SECONDS""")
 def stream_pairs(spark, sf) -> DataFrame:
     events = S.read_events(spark, sf)

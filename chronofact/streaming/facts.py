@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofact.session import shared_dir
 
+#: The time of the row that ends a stream, and the setting of the state store.
+END, STORE = "2200-01-01 00:00:00", "spark.sql.streaming.stateStore.providerClass"
+
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of its file, with a timestamp fit for watermarks."""
@@ -36,18 +42,30 @@ def near_pairs(left: DataFrame, right: DataFrame, seconds: int, late: str = "10
     return a.join(b, (F.col("a_user") == F.col("b_user")) & band).select("a_id", "b_id")
 
 
-def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now and return its output, written as Parquet in the shared folder."""
-    import uuid
-
-    base = f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
-    if mode == "append":
-        q = stream.writeStream.format("parquet").option("checkpointLocation", f"{base}/state").option("path", f"{base}/rows").outputMode("append").trigger(availableNow=True).start()
-        q.awaitTermination()
-        return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/rows")
-
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/rows")
-
-    stream.writeStream.option("checkpointLocation", f"{base}/state").outputMode("complete").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/rows")
+def ended(stream: DataFrame, time_col: str = "ts") -> tuple[DataFrame, Callable[[], None]]:
+    """A stream that can end: the stream and one that is empty until the function that comes with it is called. That puts
+    a row there, all null but for a time after every other, and the watermark then passes whatever came before, so
+    append mode gives what is open at the end, too. An endless stream needs none of it."""
+    spark, path = stream.sparkSession, f"{shared_dir(stream.sparkSession)}/end-{uuid.uuid4().hex}"
+    one = spark.range(1).select(*[(F.lit(END) if f.name == time_col else F.lit(None)).cast(f.dataType).alias(f.name) for f in stream.schema])
+    one.limit(0).write.parquet(path)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(path)), lambda: one.write.mode("append").parquet(path)
+
+
+def run_available(stream: DataFrame, end: Callable[[], None] | None = None) -> DataFrame:
+    """Run a stream over what is there now, in append mode, and return its output, written as Parquet in the shared folder.
+
+    With ``end`` (of ``ended``) the stream is ended afterwards, and goes on from its checkpoint to give what was open.
+    """
+    spark, base = stream.sparkSession, f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    held = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for before in (None, end) if end else (None,):
+            if before:
+                before()
+            writer = stream.writeStream.format("parquet").option("checkpointLocation", f"{base}/state").option("path", f"{base}/rows")
+            writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(STORE, held) if held else spark.conf.unset(STORE)
+    return spark.read.schema(stream.schema).parquet(f"{base}/rows")

@@ -2,6 +2,9 @@
 
 import gzip
 import json
+import os
+import random
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +14,9 @@ from chronofact.plugins import Registry, Settings, default
 from chronofact.sources import readers as R
 from chronofact.sources.adapters import LocalFiles
 from chronofact.sources.facts import facts
+from chronofact.operators.tracking import text_tracks
 from chronofact.streaming import facts as S
+from chronofact.streaming.tracks import stream_tracks
 
 SRT = "1\n00:00:01,000 --> 00:00:02,500\nHello <i>there</i>\n\n2\n00:00:03,000 --> 00:00:04,000\n{\\an8}Second line\ncontinues 42\n\n3\n00:00:05,000 --> 00:00:06,000\n\n"
 VTT = "﻿WEBVTT\r\n\r\n01:02.500 --> 01:04.000 align:start\r\n<v Ann>Hi all\r\n"
@@ -92,10 +97,58 @@ def test_streams_equal_batches(spark, tables):
     events = S.read_events(spark, tables)
     batch = spark.read.parquet(f"{tables}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     counts = lambda df: sorted((r.start, r.event_type, r.n) for r in df.collect())
-    assert counts(S.run_available(S.windowed_counts(events), "complete")) == counts(S.windowed_counts(batch))
+    endless, end = S.ended(events)
+    assert counts(S.run_available(S.windowed_counts(endless), end)) == counts(S.windowed_counts(batch))
     # Sessions that the watermark has closed are those of the batch.
+    every = {(r.user_id, r.start, r.end, r.n) for r in S.sessions(batch).collect()}
     closed = {(r.user_id, r.start, r.end, r.n) for r in S.run_available(S.sessions(events)).collect()}
-    assert closed and closed <= {(r.user_id, r.start, r.end, r.n) for r in S.sessions(batch).collect()}
+    assert closed and closed <= every
+    endless, end = S.ended(events)
+    assert {(r.user_id, r.start, r.end, r.n) for r in S.run_available(S.sessions(endless), end).collect()} == every
+
+
+def batches(spark, path, parts, schema):
+    """A stream of several files, one a micro-batch, in the order given."""
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"file://{path}/{i}")
+        for f in (path / str(i)).glob("*.parquet"):
+            os.utime(f, (1_600_000_000 + 60 * i, 1_600_000_000 + 60 * i))
+    return spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"file://{path}")
+
+
+def test_late_rows_fall_into_windows_or_are_dropped(spark, tmp_path):
+    at = lambda minute: datetime(2024, 1, 1, 10, 0) + timedelta(minutes=minute)
+    parts = [[(1, "a", at(5)), (2, "a", at(100))], [(3, "a", at(95)), (4, "a", at(10)), (5, "a", at(190))], [(6, "a", at(30)), (7, "a", at(300))]]
+    stream = batches(spark, tmp_path, parts, "event_id long, event_type string, ts timestamp")
+    stream, end = S.ended(stream)
+    got = {r.start: r.n for r in S.run_available(S.windowed_counts(stream), end).collect()}
+    # The watermark stands at 11:30 after the first batch, and is held against rows of the third: 10:30 comes too late, 10:10 and 11:35 do not.
+    assert got == {at(0): 2, at(60): 2, at(180): 1, at(300): 1}
+
+
+def test_streamed_tracks_equal_the_batch(spark, tmp_path):
+    rng = random.Random(5)
+    lines = ["Sign in to the app", "ConnectionError: refused", "npm run migrate", "Sign in to the App!", "npm run  migrate"]
+    base, rows, ends = 86_400.0, [], {}
+    for v in ("v1", "v2", "v3"):
+        for i in range(30):
+            ts = base + 2.0 * i
+            rows.append((v, ts, None, None, None, None, None, None, False))
+            for line in rng.sample(lines, rng.choice([0, 0, 1, 2])):
+                x = rng.choice([0.0, 5.0, 200.0])
+                rows.append((v, ts, line, rng.choice([None, 0.5, 0.9]), x, 0.0, x + 20.0, 10.0, False))
+        ends[v] = base + 61.0
+        rows.append((v, ends[v], None, None, None, None, None, None, True))
+    schema = "video_id string, ts double, text string, confidence double, x1 double, y1 double, x2 double, y2 double, last boolean"
+    table = spark.createDataFrame([r for r in rows if not r[8]], schema)
+    want = text_tracks(table.where("text IS NOT NULL"), table.select("video_id", "ts"), spark.createDataFrame(list(ends.items()), "video_id string, duration double"))
+    order = sorted(rows, key=lambda r: (r[1] + rng.uniform(0, 15), r[0]))  # out of order, within the delay
+    parts = [[(*r, datetime.fromtimestamp(r[1], timezone.utc)) for r in order[i : i + 60]] for i in range(0, len(order), 60)]
+    stream = batches(spark, tmp_path, parts, schema + ", at timestamp")
+    stream, end = S.ended(stream, "at")
+    got = S.run_available(stream_tracks(stream, late="30 seconds"), end)
+    key = lambda df: sorted(map(str, df.select("video_id", "text", "start", "end", "last_ts", "frame_count", "confidence", "stable").collect()))
+    assert len(parts) > 2 and key(got) == key(want) and got.where("stable").count() > 3
 
 
 def test_collection(spark, tables):
