@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,26 +110,60 @@ def with_aliases(m: DataFrame, aliases: DataFrame) -> DataFrame:
     return m.join(known, "name", "left").withColumn("name", F.coalesce(normal_name(F.col("canonical")), "name")).drop("canonical")
 
 
-def similar_names(entities: DataFrame, least: float = 0.88, shared: bool = True) -> DataFrame:
-    """Pairs of names of one recording that share a word of four letters and whose Ratcliff-Obershelp ratio is >= least.
+def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    The shared word is the join key; the ratio, which SQL lacks, runs on those pairs in Arrow batches. Without ``shared``
-    names that share the first letter of any word are compared, all within one recording.
-    """
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
 
-        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+def similar_names(entities: DataFrame, least: float = 0.88, shared: bool = True) -> DataFrame:
+    """(video_id, a, b, ratio): pairs a < b of names of one recording whose Ratcliff-Obershelp ratio is >= least.
 
-    parts = F.split("name", " ")
-    keys = F.filter(parts, lambda w: F.length(w) >= 4) if shared else F.transform(parts, lambda w: F.substring(w, 1, 1))
-    words = entities.select("video_id", "name", F.explode(F.array_distinct(keys)).alias("word"))
-    pairs = words.alias("a").join(words.alias("b"), ["video_id", "word"]).where("a.name < b.name").select("video_id", F.col("a.name").alias("a"), F.col("b.name").alias("b")).distinct()
+    With ``shared`` they share a word of four letters, too, and that word is the join key. Without, no pair is missed and
+    few others are formed (``alike_candidates``). The ratio, which SQL lacks, runs on those pairs in Arrow batches.
+    """
+    if shared:
+        keys = F.filter(F.split("name", " "), lambda w: F.length(w) >= 4)
+        words = entities.select("video_id", "name", F.explode(F.array_distinct(keys)).alias("word"))
+        pairs = words.alias("a").join(words.alias("b"), ["video_id", "word"]).where("a.name < b.name").select("video_id", F.col("a.name").alias("a"), F.col("b.name").alias("b")).distinct()
+    else:
+        pairs = alike_candidates(entities.select("video_id", "name").distinct(), least)
     short, long = F.least(F.length("a"), F.length("b")), F.greatest(F.length("a"), F.length("b"))
+    ratio = F.pandas_udf(_ratio, "double")
     return pairs.where(short >= 0.5 * long).withColumn("ratio", ratio("a", "b")).where(F.col("ratio") >= least)
 
 
+def alike_candidates(names: DataFrame, least: float) -> DataFrame:
+    """(video_id, a, b), a < b: every pair of names (video_id, name) with a ratio of ``least`` (over 2/3) or more, and some others.
+
+    The ratio is 2m / s, of m matched and s characters in all, and the matched ones are a common subsequence. So a
+    name of n characters becomes the other by taking x out and putting y in, where x + y <= (1 - least) * s, that is (2 - least) * x +
+    least * y <= 2n * (1 - least). Each character out breaks two of the name's pairs of neighbours, each one in one: k = 4n *
+    (1 - least) / (2 - least) at most. Pairs of neighbours, numbered where they repeat, are put in one order for all names, the
+    rarest first; the first k + 1 of a name hold one that the first ones of the other hold, too: this prefix is the
+    join key. Names of few characters have no more than k pairs; they, and what is near them in length, meet by single
+    characters likewise, of which x + 1 make the prefix. Pairs then need lengths that fit.
+    """
+    n, out = F.length("name"), 2 * (1 - least) / (2 - least)
+    short = max((i for i in range(1, 500) if i - 1 <= int(2 * out * i + 1e-9)), default=0)
+    reach = int(short * (2 - least) / least + 1e-9)
+    chars = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring("name", i, 1))
+    twos = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring("name", i, 2))).otherwise(F.array().cast("array<string>"))
+    kinds = F.array(
+        F.when(n <= reach, F.struct(chars.alias("g"), F.floor(out * n + 1e-9).cast("int").alias("k"))),
+        F.when(n > short, F.struct(twos.alias("g"), F.floor(2 * out * n + 1e-9).cast("int").alias("k"))),
+    )
+    rows = names.where(n > 0).select("video_id", "name", F.explode(kinds).alias("x")).where(F.col("x").isNotNull()).select("video_id", "name", "x.g", "x.k")
+    times = lambda i: F.size(F.filter(F.slice("g", 1, i), lambda x: x == F.get("g", i))).cast("string")
+    marked = materialize(rows.withColumn("g", F.transform("g", lambda x, i: F.concat(x, F.when(i > 0, times(i)).otherwise("0")))), "grams")
+    df = marked.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    each = marked.select("video_id", "name", "k", F.length(F.get("g", F.lit(0))).alias("kind"), F.explode("g").alias("gram")).join(df, "gram")
+    ranked = each.groupBy("video_id", "name", "k", "kind").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("order"))
+    keys = F.explode(F.slice(F.transform("order", lambda x: x["gram"]), 1, F.col("k") + 1))
+    keyed = materialize(ranked.select("video_id", "name", "kind", keys.alias("key")), "keys")
+    pairs = keyed.alias("x").join(keyed.alias("y"), ["video_id", "kind", "key"]).where("x.name < y.name")
+    x, y = F.length("x.name"), F.length("y.name")
+    return pairs.where(F.abs(x - y) <= F.floor((1 - least) * (x + y) + 1e-9)).select("video_id", F.col("x.name").alias("a"), F.col("y.name").alias("b")).distinct()
+
+
 def videos_with_all(m: DataFrame, names: list[str]) -> DataFrame:
     """Recordings that mention every one of the names (relational division)."""
     wanted = [n.lower() for n in dict.fromkeys(names)]

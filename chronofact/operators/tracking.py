@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronofact.session import materialize, partitions
+
 TRACKS = "video_id string, text string, start double, end double, first_ts double, last_ts double, frame_count long, confidence double, stable boolean"
 
 
@@ -119,13 +125,72 @@ def text_tracks(observations: DataFrame, frames: DataFrame, durations: DataFrame
     return rows.groupBy("video_id").applyInPandas(track, TRACKS)
 
 
-def worst_tile(a: pd.Series, b: pd.Series, tiles: int = 16) -> pd.Series:
-    """The greatest mean absolute difference of any tile of two square grey pictures, as flat lists."""
-    import numpy as np
+def tile_differences(frames: np.ndarray, tiles: int = 16) -> np.ndarray:
+    """For each of a row of square grey pictures (flat) the greatest mean absolute difference of any tile from the one before; 0 for the first."""
+    side = round(frames.shape[1] ** 0.5)
+    if side * side != frames.shape[1] or side % tiles:
+        raise ValueError(f"pictures of {frames.shape[1]} points are no squares of {tiles} by {tiles} tiles")
+    step = np.abs(np.diff(frames, axis=0)).reshape(-1, tiles, side // tiles, tiles, side // tiles)
+    return np.append(np.zeros(min(1, len(frames))), step.mean(axis=(2, 4)).max(axis=(1, 2)) if len(frames) > 1 else [])
+
 
-    def one(x, y) -> float:
-        side = int(round(len(x) ** 0.5))
-        d = np.abs(np.asarray(x, dtype=float) - np.asarray(y, dtype=float)).reshape(tiles, side // tiles, tiles, side // tiles)
-        return float(d.mean(axis=(1, 3)).max())
+def tile_runs(frames: DataFrame, most: float, tiles: int = 16, pixels: str = "pixels") -> DataFrame:
+    """(video_id, ts, run): frames (video_id, ts, pixels) numbered by runs; one begins where a tile differs by over ``most`` from the frame before.
 
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
+    Frames are dealt by range of recording and time and sorted, so a long recording lies in several tasks; each task scans
+    its frames in Arrow batches and carries the last one from batch to batch. The first and the last frame of each
+    task, two rows a task, are compared over the cuts. Pictures are never shuffled but for that dealing. Frames that are null
+    are left out.
+    """
+    given = frames.where(F.col(pixels).isNotNull()).select("video_id", F.col("ts").cast("double").alias("ts"), F.col(pixels).cast("array<double>").alias("pixels"))
+    spark = frames.sparkSession
+    schema = "video_id string, ts double, part int, edge string, cut boolean, pixels array<double>"
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last = TaskContext.get().partitionId(), None
+
+        def rows(video: list, ts: list, edge: str | None, cut: list, pictures: list) -> pa.RecordBatch:
+            n = len(video)
+            cols = [pa.array(video, pa.string()), pa.array(ts, pa.float64()), pa.array([part] * n, pa.int32()), pa.array([edge] * n, pa.string()), pa.array(cut, pa.bool_()), pa.array(pictures, pa.list_(pa.float64()))]
+            return pa.RecordBatch.from_arrays(cols, names=["video_id", "ts", "part", "edge", "cut", "pixels"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            video, ts, lists = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)
+            pictures = lists.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            if last is None:
+                yield rows(video[:1], ts[:1], "first", [None], [pictures[0].tolist()])
+                held, before = pictures, [None, *video[:-1]]
+            else:
+                held, before = np.vstack([last[2], pictures]), [last[0], *video[:-1]]
+            far = tile_differences(held, tiles)[-b.num_rows :] > most
+            cut = [bool(x) or v != w for x, v, w in zip(far, video, before, strict=True)]
+            yield rows(video, ts, None, cut, [None] * b.num_rows)
+            last = (video[-1], ts[-1], pictures[-1])
+        if last is not None:
+            yield rows([last[0]], [last[1]], "last", [None], [last[2].tolist()])
+
+    order = ["video_id", "ts"]
+    scanned = materialize(given.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(scan, schema), "frames")
+    # Over the cuts: the first frame of a task against the last of the task before, if they are of one recording.
+    ends = scanned.where("edge IS NOT NULL").withColumn("_e", F.col("edge") == "last")
+    w = Window.orderBy("part", "_e")
+    near = ends.select("video_id", "ts", "part", "edge", "pixels", F.lag("video_id").over(w).alias("pv"), F.lag("pixels").over(w).alias("pp")).where("edge = 'first' AND pv = video_id")
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            same = [float(tile_differences(np.array([p, q]), tiles)[1]) <= most for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same, pa.bool_())], names=["video_id", "ts", "same"])
+
+    joined = near.select("video_id", "ts", "pp", "pixels").mapInArrow(over, "video_id string, ts double, same boolean").where("same")
+    flags = scanned.where("edge IS NULL").select("video_id", "ts", "cut").join(joined, ["video_id", "ts"], "left")
+    begins = F.when(F.col("cut") & ~F.coalesce("same", F.lit(False)), 1).otherwise(0)
+    run = F.sum(begins).over(Window.partitionBy("video_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))
+    return flags.select("video_id", "ts", run.alias("run"))
+
+
+def replayed(runs: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows (video_id, ts, and what was read from the frame) copied to every frame of their frame's run (``tile_runs``)."""
+    read = rows.join(runs, ["video_id", "ts"]).withColumnRenamed("ts", "read_at")
+    return runs.join(read, ["video_id", "run"]).select("video_id", "ts", "run", "read_at", *[c for c in rows.columns if c not in ("video_id", "ts")])

@@ -82,6 +82,12 @@ def similar_names(spark, sf) -> DataFrame:
     return E.similar_names(E.concepts(facts(spark, sf)), 0.75, shared=False).select("video_id", "a", "b", F.round("ratio", 6).alias("ratio"))
 
 
+@query()
+def alike_merged(spark, sf) -> DataFrame:
+    """Concepts after names were merged that share a word, or are alike in nine of ten characters, at one moment."""
+    return E.rolled_up(E.merged(E.mentions(facts(spark, sf)), 0.9)).drop("display")
+
+
 EDGES = """ev AS (SELECT *, lead(fact_id) OVER w AS nx, lead("start") OVER w AS ns, lead("end") OVER w AS ne FROM facts WHERE modality = 'events' WINDOW w AS (PARTITION BY video_id ORDER BY "start", "end", fact_id)),
 edges AS (SELECT video_id || '/' || fact_id AS src, video_id || '/' || nx AS dst, CASE WHEN "start" < ne - 1e-6 AND ns < "end" - 1e-6 THEN 'OVERLAPS' WHEN "end" <= ns + 1e-6 THEN 'PRECEDES' ELSE 'NEAR' END AS relation, 1.0::DOUBLE AS confidence FROM ev WHERE nx IS NOT NULL AND ns - "end" <= 60
   UNION ALL SELECT f.video_id || '/' || f.fact_id, e.video_id || '/' || e.fact_id, 'SUPPORTS', 0.9::DOUBLE FROM facts f JOIN facts e ON f.video_id = e.video_id AND f.modality IN ('ocr', 'transcript') AND e.modality = 'events' AND f."end" >= e."start" AND f."start" <= e."end")"""

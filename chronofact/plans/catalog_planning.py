@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofact.operators.profiles import keyword_profile, keyword_sentences, user_flows
+from chronofact.operators.profiles import CONCEPT_SIGNS, key_concepts, keyword_profile, keyword_sentences, user_flows
+from chronofact.operators.profiles import profile_lists as sentence_lists
 from chronofact.plans import cues
 from chronofact.plans.catalog_retrieval import PHRASE, _rank_sql
 from chronofact.plans.questions import read_questions
@@ -90,6 +91,30 @@ def profile_sentences(spark, sf) -> DataFrame:
     return keyword_sentences(facts(spark, sf, "transcript"), cues.SENTENCES["step"])
 
 
+_KINDS = ", ".join(f"('{k}', [{', '.join(chr(39) + _Q(w) + chr(39) for w in words)}])" for k, words in cues.SENTENCES.items())
+
+
+@query(rf"""WITH {FACTS_SQL}, s AS (SELECT video_id, "start", trim(unnest(string_split(lower(text), '.'))) AS s FROM facts),
+k AS (SELECT * FROM (VALUES {_KINDS}) v(kind, words)),
+f AS (SELECT video_id, kind, substr(s, 1, 100) AS sentence, min("start") AS first_seen FROM s, k WHERE length(s) > 10 AND len(list_filter(words, lambda w: contains(s, w))) > 0 GROUP BY ALL)
+SELECT video_id, kind, sentence, first_seen, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY video_id, kind ORDER BY first_seen, sentence) AS rank FROM f) WHERE rank <= 20""")
+def profile_lists(spark, sf) -> DataFrame:
+    """Features, use cases, objectives and steps that a recording's texts tell of."""
+    return sentence_lists(facts(spark, sf))
+
+
+#: The texts' words are invented: these stand for signs of a concept.
+SIGNS = (*CONCEPT_SIGNS, "heble", "oiré", "enpf", "rroie")
+_SIGNS = ", ".join(f"'{w}'" for w in SIGNS)
+
+
+@query(rf"""WITH {FACTS_SQL}, f AS (SELECT video_id, "start", unnest(regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', '_', 'g'), '\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b', 1)) AS concept FROM facts WHERE len(list_filter([{_SIGNS}], lambda w: contains(lower(text), w))) > 0),
+g AS (SELECT video_id, concept, min("start") AS first_seen FROM f WHERE length(concept) > 2 GROUP BY ALL)
+SELECT video_id, concept, first_seen, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY first_seen, concept) AS rank FROM g) WHERE rank <= 20""")
+def profile_concepts(spark, sf) -> DataFrame:
+    return key_concepts(facts(spark, sf), SIGNS)
+
+
 _APPS = " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{n}'" for n, p in cues.APPS)
 
 

@@ -9,9 +9,12 @@ from chronofact.operators import context as C
 from chronofact.operators import evidence_search as X
 from chronofact.operators import graph as G
 from chronofact.operators import retrieval as R
+from chronofact.operators import tracking as K
+from chronofact.operators import vectors as V
 from chronofact.plans.catalog_entities import EDGES, ENTITIES, MENTIONS
 from chronofact.plans.catalog_more import FRAMES, frames_taken
 from chronofact.plans.catalog_retrieval import PHRASE, _rank_sql
+from chronofact.session import materialize, table
 from chronofact.sources.facts import FACTS_SQL, facts
 
 QUERIES: dict = {}
@@ -125,3 +128,40 @@ def context_items(spark, sf) -> DataFrame:
     """The spans, frames and summaries of each recording's context themselves."""
     spans, frames, texts = _contents(spark, sf)
     return C.context_items(spans, frames, 4000, texts)
+
+
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), n AS (SELECT *, greatest(sqrt(list_dot_product(e, e)), 1e-12) AS n FROM v),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS id, round(list_dot_product(q.e, c.e) / (q.n * c.n), 5) AS score FROM n q JOIN n c ON q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM s) SELECT query_id, rank, id, score, round(1.0::DOUBLE / (60 + rank), 8) AS rrf FROM r WHERE rank <= 20""")
+def vector_lists(spark, sf) -> DataFrame:
+    """The twenty nearest vectors of every fiftieth one, with what their ranks give a fused list."""
+    rows = table(spark, sf, "embeddings")
+    return V.nearest_vectors(rows, rows.where("vec_id % 50 = 0"), 20).withColumn("rrf", F.round("rrf", 8))
+
+
+_CELLS = ", ".join(f"[{', '.join(str((2 * r + i) * 8 + 2 * c + j + 1) for i in (0, 1) for j in (0, 1))}]" for r in range(4) for c in range(4))
+_RUNS = f"""f AS (SELECT 'v' || (vec_id // 100) AS video_id, CAST(vec_id AS DOUBLE) AS ts, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+l AS (SELECT *, lag(e) OVER (PARTITION BY video_id ORDER BY ts) AS p FROM f),
+d AS (SELECT *, CASE WHEN p IS NULL OR list_max(list_transform([{_CELLS}], lambda t: list_avg(list_transform(t, lambda i: abs(e[i] - p[i]))))) > 0.24 THEN 1 ELSE 0 END AS b FROM l),
+runs AS (SELECT video_id, ts, CAST(sum(b) OVER (PARTITION BY video_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM d)"""
+
+
+def _pictures(spark, sf) -> DataFrame:
+    """Vectors as pictures of 8 by 8 points, a hundred a recording."""
+    return table(spark, sf, "embeddings").select(F.concat(F.lit("v"), F.floor(F.col("vec_id") / 100)).alias("video_id"), F.col("vec_id").cast("double").alias("ts"), F.col("embedding").alias("pixels"), "label")
+
+
+@query(f"WITH {_RUNS} SELECT * FROM runs")
+def tile_runs(spark, sf) -> DataFrame:
+    """Runs of pictures none of whose 16 tiles differs much from the one before."""
+    return K.tile_runs(_pictures(spark, sf), 0.24, 4)
+
+
+@query(f"""WITH {_RUNS}, h AS (SELECT video_id, run, min(ts) AS read_at FROM runs GROUP BY ALL)
+SELECT r.video_id, r.ts, r.run, h.read_at, e.label FROM runs r JOIN h ON h.video_id = r.video_id AND h.run = r.run JOIN embeddings e ON e.vec_id = h.read_at""")
+def run_replay(spark, sf) -> DataFrame:
+    """What was read from the first picture of each run, here its label, on all pictures of the run."""
+    pictures = _pictures(spark, sf)
+    runs = materialize(K.tile_runs(pictures, 0.24, 4), "runs")
+    first = runs.groupBy("video_id", "run").agg(F.min("ts").alias("ts")).select("video_id", "ts")
+    return K.replayed(runs, pictures.select("video_id", "ts", "label").join(first, ["video_id", "ts"]))

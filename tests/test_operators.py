@@ -1,6 +1,7 @@
 """Operators against plain Python, on random and hand-made facts."""
 
 import random
+from difflib import SequenceMatcher
 
 import duckdb
 import pytest
@@ -13,6 +14,7 @@ from chronofact.operators import context as X
 from chronofact.operators import entities as E
 from chronofact.operators import graph as G
 from chronofact.operators import packaging as P
+from chronofact.operators import profiles as F_
 from chronofact.operators import retrieval as R
 from chronofact.operators import temporal as T
 from chronofact.operators.intervals import asof_backward, interval_join, islands, merge_windows, relations
@@ -392,6 +394,41 @@ def test_questions_as_columns_equal_the_sql(spark):
     assert read_questions(spark.createDataFrame([], "text string")).count() == 0
 
 
+@pytest.mark.parametrize("least", [0.75, 0.88, 0.95])
+def test_no_pair_of_alike_names_is_missed(spark, least):
+    """The similarity join against all pairs, on random names, names with repeats and names a few edits apart."""
+    rng = random.Random(int(100 * least))
+    names = {"a", "b", "ab", "ba", "aa", "aaaa", "aaaaa", "abab abab", "x" * 40, "x" * 41, "ü", "connection error", "connection errors", "conection error"}
+    while len(names) < 220:
+        w = "".join(rng.choice("abcd e") for _ in range(rng.randint(1, 24))).strip()
+        names.add(w)
+        for _ in range(2):
+            x = list(w)
+            for _ in range(rng.randint(1, 3)):
+                at = rng.randint(0, len(x))
+                x[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "f"])
+            names.add("".join(x).strip())
+    names.discard("")
+    rows = [(f"v{i % 2}", n) for i, n in enumerate(sorted(names))] + [("v0", "aa"), ("v0", "aa")]
+    got = {(r.video_id, r.a, r.b) for r in E.similar_names(spark.createDataFrame(rows, "video_id string, name string"), least, shared=False).collect()}
+    ratio = lambda a, b: 0.0 if min(len(a), len(b)) < 0.5 * max(len(a), len(b)) else SequenceMatcher(None, a, b).ratio()
+    want = {(v, a, b) for v, a in set(rows) for w, b in set(rows) if v == w and a < b and ratio(a, b) >= least}
+    assert got == want and len(want) > 5
+
+
+def test_profiles_by_one_automaton(spark):
+    rows = [("v", "transcript", "a", 1.0, 2.0, "First, open the Dark Mode panel. Then save it. ok", None, None, None), ("v", "ocr", "b", 5.0, 6.0, None, None, None, None), ("v", "ocr", "c", 0.0, 1.0, "a concept called Event Sourcing and CQRS", None, None, None)]
+    df = spark.createDataFrame(rows, FACT)
+    labels = {"x": ("ab", "abc"), "y": ("bc",), "z": ("ÄÖ",), "none": ("q",)}
+    texts = spark.createDataFrame([("xabcx",), ("AB",), ("äö",), ("",), (None,), ("b c",)], "text string")
+    assert [r.found for r in F_.labelled(texts, labels).collect()] == [["x", "y"], ["x"], ["z"], [], [], []]
+    assert {(r.label, r.n, r.first_seen) for r in F_.keyword_profile(df, {"style": {"dark": ("dark", "dark mode"), "light": ("light",)}}).collect()} == {("dark", 1, 1.0)}
+    lists = [(r.kind, r.sentence, r["rank"]) for r in F_.profile_lists(df).orderBy("kind", "rank").collect()]
+    assert lists == [("step", "first, open the dark mode panel", 1), ("step", "then save it", 2)]
+    assert [r.concept for r in F_.key_concepts(df).orderBy("rank").collect()] == ["Event Sourcing"]
+    assert F_.keyword_profile(df.limit(0)).count() == 0
+
+
 def test_rendered_packages(spark):
     shown = spark.createDataFrame(
         [("v1", "ocr", 2, 5.0, 5.0, "x" * 400), ("v1", "transcript", 1, 0.0, 61.5, "spoken\nline"), ("v2", "events", 1, 3.0, 4.0, None)],
