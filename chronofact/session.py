@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,21 +31,64 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def filesystem(spark: SparkSession, path: str):
+    """The store of a path, as Spark knows it, and the path as it takes it."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+#: Lists of tables that ``passing`` blocks in progress have seen written.
+_passing: list[list[str]] = []
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: lineage is cut and lost executors cost nothing."""
+    """Write df as a Parquet table in the shared folder and read it back: lineage is cut and lost executors cost nothing.
+
+    The table stays until it is discarded: alone (``discard``), or with all those of a block (``passing``).
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    for seen in _passing:
+        seen.append(path)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written = path
     return out
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    store, at = filesystem(spark, path)
+    store.delete(at, True)
+
+
 def discard(df: DataFrame) -> None:
     """Remove the table that ``materialize`` wrote for df; nothing that is read from it may be run afterwards."""
     path = df.__dict__.pop("_written", None)
     if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf).delete(jvm.org.apache.hadoop.fs.Path(path), True)
+        _remove(df.sparkSession, path)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A block whose tables are removed when it ends, but for those given to what it yields.
+
+    For work that ends in a table or an output of its own: what operators wrote on the way there goes.
+    """
+    seen: list[str] = []
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._written)
+        return df
+
+    _passing.append(seen)
+    try:
+        yield keep
+    finally:
+        _passing.remove(seen)
+        for path in seen:
+            if path not in kept:
+                _remove(spark, path)
 
 
 #: The column of ``keyed``.

@@ -110,22 +110,28 @@ def page_lines(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.posexplode(F.split(bare, r"\s*\n\s*")).alias("n", "text")).where(F.trim("text") != "")
 
 
-class StageCache:
-    """Results of stages as Parquet tables in a shared folder, keyed by a hash of input, stage, version and settings."""
+def _whole(spark: SparkSession, path: str) -> DataFrame:
+    """(path, payload) of text files, one row each, a task reading its files from whatever store Spark knows."""
+    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("payload"))
 
-    def __init__(self, folder: str):
-        self.folder = folder.rstrip("/")
 
-    def path(self, content: str, stage: str, version: str, settings: dict) -> str:
-        import hashlib
-        import json
+def read_subtitles(spark: SparkSession, path: str) -> DataFrame:
+    """Cues (``parse_cues``) of the SRT and WebVTT files of a path."""
+    return parse_cues(_whole(spark, path))
 
-        key = "|".join([content, stage, version, json.dumps(settings, sort_keys=True)])
-        return f"{self.folder}/{stage}-{hashlib.sha256(key.encode()).hexdigest()[:16]}"
 
-    def get_or_make(self, spark: SparkSession, path: str, make) -> DataFrame:
-        """The table at path if its write was committed, else what make() returns, written there."""
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-            make().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+#: Columns of a recogniser's word table.
+WORDS = "level INT, page INT, block INT, par INT, line INT, word INT, left INT, top INT, width INT, height INT, conf DOUBLE, text STRING"
+
+
+def read_recognition(spark: SparkSession, path: str, least: float = 20.0) -> DataFrame:
+    """(path, and lines as ``parse_recognition`` makes them) of recogniser word tables; quotes in them are text like any other."""
+    words = spark.read.schema(WORDS).option("sep", "\t").option("header", True).option("quote", "").option("mode", "PERMISSIVE").csv(path)
+    words = words.select("*", F.col("_metadata.file_path").alias("path")).where("level = 5")
+    by = words.withColumn("page", F.struct("path", "page"))
+    return parse_recognition(by, least).select("page.path", "page.page", "block", "par", "line", "text", "confidence", "x1", "y1", "x2", "y2")
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """(path, n, line) of analysis logs, for ``parse_scene_scores`` and ``parse_silences``."""
+    return _whole(spark, path).select("path", F.posexplode(F.split("payload", r"\r?\n")).alias("n", "line"))

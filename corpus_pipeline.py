@@ -15,7 +15,7 @@ from chronofact.llm.line_dedup import run_dedup
 from chronofact.llm.mixing import mix
 from chronofact.llm.near_dedup import near_dedup
 from chronofact.llm.packing import pack
-from chronofact.session import ROW, keyed, materialize, table
+from chronofact.session import ROW, discard, keyed, materialize, passing, table
 
 #: A text of which less is known (``language.known_share``) is in no learned language. See the README for what lies on each side.
 LEAST_KNOWN = 0.7
@@ -89,7 +89,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; each stage's own tables go when its result is written, and that when the next one's is."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before = docs
+        with passing(spark) as keep:
+            docs = keep(materialize(stage(spark, before, sf_dir), name))
+        discard(before)
     return docs

@@ -13,7 +13,9 @@ from chronofact.api import Collection
 from chronofact.plugins import Registry, Settings, default
 from chronofact.sources import readers as R
 from chronofact.sources.adapters import LocalFiles
+from chronofact.session import discard, materialize, passing
 from chronofact.sources.facts import facts
+from chronofact.sources.workspace import Workspace
 from chronofact.operators.tracking import text_tracks
 from chronofact.streaming import facts as S
 from chronofact.streaming.tracks import stream_tracks
@@ -58,16 +60,61 @@ def test_page_lines(spark):
     assert [(r.page_id, r.text) for r in R.page_lines(pages).collect()] == [(1, "One"), (1, "Two")]
 
 
-def test_stage_cache(spark, tmp_path):
-    cache, made = R.StageCache(str(tmp_path)), []
-
-    def make():
-        made.append(1)
-        return spark.range(3)
-
-    path = cache.path("hash", "ocr", "1", {"b": 1, "a": 2})
-    assert path == cache.path("hash", "ocr", "1", {"a": 2, "b": 1}) != cache.path("hash", "ocr", "2", {"a": 2, "b": 1})
-    assert [cache.get_or_make(spark, path, make).count() for _ in range(2)] == [3, 3] and made == [1]
+def test_workspace_makes_once_and_forgets_on_demand(spark, tmp_path):
+    w, made = Workspace(spark, "work", f"file://{tmp_path}"), []
+
+    def make(n):
+        return lambda: made.append(n) or spark.range(n)
+
+    assert w.get_or_make("abc", "ocr", make(3), "1", {"a": 1}).count() == 3
+    assert w.get_or_make("abc", "ocr", make(4), "1", {"a": 1}).count() == 3
+    assert w.get_or_make("abc", "ocr", make(5), "1", {"a": 2}).count() == 5 and w.get_or_make("abc", "asr", make(6)).count() == 6
+    assert made == [3, 5, 6]
+    assert sorted((r.stage, r.content, r.version) for r in w.manifest().collect()) == [("asr", "abc", "1"), ("ocr", "abc", "1"), ("ocr", "abc", "1")]
+    with pytest.raises(ZeroDivisionError):
+        w.get_or_make("abc", "bad", lambda: 1 / 0)
+    spark.range(1).write.parquet(f"{w.path('open')}/left-by-a-lost-writer")
+    assert w.sweep(1.0) == 0 and w.invalidate("ocr") == 2 and w.manifest().count() == 1
+    for d in tmp_path.glob("work/*/*"):
+        os.utime(d, (1_000_000_000, 1_000_000_000))
+    assert w.sweep(1.0) == 2 and w.manifest().count() == 0 and w.get_or_make("abc", "asr", make(7)).count() == 7
+    w.clear()
+    assert not (tmp_path / "work").exists() and w.manifest().count() == 0
+    for bad in ("", "..", "a/b", "file:x", ".hidden"):
+        with pytest.raises(ValueError, match="plain"):
+            w.path(bad)
+
+
+def test_tables_of_a_block_go_when_it_ends(spark):
+    there = lambda p: os.path.exists(p.removeprefix("file://"))
+    with passing(spark) as keep:
+        a, b = materialize(spark.range(3), "a"), keep(materialize(spark.range(4), "b"))
+        paths = [a._written, b._written]
+        assert all(map(there, paths))
+    assert [there(p) for p in paths] == [False, True] and b.count() == 4
+    with pytest.raises(KeyError), passing(spark):
+        c = materialize(spark.range(2), "c")._written
+        raise KeyError
+    assert not there(c)
+    discard(b)
+    discard(b)
+    assert not there(paths[1])
+
+
+def test_files_of_recognisers_subtitles_and_logs(spark, tmp_path):
+    (tmp_path / "a.srt").write_text(SRT)
+    (tmp_path / "b.vtt").write_text(VTT)
+    got = {(r.path.rsplit("/", 1)[1], r.start, r.speaker) for r in R.read_subtitles(spark, f"file://{tmp_path}/*.[sv]*t").collect()}
+    assert got == {("a.srt", 1.0, None), ("a.srt", 3.0, None), ("b.vtt", 62.5, "Ann")}
+    head = "level\tpage_num\tblock_num\tpar_num\tline_num\tword_num\tleft\ttop\twidth\theight\tconf\ttext\n"
+    (tmp_path / "p1.tsv").write_text(head + "4\t1\t1\t1\t1\t0\t0\t0\t9\t9\t-1\t\n" + '5\t1\t1\t1\t1\t1\t10\t5\t20\t8\t90\t"Sign\n5\t1\t1\t1\t1\t2\t35\t4\t10\t8\t70\tin\n5\t1\t1\t1\t2\t1\t0\t0\t1\t1\t5\tnoise\n')
+    (tmp_path / "p2.tsv").write_text(head + "5\t1\t1\t1\t1\t1\t1\t1\t1\t1\t50\tother\n")
+    rows = sorted(R.read_recognition(spark, f"file://{tmp_path}/*.tsv").collect(), key=lambda r: r.path)
+    assert [(r.text, r.confidence, r.x1, r.y1, r.x2, r.y2) for r in rows] == [('"Sign in', 0.8, 10, 4, 45, 13), ("other", 0.5, 1, 1, 2, 2)]
+    (tmp_path / "run.log").write_text("frame pts_time:1.5\nlavfi.scene_score=0.4\nsilence_start: 2.0\r\nsilence_end: 3.5\nsilence_start: 9\n")
+    log = R.read_log(spark, f"file://{tmp_path}/run.log")
+    assert [(r.pts, r.score) for r in R.parse_scene_scores(log).collect()] == [(1.5, 0.4)]
+    assert sorted((r.start, r.end or -1) for r in R.parse_silences(log).collect()) == [(2.0, 3.5), (9.0, -1)]
 
 
 def test_files(spark, tmp_path):
