@@ -18,6 +18,7 @@ from chronofact.operators import packaging as P
 from chronofact.operators import retrieval as R
 from chronofact.operators import temporal as T
 from chronofact.operators.intervals import closed
+from chronofact.plans.cues import GRAPH_OPERATIONS, STRATEGIES
 from chronofact.plans.evidence_graph import whole_graph
 from chronofact.plans.understanding import Plan, build_plan, classify_tasks, plan_stages, run_temporal
 from chronofact.plugins import Settings
@@ -67,7 +68,7 @@ class Answer:
         left = self.ledger.where("NOT kept").orderBy("video_id", "rank").limit(10).collect()
         warnings = [*self.plan.notes, *([f"missing modalities: {', '.join(self.missing)}"] if self.missing else []), *([QUOTED] if self.spans else [])]
         return {
-            "query": self.question, "intent": self.plan.intent, "anchor": self.plan.temporal.anchor, "retrieved": counts, "support": [x for r in self.spans for x in r["ref_ids"]],
+            "query": self.question, "intent": self.plan.intent, "strategy": STRATEGIES[self.plan.intent], "operations": GRAPH_OPERATIONS.get(self.plan.intent, ()), "anchor": self.plan.temporal.anchor, "retrieved": counts, "support": [x for r in self.spans for x in r["ref_ids"]],
             "omitted": [{"ref_ids": r["ref_ids"], "why": r["why"]} for r in left], "budget": {"top_k": self.top_k, "min_score": self.min_score}, "outcome": self.outcome(), "warnings": warnings,
         }
 

@@ -222,7 +222,8 @@ def segment_text(members: DataFrame) -> DataFrame:
 
 def rule_events(facts: DataFrame, scenes: DataFrame) -> DataFrame:
     """Typed events by rule: scene_changed at inner scene starts, text_appeared and text_disappeared of screen texts,
-    command_entered and error_shown where a screen text holds a prompt or an error form. One pass over each table."""
+    command_entered and error_shown where a screen text holds a prompt or an error form. One pass over each table; where
+    facts say which texts are stable (column ``stable``), the others give no events."""
     w = Window.partitionBy("video_id").orderBy("start", "end")
     cuts = scenes.withColumn("_i", F.row_number().over(w)).where("_i > 1").select("video_id", F.lit("scene_changed").alias("type"), F.col("start"), F.col("start").alias("end"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("string").alias("detail"))
     event = lambda kind, s, e, detail, good: F.when(good, F.struct(F.lit(kind).alias("type"), s.alias("start"), e.alias("end"), detail.cast("string").alias("detail")))
@@ -233,7 +234,8 @@ def rule_events(facts: DataFrame, scenes: DataFrame) -> DataFrame:
         event("command_entered", s, s, F.col("_command"), F.col("_command").isNotNull()),
         event("error_shown", s, e, F.col("_error"), F.col("_error").isNotNull()),
     )
-    shown = facts.where("modality = 'ocr'").withColumn("_command", command_in(F.col("text"))).withColumn("_error", error_in(F.col("text")))
+    kept = facts.where("modality = 'ocr'" + (" AND stable" if "stable" in facts.columns else ""))
+    shown = kept.withColumn("_command", command_in(F.col("text"))).withColumn("_error", error_in(F.col("text")))
     return shown.select("video_id", F.col("fact_id").alias("ref"), F.explode(F.filter(made, lambda x: x.isNotNull())).alias("x")).select("video_id", "x.type", "x.start", "x.end", "ref", "x.detail").unionByName(cuts)
 
 
@@ -261,6 +263,22 @@ def adaptive_plan(scenes: DataFrame, base: float = 1.0, most: float = 4.0, least
     return scenes.select("video_id", F.explode(F.filter(made, lambda x: x["end"] > x["start"])).alias("x")).select("video_id", "x.*")
 
 
+def fixed_plan(durations: DataFrame, base: float = 1.0) -> DataFrame:
+    """One sampling window a recording, at one rate; recordings of no length have none."""
+    return durations.where("duration > 0").select("video_id", F.lit(0.0).alias("start"), F.col("duration").alias("end"), F.lit(base).alias("fps"), F.lit("fixed").alias("reason"))
+
+
+def scene_plan(durations: DataFrame, scenes: DataFrame, least: float = 0.2, static: float = 8.0) -> tuple[DataFrame, DataFrame]:
+    """(windows, frames): a frame (video_id, ts, reason) for each scene, at its keyframe where it has one (``keyframe``), else at
+    its start, and windows at the lowest rate over scenes longer than ``static``; recordings without scenes are swept at that rate."""
+    key = F.coalesce("keyframe", "start") if "keyframe" in scenes.columns else F.col("start")
+    frames = scenes.select("video_id", F.round(F.least(key, F.greatest("start", F.col("end") - 0.05)), 3).alias("ts"), F.lit("scene_keyframe").alias("reason"))
+    window = lambda rows, s, e, why: rows.select("video_id", s.alias("start"), e.alias("end"), F.lit(least).alias("fps"), F.lit(why).alias("reason"))
+    long = window(scenes.where(F.col("end") - F.col("start") > static), F.col("start"), F.col("end"), "long_scene")
+    bare = durations.where("duration > 0").join(scenes.select("video_id").distinct(), "video_id", "left_anti")
+    return long.unionByName(window(bare, F.lit(0.0), F.col("duration"), "no_scenes")), frames
+
+
 def fit_budget(windows: DataFrame, max_frames: int, floor: float = 0.05) -> DataFrame:
     """Rates scaled, down to ``floor``, so that each recording's estimated frames keep the budget."""
     frames = F.sum((F.col("end") - F.col("start")) * F.col("fps")).over(Window.partitionBy("video_id"))

@@ -22,6 +22,31 @@ def row_rules(facts: DataFrame, duration: Column) -> DataFrame:
     return facts.select("video_id", "fact_id", F.explode(F.filter(broken, lambda x: x.isNotNull())).alias("rule")).withColumn("severity", F.lit("error"))
 
 
+def document_rules(documents: DataFrame, stages: DataFrame, segments: DataFrame, texts: DataFrame, most_texts: int = 20) -> DataFrame:
+    """Rules on whole documents (video_id, version), of their stages (video_id, name), segments and screen texts (video_id, frame_count).
+
+    A version is there and stages have different names; a warning where there are segments but no stage, or over
+    ``most_texts`` screen texts none of which lasts over a frame.
+    """
+    none = documents.where(F.coalesce(F.trim("version"), F.lit("")) == "").withColumn("fact_id", F.lit(None).cast("string"))
+    twice = stages.groupBy("video_id", "name").count().where("count > 1")
+    bare = segments.select("video_id").distinct().join(stages.select("video_id").distinct(), "video_id", "left_anti").withColumn("fact_id", F.lit(None).cast("string"))
+    short = texts.groupBy("video_id").agg(F.count(F.lit(1)).alias("n"), F.max("frame_count").alias("most")).where((F.col("n") > most_texts) & (F.coalesce("most", F.lit(0)) <= 1))
+    short = short.withColumn("fact_id", F.lit(None).cast("string"))
+    found = [_found(none, "version"), _found(twice, "stages", id_col="name"), _found(bare, "provenance", "warning"), _found(short, "ocr_dedup", "warning")]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
+def strict(findings: DataFrame) -> DataFrame:
+    """The findings with warnings counted as errors."""
+    return findings.withColumn("severity", F.lit("error"))
+
+
+def valid_recordings(recordings: DataFrame, findings: DataFrame) -> DataFrame:
+    """The recordings (video_id) without an error."""
+    return recordings.select("video_id").distinct().join(findings.where("severity = 'error'").select("video_id").distinct(), "video_id", "left_anti")
+
+
 def validate(facts: DataFrame, durations: DataFrame, refs: DataFrame | None = None, exclusive: DataFrame | None = None) -> DataFrame:
     """All findings: row rules, repeated ids, references to facts that do not exist, overlaps of exclusive rows."""
     found = [row_rules(facts.join(durations, "video_id"), F.col("duration"))]

@@ -9,7 +9,7 @@ from chronofact.operators.profiles import CONCEPT_SIGNS, key_concepts, keyword_p
 from chronofact.operators.profiles import profile_lists as sentence_lists
 from chronofact.plans import cues
 from chronofact.plans.catalog_retrieval import PHRASE, _rank_sql
-from chronofact.plans.questions import read_questions
+from chronofact.plans.questions import plan_table, read_questions
 from chronofact.plans.questions import sql as question_sql
 from chronofact.plans.understanding import app_hint, classify_tasks, run_temporal
 from chronofact.session import table
@@ -63,6 +63,23 @@ def intent_table(spark, sf) -> DataFrame:
     return read_questions(asked).withColumnRenamed("text", "question")
 
 
+_CASES = lambda table, rest: "CASE intent " + " ".join(f"WHEN '{k}' THEN '{_Q(', '.join(v) if isinstance(v, tuple) else v)}'" for k, v in table.items()) + f" ELSE {rest} END"
+_NAMED = ", ".join(f"CASE WHEN len(list_filter([{', '.join(chr(39) + _Q(w) + chr(39) for w in words)}], lambda w: contains(lower(question), w))) > 0 THEN '{m}' END" for m, words in cues.MODALITIES.items())
+
+
+@query(f"""WITH {FACTS_SQL}, q AS (SELECT * FROM ({question_sql(f"(SELECT item_id, text FROM benchmark UNION ALL SELECT * FROM (VALUES {_ASKED}) v(item_id, text))")})),
+n AS (SELECT item_id, question, intent, list_filter([{_NAMED}], lambda x: x IS NOT NULL) AS named FROM q),
+m AS (SELECT *, list_filter(CASE WHEN len(named) > 0 THEN named ELSE string_split({_CASES(cues.INTENT_MODALITIES, "''")}, ', ') END, lambda x: x <> '') AS needed FROM n),
+t AS (SELECT list(DISTINCT modality) AS there FROM facts)
+SELECT item_id, question, intent, array_to_string(needed, ', ') AS modalities, {_CASES(cues.STRATEGIES, "NULL")} AS strategy, {_CASES(cues.GRAPH_OPERATIONS, "''")} AS operations,
+  {_CASES(cues.FALLBACKS, f"'{cues.FALLBACK}'")} AS fallback, array_to_string(list_filter(needed, lambda x: NOT list_contains(there, x)), ', ') AS missing FROM m, t""")
+def question_plans(spark, sf) -> DataFrame:
+    """How each benchmark text and sample question would be answered, and which modalities it would lack."""
+    samples = spark.createDataFrame([(-i, q) for i, q in enumerate(QUESTIONS, 1)], "item_id long, text string")
+    asked = table(spark, sf, "benchmark").select("item_id", "text").unionByName(samples)
+    return plan_table(asked, facts(spark, sf)).withColumnRenamed("text", "question")
+
+
 @query(f"""WITH {_rank_sql('')}, p AS (SELECT video_id AS v, "end" AS e FROM spans ORDER BY score DESC, coverage DESC, "start", video_id, modality LIMIT 1)
 SELECT video_id, modality, "start", "end", text, round(1 / (1 + greatest(0, "start" - e)), 9) AS score FROM facts JOIN p ON video_id = v WHERE "start" - e >= -1e-6 ORDER BY "start" - e, fact_id LIMIT 10""")
 def temporal_question(spark, sf) -> DataFrame:

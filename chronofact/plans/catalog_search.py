@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronofact.operators import boundaries as B
 from chronofact.operators import context as C
 from chronofact.operators import evidence_search as X
 from chronofact.operators import graph as G
 from chronofact.operators import retrieval as R
+from chronofact.operators import temporal as T
 from chronofact.operators import tracking as K
+from chronofact.operators import validation as D
 from chronofact.operators import vectors as V
 from chronofact.plans.catalog_entities import EDGES, ENTITIES, MENTIONS
 from chronofact.plans.catalog_more import FRAMES, frames_taken
+from chronofact.plans.catalog_more import SQL as MORE
 from chronofact.plans.catalog_retrieval import PHRASE, _rank_sql
+from chronofact.plans.catalog_temporal import DUR, SCENES, durations, scenes
 from chronofact.session import materialize, table
 from chronofact.sources.facts import FACTS_SQL, facts
 
@@ -165,3 +170,44 @@ def run_replay(spark, sf) -> DataFrame:
     runs = materialize(K.tile_runs(pictures, 0.24, 4), "runs")
     first = runs.groupBy("video_id", "run").agg(F.min("ts").alias("ts")).select("video_id", "ts")
     return K.replayed(runs, pictures.select("video_id", "ts", "label").join(first, ["video_id", "ts"]))
+
+
+@query(f"""WITH {FACTS_SQL}, {DUR}, {SCENES}, d AS (SELECT video_id, CASE WHEN CAST(substr(video_id, 2) AS BIGINT) % 5 = 0 THEN ' ' ELSE '1.0' END AS version FROM dur),
+s AS (SELECT video_id, kind AS name FROM facts WHERE modality = 'events' AND "start" < 30 AND CAST(substr(video_id, 2) AS BIGINT) % 3 > 0),
+o AS (SELECT video_id, CASE WHEN CAST(substr(video_id, 2) AS BIGINT) % 2 = 0 THEN 1 ELSE 2 END AS frame_count FROM facts WHERE modality = 'ocr')
+SELECT video_id, NULL AS fact_id, 'version' AS rule, 'error' AS severity FROM d WHERE trim(version) = ''
+UNION ALL SELECT video_id, name, 'stages', 'error' FROM s GROUP BY ALL HAVING count(*) > 1
+UNION ALL SELECT DISTINCT video_id, NULL, 'provenance', 'warning' FROM scenes WHERE video_id NOT IN (SELECT video_id FROM s)
+UNION ALL SELECT video_id, NULL, 'ocr_dedup', 'warning' FROM o GROUP BY video_id HAVING count(*) > 10 AND max(frame_count) <= 1""")
+def document_findings(spark, sf) -> DataFrame:
+    """Findings on documents with injected faults: no version, repeated stages, segments without stages, texts of one frame each."""
+    number = F.substring("video_id", 2, 20).cast("long")
+    documents = durations(spark, sf).select("video_id", F.when(number % 5 == 0, " ").otherwise("1.0").alias("version"))
+    stages = facts(spark, sf, "events").where((F.col("start") < 30) & (number % 3 > 0)).select("video_id", F.col("kind").alias("name"))
+    texts = facts(spark, sf, "ocr").select("video_id", F.when(number % 2 == 0, 1).otherwise(2).alias("frame_count"))
+    return D.document_rules(documents, stages, scenes(spark, sf), texts, 10)
+
+
+@query(f"""WITH {FACTS_SQL}, {DUR}, {SCENES}, w AS (SELECT 'fixed' AS sampler, video_id, 0.0::DOUBLE AS s, duration AS e, 0.5::DOUBLE AS fps, 'fixed' AS reason FROM dur WHERE duration > 0
+  UNION ALL SELECT 'scene', video_id, "start", "end", 0.2, 'long_scene' FROM scenes WHERE "end" - "start" > 8
+  UNION ALL SELECT 'scene', video_id, 0, duration, 0.2, 'no_scenes' FROM dur WHERE duration > 0 AND video_id NOT IN (SELECT video_id FROM scenes)),
+f AS (SELECT *, sum((e - s) * fps) OVER (PARTITION BY sampler, video_id) AS f FROM w)
+SELECT sampler, video_id, s AS "start", e AS "end", round(CASE WHEN f > 100 THEN greatest(0.05, fps * 100 / f) ELSE fps END, 9) AS fps, reason FROM f
+UNION ALL SELECT 'scene', video_id, round(least("start", greatest("start", "end" - 0.05)), 3), NULL, NULL, 'scene_keyframe' FROM scenes""")
+def sampling_plans(spark, sf) -> DataFrame:
+    """What a fixed rate and scenes would sample of each recording, a hundred frames at most; a keyframe has no end."""
+    d = durations(spark, sf)
+    windows, frames = T.scene_plan(d, scenes(spark, sf))
+    fit = lambda rows, name: T.fit_budget(rows, 100).select(F.lit(name).alias("sampler"), "video_id", "start", "end", F.round("fps", 9).alias("fps"), "reason")
+    none = F.lit(None).cast("double")
+    keys = frames.select(F.lit("scene").alias("sampler"), "video_id", F.col("ts").alias("start"), none.alias("end"), none.alias("fps"), "reason")
+    return fit(T.fixed_plan(d, 0.5), "fixed").unionByName(fit(windows, "scene")).unionByName(keys)
+
+
+@query(f"""{MORE["segments_snapped"].rsplit("SELECT * FROM r", 1)[0].rstrip().rstrip(",")},
+sg AS (SELECT * FROM r WHERE "end" - "start" > 1e-6), ls AS (SELECT video_id, list({{'s': "start", 'e': "end"}} ORDER BY "start", "end") AS l FROM sg GROUP BY video_id),
+ms AS (SELECT video_id, list_reduce(l[2:], lambda k, x: CASE WHEN x.e - x.s < 4 OR k[-1].e - k[-1].s < 4 THEN list_append(k[:-2], {{'s': k[-1].s, 'e': x.e}}) ELSE list_append(k, x) END, l[1:1]) AS l FROM ls)
+SELECT video_id, CAST(i - 1 AS INT) AS segment, l[i].s AS "start", l[i].e AS "end" FROM ms, unnest(range(1, len(l) + 1)) t(i)""")
+def segments_merged(spark, sf) -> DataFrame:
+    """Segments cut in silences, those under four seconds joined to the one before."""
+    return T.merge_short(B.snapped_segments(scenes(spark, sf), facts(spark, sf, "transcript"), 8.0))

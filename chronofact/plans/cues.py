@@ -14,6 +14,57 @@ MODALITIES = {
     "vision": ("look like", "appearance", "color", "layout", "animation", "show"),
     "events": ("happen", "event", "click", "navigate", "error", "change"),
 }
+#: Modalities that can answer an intent, where the question names none.
+INTENT_MODALITIES = {
+    "change_detection": ("ocr", "transcript", "scenes"),
+    "event_sequence": ("events",),
+    "ui_state_query": ("ocr",),
+}
+#: The steps that answer an intent.
+STRATEGIES = {
+    "fact_lookup": ("lexical retrieval", "co-occurrence boost", "rank and select"),
+    "temporal_before": ("resolve anchor entity", "locate anchor range", "retrieve preceding facts", "rank by recency", "apply budget"),
+    "temporal_after": ("resolve anchor entity", "locate anchor range", "retrieve subsequent facts", "expand neighborhood", "rank by recency", "apply budget"),
+    "temporal_between": ("resolve both anchors", "constrain to range", "retrieve within range", "apply budget"),
+    "temporal_while": ("retrieve anchor matches", "expand co-occurring neighborhood", "apply budget"),
+    "first_occurrence": ("retrieve anchor matches", "return earliest span"),
+    "last_occurrence": ("retrieve anchor matches", "return latest span"),
+    "change_detection": ("detect adjacent-region turnover", "attach before/after evidence", "apply budget"),
+    "entity_timeline": ("resolve entity", "list all occurrences in time order", "attach surrounding context"),
+    "event_sequence": ("order events by timestamp", "split on large gaps"),
+    "co_occurrence": ("retrieve anchor matches", "expand neighborhood", "keep co-occurring modalities"),
+    "comparison": ("extract entities per video", "diff occurrences and events"),
+    "multi_video_search": ("search each video", "merge by score", "preserve video provenance"),
+    "cross_video_comparison": ("link entities across videos", "diff per-video evidence"),
+    "ui_state_query": ("list stable UI states", "match overlapping states"),
+    "evidence_request": ("retrieve anchor matches", "return with references"),
+    "general_summary": ("chapter overview", "global context", "key evidence"),
+}
+#: Operations on the evidence graph for an intent.
+GRAPH_OPERATIONS = {
+    "temporal_before": ("temporal_neighbors", "supporting_evidence"),
+    "temporal_after": ("temporal_neighbors", "supporting_evidence"),
+    "temporal_between": ("supporting_evidence",),
+    "temporal_while": ("temporal_neighbors",),
+    "entity_timeline": ("entity_occurrences", "supporting_evidence"),
+    "first_occurrence": ("entity_occurrences",),
+    "last_occurrence": ("entity_occurrences",),
+    "event_sequence": ("temporal_neighbors",),
+    "co_occurrence": ("temporal_neighbors",),
+    "evidence_request": ("supporting_evidence",),
+    "change_detection": ("supporting_evidence",),
+    "ui_state_query": ("temporal_neighbors", "supporting_evidence"),
+}
+#: What stands in where an intent's own way finds nothing.
+FALLBACKS = {
+    "temporal_before": "timeline window before the best anchor match",
+    "temporal_after": "timeline window after the best anchor match",
+    "temporal_between": "full timeline of the range",
+    "entity_timeline": "lexical search for the name",
+    "first_occurrence": "lexical search for the name",
+    "last_occurrence": "lexical search for the name",
+}
+FALLBACK = "ranked lexical search"
 #: Task rules: (task, words); words found add to the task's score, the first task of the highest score wins.
 TASKS = (
     ("summary", ("summarize", "summary", "tl;dr", "tldr", "brief", "short")),

@@ -131,6 +131,33 @@ def phrased(questions: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
+def plan_table(questions: DataFrame, facts: DataFrame | None = None, text_col: str = "text") -> DataFrame:
+    """questions with intent, modalities, strategy, operations, fallback and missing: what each asks for and how it is answered.
+
+    Modalities are those a question's words name, else its intent's. ``missing`` are those of them that no fact has; the
+    modalities there are, a row each, join as one row. Lists are joined by ", ". A function of each row but for that.
+    """
+    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    of = lambda table: F.create_map(*[F.lit(x) for k, v in table.items() for x in (k, ", ".join(v) if isinstance(v, tuple) else v)])[F.col("intent")]
+    named = F.filter(F.array(*[F.when(_any([low.contains(w) for w in words]), m) for m, words in cues.MODALITIES.items()]), lambda x: x.isNotNull())
+    needed = F.when(F.size(named) > 0, named).otherwise(F.split(F.coalesce(of(cues.INTENT_MODALITIES), F.lit("")), ", "))
+    read = read_questions(questions, text_col).select(*questions.columns, "intent").withColumn("_needed", F.filter(needed, lambda x: x != ""))
+    if facts is None:
+        there = read.withColumn("_there", F.lit(None).cast("array<string>"))
+    else:
+        there = read.crossJoin(F.broadcast(facts.select("modality").distinct().agg(F.collect_set("modality").alias("_there"))))
+    missing = F.when(F.col("_there").isNotNull(), F.array_join(F.array_except("_needed", "_there"), ", ")).otherwise("")
+    return there.select(
+        *questions.columns,
+        "intent",
+        F.array_join("_needed", ", ").alias("modalities"),
+        of(cues.STRATEGIES).alias("strategy"),
+        F.coalesce(of(cues.GRAPH_OPERATIONS), F.lit("")).alias("operations"),
+        F.coalesce(of(cues.FALLBACKS), F.lit(cues.FALLBACK)).alias("fallback"),
+        missing.alias("missing"),
+    )
+
+
 def _q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
