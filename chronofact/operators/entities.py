@@ -104,10 +104,26 @@ def top_entities(entities: DataFrame, most: int = MAX_ENTITIES) -> DataFrame:
     return entities.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
+#: Fixed value: the confidence of entities that a user named.
+ALIASED = 0.95
+
+
 def with_aliases(m: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Mentions renamed by (alias, canonical), user knowledge: such entities are sure (0.95), never ambiguous."""
-    known = aliases.select(normal_name(F.col("alias")).alias("name"), "canonical")
-    return m.join(known, "name", "left").withColumn("name", F.coalesce(normal_name(F.col("canonical")), "name")).drop("canonical")
+    """Mentions renamed by (alias, canonical), user knowledge; names without an alias stay."""
+    known = aliases.select(normal_name(F.col("alias")).alias("name"), normal_name(F.col("canonical")).alias("canonical"))
+    return m.join(known, "name", "left").withColumn("name", F.coalesce("canonical", "name")).drop("canonical")
+
+
+def aliased_entities(m: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Concepts of mentions under their canonical names: those a user named are sure (ALIASED) and never ambiguous, once mentioned or often."""
+    own = aliases.select(normal_name(F.col("canonical")).alias("name")).distinct().withColumn("_own", F.lit(True))
+    renamed = with_aliases(m, aliases)
+    found = rolled_up(renamed).join(own, "name", "left")
+    single = renamed.join(own, "name").groupBy("video_id", "name").agg(F.count(F.lit(1)).alias("occurrences"), F.max("surface").alias("s"), F.min("start").alias("first_seen"), F.max("end").alias("last_seen"), F.max("modality").alias("modalities")).where("occurrences = 1")
+    once = single.select("video_id", "name", F.substring("s", 1, 80).alias("display"), "occurrences", "first_seen", "last_seen", "modalities", F.lit(ALIASED).alias("confidence"), F.lit(False).alias("ambiguous"))
+    sure = F.coalesce("_own", F.lit(False))
+    rows = found.withColumns({"confidence": F.when(sure, ALIASED).otherwise(F.col("confidence")), "ambiguous": F.col("ambiguous") & ~sure}).select(*once.columns)
+    return rows.unionByName(once)
 
 
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:

@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronofact.functions.scalars import rational, significant
+from chronofact.functions.text import tokens
 from chronofact.operators import boundaries as B
 from chronofact.operators import context as C
+from chronofact.operators import entities as E
 from chronofact.operators import evidence_search as X
 from chronofact.operators import graph as G
+from chronofact.operators import packaging as P
 from chronofact.operators import retrieval as R
 from chronofact.operators import temporal as T
 from chronofact.operators import tracking as K
 from chronofact.operators import validation as D
 from chronofact.operators import vectors as V
+from chronofact.operators.compression import persistent_elements
+from chronofact.operators.intervals import window_around
 from chronofact.plans.catalog_entities import EDGES, ENTITIES, MENTIONS
 from chronofact.plans.catalog_more import FRAMES, frames_taken
 from chronofact.plans.catalog_more import SQL as MORE
@@ -211,3 +217,63 @@ SELECT video_id, CAST(i - 1 AS INT) AS segment, l[i].s AS "start", l[i].e AS "en
 def segments_merged(spark, sf) -> DataFrame:
     """Segments cut in silences, those under four seconds joined to the one before."""
     return T.merge_short(B.snapped_segments(scenes(spark, sf), facts(spark, sf, "transcript"), 8.0))
+
+
+@query(f"""WITH {FACTS_SQL}, {DUR} SELECT fact_id, greatest(0.0, "start" - 7) AS lo, least("end" + 7, duration) AS hi FROM facts JOIN dur USING (video_id)""")
+def window_clamp(spark, sf) -> DataFrame:
+    """Seven seconds around each fact, cut to its recording."""
+    lo, hi = window_around(F.col("start"), F.col("end"), 7.0, F.col("duration"))
+    return facts(spark, sf).join(durations(spark, sf), "video_id").select("fact_id", lo.alias("lo"), hi.alias("hi"))
+
+
+@query(rf"""WITH {FACTS_SQL}, w AS (SELECT video_id, greatest(0.0, "start" - 5) AS s, least("end" + 5, duration) AS e FROM facts JOIN (SELECT video_id, max("end") AS duration FROM facts GROUP BY ALL) USING (video_id) WHERE kind = 'error'),
+i AS (SELECT *, CASE WHEN s - max(e) OVER (PARTITION BY video_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 1e-6 THEN 0 ELSE 1 END AS f FROM w),
+n AS (SELECT *, sum(f) OVER (PARTITION BY video_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM i) SELECT video_id, round(min(s), 3) AS "start", round(max(e), 3) AS "end" FROM n GROUP BY video_id, island""")
+def ranges_merged(spark, sf) -> DataFrame:
+    """The merged ranges around each recording's errors."""
+    return P.relevant_ranges(facts(spark, sf).where("kind = 'error'"), durations(spark, sf))
+
+
+@query(rf"""WITH {FACTS_SQL}, {DUR}, u AS (SELECT video_id, CASE WHEN fact_id LIKE '%3' THEN "end" + 9 ELSE "start" - 2 END AS a, "end" + 3 AS b, text FROM facts WHERE modality = 'transcript'),
+n AS (SELECT video_id, least(greatest(least(a, b), 0.0), duration) AS s, least(greatest(greatest(a, b), 0.0), duration) AS e, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM u JOIN dur USING (video_id))
+SELECT video_id, s AS "start", e AS "end", text, format('utt_{{:04d}}', row_number() OVER (PARTITION BY video_id ORDER BY s, e, text) - 1) AS id FROM n WHERE text <> ''""")
+def utterances_normal(spark, sf) -> DataFrame:
+    """Utterances with injected faults, reversed or beyond their recording, made fit to store."""
+    rows = facts(spark, sf, "transcript")
+    faulty = rows.select("video_id", F.when(F.col("fact_id").endswith("3"), F.col("end") + 9).otherwise(F.col("start") - 2).alias("start"), (F.col("end") + 3).alias("end"), "text")
+    return T.normal_utterances(faulty, durations(spark, sf))
+
+
+@query(rf"""WITH {FACTS_SQL}, f AS (SELECT video_id, CAST(floor("start" / 120) AS BIGINT) AS state, "start" AS ts, text FROM facts WHERE modality = 'ocr'), n AS (SELECT video_id, state, count(DISTINCT ts) AS frames FROM f GROUP BY ALL),
+e AS (SELECT video_id, state, element, count(DISTINCT ts) AS n FROM (SELECT video_id, state, ts, unnest(list_distinct(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{{L}}\p{{N}}]+'))) AS element FROM f) GROUP BY ALL)
+SELECT e.* FROM e JOIN n ON n.video_id = e.video_id AND n.state = e.state WHERE n >= 0.8 * frames""")
+def persistent_words(spark, sf) -> DataFrame:
+    """Words on screen in four of five frames of two minutes."""
+    shown = facts(spark, sf, "ocr").select("video_id", F.floor(F.col("start") / 120).alias("state"), F.col("start").alias("ts"), "text")
+    words = shown.select("video_id", "state", "ts", F.explode(F.array_distinct(tokens(F.col("text")))).alias("element"))
+    return persistent_elements(words, shown)
+
+
+@query(f"""WITH {FACTS_SQL}, {MENTIONS.replace("mentions AS (SELECT * FROM mn", "m0 AS (SELECT * FROM mn")}, a AS (SELECT * FROM (VALUES ('der', 'german article'), ('die', 'german article'), ('les', 'french article')) v(alias, canonical)),
+mentions AS (SELECT m0.* REPLACE (coalesce(canonical, name) AS name) FROM m0 LEFT JOIN a ON alias = name), {ENTITIES}
+SELECT video_id, name, occurrences, first_seen, last_seen, modalities, CASE WHEN name IN ('german article', 'french article') THEN 0.95::DOUBLE ELSE confidence END AS confidence, ambiguous AND name NOT IN ('german article', 'french article') AS ambiguous FROM entities
+UNION ALL SELECT video_id, name, count(*), min("start"), max("end"), max(modality), 0.95, false FROM mentions WHERE name IN ('german article', 'french article') GROUP BY video_id, name HAVING count(*) = 1""")
+def aliased_entities(spark, sf) -> DataFrame:
+    """Entities under the names that a user's aliases give them."""
+    known = spark.createDataFrame([("Der", "German article"), ("Die", "German article"), ("Les", "French article")], "alias string, canonical string")
+    return E.aliased_entities(E.mentions(facts(spark, sf)), known).drop("display")
+
+
+@query(f"""WITH {_rank_sql('video_id')} SELECT video_id, modality, "start", "end", score FROM spans WHERE score >= 0.018""")
+def floored_spans(spark, sf) -> DataFrame:
+    """Spans whose score, after merging, keeps a floor."""
+    return R.search(facts(spark, sf), PHRASE, top_k=0, per_video=True, min_score=0.018).select("video_id", "modality", "start", "end", "score")
+
+
+@query("""WITH v AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS x, CAST(l_quantity AS INT) || '/' || (l_linenumber - 1) AS r FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN x = 0 THEN 0 ELSE round(x * power(10.0, 3 - floor(log10(abs(x))))) / power(10.0, 3 - floor(log10(abs(x)))) END AS digits,
+  CASE WHEN split_part(r, '/', 2) <> '0' THEN CAST(split_part(r, '/', 1) AS DOUBLE) / CAST(split_part(r, '/', 2) AS DOUBLE) END AS rate FROM v""")
+def rates_and_digits(spark, sf) -> DataFrame:
+    """Four digits of each line's price, and its quantity over its number as a rate."""
+    rate = F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit("/"), (F.col("l_linenumber") - 1).cast("string"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", significant(F.col("l_extendedprice")).alias("digits"), rational(rate).alias("rate"))
