@@ -14,6 +14,9 @@ from chronofact.session import global_rank, materialize
 #: BM25 saturation and length weights, fusion constant, co-occurrence tolerance and boost, merge gap.
 K1, B, RRF_K, CO_TOLERANCE, CO_BOOST, MERGE_GAP = 1.2, 0.75, 60, 1.0, 0.25, 2.0
 
+#: Up to so many spans their members are sent to all tasks; beyond, both sides are dealt by recording.
+MOST_BROADCAST = 1000
+
 
 def query_tokens(spark, query: str) -> list[str]:
     """A query's tokens, as facts are tokenised (on a one-row table: the same expression decides)."""
@@ -127,9 +130,13 @@ def boost_cooccurrence(candidates: DataFrame, tol: float = CO_TOLERANCE, boost:
 
 
 def merge_adjacent(candidates: DataFrame, gap: float = MERGE_GAP, score: str = "boosted") -> DataFrame:
-    """Candidates of one recording and modality that follow within ``gap`` as one span: its times are those of its facts."""
+    """Candidates of one recording and modality that follow within ``gap`` as one span: its times are those of its facts.
+
+    Where candidates have a text, so have spans.
+    """
     runs = islands(candidates, ["video_id", "modality"], gap, ("start", "end", "fact_id"))
-    members = F.array_sort(F.collect_list(F.struct("start", "fact_id", "text", "matched")))
+    texts = ["text"] if "text" in candidates.columns else []
+    members = F.array_sort(F.collect_list(F.struct("start", "fact_id", *texts, "matched")))
     return (
         runs.groupBy("video_id", "modality", "island")
         .agg(
@@ -143,7 +150,7 @@ def merge_adjacent(candidates: DataFrame, gap: float = MERGE_GAP, score: str = "
         .select(
             "video_id", "modality", "start", "end", F.round("score", 8).alias("score"), "coverage", "confidence",
             F.transform("_m", lambda x: x["fact_id"]).alias("ref_ids"),
-            F.array_join(F.transform("_m", lambda x: x["text"]), " ").alias("text"),
+            *[F.array_join(F.transform("_m", lambda x: x["text"]), " ").alias("text") for _ in texts],
             F.array_sort(F.array_distinct(F.flatten(F.transform("_m", lambda x: x["matched"])))).alias("matched"),
         )
     )
@@ -153,7 +160,8 @@ def search(facts: DataFrame, query: str, modalities: list[str] | None = None, st
     """Ranked spans: BM25 over whole-scope statistics, filters, fusion, boost, merge, floor, order, limit.
 
     Statistics are those of the recording with per_video, else of the collection; filters narrow what is returned,
-    not what is counted. top_k of 0 or less returns all.
+    not what is counted. top_k of 0 or less returns all. Ranks, boosts and merging work on rows without texts; these join the
+    spans that are left, which are written for it.
     """
     words = query_tokens(facts.sparkSession, query)
     if not words:
@@ -166,12 +174,20 @@ def search(facts: DataFrame, query: str, modalities: list[str] | None = None, st
         hits = hits.where(F.col("end") >= start)
     if end is not None:
         hits = hits.where(F.col("start") <= end)
-    spans = merge_adjacent(boost_cooccurrence(rrf(hits, scope))).where(F.col("score") >= min_score)
+    spans = merge_adjacent(boost_cooccurrence(rrf(hits.drop("text"), scope))).where(F.col("score") >= min_score)
     order = [F.desc("score"), F.desc("coverage"), F.asc("start"), F.asc("video_id"), F.asc("modality")]
     if per_video_k is not None:
         w = Window.partitionBy("video_id").orderBy(*order)
         spans = spans.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_video_k).drop("_r")
-    return spans.orderBy(*order).limit(top_k) if top_k > 0 else spans.orderBy(*order)
+    left = materialize(spans.orderBy(*order).limit(top_k) if top_k > 0 else spans, "spans")
+    key = ["video_id", "modality", "start"]  # spans of a recording and modality do not touch
+    members = left.select(*key, F.posexplode("ref_ids").alias("_n", "fact_id"))
+    # With a limit these are the facts of top_k spans, each within one recording.
+    members = F.broadcast(members) if 0 < top_k <= MOST_BROADCAST else members
+    said = hits.select(F.col("video_id").alias("_v"), F.col("fact_id").alias("_f"), "text")
+    texts = said.join(members, (F.col("_v") == F.col("video_id")) & (F.col("_f") == F.col("fact_id"))).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_n", "text"))).alias("_t"))
+    out = left.join(texts, key).withColumn("text", F.array_join(F.transform("_t", lambda x: x["text"]), " "))
+    return out.select("video_id", "modality", "start", "end", "score", "coverage", "confidence", "ref_ids", "text", "matched").orderBy(*order)
 
 
 def cosine_top_k(vectors: DataFrame, query: list[float], k: int = 100, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
