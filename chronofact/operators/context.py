@@ -33,6 +33,21 @@ def frame_scores(frames: DataFrame, facts: DataFrame, query: str = "", width: fl
     return frames.join(found, ["video_id", "frame_id"], "left").select(*frames.columns, (reason + bonus).alias("score"))
 
 
+def frame_context(frames: DataFrame, shown: DataFrame, described: DataFrame, width: float = 30.0) -> DataFrame:
+    """frames (video_id, frame_id, ts) with ``shown_ids``, the texts whose lifespan holds them, and ``described_ids``, the
+    descriptions (with frame_ids) they belong to or whose lifespan holds them; both sorted.
+
+    Lifespans meet by time buckets; sets of frames are taken apart, so that membership is an equality.
+    """
+    at = frames.select("video_id", "frame_id", F.col("ts").alias("start"), F.col("ts").alias("end"))
+    inside = lambda facts: interval_join(at, facts.select("video_id", "fact_id", "start", "end"), ["video_id"], width, 0.0, "closed").select(F.col("l_video_id").alias("video_id"), F.col("l_frame_id").alias("frame_id"), F.col("r_fact_id").alias("fact_id"))
+    member = described.select("video_id", F.explode("frame_ids").alias("frame_id"), "fact_id").join(frames.select("video_id", "frame_id"), ["video_id", "frame_id"])
+    ids = lambda rows, name: rows.groupBy("video_id", "frame_id").agg(F.array_sort(F.collect_set("fact_id")).alias(name))
+    none = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>")).alias(c)
+    out = frames.join(ids(inside(shown), "shown_ids"), ["video_id", "frame_id"], "left").join(ids(inside(described).unionByName(member), "described_ids"), ["video_id", "frame_id"], "left")
+    return out.select(*[F.col(c) for c in frames.columns], none("shown_ids"), none("described_ids"))
+
+
 def representative_frames(scored: DataFrame, most: int = 10, spacing: float = SPACING) -> DataFrame:
     """(video_id, frame_id, ts, score, rank): frames in descending score, each at least ``spacing`` from those chosen before.
 

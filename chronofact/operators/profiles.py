@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -90,3 +90,31 @@ def key_concepts(facts: DataFrame, signs: tuple[str, ...] = CONCEPT_SIGNS, most:
 def user_flows(events: DataFrame, gap: float = 30.0) -> DataFrame:
     """Runs of events of a recording, a new one after more than ``gap`` seconds."""
     return event_chains(events, gap, 1)
+
+
+#: Profiles by name: a function of facts each. ``register_profile`` adds others.
+PROFILES: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "ui_design": keyword_profile,
+    "application": user_flows,
+    "product_demo": lambda facts: profile_lists(facts, {k: cues.SENTENCES[k] for k in ("feature", "use_case")}),
+    "tutorial": lambda facts: profile_lists(facts, {k: cues.SENTENCES[k] for k in ("objective", "step")}),
+    "concepts": key_concepts,
+}
+
+
+def register_profile(name: str) -> Callable:
+    """A decorator that puts a function of facts among the profiles; a name is taken once."""
+    def put(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+        if name in PROFILES:
+            raise KeyError(f"there is a profile {name!r}")
+        PROFILES[name] = f
+        return f
+
+    return put
+
+
+def profile(name: str, facts: DataFrame) -> DataFrame:
+    """A profile of each recording of facts, by its name."""
+    if name not in PROFILES:
+        raise KeyError(f"no profile {name!r}; known: {', '.join(sorted(PROFILES))}")
+    return PROFILES[name](facts)

@@ -26,7 +26,7 @@ from chronofact.plans.catalog_more import SQL as MORE
 from chronofact.plans.catalog_retrieval import PHRASE, _rank_sql
 from chronofact.plans.catalog_temporal import DUR, SCENES, durations, scenes
 from chronofact.session import materialize, table
-from chronofact.sources.facts import FACTS_SQL, facts
+from chronofact.sources.facts import FACTS_SQL, descriptions, facts
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -277,3 +277,23 @@ def rates_and_digits(spark, sf) -> DataFrame:
     """Four digits of each line's price, and its quantity over its number as a rate."""
     rate = F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit("/"), (F.col("l_linenumber") - 1).cast("string"))
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", significant(F.col("l_extendedprice")).alias("digits"), rational(rate).alias("rate"))
+
+
+@query(rf"""WITH {FACTS_SQL}, p AS (SELECT page_id, page_id // 20 AS v, page_id % 20 AS k, trim(regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>([^<]*)</title', 1)) AS title, url FROM pages),
+d AS (SELECT 'v' || v AS video_id, 'vis_' || page_id AS fact_id, k * 30.0::DOUBLE AS s, k * 30.0::DOUBLE + 20 AS e, CASE WHEN title <> '' THEN title ELSE coalesce(url, '') END AS text, list_transform(range(0, 5), lambda i: 'evt_' || (v * 100 + k * 5 + i)) AS frame_ids FROM p),
+f AS (SELECT video_id, fact_id AS frame_id, "start" AS ts FROM facts WHERE modality = 'events'),
+o AS (SELECT f.video_id, frame_id, string_agg(DISTINCT x.fact_id, ',' ORDER BY x.fact_id) AS ids FROM f JOIN facts x ON x.video_id = f.video_id AND x.modality = 'ocr' AND ts >= x."start" AND ts <= x."end" GROUP BY ALL),
+v AS (SELECT f.video_id, frame_id, string_agg(DISTINCT d.fact_id, ',' ORDER BY d.fact_id) AS ids, max(length(text)) AS longest FROM f JOIN d ON d.video_id = f.video_id AND ((ts >= s AND ts <= e) OR list_contains(frame_ids, frame_id)) GROUP BY ALL)
+SELECT f.video_id, f.frame_id, coalesce(o.ids, '') AS shown_ids, coalesce(v.ids, '') AS described_ids FROM f LEFT JOIN o ON o.video_id = f.video_id AND o.frame_id = f.frame_id LEFT JOIN v ON v.video_id = f.video_id AND v.frame_id = f.frame_id""")
+def frame_descriptions(spark, sf) -> DataFrame:
+    """For each event, as a frame, the screen texts and the page descriptions that hold it, by time or as one of their frames."""
+    frames = facts(spark, sf, "events").select("video_id", F.col("fact_id").alias("frame_id"), F.col("start").alias("ts"))
+    found = C.frame_context(frames, facts(spark, sf, "ocr"), descriptions(table(spark, sf, "pages")))
+    return found.select("video_id", "frame_id", F.array_join("shown_ids", ",").alias("shown_ids"), F.array_join("described_ids", ",").alias("described_ids"))
+
+
+@query(rf"""WITH p AS (SELECT page_id, trim(regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>([^<]*)</title', 1)) AS title, url FROM pages)
+SELECT 'v' || page_id // 20 AS video_id, 'vis_' || page_id AS fact_id, (page_id % 20) * 30.0::DOUBLE AS "start", (page_id % 20) * 30.0::DOUBLE + 20 AS "end", CASE WHEN title <> '' THEN title ELSE coalesce(url, '') END AS text, 5 AS frames FROM p""")
+def vision_facts(spark, sf) -> DataFrame:
+    rows = descriptions(table(spark, sf, "pages"))
+    return rows.select("video_id", "fact_id", "start", "end", "text", F.size("frame_ids").alias("frames"))

@@ -53,6 +53,17 @@ class Registry:
         return factory(**{k: v for k, v in (settings or {}).items() if open_ended or k in accepted})
 
 
+    def first(self, capability: str, names: list[str], settings: dict | None = None):
+        """(name, provider) of the first of the names that there is and that loads; an error tells why each of them did not."""
+        why = []
+        for name in names:
+            try:
+                return name, self.build(capability, name, settings)
+            except (ImportError, AttributeError, KeyError) as e:
+                why.append(f"{name}: {e}")
+        raise LookupError(f"no {capability} of {', '.join(names) or 'none'} could be had ({'; '.join(why)})")
+
+
 @dataclass(frozen=True)
 class Settings:
     """All settings with their defaults; unknown names are errors."""

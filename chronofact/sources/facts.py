@@ -62,6 +62,18 @@ def typed_events(events: DataFrame) -> DataFrame:
     )
 
 
+def descriptions(pages: DataFrame) -> DataFrame:
+    """Vision facts: what a page shows, by its title or else its address, of a set of five frames (frame_ids, ids of events)."""
+    title = F.trim(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<title[^>]*>([^<]*)</title", 1))
+    video, place = F.floor(F.col("page_id") / 20), F.col("page_id") % 20
+    begin = place * 30.0
+    return pages.select(
+        F.concat(F.lit("v"), video).alias("video_id"), F.lit("vision").alias("modality"), F.concat(F.lit("vis_"), "page_id").alias("fact_id"), begin.alias("start"), (begin + 20.0).alias("end"),
+        F.when(title != "", title).otherwise(F.coalesce("url", F.lit(""))).alias("text"), F.lit("page").alias("kind"), F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("confidence"),
+        F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.concat(F.lit("evt_"), (video * 100 + place * 5 + i).cast("string"))).alias("frame_ids"),
+    )
+
+
 def facts(spark: SparkSession, sf_dir: str, *modalities: str) -> DataFrame:
     """All facts of the named modalities (all by default); unknown names are ignored."""
     made = {

@@ -140,3 +140,37 @@ def test_the_whole_graph_has_nodes_for_its_edges(spark, tables):
     assert all(r.n <= 40 for r in held) and few.where("NOT observed").count() == 0
     kept = {r.id for r in few.collect()}
     assert left.count() <= 30 and all(r.src in kept and r.dst in kept for r in left.collect())
+
+
+def test_profiles_by_name_and_the_first_provider_that_loads(spark, tables):
+    from chronofact.operators import profiles
+    from chronofact.plugins import Registry
+
+    rows = facts(spark, tables)
+    assert {r.kind for r in profiles.profile("tutorial", rows).select("kind").distinct().collect()} <= {"objective", "step"}
+    assert profiles.profile("ui_design", rows).columns[:3] == ["video_id", "dimension", "label"]
+    with pytest.raises(KeyError, match="no profile"):
+        profiles.profile("none", rows)
+    with pytest.raises(KeyError, match="there is a profile"):
+        profiles.register_profile("tutorial")(len)
+    profiles.register_profile("counts")(lambda f: f.groupBy("video_id").count())
+    assert profiles.profile("counts", rows).count() == 10 and profiles.PROFILES.pop("counts")
+    r = Registry()
+    r.register("ocr", "gone", "no.such.module:x")
+    r.register("ocr", "plain", lambda: "reader")
+    assert r.first("ocr", ["missing", "gone", "plain"]) == ("plain", "reader")
+    with pytest.raises(LookupError, match="missing.*gone"):
+        r.first("ocr", ["missing", "gone"])
+
+
+def test_findings_on_documents(spark):
+    from chronofact.operators.validation import document_rules, strict, valid_recordings
+
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    docs = table([("a", "1.0"), ("b", None), ("c", " "), ("d", "1.1")], "video_id string, version string")
+    stages = table([("a", "ocr"), ("a", "ocr"), ("d", "asr"), ("d", "ocr")], "video_id string, name string")
+    segments = table([("a",), ("b",), ("d",), ("d",)], "video_id string")
+    texts = table([("d", 1)] * 21 + [("a", 1)] * 20 + [("b", 1)] * 20 + [("b", 2)], "video_id string, frame_count int")
+    found = document_rules(docs, stages, segments, texts)
+    assert sorted(map(str, found.collect())) == sorted(map(str, table([("b", None, "version", "error"), ("c", None, "version", "error"), ("a", "ocr", "stages", "error"), ("b", None, "provenance", "warning"), ("d", None, "ocr_dedup", "warning")], "video_id string, fact_id string, rule string, severity string").collect()))
+    assert [r.video_id for r in valid_recordings(docs, found).collect()] == ["d"] and valid_recordings(docs, strict(found)).count() == 0
