@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import re
 import uuid
@@ -143,20 +144,28 @@ def with_roles(pages: DataFrame, at_least: int = 0, digest: Callable[[Column], C
     return hashed.join(groups, (F.col("_same") == F.col("_gsame")) & (F.col("_size") == F.col("_gsize")), "left").drop("_gsame", "_gsize", "_same")
 
 
-def write_archives(pages: DataFrame, folder: str, at_least: int = 0, roll_bytes: int = 64 << 20) -> DataFrame:
+def open_store(folder: str):
+    """The store of a folder and the folder's path in it, as a task opens it: Spark's names of a scheme that the client knows
+    by another are told to it by that; its credentials are those of the worker's own surroundings."""
+    from pyarrow import fs
+
+    scheme, colon, rest = folder.partition("://")
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme.lower(), scheme) + colon + rest)
+
+
+def write_archives(pages: DataFrame, folder: str, at_least: int = 0, roll_bytes: int = 64 << 20, store_of: Callable = open_store) -> DataFrame:
     """Write a record for each row of (page_id, url, html) into archives under ``folder``; returns their manifest.
 
     Of records with equal payloads of at least ``at_least`` bytes, the one with the largest page_id is a response and
     the others are revisits of it; rows that share that largest id are all responses. A task writes its own archives,
     a new one every ``roll_bytes``, under a name no other attempt uses, and renames each when it is whole; the
-    manifest lists the attempts that counted. Null html is an empty payload, null urls have no target line, null ids
+    manifest lists the attempts that counted. A task that fails takes its files away; those of a lost executor stay, and are not
+    in the manifest. ``store_of`` opens the folder in a task, for stores that need more than their address. Null html is an empty payload, null urls have no target line, null ids
     read "null". Other columns are ignored; empty tables give no archives.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = store_of(folder)
         store.create_dir(root, recursive=True)
         part, number = TaskContext.get().partitionId(), 0
         out, held, size, records, done = None, "", 0, 0, []
@@ -170,19 +179,28 @@ def write_archives(pages: DataFrame, folder: str, at_least: int = 0, roll_bytes:
                 done.append((final, records, size))
                 out, number = None, number + 1
 
-        for page, url, payload, sha, length, keep in (tuple(x.as_py() for x in row) for b in batches for row in zip(*b.columns, strict=True)):
-            if out is None:
-                held, size, records = f"{root}/.open-{uuid.uuid4().hex}", 0, 0
-                out = store.open_output_stream(held)
-            name = lambda x: "urn:page:null" if x is None else f"urn:page:{x}"
-            revisit = keep is not None and keep != page
-            digest = base64.b32encode(bytes.fromhex(sha)).decode()
-            data = record_bytes("revisit" if revisit else "response", name(page), url, payload, length, digest, name(keep) if revisit else None)
-            out.write(data)
-            size, records = size + len(data), records + 1
-            if size >= roll_bytes:
-                close()
-        close()
+        name = lambda x: "urn:page:null" if x is None else f"urn:page:{x}"
+        try:
+            for page, url, payload, sha, length, keep in (tuple(x.as_py() for x in row) for b in batches for row in zip(*b.columns, strict=True)):
+                if out is None:
+                    held, size, records = f"{root}/.open-{uuid.uuid4().hex}", 0, 0
+                    out = store.open_output_stream(held)
+                revisit = keep is not None and keep != page
+                digest = base64.b32encode(bytes.fromhex(sha)).decode()
+                data = record_bytes("revisit" if revisit else "response", name(page), url, payload, length, digest, name(keep) if revisit else None)
+                out.write(data)
+                size, records = size + len(data), records + 1
+                if size >= roll_bytes:
+                    close()
+            close()
+        except BaseException:
+            if out is not None:
+                out.close()
+                done.append((held, 0, 0))
+            for file, _, _ in done:
+                with contextlib.suppress(OSError):
+                    store.delete_file(file)
+            raise
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], ["file", "records", "bytes"])
 

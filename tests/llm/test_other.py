@@ -104,6 +104,36 @@ def test_warc_keeps_pages_of_long_urls_and_counts_records(spark, tmp_path):
         warc.archives(manifest.union(manifest.withColumn("file", F.lit("x/none.warc.gz"))), folder, counted=True)
 
 
+def test_archives_of_a_failed_task_are_taken_away(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"<p>{i}</p>" * 50) for i in range(40)], "page_id long, url string, html string")
+    bad = pages.withColumn("html", F.when(F.col("page_id") == 39, F.raise_error(F.lit("broken page")).cast("string")).otherwise(F.col("html")))
+    with pytest.raises(Exception, match="broken page"):
+        warc.write_archives(bad.coalesce(1), f"file://{tmp_path}/bad", roll_bytes=300).collect()
+    left = lambda name: [p.name for p in (tmp_path / name).rglob("*") if not p.name.endswith(".crc")]
+    assert left("bad") == []
+
+    def store_of(folder):
+        store, root = warc.open_store(folder)
+        moved = []
+
+        class Full:
+            def __getattr__(self, name):
+                return getattr(store, name)
+
+            def move(self, a, b):
+                if moved:
+                    raise OSError("store is full")
+                moved.append(store.move(a, b))
+
+        return Full(), root
+
+    with pytest.raises(Exception, match="store is full"):
+        warc.write_archives(pages.coalesce(1), f"file://{tmp_path}/full", roll_bytes=300, store_of=store_of).collect()
+    assert left("full") == []
+    store, root = warc.open_store("s3a://bucket/some/folder?region=us-east-1")
+    assert store.type_name == "s3" and root == "bucket/some/folder"
+
+
 def targets_brute(sizes, weights=(1, 2, 3)):
     names = sorted([s for s in sizes if s is not None], key=lambda s: s.encode()) + ([None] if None in sizes else [])
     w = {s: weights[i % 3] for i, s in enumerate(names)}
