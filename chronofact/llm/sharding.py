@@ -54,7 +54,7 @@ def ring_shards(
     nodes: int = 128,
     cells: int = 65536,
     slack: float = 0.0002,
-    hot: int = 128,
+    hot: int = 4,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -62,7 +62,8 @@ def ring_shards(
 
     A document's place on the ring is a hash of its text, one of ``cells`` places, so equal texts go to one shard. Only
     a text whose copies weigh more than 1 / ``hot`` of a shard's mean is spread: its rows are dealt by id over as many
-    places as keep each under that weight; there are fewer than ``hot`` * ``shards`` such texts, whatever the input.
+    places as keep each under that weight; there are fewer than ``hot`` * ``shards`` such texts, whatever the input. Heavy places
+    are put first and light ones fill up, so groups below that weight need not be spread for balance.
     Loads are summed by place (a table whose size is fixed by ``cells``), the driver walks those sums clockwise
     to shards with room (``place_cells``, with the bound it keeps), and each row looks its place up in the broadcast of
     that same fixed-size table. slot is the row's gapless number in its shard, in order of id, from a range partitioning.
