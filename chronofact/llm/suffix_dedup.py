@@ -502,9 +502,14 @@ def suffix_dedup(
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    out = suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), 400, keep="none")
+    """The prescribed columns, for strings of 400 bytes; n_passages counts the maximal runs covered by strings of 256 bytes that
+    start elsewhere, too, and with over 50 whole words: those under 400 bytes stay in the text."""
+    out = suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), 400, keep="none", floor=256)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
-    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    passages = F.size(F.filter("shared", lambda x: x["words"] > 50)).cast("long")
+    return out.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), passages.alias("n_passages")
+    )
 
 
 SQL: dict[str, str] = {}

@@ -287,6 +287,20 @@ def test_suffix_dedup_cuts_long_texts_into_stretches(spark, monkeypatch):
     assert got[1] == [(1_048_000, 1_049_500)] and got[2] == [(0, 2000)] and got[None] == []
 
 
+def test_op1_reports_passages_of_over_50_words_that_stay(spark, tmp_path):
+    """Under 400 bytes a repeated passage is not removed, but counted; of 50 words, or unrepeated, it is not."""
+    rng = random.Random(51)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    short, fifty, long = prose(52), prose(50), prose(80)
+    texts = [f"{prose(30)} {x} {prose(30)}" for x in (short, short, fifty, fifty, long, long, prose(52))] + [None, ""]
+    spark.createDataFrame(list(enumerate(texts)), DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in S.op1_suffix_dedup(spark, f"file://{tmp_path}").collect()}
+    assert len(short) < 400 and {i: r.n_passages for i, r in rows.items()} == {0: 1, 1: 1, 2: 0, 3: 0, 4: 1, 5: 1, 6: 0, 7: 0, 8: 0}
+    raw = [(t or "").encode() for t in texts]
+    for i, size, spans, kept in suffix_brute(raw, 400, "none"):
+        assert rows[i][:5] == (i, size, sum(e - s for s, e in spans), len(spans), hashlib.sha256(kept).hexdigest())
+
+
 def test_suffix_dedup_of_nothing(spark):
     assert S.suffix_dedup(spark.createDataFrame([], DOCS)).count() == 0
     assert [r.kept for r in S.suffix_dedup(spark.createDataFrame([(1, "short"), (None, None)], DOCS).orderBy("doc_id")).collect()].count(b"short") == 1
