@@ -188,8 +188,7 @@ SELECT video_id, arg_max(text, {{'c': confidence, 'n': length(text), 't': -ts}})
   max(ts) AS last_ts, count(*) AS frame_count, round(avg(confidence), 4) AS confidence FROM i GROUP BY video_id, norm, island""")
 def stream_tracks(spark, sf) -> DataFrame:
     """Tracks of each document's first word, equal words being one text, over a stream of the documents with an end for each recording."""
-    schema = table(spark, sf, "documents").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet*").option("recursiveFileLookup", "true").parquet(sf)
+    stream = S.read_table(spark, sf, "documents")
     word = F.regexp_extract("text", r"^[^\x20\x09-\x0D]+", 0)
     video, none = F.concat(F.lit("v"), F.floor(F.col("doc_id") / 20)), F.lit(None).cast("double")
     seen = stream.where(word != "").select(video.alias("video_id"), ((F.col("doc_id") % 20) * 30.0).alias("ts"), word.alias("text"), (F.col("doc_id") % 10 / 10.0).alias("confidence"))

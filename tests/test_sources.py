@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronofact.api import Collection
+from chronofact.plans import catalog_planning as planning
 from chronofact.plugins import Registry, Settings, default
 from chronofact.sources import readers as R
 from chronofact.sources.adapters import LocalFiles
@@ -198,6 +199,14 @@ def test_streamed_tracks_equal_the_batch(spark, tmp_path):
     assert len(parts) > 2 and key(got) == key(want) and got.where("stable").count() > 3
 
 
+def test_streams_read_tables_that_are_folders(spark, tables, tmp_path):
+    for name in ("documents", "events"):
+        spark.read.parquet(f"{tables}/{name}.parquet").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    rows = lambda d: sorted(map(str, planning.stream_tracks(spark, d).collect()))
+    assert len(rows(str(tmp_path))) > 0 and rows(str(tmp_path)) == rows(tables)
+    assert S.run_available(S.read_events(spark, str(tmp_path))).count() == S.run_available(S.read_events(spark, tables)).count() > 0
+
+
 def test_collection(spark, tables):
     c = Collection(facts(spark, tables))
     assert c.search("error").count() == 10 and c.recording("v0").search("error", top_k=3).count() == 3
