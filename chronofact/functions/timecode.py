@@ -9,15 +9,20 @@ from pyspark.sql import functions as F
 TIMECODE = r"^(?:(\d+):)?([0-5]?\d):([0-5]\d(?:\.\d+)?)$"
 
 
-def format_timecode(seconds: Column) -> Column:
+def format_millis(millis: Column) -> Column:
     """HH:MM:SS.mmm, rounded to milliseconds before the carry; null for null and for what is not finite."""
-    ms = F.round(F.abs(seconds) * 1000).cast("long")
+    ms = F.round(F.abs(millis)).cast("long")
     shown = F.format_string(
         "%s%02d:%02d:%02d.%03d",
-        F.when((seconds < 0) & (ms > 0), F.lit("-")).otherwise(F.lit("")),
+        F.when((millis < 0) & (ms > 0), F.lit("-")).otherwise(F.lit("")),
         F.floor(ms / 3600000), F.floor(ms / 60000) % 60, F.floor(ms / 1000) % 60, ms % 1000,
     )
-    return F.when(seconds.isNotNull() & ~F.isnan(seconds) & (F.abs(seconds) < 1e15), shown)
+    return F.when(millis.isNotNull() & ~F.isnan(millis) & (F.abs(millis) < 1e18), shown)
+
+
+def format_timecode(seconds: Column) -> Column:
+    """``format_millis`` of seconds. Finer whole units go there themselves: as seconds, half a millisecond may fall short."""
+    return format_millis(seconds * 1000)
 
 
 def parse_timecode(text: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronofact.functions import scalars as S
 from chronofact.functions import text as X
-from chronofact.functions.timecode import format_span, format_timecode, parse_timecode
+from chronofact.functions.timecode import format_millis, format_span, parse_timecode
 from chronofact.operators.intervals import closed, contains
 from chronofact.session import table
 from chronofact.sources.facts import FACTS_SQL, facts
@@ -96,8 +96,8 @@ _TC = """lpad(CAST(ms // 3600000 AS VARCHAR), 2, '0') || ':' || lpad(CAST(ms //
 
 @query(f"""WITH t AS (SELECT event_id, CAST(round(epoch_us(ts) % 86400000000 / 1000.0) AS BIGINT) AS ms FROM events) SELECT event_id, {_TC} AS tc FROM t""")
 def timecode_format(spark, sf) -> DataFrame:
-    at = (F.unix_micros(F.col("ts").cast("timestamp")) % 86400000000) / 1000000.0
-    return table(spark, sf, "events").select("event_id", format_timecode(at).alias("tc"))
+    at = F.unix_micros(F.col("ts").cast("timestamp")) % 86400000000
+    return table(spark, sf, "events").select("event_id", format_millis(at / 1000.0).alias("tc"))
 
 
 @query("""SELECT t, s FROM (VALUES ('90', 90.0), ('1:30', 90.0), ('01:02:03.5', 3723.5), ('3:75', NULL), ('1:2:3:4', NULL), ('', NULL), ('abc', NULL), ('3:21 pm', NULL), ('-5', NULL), ('1:60', NULL), ('12.25', 12.25)) v(t, s0), LATERAL (SELECT CAST(s0 AS DOUBLE) AS s)""")

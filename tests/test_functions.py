@@ -11,6 +11,7 @@ from chronofact.functions import scalars as S
 from chronofact.functions import text as X
 from chronofact.functions.timecode import format_span, format_timecode, parse_timecode
 from chronofact.operators.tracking import grams, may_reach, similarity
+from chronofact.plans import catalog_facts
 from chronofact.sources.adapters import SourceError, adapter_for, blocked_address, resolve_redirect, validate_url
 
 
@@ -33,6 +34,13 @@ def test_timecodes_written(spark, s, text):
     assert one(spark, format_timecode(F.lit(s))) == text
 
 
+def test_half_milliseconds_of_events_round_up(spark, tmp_path):
+    at = ["2024-01-04 04:34:45.985500", "2024-01-20 00:34:39.338500", "2024-01-01 00:00:00.000499", "2024-01-01 23:59:59.999500"]
+    spark.createDataFrame(list(enumerate(at)), "event_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    got = [r.tc for r in catalog_facts.timecode_format(spark, str(tmp_path)).orderBy("event_id").collect()]
+    assert got == ["04:34:45.986", "00:34:39.339", "00:00:00.000", "24:00:00.000"]
+
+
 def test_spans(spark):
     assert one(spark, format_span(F.lit(1.0), F.lit(2.0))) == "00:00:01.000 → 00:00:02.000"
     assert one(spark, format_span(F.lit(2.0), F.lit(2.0))) == "00:00:02.000"
