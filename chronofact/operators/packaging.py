@@ -66,7 +66,9 @@ def spaced(points: DataFrame, gap: float, keys: list[str]) -> DataFrame:
 def relevant_ranges(spans: DataFrame, durations: DataFrame, radius: float = 5.0) -> DataFrame:
     rows = spans.join(durations, "video_id")
     lo, hi = window_around(F.col("start"), F.col("end"), radius, F.col("duration"))
-    return merge_windows(rows.select("video_id", lo.alias("start"), hi.alias("end")), ["video_id"]).select("video_id", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
+    # Whole milliseconds of the double's product, as SQL engines round; Spark's round to places rounds the double's decimal digits.
+    ms = lambda c: (F.round(F.col(c) * 1000) / 1000).alias(c)
+    return merge_windows(rows.select("video_id", lo.alias("start"), hi.alias("end")), ["video_id"]).select("video_id", ms("start"), ms("end"))
 
 
 def expand(spans: DataFrame, facts: DataFrame, radius: float = 5.0, seen: DataFrame | None = None) -> DataFrame:

@@ -444,3 +444,11 @@ def test_rendered_packages(spark):
     assert got["v1"] == f"# Context: why\n\n**Ranges:** 00:00:00.000 → 00:01:00.000\n\n## Evidence\n1. **{said}** (transcript) — spoken\nline\n2. **00:00:05.000** (ocr) — {'x' * 300}"
     assert got["v2"] == "# Context: why\n\n\n## Evidence\n1. **00:00:03.000 → 00:00:04.000** (events) — "
     assert P.package_text(shown.limit(0), "why").count() == P.package_markdown(shown.limit(0), "why").count() == 0
+
+
+def test_ranges_are_rounded_as_in_sql(spark):
+    at = [k + m / 1000 + 0.0005 for k in range(0, 600, 7) for m in range(0, 1000, 83)]
+    shown = spark.createDataFrame([(f"v{i}", t, t) for i, t in enumerate(at)], "video_id string, start double, end double")
+    got = P.relevant_ranges(shown, shown.select("video_id", (F.col("end") + 9).alias("duration")))
+    want = duckdb.sql(f"SELECT 'v' || i, round(greatest(0, t - 5), 3), round(t + 5, 3) FROM (SELECT unnest({at}::DOUBLE[]) AS t, generate_subscripts({at}, 1) - 1 AS i)").fetchall()
+    assert sorted((r.video_id, r.start, r.end) for r in got.collect()) == sorted(want)
