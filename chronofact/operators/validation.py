@@ -48,14 +48,14 @@ def valid_recordings(recordings: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def validate(facts: DataFrame, durations: DataFrame, refs: DataFrame | None = None, exclusive: DataFrame | None = None) -> DataFrame:
-    """All findings: row rules, repeated ids, references to facts that do not exist, overlaps of exclusive rows."""
+    """All findings: row rules, repeated ids, references to facts that do not exist, overlaps of exclusive rows (of equal intervals the first id stands)."""
     found = [row_rules(facts.join(durations, "video_id"), F.col("duration"))]
     found.append(_found(facts.groupBy("video_id", "fact_id").count().where("count > 1"), "unique_id"))
     if refs is not None:
         known = facts.select("video_id", F.col("fact_id").alias("ref"))
         found.append(_found(refs.join(known, ["video_id", "ref"], "left_anti"), "dangling_ref", id_col="ref"))
     if exclusive is not None:
-        w = Window.partitionBy("video_id").orderBy("start", "end")
+        w = Window.partitionBy("video_id").orderBy("start", "end", "fact_id")
         over = exclusive.withColumn("_before", F.lag("end").over(w)).where(F.col("start") < F.col("_before") - 1e-6)
         found.append(_found(over, "overlap"))
     return reduce(lambda a, b: a.unionByName(b), found)

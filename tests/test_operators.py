@@ -452,3 +452,11 @@ def test_ranges_are_rounded_as_in_sql(spark):
     got = P.relevant_ranges(shown, shown.select("video_id", (F.col("end") + 9).alias("duration")))
     want = duckdb.sql(f"SELECT 'v' || i, round(greatest(0, t - 5), 3), round(t + 5, 3) FROM (SELECT unnest({at}::DOUBLE[]) AS t, generate_subscripts({at}, 1) - 1 AS i)").fetchall()
     assert sorted((r.video_id, r.start, r.end) for r in got.collect()) == sorted(want)
+
+
+def test_overlaps_of_equal_intervals_do_not_depend_on_the_order_of_rows(spark):
+    rows = [("v", x, 0.0, 9.0) for x in ("c", "a", "d", "b")]
+    for given in (rows, rows[::-1]):
+        said = spark.createDataFrame(given, "video_id string, fact_id string, start double, end double").withColumn("confidence", F.lit(1.0)).coalesce(1)
+        found = validate(said, said.limit(1).select("video_id", F.col("end").alias("duration")), exclusive=said)
+        assert sorted((r.fact_id, r.rule) for r in found.collect()) == [(x, "overlap") for x in "bcd"]
