@@ -256,11 +256,13 @@ whole AS (SELECT DISTINCT video_id || '/entity/' || name AS src, video_id || '/e
 _WHOLE = f"{FACTS_SQL}, {DUR}, {SCENES}, {MENTIONS}, {CHANGES}, {STATES}, {CHAPTERS}, {WHOLE}"
 
 
-def _whole(spark, sf) -> DataFrame:
-    rows = facts(spark, sf)
-    m = E.mentions(rows)
+def _derived(spark, sf) -> tuple[DataFrame, ...]:
     states = T.states(facts(spark, sf, "ocr", "transcript").where(F.col("end") > F.col("start")))
-    return G.build_edges(G.entity_edges(m), G.derived_edges(changes(spark, sf), states, chapters(spark, sf), scenes(spark, sf), rows, T.rule_events(facts(spark, sf, "ocr"), scenes(spark, sf))))
+    return changes(spark, sf), states, chapters(spark, sf), scenes(spark, sf), facts(spark, sf), T.rule_events(facts(spark, sf, "ocr"), scenes(spark, sf))
+
+
+def _whole(spark, sf) -> DataFrame:
+    return G.build_edges(G.entity_edges(E.mentions(facts(spark, sf))), G.derived_edges(*_derived(spark, sf)))
 
 
 @query(f"""WITH {_WHOLE} SELECT * FROM whole""")
@@ -275,4 +277,4 @@ wk AS (SELECT a AS origin, a AS id, 0 AS hops, true AS d FROM ds WHERE da UNION
 SELECT DISTINCT origin, id FROM wk WHERE NOT d""")
 def supporting_evidence(spark, sf) -> DataFrame:
     """The observed nodes behind every derived node of every recording, three steps away at most."""
-    return G.evidence_of(_whole(spark, sf), lambda c: c.rlike(r"^[^/]+/(entity|change|state|chapter|rule)/"))
+    return G.proofs(E.mentions(facts(spark, sf)), *_derived(spark, sf))

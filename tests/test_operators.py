@@ -1,5 +1,6 @@
 """Operators against plain Python, on random and hand-made facts."""
 
+import os
 import random
 from difflib import SequenceMatcher
 
@@ -20,11 +21,12 @@ from chronofact.operators import temporal as T
 from chronofact.operators.intervals import asof_backward, interval_join, islands, merge_windows, relations
 from chronofact.operators.tracking import text_tracks
 from chronofact.operators.validation import validate
+from chronofact.plans import catalog_more as M
 from chronofact.plans import understanding as U
 from chronofact.plans.catalog_planning import QUESTIONS
 from chronofact.plans.questions import OUT, read_questions
 from chronofact.plans.questions import sql as question_sql
-from chronofact.session import global_rank
+from chronofact.session import global_rank, shared_dir
 
 FACT = "video_id string, modality string, fact_id string, start double, end double, text string, kind string, language string, confidence double"
 
@@ -460,3 +462,13 @@ def test_overlaps_of_equal_intervals_do_not_depend_on_the_order_of_rows(spark):
         said = spark.createDataFrame(given, "video_id string, fact_id string, start double, end double").withColumn("confidence", F.lit(1.0)).coalesce(1)
         found = validate(said, said.limit(1).select("video_id", F.col("end").alias("duration")), exclusive=said)
         assert sorted((r.fact_id, r.rule) for r in found.collect()) == [(x, "overlap") for x in "bcd"]
+
+
+def test_supporting_evidence_is_what_the_walk_finds_and_writes_no_table(spark, tables):
+    store = shared_dir(spark).removeprefix("file://")
+    pairs = lambda df: sorted((r.origin, r.id) for r in df.collect())
+    held = set(os.listdir(store))
+    got = pairs(M.supporting_evidence(spark, tables))
+    assert set(os.listdir(store)) == held
+    want = pairs(G.evidence_of(M._whole(spark, tables), lambda c: c.rlike(r"^[^/]+/(entity|change|state|chapter|rule)/")))
+    assert got == want and {x.split("/")[1] for x, _ in got} == {"entity", "change", "state", "chapter", "rule"}
